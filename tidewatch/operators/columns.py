@@ -80,3 +80,14 @@ def coalesce_aliases(df: DataFrame, aliases: Mapping[str, str]) -> DataFrame:
         else:
             out = out.withColumnRenamed(api, name)
     return out
+
+
+def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Append the columns of a one-row frame (fitted constants) to every row.
+
+    A broadcast equi-join on a constant key: the right side holds exactly one
+    row, so this is a lookup, not a product of two data sets.
+    """
+    return (df.withColumn("__one", F.lit(1))
+            .join(F.broadcast(one_row.withColumn("__one", F.lit(1))), "__one", "inner")
+            .drop("__one"))

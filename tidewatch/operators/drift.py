@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.functions.special import chi2_sf, ks_pvalue
-from tidewatch.operators.columns import col, is_numeric_type
+from tidewatch.operators.columns import attach_row, col, is_numeric_type
 from tidewatch.operators.ladder import quantiles_linear, value_ladder
 
 # Fixed values of the reference semantics: decision thresholds, the share
@@ -292,7 +292,7 @@ def nested_report(report: DriftReport) -> DataFrame:
     nested = feats.agg(F.map_from_entries(F.collect_list(F.struct(
         "feature", F.struct("feature_type", "tests", "drift_detected", "reference_n", "current_n", "error", "info"))))
         .alias("per_feature"))
-    return report.summary.crossJoin(nested)
+    return attach_row(report.summary, nested)
 
 
 # ---------------------------------------------------------------- pair tests on one column

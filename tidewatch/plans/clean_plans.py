@@ -67,29 +67,29 @@ def count_yes_sql(cols) -> str:
 def patients_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read_table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
-    age_tail, _ = S.pick(k, "", "age", ["", " ", "y", ".5", " yrs"])
-    wt_tail, _ = S.pick(k, "", "wt", ["", ".5", "kg", ""])
-    ht_tail, _ = S.pick(k, "", "ht", ["", " ", "cm"])
+    age_tail = S.pick_col(k, "age", ["", " ", "y", ".5", " yrs"])
+    wt_tail = S.pick_col(k, "wt", ["", ".5", "kg", ""])
+    ht_tail = S.pick_col(k, "ht", ["", " ", "cm"])
     return o.select(
         k.alias("RECORD"),
         F.concat(F.lit("S"), F.col("o_custkey").cast("string")).alias("Sample ID"),
-        S.pick(k, "", "sex", S.SEX_POOL)[0].alias("SEX"),
-        S.pick(k, "", "smokes", S.YES_NO_POOL)[0].alias("SMOKES"),
-        S.pick(k, "", "tbc", S.YES_NO_POOL)[0].alias("TB_CONTACT"),
-        S.pick(k, "", "hiv", S.YES_NO_POOL)[0].alias("HIV STATUS"),
+        S.pick_col(k, "sex", S.SEX_POOL).alias("SEX"),
+        S.pick_col(k, "smokes", S.YES_NO_POOL).alias("SMOKES"),
+        S.pick_col(k, "tbc", S.YES_NO_POOL).alias("TB_CONTACT"),
+        S.pick_col(k, "hiv", S.YES_NO_POOL).alias("HIV STATUS"),
         F.concat((F.col("o_custkey") % 70 + 15).cast("string"), age_tail).alias("AGE (YEARS)"),
         F.concat(F.floor(F.col("o_totalprice") / 5000).cast("long").cast("string"), wt_tail).alias("WEIGHT (KG)"),
         F.concat((F.col("o_orderkey") % 50 + 140).cast("string"), ht_tail).alias("HEIGHT (CM)"),
-        S.pick(k, "", "m2", S.CULTURE_POOL)[0].alias("2 MONTHS"),
-        S.pick(k, "", "m5", S.CULTURE_POOL)[0].alias("5 MONTHS"),
-        S.pick(k, "", "conv", S.CONVERSION_POOL)[0].alias("2_MONTHS_RESULT"),
-        S.pick(k, "", "base", S.BASELINE_POOL)[0].alias("BASELINE_RESULT"),
+        S.pick_col(k, "m2", S.CULTURE_POOL).alias("2 MONTHS"),
+        S.pick_col(k, "m5", S.CULTURE_POOL).alias("5 MONTHS"),
+        S.pick_col(k, "conv", S.CONVERSION_POOL).alias("2_MONTHS_RESULT"),
+        S.pick_col(k, "base", S.BASELINE_POOL).alias("BASELINE_RESULT"),
     )
 
 
 def patients_sql() -> str:
     k = "o_orderkey"
-    p = lambda salt, pool: S.pick(F.lit(0), k, salt, pool)[1]
+    p = lambda salt, pool: S.pick_sql(k, salt, pool)
     return f"""SELECT o_orderkey AS RECORD, 'S' || CAST(o_custkey AS VARCHAR) AS "Sample ID",
   {p('sex', S.SEX_POOL)} AS SEX, {p('smokes', S.YES_NO_POOL)} AS SMOKES, {p('tbc', S.YES_NO_POOL)} AS TB_CONTACT,
   {p('hiv', S.YES_NO_POOL)} AS "HIV STATUS",
@@ -105,11 +105,11 @@ def demographics_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read_table(spark, sf_dir, "customer")
     k = F.col("c_custkey")
     return c.select(F.concat(F.lit("S"), k.cast("string")).alias("Sample ID"),
-                    *[S.pick(k, "", "d_" + s, S.YES_NO_POOL)[0].alias(s) for s in K.DEMO_SYMPTOMS])
+                    *[S.pick_col(k, "d_" + s, S.YES_NO_POOL).alias(s) for s in K.DEMO_SYMPTOMS])
 
 
 def demographics_sql() -> str:
-    cols = ", ".join(f"{S.pick(F.lit(0), 'c_custkey', 'd_' + s, S.YES_NO_POOL)[1]} AS {_q(s)}" for s in K.DEMO_SYMPTOMS)
+    cols = ", ".join(f"{S.pick_sql('c_custkey', 'd_' + s, S.YES_NO_POOL)} AS {_q(s)}" for s in K.DEMO_SYMPTOMS)
     return f"""SELECT 'S' || CAST(c_custkey AS VARCHAR) AS "Sample ID", {cols} FROM customer"""
 
 
@@ -117,15 +117,15 @@ def contacts_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read_table(spark, sf_dir, "customer")
     k = F.col("c_custkey")
     return c.select(
-        k.alias("RECORD"), S.pick(k, "", "c_sex", S.SEX_POOL)[0].alias("SEX"),
-        *[S.pick(k, "", "c_" + s, S.YES_NO_POOL)[0].alias(s) for s in K.FOLLOWUP_SYMPTOMS],
-        S.pick(k, "", "c_hiv", S.YES_NO_POOL)[0].alias("HIV STATUS"),
-        F.concat((k % 60 + 18).cast("string"), S.pick(k, "", "c_age", ["", " ", "?"])[0]).alias("AGE"),
+        k.alias("RECORD"), S.pick_col(k, "c_sex", S.SEX_POOL).alias("SEX"),
+        *[S.pick_col(k, "c_" + s, S.YES_NO_POOL).alias(s) for s in K.FOLLOWUP_SYMPTOMS],
+        S.pick_col(k, "c_hiv", S.YES_NO_POOL).alias("HIV STATUS"),
+        F.concat((k % 60 + 18).cast("string"), S.pick_col(k, "c_age", ["", " ", "?"])).alias("AGE"),
         F.floor(F.col("c_acctbal") / 100).cast("long").cast("string").alias("WEIGHT"))
 
 
 def contacts_sql() -> str:
-    p = lambda salt, pool: S.pick(F.lit(0), "c_custkey", salt, pool)[1]
+    p = lambda salt, pool: S.pick_sql("c_custkey", salt, pool)
     syms = ", ".join(f"{p('c_' + s, S.YES_NO_POOL)} AS {_q(s)}" for s in K.FOLLOWUP_SYMPTOMS)
     return f"""SELECT c_custkey AS RECORD, {p('c_sex', S.SEX_POOL)} AS SEX, {syms},
   {p('c_hiv', S.YES_NO_POOL)} AS "HIV STATUS",
@@ -138,11 +138,11 @@ def contacts_sql() -> str:
 NORMALIZE_ORACLE = f"""
 WITH src AS (
   SELECT o_orderkey,
-    {S.pick(F.lit(0), 'o_orderkey', 'yn', S.YES_NO_POOL)[1]} AS raw_yn,
-    {S.pick(F.lit(0), 'o_orderkey', 'sx', S.SEX_POOL)[1]} AS raw_sex,
-    {S.pick(F.lit(0), 'o_orderkey', 'mo', S.MONTH_POOL)[1]} || o_orderpriority AS raw_month,
-    CAST(o_custkey AS VARCHAR) || {S.pick(F.lit(0), 'o_orderkey', 'nm', ['', ' ', '.25', 'x', ''])[1]} AS raw_num,
-    {S.pick(F.lit(0), 'o_orderkey', 'vv', ['v3', 'v10', 'V9', 'version 12', 'latest', None, 'v0', 'beta'])[1]} AS raw_version,
+    {S.pick_sql('o_orderkey', 'yn', S.YES_NO_POOL)} AS raw_yn,
+    {S.pick_sql('o_orderkey', 'sx', S.SEX_POOL)} AS raw_sex,
+    {S.pick_sql('o_orderkey', 'mo', S.MONTH_POOL)} || o_orderpriority AS raw_month,
+    CAST(o_custkey AS VARCHAR) || {S.pick_sql('o_orderkey', 'nm', ['', ' ', '.25', 'x', ''])} AS raw_num,
+    {S.pick_sql('o_orderkey', 'vv', ['v3', 'v10', 'V9', 'version 12', 'latest', None, 'v0', 'beta'])} AS raw_version,
     o_totalprice
   FROM orders)
 SELECT o_orderkey, {yn_sql('raw_yn')} AS yes_no, {sex_sql('raw_sex')} AS sex, {month_sql('raw_month')} AS month,
@@ -160,11 +160,11 @@ def clean_normalize_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     src = o.select(
         "o_orderkey", "o_totalprice",
-        S.pick(k, "", "yn", S.YES_NO_POOL)[0].alias("raw_yn"),
-        S.pick(k, "", "sx", S.SEX_POOL)[0].alias("raw_sex"),
-        F.concat(S.pick(k, "", "mo", S.MONTH_POOL)[0], F.col("o_orderpriority")).alias("raw_month"),
-        F.concat(F.col("o_custkey").cast("string"), S.pick(k, "", "nm", ["", " ", ".25", "x", ""])[0]).alias("raw_num"),
-        S.pick(k, "", "vv", ["v3", "v10", "V9", "version 12", "latest", None, "v0", "beta"])[0].alias("raw_version"))
+        S.pick_col(k, "yn", S.YES_NO_POOL).alias("raw_yn"),
+        S.pick_col(k, "sx", S.SEX_POOL).alias("raw_sex"),
+        F.concat(S.pick_col(k, "mo", S.MONTH_POOL), F.col("o_orderpriority")).alias("raw_month"),
+        F.concat(F.col("o_custkey").cast("string"), S.pick_col(k, "nm", ["", " ", ".25", "x", ""])).alias("raw_num"),
+        S.pick_col(k, "vv", ["v3", "v10", "V9", "version 12", "latest", None, "v0", "beta"]).alias("raw_version"))
     return src.select(
         "o_orderkey", N.yes_no(F.col("raw_yn")).alias("yes_no"), N.sex(F.col("raw_sex")).alias("sex"),
         N.followup_month(F.col("raw_month")).alias("month"), N.safe_double(F.col("raw_num")).alias("num"),
@@ -178,7 +178,7 @@ JSON_TEMPLATES = ["{J}", "```json\n{J}\n```", "Sure! Here it is: {J} Hope it hel
 
 JSON_ORACLE = f"""
 WITH src AS (
-  SELECT event_id, replace({S.pick(F.lit(0), 'event_id', 'tpl', JSON_TEMPLATES)[1]}, '{{J}}', props) AS raw FROM events),
+  SELECT event_id, replace({S.pick_sql('event_id', 'tpl', JSON_TEMPLATES)}, '{{J}}', props) AS raw FROM events),
 a AS (SELECT event_id, {_strip('raw')} AS r FROM src),
 b AS (SELECT event_id, CASE WHEN starts_with(r, '```') THEN split_part(r, '```', 2) ELSE r END AS f FROM a),
 c AS (SELECT event_id, {_strip("CASE WHEN starts_with(f, 'json') THEN substr(f, 5) ELSE f END")} AS body FROM b),
@@ -197,7 +197,7 @@ FROM e"""
 @register("clean_json_salvage", JSON_ORACLE, ("C17", "C18"))
 def clean_json_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read_table(spark, sf_dir, "events")
-    tpl = S.pick(F.col("event_id"), "", "tpl", JSON_TEMPLATES)[0]
+    tpl = S.pick_col(F.col("event_id"), "tpl", JSON_TEMPLATES)
     raw = F.replace(tpl, F.lit("{J}"), F.col("props"))
     found = N.salvage_json(raw)
     return ev.select("event_id", found.alias("found")).select(
@@ -275,10 +275,10 @@ def clean_contacts_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 FOLLOWUP_ORACLE = f"""
 WITH f AS (
   SELECT l_orderkey, l_linenumber,
-    {S.pick(F.lit(0), "l_orderkey * 8 + l_linenumber", 'fm', S.MONTH_POOL)[1]} || CAST(l_linenumber AS VARCHAR) AS "FOLLOW UP MONTH",
-    {S.pick(F.lit(0), "l_orderkey * 8 + l_linenumber", 'fc', S.YES_NO_POOL)[1]} AS COUGH,
-    {S.pick(F.lit(0), "l_orderkey * 8 + l_linenumber", 'fd', S.YES_NO_POOL)[1]} AS DYSPNEA,
-    CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || {S.pick(F.lit(0), "l_orderkey * 8 + l_linenumber", 'fa', ['', 'y', ' '])[1]} AS AGE
+    {S.pick_sql("l_orderkey * 8 + l_linenumber", 'fm', S.MONTH_POOL)} || CAST(l_linenumber AS VARCHAR) AS "FOLLOW UP MONTH",
+    {S.pick_sql("l_orderkey * 8 + l_linenumber", 'fc', S.YES_NO_POOL)} AS COUGH,
+    {S.pick_sql("l_orderkey * 8 + l_linenumber", 'fd', S.YES_NO_POOL)} AS DYSPNEA,
+    CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || {S.pick_sql("l_orderkey * 8 + l_linenumber", 'fa', ['', 'y', ' '])} AS AGE
   FROM lineitem)
 SELECT l_orderkey, l_linenumber, {month_sql('"FOLLOW UP MONTH"')} AS "FOLLOW UP MONTH", {yn_sql('COUGH')} AS COUGH,
        {yn_sql('DYSPNEA')} AS DYSPNEA, {dbl_sql('AGE')} AS AGE FROM f"""
@@ -290,10 +290,10 @@ def clean_followup(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("l_orderkey") * 8 + F.col("l_linenumber")
     f = li.select(
         "l_orderkey", "l_linenumber",
-        F.concat(S.pick(key, "", "fm", S.MONTH_POOL)[0], F.col("l_linenumber").cast("string")).alias("FOLLOW UP MONTH"),
-        S.pick(key, "", "fc", S.YES_NO_POOL)[0].alias("COUGH"),
-        S.pick(key, "", "fd", S.YES_NO_POOL)[0].alias("DYSPNEA"),
-        F.concat(F.col("l_quantity").cast("long").cast("string"), S.pick(key, "", "fa", ["", "y", " "])[0]).alias("AGE"))
+        F.concat(S.pick_col(key, "fm", S.MONTH_POOL), F.col("l_linenumber").cast("string")).alias("FOLLOW UP MONTH"),
+        S.pick_col(key, "fc", S.YES_NO_POOL).alias("COUGH"),
+        S.pick_col(key, "fd", S.YES_NO_POOL).alias("DYSPNEA"),
+        F.concat(F.col("l_quantity").cast("long").cast("string"), S.pick_col(key, "fa", ["", "y", " "])).alias("AGE"))
     return K.clean_followup(f)
 
 

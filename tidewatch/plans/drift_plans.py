@@ -20,8 +20,10 @@ def _round_tests(tests: DataFrame) -> DataFrame:
 
 
 def _split(spark, sf_dir, table, ts_col, cutoff, num, cat):
+    """num / cat map output names to functions building the Column (built lazily:
+    Column objects need an active session)."""
     df = read_table(spark, sf_dir, table)
-    cols = [e.alias(n) for n, e in num.items()] + [e.alias(n) for n, e in cat.items()]
+    cols = [e().alias(n) for n, e in num.items()] + [e().alias(n) for n, e in cat.items()]
     src = df.select(F.col(ts_col), *cols)
     cut = F.lit(cutoff).cast("timestamp_ntz")
     ref = src.where(F.col(ts_col) < cut).drop(ts_col)
@@ -63,8 +65,8 @@ def _oracle(src: str, num: dict[str, str], cat: dict[str, str]) -> str:
 
 # ---------------------------------------------------------------- events (flagship)
 
-EVENTS_NUM = {"value": F.col("value"), "k": F.get_json_object("props", "$.k").cast("long")}
-EVENTS_CAT = {"event_type": F.col("event_type")}
+EVENTS_NUM = {"value": lambda: F.col("value"), "k": lambda: F.get_json_object("props", "$.k").cast("long")}
+EVENTS_CAT = {"event_type": lambda: F.col("event_type")}
 EVENTS_SRC = ("SELECT CASE WHEN ts < TIMESTAMP '2024-01-16' THEN 0 ELSE 1 END AS side, value, "
               "CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type FROM events")
 
@@ -93,8 +95,8 @@ def drift_events_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- lineitem and orders by date
 
-LI_NUM = {c: F.col(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")}
-LI_CAT = {"l_returnflag": F.col("l_returnflag")}
+LI_NUM = {c: (lambda c=c: F.col(c)) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")}
+LI_CAT = {"l_returnflag": lambda: F.col("l_returnflag")}
 LI_SRC = ("SELECT CASE WHEN l_shipdate < TIMESTAMP '1998-01-01' THEN 0 ELSE 1 END AS side, * FROM lineitem")
 
 
@@ -105,8 +107,8 @@ def drift_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round_tests(drift.data_drift(ref, cur, list(LI_NUM) + list(LI_CAT)).tests)
 
 
-ORD_NUM = {"o_totalprice": F.col("o_totalprice")}
-ORD_CAT = {"o_orderpriority": F.col("o_orderpriority"), "o_orderstatus": F.col("o_orderstatus")}
+ORD_NUM = {"o_totalprice": lambda: F.col("o_totalprice")}
+ORD_CAT = {"o_orderpriority": lambda: F.col("o_orderpriority"), "o_orderstatus": lambda: F.col("o_orderstatus")}
 ORD_SRC = "SELECT CASE WHEN o_orderdate < TIMESTAMP '2000-01-01' THEN 0 ELSE 1 END AS side, * FROM orders"
 
 

@@ -29,19 +29,27 @@ def _sql_lit(t):
     return "'" + t.replace("'", "''") + "'"
 
 
-def pick(key: Column, key_sql: str, salt: str, pool: Sequence[str | None]) -> tuple[Column, str]:
+def pick_col(key: Column, salt: str, pool: Sequence[str | None]) -> Column:
+    """Token chosen by the first 32 bits of md5(key|salt)."""
     n = len(pool)
     h = F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit("|" + salt))), 1, 8), 16, 10).cast("long")
-    spark_expr = F.element_at(F.array(*[F.lit(t).cast("string") for t in pool]), (h % n + 1).cast("int"))
-    sql = (f"([{', '.join(_sql_lit(t) + '::VARCHAR' for t in pool)}])"
-           f"[1 + (('0x' || substr(md5(CAST({key_sql} AS VARCHAR) || '|{salt}'), 1, 8))::BIGINT % {n})]")
-    return spark_expr, sql
-
-
-def uniform(key: Column, key_sql: str, salt: str) -> tuple[Column, str]:
-    """Uniform in (0, 1) from 52 bits of md5, identical in both engines."""
-    spark_expr = ((F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit("|" + salt))), 1, 13), 16, 10)
-                   .cast("double") + 0.5) / 4503599627370496.0)
-    sql = (f"((('0x' || substr(md5(CAST({key_sql} AS VARCHAR) || '|{salt}'), 1, 13))::BIGINT::DOUBLE + 0.5)"
-           f" / 4503599627370496.0)")
-    return spark_expr, sql
+    return F.element_at(F.array(*[F.lit(t).cast("string") for t in pool]), (h % n + 1).cast("int"))
+
+
+def pick_sql(key_sql: str, salt: str, pool: Sequence[str | None]) -> str:
+    """The same choice in DuckDB SQL."""
+    n = len(pool)
+    return (f"([{', '.join(_sql_lit(t) + '::VARCHAR' for t in pool)}])"
+            f"[1 + (('0x' || substr(md5(CAST({key_sql} AS VARCHAR) || '|{salt}'), 1, 8))::BIGINT % {n})]")
+
+
+def uniform_col(key: Column, salt: str) -> Column:
+    """Uniform in (0, 1) from 52 bits of md5(key|salt): the same value in Spark and DuckDB,
+    whatever the partitioning."""
+    return ((F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit("|" + salt))), 1, 13), 16, 10)
+             .cast("double") + 0.5) / 4503599627370496.0)
+
+
+def uniform_sql(key_sql: str, salt: str) -> str:
+    return (f"((('0x' || substr(md5(CAST({key_sql} AS VARCHAR) || '|{salt}'), 1, 13))::BIGINT::DOUBLE + 0.5)"
+            f" / 4503599627370496.0)")
