@@ -109,20 +109,24 @@ def rank_lookup(ladder: DataFrame, keys: list[str], value: str, weight: str,
 
 
 def quantiles_linear(ladder: DataFrame, keys: list[str], value: str, weight: str,
-                     probs: DataFrame, probs_col: str = "probs") -> DataFrame:
+                     probs: DataFrame, probs_col: str = "probs", extra: list[str] | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation (numpy's default method).
 
     ``probs`` holds one row per key with an array of probabilities and a
     total ``n`` column. Returns (keys..., quantiles array) in the order of the
     probabilities. Interpolation: a + (b - a) t, or b - (b - a)(1 - t) when
-    t >= 0.5, as numpy does.
+    t >= 0.5, as numpy does. ``probs`` may hold several rows per key (e.g.
+    one per bin count), told apart by the ``extra`` columns that are kept.
     """
+    extra = list(extra or [])
     prep = probs.withColumn(
         "_h", F.transform(probs_col, lambda p: p * (F.col("n") - 1).cast("double")))
     prep = prep.withColumn("ranks", F.array_distinct(F.flatten(F.transform(
         "_h", lambda h: F.array(F.floor(h).cast("long"),
                                 F.least(F.floor(h).cast("long") + 1, F.col("n") - 1))))))
-    found = rank_lookup(ladder, keys, value, weight, prep.select(*keys, "ranks"))
+    targets = prep.groupBy(*keys).agg(F.array_distinct(F.flatten(F.collect_list("ranks"))).alias("ranks")) \
+        if extra else prep.select(*keys, "ranks")
+    found = rank_lookup(ladder, keys, value, weight, targets)
     rank_map = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("_vals"))
     joined = prep.join(rank_map, on=keys, how="inner")
 
@@ -134,4 +138,4 @@ def quantiles_linear(ladder: DataFrame, keys: list[str], value: str, weight: str
         t = h - lo_i.cast("double")
         return F.when(t >= 0.5, b - (b - a) * (1.0 - t)).otherwise(a + (b - a) * t)
 
-    return joined.select(*keys, F.transform("_h", interp).alias("quantiles"))
+    return joined.select(*keys, *extra, F.transform("_h", interp).alias("quantiles"))

@@ -31,9 +31,10 @@ def _split(spark, sf_dir, table, ts_col, cutoff, num, cat):
     return ref, cur
 
 
-def _oracle(src: str, num: dict[str, str], cat: dict[str, str]) -> str:
-    nl = " UNION ALL ".join(f"SELECT side, '{n}' AS feature, ({e})::DOUBLE AS v FROM src" for n, e in num.items())
-    cl = " UNION ALL ".join(f"SELECT side, '{n}' AS feature, ({e})::VARCHAR AS category FROM src" for n, e in cat.items())
+def _oracle(src: str, num: dict[str, str], cat: dict[str, str], fkey: str = "") -> str:
+    """``fkey`` prefixes the feature label with a SQL expression (e.g. a window key)."""
+    nl = " UNION ALL ".join(f"SELECT side, {fkey}'{n}' AS feature, ({e})::DOUBLE AS v FROM src" for n, e in num.items())
+    cl = " UNION ALL ".join(f"SELECT side, {fkey}'{n}' AS feature, ({e})::VARCHAR AS category FROM src" for n, e in cat.items())
     parts = [f"src AS ({src})"]
     selects = []
     if num:
