@@ -247,7 +247,7 @@ def data_drift(reference: DataFrame, current: DataFrame, feature_cols: Sequence[
     as_cat = (ncounts.join(F.broadcast(cat_typed), "feature", "left_semi")
               .select("feature", F.col("value").cast("string").alias("category"), "n_ref", "n_cur")
               .unionByName(ccounts.join(F.broadcast(cat_typed), "feature", "left_semi")))
-    ct = categorical_tests(as_cat, "category", min_current=min_current)
+    ct = categorical_tests(as_cat, "category", min_current=min_current).persist()  # feeds two test rows
     chi_rows = ct.select("feature", F.lit("chi_square").alias("test"), F.col("chi_stat").alias("statistic"),
                          F.col("chi_p").alias("p_value"),
                          F.coalesce(F.col("chi_p") < p_threshold, F.lit(False)).alias("drift_detected"),

@@ -32,16 +32,33 @@ ROWS_PER_TASK = 2_000_000
 MAX_BUCKETS = 4096
 
 
-def default_buckets(counts: DataFrame, keys: list[str]) -> int:
-    """Adaptive range split: one bucket while the largest key fits one task.
+# Bytes per row assumed when only a size estimate is known.
+BYTES_PER_ROW = 24
+
+
+def estimated_rows(df: DataFrame) -> int | None:
+    """Catalyst's row estimate (or size / BYTES_PER_ROW) of a plan; no job runs.
 
-    Runs one small job over the aggregated table (a row count per key, so the
-    driver only sees one number per key).
+    The estimate of an aggregate is bounded by its input, so it errs high.
     """
-    biggest = counts.groupBy(*keys).count().agg(F.max("count")).collect()[0][0] or 0
-    if biggest <= ROWS_PER_TASK:
+    try:
+        stats = df._jdf.queryExecution().optimizedPlan().stats()
+        rc = stats.rowCount()
+        if rc is not None and hasattr(rc, "isDefined") and rc.isDefined():
+            return int(str(rc.get()))
+        return int(str(stats.sizeInBytes())) // BYTES_PER_ROW
+    except Exception:  # noqa: BLE001 - no estimate available
+        return None
+
+
+def default_buckets(counts: DataFrame, keys: list[str]) -> int:
+    """Adaptive range split: one bucket while the whole table (so any key) fits one
+    task by the planner's estimate, else enough buckets for ROWS_PER_TASK each."""
+    rows = estimated_rows(counts)
+    if rows is not None and rows <= ROWS_PER_TASK:
         return 1
-    return int(min(MAX_BUCKETS, max(shuffle_partitions(counts.sparkSession), -(-biggest // ROWS_PER_TASK))))
+    want = -(-(rows or ROWS_PER_TASK * MAX_BUCKETS) // ROWS_PER_TASK)
+    return int(min(MAX_BUCKETS, max(shuffle_partitions(counts.sparkSession), want)))
 
 
 def value_ladder(counts: DataFrame, keys: list[str], value: str, weights: list[str],

@@ -177,50 +177,56 @@ def windowed_categorical(ref_counts: DataFrame, cur_counts: DataFrame, min_curre
                       cpsi.alias("cpsi"), cpsi_info.alias("cpsi_info"))
 
 
-def windowed_data_drift(reference: DataFrame, current: DataFrame, time_col: str, feature_cols: Sequence[str],
-                        duration: str = "1 hour", psi_bins: int = D.PSI_DEFAULT_BINS,
-                        p_threshold: float = D.P_VALUE_THRESHOLD, psi_threshold: float = D.PSI_THRESHOLD,
-                        ratio_threshold: float = D.DRIFT_RATIO_THRESHOLD, min_current: int = D.PSI_MIN_CURRENT,
-                        buckets: int | None = None, windowed: DataFrame | None = None) -> WindowReport:
-    """T1 + T2: D7 for every window of ``current`` against the whole ``reference``.
-
-    Feature types come from the reference (D6). ``windowed`` may pass a frame
-    that already carries ``window_start`` (e.g. a stream's finalized windows).
-    """
-    feature_cols = [c for c in feature_cols if c in reference.columns and c in current.columns]
+def reference_counts(reference: DataFrame, feature_cols: Sequence[str]) -> tuple[DataFrame, DataFrame, list[str], list[str]]:
+    """Aggregated reference: (feature, value, n_ref) for numeric and (feature, category, n_ref)
+    for other columns, plus the two column lists. Computed once per reference."""
     types = {f.name: f.dataType for f in reference.schema.fields}
     num = [c for c in feature_cols if is_numeric_type(types[c])]
     cat = [c for c in feature_cols if c not in num]
-    cur = windowed if windowed is not None else assign_window(current, time_col, duration)
-    cur = cur.persist()
-
-    empty = reference.sparkSession.createDataFrame([], "feature string, value double, n_ref long, n_cur long")
-    rnum = (D.numeric_counts(reference, reference.limit(0), num) if num else empty).select("feature", "value", "n_ref").persist()
-    rcat = D.category_counts(reference, reference.limit(0), cat).select("feature", "category", "n_ref").persist()
-    cnum = _long_num(cur, num, [WKEY]).groupBy(WKEY, "feature", "value").agg(F.count(F.lit(1)).alias("n_cur")) if num \
-        else cur.sparkSession.createDataFrame([], f"{WKEY} timestamp, feature string, value double, n_cur long")
-    ccat = _long_cat(cur, cat, [WKEY]).groupBy(WKEY, "feature", "category").agg(F.count(F.lit(1)).alias("n_cur")) if cat \
-        else cur.sparkSession.createDataFrame([], f"{WKEY} timestamp, feature string, category string, n_cur long")
-    cnum, ccat = cnum.persist(), ccat.persist()
-
-    # D6 on the reference
+    spark = reference.sparkSession
+    rnum = (_long_num(reference, num, []).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n_ref")) if num
+            else spark.createDataFrame([], "feature string, value double, n_ref long"))
+    rcat = (_long_cat(reference, cat, []).groupBy("feature", "category").agg(F.count(F.lit(1)).alias("n_ref")) if cat
+            else spark.createDataFrame([], "feature string, category string, n_ref long"))
+    return rnum, rcat, num, cat
+
+
+def current_counts(windowed: DataFrame, num: Sequence[str], cat: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(window_start, feature, value, n_cur) and (window_start, feature, category, n_cur)."""
+    spark = windowed.sparkSession
+    cnum = (_long_num(windowed, num, [WKEY]).groupBy(WKEY, "feature", "value").agg(F.count(F.lit(1)).alias("n_cur")) if num
+            else spark.createDataFrame([], f"{WKEY} timestamp, feature string, value double, n_cur long"))
+    ccat = (_long_cat(windowed, cat, [WKEY]).groupBy(WKEY, "feature", "category").agg(F.count(F.lit(1)).alias("n_cur")) if cat
+            else spark.createDataFrame([], f"{WKEY} timestamp, feature string, category string, n_cur long"))
+    return cnum, ccat
+
+
+def window_tests(rnum: DataFrame, rcat: DataFrame, cnum: DataFrame, ccat: DataFrame,
+                 psi_bins: int = D.PSI_DEFAULT_BINS, p_threshold: float = D.P_VALUE_THRESHOLD,
+                 psi_threshold: float = D.PSI_THRESHOLD, min_current: int = D.PSI_MIN_CURRENT,
+                 buckets: int | None = None) -> DataFrame:
+    """T2 tests from aggregated counts: one row per (window, feature, test)."""
+    # D6 on the reference: one row per feature, broadcast
     nd = (rnum.groupBy("feature").agg(F.count(F.lit(1)).alias("nd"), F.lit(True).alias("numeric"))
           .unionByName(rcat.groupBy("feature").agg(F.count(F.lit(1)).alias("nd"), F.lit(False).alias("numeric"))))
     ftype = (F.when(F.col("nd") == 1, "constant").when(F.col("nd") <= 2, "binary")
              .when(F.col("numeric"), "numeric").otherwise("categorical"))
-    types_df = F.broadcast(nd.select("feature", ftype.alias("feature_type")))  # one row per feature
+    types_df = F.broadcast(nd.select("feature", ftype.alias("feature_type")))
 
-    num_typed = rnum.join(types_df.where(F.col("feature_type") == "numeric"), "feature", "left_semi")
-    cnum_typed = cnum.join(types_df.where(F.col("feature_type") == "numeric"), "feature", "left_semi")
+    numeric = types_df.where(F.col("feature_type") == "numeric")
+    num_typed = rnum.join(numeric, "feature", "left_semi")
+    cnum_typed = cnum.join(numeric, "feature", "left_semi")
     ks = windowed_ks(num_typed, cnum_typed, buckets)
     psi = windowed_psi(num_typed, cnum_typed, psi_bins, min_current, buckets=buckets)
-    bin_num = types_df.where(F.col("feature_type").isin("binary", "categorical"))
-    ref_cat = (rnum.join(bin_num, "feature", "left_semi").select("feature", F.col("value").cast("string").alias("category"), "n_ref")
-               .unionByName(rcat.join(bin_num, "feature", "left_semi")))
-    cur_cat = (cnum.join(bin_num, "feature", "left_semi")
+    bin_cat = types_df.where(F.col("feature_type").isin("binary", "categorical"))
+    ref_cat = (rnum.join(bin_cat, "feature", "left_semi").select("feature", F.col("value").cast("string").alias("category"), "n_ref")
+               .unionByName(rcat.join(bin_cat, "feature", "left_semi")))
+    cur_cat = (cnum.join(bin_cat, "feature", "left_semi")
                .select(WKEY, "feature", F.col("value").cast("string").alias("category"), "n_cur")
-               .unionByName(ccat.join(bin_num, "feature", "left_semi")))
+               .unionByName(ccat.join(bin_cat, "feature", "left_semi")))
     ct = windowed_categorical(ref_cat, cur_cat, min_current)
+    # each result holds one row per (window, feature); computed once, then unioned
+    ks, psi, ct = ks.persist(), psi.persist(), ct.persist()
 
     rows = (ks.select(WKEY, "feature", F.lit("ks").alias("test"), "statistic", "p_value",
                       (F.col("p_value") < p_threshold).alias("drift_detected"), F.lit(None).cast("string").alias("info"))
@@ -235,18 +241,40 @@ def windowed_data_drift(reference: DataFrame, current: DataFrame, time_col: str,
                                    F.lit(None).cast("double").alias("p_value"),
                                    F.coalesce(F.col("cpsi") > psi_threshold, F.lit(False)).alias("drift_detected"),
                                    F.col("cpsi_info").alias("info"))))
-    tests = rows.join(types_df, "feature").select(WKEY, "feature", "feature_type", "test", "statistic", "p_value",
-                                                  "drift_detected", "info").persist()
-    n_features = len(feature_cols)
+    return rows.join(types_df, "feature").select(WKEY, "feature", "feature_type", "test", "statistic", "p_value",
+                                                 "drift_detected", "info")
+
+
+def window_verdicts(tests: DataFrame, records: DataFrame, n_features: int,
+                    ratio_threshold: float = D.DRIFT_RATIO_THRESHOLD) -> DataFrame:
+    """T2 verdict per window from its tests and its record count (window_start, n_records)."""
     per_feature = tests.groupBy(WKEY, "feature").agg(F.bool_or("drift_detected").alias("d"))
-    counts = cur.groupBy(WKEY).agg(F.count(F.lit(1)).alias("n_records"))
     drifted = per_feature.groupBy(WKEY).agg(F.count_if("d").alias("drift_count"))
-    windows = counts.join(drifted, WKEY, "left").select(
+    windows = records.join(drifted, WKEY, "left").select(
         WKEY, "n_records", F.coalesce("drift_count", F.lit(0)).cast("long").alias("drift_count"),
         F.lit(n_features).cast("long").alias("n_features"))
     ratio = F.col("drift_count") / F.lit(max(n_features, 1))
-    windows = windows.withColumn("drift_ratio", ratio.cast("double")).withColumn("drift_detected", ratio > ratio_threshold)
-    return WindowReport(tests=tests, windows=windows)
+    return windows.withColumn("drift_ratio", ratio.cast("double")).withColumn("drift_detected", ratio > ratio_threshold)
+
+
+def windowed_data_drift(reference: DataFrame, current: DataFrame, time_col: str, feature_cols: Sequence[str],
+                        duration: str = "1 hour", psi_bins: int = D.PSI_DEFAULT_BINS,
+                        p_threshold: float = D.P_VALUE_THRESHOLD, psi_threshold: float = D.PSI_THRESHOLD,
+                        ratio_threshold: float = D.DRIFT_RATIO_THRESHOLD, min_current: int = D.PSI_MIN_CURRENT,
+                        buckets: int | None = None, windowed: DataFrame | None = None) -> WindowReport:
+    """T1 + T2: D7 for every window of ``current`` against the whole ``reference``.
+
+    Feature types come from the reference (D6). ``windowed`` may pass a frame
+    that already carries ``window_start``.
+    """
+    feature_cols = [c for c in feature_cols if c in reference.columns and c in current.columns]
+    cur = windowed if windowed is not None else assign_window(current, time_col, duration)
+    rnum, rcat, num, cat = reference_counts(reference, feature_cols)
+    cnum, ccat = current_counts(cur, num, cat)
+    rnum, rcat, cnum, ccat = rnum.persist(), rcat.persist(), cnum.persist(), ccat.persist()
+    tests = window_tests(rnum, rcat, cnum, ccat, psi_bins, p_threshold, psi_threshold, min_current, buckets).persist()
+    records = cur.groupBy(WKEY).agg(F.count(F.lit(1)).alias("n_records"))
+    return WindowReport(tests=tests, windows=window_verdicts(tests, records, len(feature_cols), ratio_threshold))
 
 
 # ---------------------------------------------------------------- window-result tables (small: one row per window)
