@@ -231,3 +231,25 @@ def window_report_combined_events(spark: SparkSession, sf_dir: str) -> DataFrame
     d = F.coalesce(F.col("drift_detected"), F.lit(False)) | F.coalesce(F.col("model_drift_detected"), F.lit(False))
     return _fmt(r.select(T.WKEY, d.alias("any_drift"), MD.should_retrain(d, True).alias("retrain_log_only"),
                          MD.should_retrain(d, False).alias("retrain")))
+
+
+# ---------------------------------------------------------------- the same monitor on a stream
+
+@register("stream_window_verdicts_events", None, ("T1", "T2", "T4", "T5", "S12"))
+def stream_window_verdicts_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily windows of the events table read as a file stream (watermark 1 hour,
+    append mode); windows are emitted once closed, so the still-open last day is
+    not reported. Rows-only check; tests compare it with the batch path."""
+    from tidewatch.streaming import window_monitor as S
+    ref, _ = split(spark, sf_dir)
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    stream = raw.select(F.col("ts").cast("timestamp").alias("ts"), "value",
+                        F.get_json_object("props", "$.k").cast("long").alias("k"), "event_type").where(
+        F.col("ts") >= F.lit(CUT).cast("timestamp"))
+    out = S.run_to_completion(spark, stream, ref, "ts", FEATURES, duration="1 day", watermark="1 hour")
+    _, windows = S.read_results(spark, out)
+    flagged = T.sustained_drift(T.window_flags(windows.drop("batch_id").withColumn(
+        "model_drift_detected", F.lit(False))))
+    return _fmt(flagged.select(T.WKEY, "n_records", "drift_count", "n_features", F.round("drift_ratio", R6).alias("drift_ratio"),
+                               "drift_detected", "alert", "sustained"))
