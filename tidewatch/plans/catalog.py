@@ -12,6 +12,8 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
 OPERATORS: dict[str, tuple[str, ...]] = {}
+# Queries the default benchmark leaves out (many sequential model fits).
+SLOW: set[str] = set()
 
 
 def register(name: str, oracle: str | None = None, operators: tuple[str, ...] = ()):

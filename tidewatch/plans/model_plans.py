@@ -1,3 +1,82 @@
-"""Queries: placeholder."""
+"""Model queries (M1-M12, I13, E2) on ``embeddings`` and ``labels`` x ``documents``.
 
-from tidewatch.plans.catalog import register  # noqa: F401
+Fitted models are not bit-equal to other libraries' fits, so these queries
+have no SQL oracle (rows-only check); tests check their invariants.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewatch.operators import features as FT
+from tidewatch.operators import models as M
+from tidewatch.plans.catalog import SLOW, register
+from tidewatch.session import checkpoint_dir, ensure_local_checkpoint_dir
+from tidewatch.sources.tables import read_table
+
+
+
+def embeddings_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read_table(spark, sf_dir, "embeddings")
+    df = e.select("vec_id", array_to_vector(F.col("embedding")).alias("features"),
+                  (F.col("label") >= 5).cast("int").alias("label"))
+    return FT.fold_column(df, ["vec_id"], "label", 5, 42)
+
+
+def _lr_maker(label="label"):
+    return lambda d: M.logistic("features", label, "weight", d.agg(F.sum("weight")).collect()[0][0])
+
+
+@register("model_cv_logistic_embeddings", None, ("M1", "M5", "E2", "A17"))
+def model_cv_logistic_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = M.balanced_weight(embeddings_frame(spark, sf_dir), "label")
+    oof, per_fold = M.cross_validate(df, _lr_maker(), "label", "fold", ["vec_id"])
+    return per_fold.withColumn("model", F.lit("logistic_regression"))
+
+
+@register("model_train_all_embeddings", None, ("M2", "M3", "M4", "M11", "I13"))
+def model_train_all_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    models, meta = M.train_all(spark, embeddings_frame(spark, sf_dir), "label", ["vec_id"], "embeddings")
+    base = checkpoint_dir(spark) or ensure_local_checkpoint_dir(spark)
+    root = f"{base.rstrip('/')}/models-{uuid.uuid4().hex[:8]}"
+    paths = [(name, M.save_model(m, root, "embeddings", name, 1)) for name, m in models.items()]
+    p = spark.createDataFrame(paths, "model string, model_path string")
+    return meta.join(p, "model")
+
+
+SLOW.add("model_train_all_embeddings")
+
+
+@register("model_loo_documents", None, ("M9", "E2", "E10"))
+def model_loo_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leave-one-language-out logistic regression on document length."""
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    lb = read_table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    j = d.join(lb, "doc_id").select("doc_id", "lang", F.col("quality").alias("label"), "toxic",
+                                    array_to_vector(F.array(F.log1p(F.col("n_chars").cast("double")))).alias("features"))
+    j = M.balanced_weight(j, "label")
+    return M.leave_one_group_out(j, _lr_maker(), "label", "lang", ["doc_id"], discordant="toxic")
+
+
+@register("model_importance_embeddings", None, ("M2", "M12"))
+def model_importance_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = M.balanced_weight(embeddings_frame(spark, sf_dir), "label")
+    m = M.forest("features", "label", "weight").fit(df)
+    return M.importances(m, [f"dim_{i}" for i in range(len(m.featureImportances))])
+
+
+@register("model_batch_score_embeddings", None, ("M6", "M8", "I13", "C15"))
+def model_batch_score_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fit on the hash split's train rows, persist, load back, score the test rows."""
+    df = M.balanced_weight(FT.hash_rank_split(embeddings_frame(spark, sf_dir), ["vec_id"], "label", 0.2, 42), "label")
+    train = df.where(~F.col("is_test"))
+    from pyspark.ml import Pipeline
+    model = Pipeline(stages=[_lr_maker()(train)]).fit(train)
+    base = checkpoint_dir(spark) or ensure_local_checkpoint_dir(spark)
+    path = M.save_model(model, f"{base.rstrip('/')}/models-{uuid.uuid4().hex[:8]}", "embeddings", "logistic_regression", 1)
+    loaded = M.load_model(path)
+    return M.score(loaded, df.where(F.col("is_test"))).select("vec_id", "label", "p1", "prediction", "confidence")
