@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from tidewatch.session import shuffle_partitions
 
 
-# Rows of one key's distinct-value table that one task sorts comfortably.
-ROWS_PER_TASK = 2_000_000
+# Rows of one key's distinct-value table that one task sorts comfortably (the
+# session keeps that many window rows in memory, see tidewatch.session).
+ROWS_PER_TASK = 1_000_000
 MAX_BUCKETS = 4096
 
 
@@ -73,12 +74,13 @@ def value_ladder(counts: DataFrame, keys: list[str], value: str, weights: list[s
     order_col = F.col(value).desc() if descending else F.col(value).asc()
 
     if buckets <= 1:
+        # running sums and totals share one partition and order spec, so Spark
+        # computes them in a single window operator over one sort
         w_run = Window.partitionBy(*keys).orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
-        w_all = Window.partitionBy(*keys)
-        out = counts
-        for w in weights:
-            out = out.withColumn(f"cum_{w}", F.sum(w).over(w_run)).withColumn(f"tot_{w}", F.sum(w).over(w_all))
-        return out
+        w_all = Window.partitionBy(*keys).orderBy(order_col).rowsBetween(Window.unboundedPreceding,
+                                                                         Window.unboundedFollowing)
+        return counts.select("*", *[F.sum(w).over(w_run).alias(f"cum_{w}") for w in weights],
+                             *[F.sum(w).over(w_all).alias(f"tot_{w}") for w in weights])
 
     probs = [i / buckets for i in range(1, buckets)]
     bounds = (counts.groupBy(*keys)

@@ -23,6 +23,9 @@ DEFAULT_CONF = {
     # broadcast only what the planner can size; explicit hints are used only
     # for tables whose row count is bounded by the number of features.
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+    # window partitions are bounded by the ladder's range split (ROWS_PER_TASK rows),
+    # so they are kept in memory instead of going through the spilling sorter
+    "spark.sql.windowExec.buffer.in.memory.threshold": "1048576",
 }
 
 
@@ -78,3 +81,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Persist and fill the cache now (one job).
+
+    Used for aggregated intermediates that several later stages read: with AQE
+    those stages start concurrently, and a cache that is only declared would be
+    rebuilt by each of them.
+    """
+    df = df.persist()
+    df.count()
+    return df
