@@ -49,7 +49,7 @@ def logistic(features: str, label: str, weight: str | None, n_weight: float, C:
     regParam = 1 / (C * sum(weights)) reproduces an L2 penalty of strength C on the
     summed loss; no internal standardisation (features are scaled by I4)."""
     lr = LogisticRegression(featuresCol=features, labelCol=label, regParam=1.0 / (C * max(n_weight, 1e-12)),
-                            elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-8)
+                            elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-6)
     return lr.setWeightCol(weight) if weight else lr
 
 

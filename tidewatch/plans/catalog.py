@@ -31,6 +31,6 @@ def register(name: str, oracle: str | None = None, operators: tuple[str, ...] =
 def load_all() -> None:
     # importing the modules registers their queries
     from tidewatch.plans import (  # noqa: F401
-        attribution_plans, clean_plans, drift_plans, eval_plans, inject_plans, model_plans,
+        attribution_plans, clean_plans, drift_plans, eval_plans, inject_plans, job_plans, model_plans,
         profile_plans, registry_plans, sink_plans, window_plans,
     )

@@ -78,7 +78,7 @@ def events_report(spark: SparkSession, sf_dir: str) -> drift.DriftReport:
 
 
 @register("drift_events", _oracle(EVENTS_SRC, {"value": "value", "k": "k"}, {"event_type": "event_type"}),
-          ("D1", "D2", "D3", "D4", "D6", "D7", "J3", "S6"))
+          ("D1", "D2", "D3", "D4", "D6", "D7", "J2", "J3", "S6"))
 def drift_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round_tests(events_report(spark, sf_dir).tests)
 

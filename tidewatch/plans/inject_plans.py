@@ -116,7 +116,7 @@ SELECT w AS window, feature, curve, round(mean + mean * ({delta}), 6) AS mean, r
 FROM prof JOIN c USING (feature), range(0, {windows}) r(w)"""
 
 
-@register("scenario_curve_params", _curve_params_oracle("mixed", 72), ("G5", "G6", "A1"))
+@register("scenario_curve_params", _curve_params_oracle("mixed", 72), ("G5", "G6", "J5", "A1"))
 def scenario_curve_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     prof = A.numeric_profile(patients_features(spark, sf_dir), ["AGE (YEARS)", "BMI"])
     p = G.drift_parameters(prof, "mixed", 72)
