@@ -80,3 +80,18 @@ def model_batch_score_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = M.save_model(model, f"{base.rstrip('/')}/models-{uuid.uuid4().hex[:8]}", "embeddings", "logistic_regression", 1)
     loaded = M.load_model(path)
     return M.score(loaded, df.where(F.col("is_test"))).select("vec_id", "label", "p1", "prediction", "confidence")
+
+
+@register("model_tree_attribution_embeddings", None, ("X2", "M2", "X3"))
+def model_tree_attribution_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact path-dependent Shapley values of a 100-tree, depth-3 forest for every
+    embedding row, aggregated to the global importance table (X3)."""
+    from tidewatch.operators import attribution as X
+    from tidewatch.operators.tree_attribution import tree_attribution
+    df = M.balanced_weight(embeddings_frame(spark, sf_dir), "label")
+    m = M.forest("features", "label", "weight").fit(df)
+    phi, base = tree_attribution(df, m, ["vec_id"], [f"dim_{i}" for i in range(64)], kind="rf")
+    return X.global_attribution(phi, base)
+
+
+SLOW.add("model_tree_attribution_embeddings")
