@@ -15,8 +15,9 @@ continuous column at scale. The ladder instead:
    and turns them into per-bucket offsets with a window over that small table;
 4. runs the running sum inside each (key, bucket) and adds the offset.
 
-The small tables in steps 2-3 are broadcast: their size is bounded by the
-number of keys (features, sides) times ``buckets``, both plan-time constants.
+The tables of steps 2-3 have one row per key (times ``buckets``); they are
+joined without a hint so that AQE broadcasts them only after measuring them
+(window keys grow with the time range).
 """
 
 from __future__ import annotations
@@ -89,7 +90,10 @@ def value_ladder(counts: DataFrame, keys: list[str], value: str, weights: list[s
         bucket_expr = F.size(F.filter("_bounds", lambda b: b > F.col(value)))
     else:
         bucket_expr = F.size(F.filter("_bounds", lambda b: b < F.col(value)))
-    with_bucket = (counts.join(F.broadcast(bounds), on=keys, how="inner")
+    # bounds and offsets have one row per key (x bucket); with window keys that grows
+    # with the time range, so they are plain joins: AQE broadcasts them only when
+    # their measured size is under the broadcast threshold.
+    with_bucket = (counts.join(bounds, on=keys, how="inner")
                    .withColumn("_bucket", bucket_expr.cast("int")).drop("_bounds"))
 
     per_bucket = with_bucket.groupBy(*keys, "_bucket").agg(*[F.sum(w).alias(f"_bs_{w}") for w in weights])
@@ -102,7 +106,7 @@ def value_ladder(counts: DataFrame, keys: list[str], value: str, weights: list[s
     offsets = offsets.drop(*[f"_bs_{w}" for w in weights])
 
     w_run = Window.partitionBy(*keys, "_bucket").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
-    out = with_bucket.join(F.broadcast(offsets), on=[*keys, "_bucket"], how="inner")
+    out = with_bucket.join(offsets, on=[*keys, "_bucket"], how="inner")
     for w in weights:
         out = out.withColumn(f"cum_{w}", F.col(f"_off_{w}") + F.sum(w).over(w_run))
     return out.drop("_bucket", *[f"_off_{w}" for w in weights])

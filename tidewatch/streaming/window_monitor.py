@@ -62,6 +62,9 @@ def start_monitor(spark: SparkSession, stream: DataFrame, reference: DataFrame,
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         b = batch.select(F.col("window.start").alias(T.WKEY), "feature", "value", "category", "n").persist()
+        if b.isEmpty():  # e.g. the batch before the watermark first passes a window end
+            b.unpersist()
+            return
         cnum = b.where(F.col("value").isNotNull()).select(T.WKEY, "feature", "value", F.col("n").alias("n_cur"))
         ccat = (b.where(F.col("category").isNotNull() & (F.col("feature") != ROWS_FEATURE))
                 .select(T.WKEY, "feature", "category", F.col("n").alias("n_cur")))
