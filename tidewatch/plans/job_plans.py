@@ -32,7 +32,6 @@ DRIFT_SKIP_EXACT = ["IS_IMPUTED", "SOURCE", "DRUG/REGIMEN", "BASELINE", "TREATME
                     "HIGHEST LEVEL OF EDUCATION (None/Primary/Secondary/Higher[S5/6]/Tertiary)", "OCCUPATION/WORK",
                     "IF_YES_WHEN", "TREATED_FOR_TB", "RISK FACTORS", "COMOBIDITIES", "COMPLICATIONS OF A TB PATIENT"]
 DRIFT_MAX_CATEGORIES = 15
-BASELINE_POSITIVE_VALUES = ["MBTc Positive", "MTBc Positive"]
 
 
 def profile_columns(df: DataFrame) -> list[str]:
@@ -114,7 +113,16 @@ def api_alias_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coalesce_aliases(req, {"age": "AGE (YEARS)"}).select("RECORD", col("AGE (YEARS)").cast("double").alias("AGE (YEARS)"), "SEX")
 
 
-@register("drift_check_job_orders", None, ("D14", "S10", "D8"))
+def _d14_sql() -> str:
+    from tidewatch.plans.drift_plans import ORD_SRC, _oracle
+    return f"""
+WITH t AS ({_oracle(ORD_SRC, {'o_totalprice': 'o_totalprice'}, {'o_orderpriority': 'o_orderpriority'})}),
+f AS (SELECT feature, bool_or(drift_detected) AS d, any_value(feature_type) AS ft FROM t GROUP BY feature)
+SELECT count_if(d) / 2.0 > 0.3 AS data_drift_detected, round(count_if(d) / 2.0, 6) AS drift_ratio, 2::BIGINT AS n_features,
+       any_value(ft) FILTER (WHERE feature = 'o_totalprice') AS o_totalprice_type FROM f"""
+
+
+@register("drift_check_job_orders", _d14_sql(), ("D14", "S10", "D8"))
 def drift_check_job_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixed-feature drift check: orders before 2000 against later ones on two
     features, nested report written as JSON and read back."""
@@ -130,7 +138,23 @@ def drift_check_job_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.get_json_object("report", "$.per_feature.o_totalprice.feature_type").alias("o_totalprice_type"))
 
 
-@register("monitoring_job_events", None, ("D15", "D12", "D13"))
+def _d15_sql() -> str:
+    from tidewatch.plans.drift_plans import _oracle
+    from tidewatch.plans.window_plans import BASE_SQL, CUT, MODEL_SQL
+    data_src = f"SELECT CASE WHEN ts < TIMESTAMP '{CUT}' THEN 0 ELSE 1 END AS side, value, k FROM ({BASE_SQL})"
+    data = f"""WITH t AS ({_oracle(data_src, {'value': 'value', 'k': 'k'}, {})}),
+f AS (SELECT feature, bool_or(drift_detected) AS d FROM t GROUP BY feature)
+SELECT count_if(d) / 2.0 > 0.3 AS data_drift_detected, count_if(d) / 2.0 AS drift_ratio FROM f"""
+    parts = []
+    for aim in ("purchase", "error"):
+        m = (MODEL_SQL.replace("(event_type = 'purchase')", f"(event_type = '{aim}')")
+             .replace("strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S')", "'all'"))
+        parts.append(f"""SELECT '{aim}' AS aim, d.data_drift_detected, d.drift_ratio, m.model_drift_detected, m.auc_drop,
+  d.data_drift_detected OR m.model_drift_detected AS any_drift, false AS retrain FROM ({data}) d, ({m}) m""")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("monitoring_job_events", _d15_sql(), ("D15", "D12", "D13"))
 def monitoring_job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monitoring over several aims: for each target event type, data drift of the
     features and model drift of a fixed score, combined into one verdict row."""
