@@ -27,3 +27,12 @@ def open_range(lo: Column, hi: Column) -> tuple[Column, Column]:
     """numpy widens a zero-width range by 0.5 on each side."""
     same = lo == hi
     return F.when(same, lo - 0.5).otherwise(lo), F.when(same, hi + 0.5).otherwise(hi)
+
+
+def count_at_most(edges: Column, v: Column, max_edges: int) -> Column:
+    """Number of elements of a sorted array ``edges`` (at most ``max_edges`` long) that
+    are <= v, unrolled at plan time so it stays in generated code."""
+    total = F.lit(0)
+    for i in range(max_edges):
+        total = total + F.when((F.size(edges) > i) & (F.try_element_at(edges, F.lit(i + 1)) <= v), 1).otherwise(0)
+    return total

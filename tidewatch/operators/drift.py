@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewatch.functions.binning import count_at_most
 from tidewatch.functions.special import chi2_sf, ks_pvalue
 from tidewatch.operators.columns import attach_row, col, is_numeric_type
 from tidewatch.operators.ladder import quantiles_linear, value_ladder
@@ -108,7 +109,7 @@ def psi_from_ladder(ladder: DataFrame, num_bins: int = PSI_DEFAULT_BINS,
         F.when(F.size("edges") > 2, F.slice("edges", 2, F.size("edges") - 2))
         .otherwise(F.array().cast("array<double>")).alias("interior"))
     binned = (ladder.join(F.broadcast(interior.where(F.col("n_edges") >= 2)), "feature")
-              .withColumn("bin", F.size(F.filter("interior", lambda e: e <= F.col("value"))))
+              .withColumn("bin", count_at_most(F.col("interior"), F.col("value"), max(num_bins - 1, 0)))
               .groupBy("feature", "bin")
               .agg(F.sum("n_ref").alias("nr"), F.sum("n_cur").alias("nc"),
                    F.first("tot_n_ref").alias("R"), F.first("tot_n_cur").alias("C")))

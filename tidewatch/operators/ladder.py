@@ -54,12 +54,20 @@ def estimated_rows(df: DataFrame) -> int | None:
 
 
 def default_buckets(counts: DataFrame, keys: list[str]) -> int:
-    """Adaptive range split: one bucket while the whole table (so any key) fits one
-    task by the planner's estimate, else enough buckets for ROWS_PER_TASK each."""
+    """Adaptive range split: one bucket while the largest key fits one task.
+
+    Catalyst's estimate is an upper bound for scans and aggregates, so a small
+    estimate settles it without a job. Joins without statistics make the
+    estimate explode, so a large estimate is confirmed by one job that counts
+    the rows of the largest key (one number reaches the driver).
+    """
     rows = estimated_rows(counts)
     if rows is not None and rows <= ROWS_PER_TASK:
         return 1
-    want = -(-(rows or ROWS_PER_TASK * MAX_BUCKETS) // ROWS_PER_TASK)
+    biggest = counts.groupBy(*keys).count().agg(F.max("count")).collect()[0][0] or 0
+    if biggest <= ROWS_PER_TASK:
+        return 1
+    want = -(-biggest // ROWS_PER_TASK)
     return int(min(MAX_BUCKETS, max(shuffle_partitions(counts.sparkSession), want)))
 
 

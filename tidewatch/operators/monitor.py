@@ -24,6 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.functions.binning import count_at_most
 from tidewatch.functions.special import chi2_sf, ks_pvalue
 from tidewatch.operators import drift as D
 from tidewatch.operators.columns import col, is_numeric_type
@@ -100,7 +101,7 @@ def windowed_psi(ref_counts: DataFrame, cur_counts: DataFrame, num_bins: int = D
                             F.when(F.size("edges") > 2, F.slice("edges", 2, F.size("edges") - 2))
                             .otherwise(F.array().cast("array<double>")).alias("interior"))
     inter = F.broadcast(interior.where(F.col("n_edges") >= 2))  # features x at most 7 rows
-    bin_of = F.size(F.filter("interior", lambda e: e <= F.col("value")))
+    bin_of = count_at_most(F.col("interior"), F.col("value"), max(num_bins - 1, 0))
     ref_bins = (ref_counts.join(inter, "feature").withColumn("bin", bin_of)
                 .groupBy("feature", "k", "bin").agg(F.sum("n_ref").alias("nr")))
     wk = ws.select(WKEY, "feature", "k")

@@ -53,7 +53,10 @@ def drift_feature_gate(profile_types: DataFrame) -> DataFrame:
 def reference_profile_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reference profile of the cleaned patients (numeric stats and category shares)
     and the drift-feature gate applied to it; one row per feature."""
-    pf = patients_features(spark, sf_dir)
+    # the derived view feeds the moments, the quantile ladder and the category
+    # counts; computing it once saves re-running its hashing and cleaning
+    from tidewatch.session import cut_lineage
+    pf = cut_lineage(patients_features(spark, sf_dir))
     cols = profile_columns(pf)
     types = {f.name: f.dataType for f in pf.schema.fields}
     num = [c for c in cols if is_numeric_type(types[c])]
