@@ -266,8 +266,9 @@ def train(docs: DataFrame, max_bytes: int = MAX_FILTER_BYTES) -> tuple[Model, Da
     entries: dict[int, dict[int, int]] = {1: {}, 2: {}}
     for r in counts.select("kind", "counts").mapInPandas(powers, "kind int, power int, n long").groupBy("kind", "power").agg(F.sum("n").alias("n")).collect():
         entries[r["kind"]][r["power"]] = r["n"]
-    pair_least = least_count(entries[2], 2, max_bytes // 2)
-    least = {1: min(pair_least, least_count(entries[1], 1, max_bytes // 4)), 2: pair_least}
+    word_least = least_count(entries[1], 1, max_bytes // 4)
+    # a pair's context is at least as frequent as the pair, so it is in the words' filter
+    least = {1: word_least, 2: max(word_least, least_count(entries[2], 2, max_bytes // 2))}
 
     def quanta(kind: int):
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -99,7 +99,7 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def pack_group(capacity: int):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("uid", kind="stable")
         bins, offsets, fills = best_fit(pdf["size"].to_numpy(), capacity)
         first = pd.Series(pdf["uid"].to_numpy()).groupby(bins).min().to_numpy()

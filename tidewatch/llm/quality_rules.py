@@ -101,7 +101,7 @@ def certified(levels: np.ndarray, quality: np.ndarray, counts: np.ndarray, steps
     good = int(counts[quality == 1].sum())
     best, best_gain = 0, 0
     for step in range(1, steps + 1):
-        hit = levels >= step
+        hit = levels > steps - step  # a lenient cutoff is passed only along with all stricter ones
         k = int(counts[hit & (quality == 1)].sum())
         if tail(k, good, alpha) > delta:
             break
@@ -111,7 +111,7 @@ def certified(levels: np.ndarray, quality: np.ndarray, counts: np.ndarray, steps
     return best
 
 
-def thresholds(stats: DataFrame, labels: DataFrame, max_false_rejection: float = 0.02, delta: float = 0.05) -> DataFrame:
+def thresholds(stats: DataFrame, labels: DataFrame, max_false_rejection: float = 0.04, delta: float = 0.05) -> DataFrame:
     """(stratum, steps): for each rule, how many of its cutoffs are in force.
 
     ``stats`` has key, stratum and the struct s; ``labels`` has key and quality.
@@ -153,7 +153,7 @@ def _stratum(col: Column) -> Column:
 
 
 def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang",
-          max_false_rejection: float = 0.02, delta: float = 0.05) -> DataFrame:
+          max_false_rejection: float = 0.04, delta: float = 0.05) -> DataFrame:
     """Counts and verdict of every document: key, the five counts, base_failed, kept.
 
     A null text has no words and fails the base rules; a null stratum is a stratum.
@@ -169,7 +169,7 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang",
-              max_false_rejection: float = 0.02, delta: float = 0.05) -> DataFrame:
+              max_false_rejection: float = 0.04, delta: float = 0.05) -> DataFrame:
     """The documents that ``judge`` keeps, all columns as they are (counted anew rather than shuffled)."""
     stats = with_stats(docs.select(F.col(key).alias("key"), _stratum(F.col(stratum)).alias("stratum"), F.col(text).alias("_text")), "_text", "s").drop("_text")
     cuts = written(thresholds(written(stats, "quality-stats"), labels, max_false_rejection, delta), "quality-cuts")

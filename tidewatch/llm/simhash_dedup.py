@@ -31,6 +31,8 @@ from tidewatch.llm.components import components
 
 BITS = 64
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+#: Estimated work from which a fingerprint uses its ball of radius 1: that of its 65 points, and of what it shares them with.
+BALL_COST = 2 * (BITS + 1)
 _BLOCK = 1 << 16
 
 
@@ -168,7 +170,7 @@ def links(prints: DataFrame, distance: int = 2, parts: int = 3) -> DataFrame:
     spread = {r["part"]: r["v"] for r in filled.groupBy("part").agg(F.count("*").alias("v")).collect()}
     wide = indexed.join(filled, ["part", "value"]).groupBy("fp").agg(
         *[F.max(F.when(F.col("part") == k, F.col("n"))).alias(f"n{k}") for k in range(parts)])
-    star_cost = BITS + 1
+    most = BALL_COST
 
     def probe(batches):
         for pdf in batches:
@@ -182,7 +184,7 @@ def links(prints: DataFrame, distance: int = 2, parts: int = 3) -> DataFrame:
                     costs[:, k, t + 1] = 1 + own + others * (1 + share * mean[k])
             t, cost = allocate(costs, distance - parts + 1)
             values = part_values(fp, groups)
-            star = cost > 2 * star_cost
+            star = cost > most
             out = []
             for k in range(parts):
                 for r in range(radius + 1):

@@ -9,9 +9,9 @@ a calibrated logistic function of their summary, the document's score.
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,9 +25,10 @@ from tidewatch.llm.common import WORD
 MAX_TOXIC, MAX_OTHER = 2000, 4000
 _WORD = re.compile(WORD)
 _STRIP = "\"'()[]{}<>.,;:!?*_-"
-EDGES = np.array([-0.5, 0.5, 1.0, 1.5, 2.0, 3.0, 4.0])  # of a word's evidence
+EDGES = (0.0, 0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0, 4.5, 5.0)  # of a word's evidence
 LEVELS = len(EDGES) + 2                                 # and one for unknown words
-TAG = 1.0                                               # evidence from which a word of a toxic document is tagged
+TAG = 3.0                                               # evidence from which a word of a toxic document is tagged
+PREFIXES = (3, 4, 5, 6)                                 # letters of the word beginnings that carry evidence too
 CELLS = 1_000_000                                       # padded tokens of a block
 
 
@@ -35,26 +36,53 @@ def normal(words: list[str]) -> list[str]:
     return [w.lower().strip(_STRIP) for w in words]
 
 
-def evidence(texts: list[list[str]], toxic: np.ndarray) -> dict[str, int]:
-    """Evidence level of each word in three documents or more.
+def marks(word: str) -> list[str]:
+    """A word and its beginnings: inflected and compound words share these."""
+    return [word, *[f"{word[:k]}~" for k in PREFIXES if len(word) >= k]]
+
+
+def frequencies(texts: list[list[str]], toxic: np.ndarray) -> dict[str, list[int]]:
+    """Toxic and other documents of each mark."""
+    out: dict[str, list[int]] = {}
+    for words, t in zip(texts, toxic.tolist(), strict=True):
+        for m in {m for w in set(words) for m in marks(w)}:
+            out.setdefault(m, [0, 0])[1 - t] += 1
+    return out
+
+
+def evidence(counts: dict[str, list[int]], n_yes: int, n_no: int, own: tuple[int, int] = (0, 0)) -> dict[str, int]:
+    """Evidence level of each mark in three documents or more.
 
     Log ratio of document frequencies, less (or plus) one standard error towards 0.
+    ``own`` is taken from the counts: (1, 0) gives the levels for a toxic document's
+    own words as if it were not in the sample, (0, 1) for any other's.
     """
-    yes, no = Counter(), Counter()
-    for words, t in zip(texts, toxic, strict=True):
-        (yes if t else no).update(set(words))
-    n_yes, n_no = int(toxic.sum()), int(len(toxic) - toxic.sum())
-    out = {}
-    for w in yes.keys() | no.keys():
-        a, b = yes[w], no[w]
+    out, n_yes, n_no = {}, n_yes - own[0], n_no - own[1]
+    for w, (a, b) in counts.items():
+        a, b = max(0, a - own[0]), max(0, b - own[1])
         if a + b >= 3:
             ratio = math.log((a + 0.5) / (n_yes + 1)) - math.log((b + 0.5) / (n_no + 1))
             error = math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-            score = max(0.0, ratio - error) if ratio > 0 else min(0.0, ratio + error)
-            out[w] = int(np.searchsorted(EDGES, score, side="right")) + 1
+            score = max(0.0, ratio - error) if ratio > 0 else min(-1e-9, ratio + error)
+            out[w] = bisect.bisect_right(EDGES, score) + 1
     return out
 
 
+class Levels(dict):
+    """Evidence level of raw words: the highest of their marks, 0 where none is known; emptied when it gets large."""
+
+    def __init__(self, known: dict[str, int]):
+        super().__init__()
+        self.known = known
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        get = self.known.get
+        level = self[word] = max(get(m, 0) for m in marks(word.lower().strip(_STRIP)))
+        return level
+
+
 def blocks(lengths: np.ndarray) -> Iterator[np.ndarray]:
     """Documents by falling length, in blocks of about CELLS padded tokens."""
     order = np.argsort(-lengths, kind="stable")
@@ -100,7 +128,7 @@ class Field:
         for t in range(steps):
             n = active[t]
             if t == 0:
-                one, zero = psi[0] * math.exp(self.start), np.ones(docs)
+                one, zero = psi[0, :n] * math.exp(self.start), np.ones(n)
             else:
                 p = fwd[t - 1, :n]
                 one = psi[t, :n] * ((1 - p) * move[0, 1] + p * move[1, 1])
@@ -123,7 +151,7 @@ class Field:
             out[t, :n] = p * b / (p * b + (1 - p) * (1 - b))
         return (out, both) if pairs else out
 
-    def fit(self, levels: list[np.ndarray], tags: list[np.ndarray], rounds: int = 40, rate: float = 0.4, ridge: float = 1.0) -> Field:
+    def fit(self, levels: list[np.ndarray], tags: list[np.ndarray], rounds: int = 80, rate: float = 0.4, ridge: float = 1.0) -> Field:
         """Gradient ascent (Adam) on the likelihood of the tags, with a ridge penalty."""
         lengths = np.array([len(x) for x in levels])
         work = []
@@ -177,9 +205,8 @@ class Detector:
         self.words: dict[str, int] = {}
         self.field, self.scale, self.prior = None, np.zeros(4), prior
 
-    def levels(self, words: list[str]) -> np.ndarray:
-        get = self.words.get
-        return np.fromiter((get(w, 0) for w in normal(words)), np.int8, len(words))
+    def levels(self, words: list[str], cache: Levels) -> np.ndarray:
+        return np.fromiter(map(cache.__getitem__, words), np.int8, len(words))
 
     def tag(self, levels: list[np.ndarray]) -> list[np.ndarray]:
         out: list[np.ndarray] = [np.zeros(0)] * len(levels)
@@ -214,23 +241,30 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.
 
 
 def fit(sample: pd.DataFrame, weight_other: float = 1.0) -> Detector:
-    """A detector from (text, toxic): half of the documents for the evidence, a quarter for the field, the rest to calibrate."""
+    """A detector from (text, toxic): evidence from all, the field from a third and the calibration from the rest.
+
+    In both, a document's levels leave its own words out of the evidence.
+    """
     toxic = sample["toxic"].to_numpy(np.int64)
-    found = Detector(float(toxic.sum() / (toxic.sum() + weight_other * (len(toxic) - toxic.sum()) + 1)))
+    n_yes, n_no = int(toxic.sum()), int(len(toxic) - toxic.sum())
+    found = Detector(float(n_yes / (n_yes + weight_other * n_no + 1)))
+    if min(n_yes, n_no) < 3:
+        return found
     part = np.zeros(len(sample), np.int64)
     for t in (0, 1):
         own = np.flatnonzero(toxic == t)
-        part[own] = np.array([0, 1, 0, 2])[np.arange(len(own)) % 4]
-    if len({(p, t) for p, t in zip(part.tolist(), toxic.tolist(), strict=True)}) < 6:
-        return found
+        part[own] = np.arange(len(own)) % 3
     words = [_WORD.findall(t or "") for t in sample["text"]]
-    a, b, c = (np.flatnonzero(part == k) for k in range(3))
-    found.words = evidence([normal(words[i]) for i in a], toxic[a])
-    tagged = int(np.searchsorted(EDGES, TAG, side="right")) + 1
-    lev = [found.levels(words[i]) for i in b]
-    tags = [((x >= tagged) & bool(toxic[i])).astype(np.int8) for x, i in zip(lev, b, strict=True)]
-    found.field = Field().fit(lev, tags)
-    x = summary(found.tag([found.levels(words[i]) for i in c]))
+    counts = frequencies([normal(w) for w in words], toxic)
+    found.words = evidence(counts, n_yes, n_no)
+    without = {1: Levels(evidence(counts, n_yes, n_no, (1, 0))), 0: Levels(evidence(counts, n_yes, n_no, (0, 1)))}
+    del counts
+    levels = lambda rows: [found.levels(words[i], without[int(toxic[i])]) for i in rows]
+    b, c = np.flatnonzero(part == 0), np.flatnonzero(part > 0)
+    tagged = bisect.bisect_right(EDGES, TAG) + 1
+    lev = levels(b)
+    found.field = Field().fit(lev, [((x >= tagged) & bool(toxic[i])).astype(np.int8) for x, i in zip(lev, b, strict=True)])
+    x = summary(found.tag(levels(c)))
     found.scale = logistic(np.column_stack([x, np.ones(len(c))]), toxic[c].astype(float), np.where(toxic[c] == 1, 1.0, weight_other))
     return found
 
@@ -262,6 +296,7 @@ def score_toxicity(docs: DataFrame, training: DataFrame, labels: DataFrame, key:
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found = model.value
+        cache = Levels(found.words)
         for pdf in parts:
             for at in range(0, len(pdf), 5000):
                 part = pdf.iloc[at:at + 5000]
@@ -269,7 +304,7 @@ def score_toxicity(docs: DataFrame, training: DataFrame, labels: DataFrame, key:
                 if found.field is None:
                     yield pd.DataFrame({"key": part["key"], "score": found.prior, "spans": ""})
                     continue
-                p = found.tag([found.levels(_WORD.findall(t)) for t in texts])
+                p = found.tag([found.levels(_WORD.findall(t), cache) for t in texts])
                 spans = []
                 for t, own in zip(texts, p, strict=True):
                     hit = set(np.flatnonzero(own > 0.5).tolist())
