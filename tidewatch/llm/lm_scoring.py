@@ -162,18 +162,23 @@ class Filter:
     def __init__(self, chunks: int, bits: int, data: np.ndarray | None = None):
         self.chunks, self.bits, self.data = chunks, bits, data
 
-    def places(self, keys: np.ndarray, q: int, i: int, start: bool = True) -> np.ndarray:
-        """Bit of the i-th probe for (key, q), inside the key's chunk or the whole filter."""
-        place = mix(keys, 101 * q + i + 1) % U(self.bits)
-        return place + chunk_of(keys, self.chunks) * U(self.bits) if start else place
+    def probe(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Two hashes of each key, from which all its probes follow, and the first bit of its chunk."""
+        return mix(keys, 1), mix(keys, 2) | U(1), chunk_of(keys, self.chunks) * U(self.bits)
+
+    def place(self, one: np.ndarray, two: np.ndarray, q: int, i: int) -> np.ndarray:
+        """Bit inside the chunk of the i-th probe for quantum q: double hashing, scaled to the chunk's size."""
+        with np.errstate(over="ignore"):
+            return ((one + U(PROBES * q + i) * two) >> U(32)) * U(self.bits) >> U(32)
 
     def build(self, keys: np.ndarray, q: np.ndarray) -> bytes:
         """The chunk that holds these keys."""
         flags = np.zeros(self.bits, bool)
+        one, two, _ = self.probe(keys)
         for level in range(1, int(q.max(initial=0)) + 1):
-            own = keys[q >= level]
+            own = q >= level
             for i in range(PROBES):
-                flags[self.places(own, level, i, False)] = True
+                flags[self.place(one[own], two[own], level, i)] = True
         return np.packbits(flags, bitorder="little").tobytes()
 
     def read(self, keys: np.ndarray) -> np.ndarray:
@@ -181,12 +186,15 @@ class Filter:
         q, alive, level = np.zeros(len(keys), np.int64), np.arange(len(keys)), 1
         if self.data is None or not len(self.data):
             return q
+        one, two, first = self.probe(keys)
         while len(alive):
             for i in range(PROBES):
-                at = self.places(keys[alive], level, i)
-                alive = alive[(self.data[at >> U(3)] >> (at & U(7)).astype(np.uint8)) & 1 == 1]
-                if not len(alive):
-                    break
+                at = self.place(one, two, level, i) + first
+                hit = (self.data[at >> U(3)] >> (at & U(7)).astype(np.uint8)) & np.uint8(1) == 1
+                if not hit.all():
+                    alive, one, two, first = alive[hit], one[hit], two[hit], first[hit]
+                    if not len(alive):
+                        break
             q[alive] = level
             level += 1
         return q
@@ -229,20 +237,16 @@ class Model:
         self.words, self.pairs, self.weights, self.least = words, pairs, weights, least
         self.discount, self.tokens, self.types = discount, tokens, types
 
-    def log10(self, h: np.ndarray) -> np.ndarray:
-        """log10 probability of each token after the one before it."""
-        if not len(h):
-            return np.zeros(0)
-        words, at = np.unique(h, return_inverse=True)
+    def log10(self, h: np.ndarray, words: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """log10 probability of each token after the one before it; ``words``, ``at``: the distinct hashes and their places."""
         qw = self.words.read(words)
         single = (value(qw, self.least[1]) + 1) / (self.tokens + self.types + 1)
-        total = np.where(qw > 0, self.least[1] * LOG_BASE ** qw.astype(float), np.inf)
+        share = np.where(qw > 0, LOG_BASE ** -qw.astype(float) / self.least[1], 0.0)
         gamma = WEIGHT_BASE ** -self.weights.read(words >> U(32)).astype(float)
-        pairs, pair_at = np.unique(pair_keys(h), return_inverse=True)
-        seen = np.maximum(value(self.pairs.read(pairs), self.least[2]) - self.discount, 0)[pair_at]
+        q = self.pairs.read(pair_keys(h))
+        seen = np.maximum(value(np.arange(q.max(initial=0) + 1), self.least[2]) - self.discount, 0)[q]
         before = np.concatenate([[np.searchsorted(words, U(END))], at[:-1]])
-        before = np.minimum(before, len(words) - 1)
-        return np.log10(np.minimum(seen / total[before] + gamma[before] * single[at], 1.0))
+        return np.log10(np.minimum(seen * share[before] + gamma[before] * single[at], 1.0))
 
 
 def train(docs: DataFrame, max_bytes: int = MAX_FILTER_BYTES) -> tuple[Model, DataFrame]:
@@ -357,27 +361,26 @@ def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", text:
                 h, n = hashed(part["text"].tolist(), cache)
                 first = np.concatenate([[0], np.cumsum(n)[:-1]])
                 doc = np.repeat(np.arange(len(n)), n)
-                p = m.log10(h)
-                at = np.minimum(np.searchsorted(frequent, h), max(0, len(frequent) - 1))
-                hit = (frequent[at] == h) if len(frequent) else np.zeros(len(h), bool)
-                c = np.where(hit, count[at], 0) if len(frequent) else np.zeros(len(h), np.int64)
+                words, at = np.unique(h, return_inverse=True)
+                p = m.log10(h, words, at)
+                place = np.minimum(np.searchsorted(frequent, words), max(0, len(frequent) - 1))
+                have = (frequent[place] == words) if len(frequent) else np.zeros(len(words), bool)
+                c = np.where(have, count[place], 0) if len(frequent) else np.zeros(len(words), np.int64)
                 base = np.log10((c + 1) / below)
                 if not everything:
-                    base[~hit] = 0.0
+                    base[~have] = 0.0
+                base, hit = base[at], have[at]
                 head = pd.DataFrame({
                     "row": part["row"].to_numpy(), "key": part["key"].to_numpy(), "n_tokens": n, "n_known": np.add.reduceat(hit.astype(np.int64), first),
                     "base": np.add.reduceat(base, first), "score": np.add.reduceat(p, first), "h": mix(part["row"].to_numpy(np.int64).view(U), 7).view(np.int64), "tf": 0})
                 yield head
                 if not everything:
                     # rare words: one row for each document and word
-                    d, r = doc[~hit], h[~hit]
-                    order = np.lexsort((r, d))
-                    d, r = d[order], r[order]
-                    new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (r[1:] != r[:-1])])) if len(d) else np.zeros(0, np.int64)
-                    if len(new):
-                        tf = np.diff(np.append(new, len(d)))
-                        yield pd.DataFrame({"row": part["row"].to_numpy()[d[new]], "key": None, "n_tokens": 0, "n_known": 0, "base": 0.0,
-                                            "score": 0.0, "h": r[new].view(np.int64), "tf": tf})
+                    pairs, tf = np.unique(doc[~hit] * len(words) + at[~hit], return_counts=True)
+                    if len(pairs):
+                        d, r = np.divmod(pairs, len(words))
+                        yield pd.DataFrame({"row": part["row"].to_numpy()[d], "key": None, "n_tokens": 0, "n_known": 0, "base": 0.0,
+                                            "score": 0.0, "h": words[r].view(np.int64), "tf": tf})
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
     found = rows.mapInPandas(score, "row long, key string, n_tokens long, n_known long, base double, score double, h long, tf int")
