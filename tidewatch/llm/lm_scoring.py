@@ -18,6 +18,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +31,8 @@ WEIGHT_BASE = 1.05       # of quantised weights
 BITS_PER_ENTRY, PROBES = 12, 7
 MAX_FILTER_BYTES = 64 << 20
 FREQUENT = 2e-6          # words with at least this share of all tokens (at most 500,000) have their counts broadcast
-TOKENS = 400_000         # tokens that a task works on at once
+TOKENS = 250_000         # tokens that a task works on at once
+HELD = 1_500_000         # keys that a task holds before it sums and sends them
 CHUNK_KEYS = 1 << 20     # keys of a chunk of counts, about
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 U = np.uint64
@@ -46,25 +49,24 @@ class Hashes(dict):
 END = xxhash.xxh64_intdigest(b"")
 
 
-def hashed(texts: list[str | None], cache: Hashes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, END after each text, and the texts' token counts."""
-    if len(cache) > 400_000:
+def hashed(texts: list[bytes | None], cache: Hashes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, END after each text (in UTF-8), and the texts' token counts."""
+    if len(cache) > 300_000:
         cache.clear()
-    flat, lengths = [], np.zeros(len(texts), np.int64)
+    flat, lengths, end = [], np.zeros(len(texts), np.int64), np.array([END], U)
     for i, t in enumerate(texts):
-        words = t.encode("utf-8", "replace").translate(_LOWER).split() if t else []
+        words = t.translate(_LOWER).split() if t else []
         lengths[i] = len(words) + 1
-        flat.append(np.fromiter(map(cache.__getitem__, words), U, len(words)))
-        flat.append(np.array([END], U))
+        flat += (np.fromiter(map(cache.__getitem__, words), U, len(words)), end)
     return (np.concatenate(flat) if flat else np.zeros(0, U)), lengths
 
 
-def batches_of(texts: pd.Series) -> Iterator[slice]:
-    """Row ranges of some TOKENS tokens, by length in characters."""
-    sizes = texts.str.len().fillna(0).to_numpy()
-    cuts = np.flatnonzero(np.diff((np.cumsum(sizes) // (TOKENS * 6)).astype(np.int64))) + 1
+def batches_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of some TOKENS tokens, by the bytes of ``text``."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // (TOKENS * 6))) + 1
     edges = [0, *cuts.tolist(), len(sizes)]
-    return (slice(a, b) for a, b in zip(edges, edges[1:], strict=False) if b > a)
+    return (batch.slice(a, b - a) for a, b in zip(edges, edges[1:], strict=False) if b > a)
 
 
 def pair_keys(h: np.ndarray) -> np.ndarray:
@@ -110,25 +112,27 @@ def tables(docs: DataFrame, chunks: int) -> DataFrame:
     Kind 1 are words, kind 2 pairs; of pairs seen once only their number is kept.
     ``docs`` has text. Tasks sum what they read before it moves.
     """
-    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, held, n = Hashes(), {1: [], 2: []}, 0
 
-        def out() -> pd.DataFrame:
+        def out() -> pa.RecordBatch:
             rows = []
             for kind, got in held.items():
                 keys, counts = summed(np.concatenate([k for k, _ in got]), np.concatenate([c for _, c in got]))
-                rows += [(kind, c, a, b) for c, a, b in by_chunk(keys, counts.astype(np.uint32), chunks)]
                 got.clear()
-            return pd.DataFrame(rows, columns=["kind", "chunk", "keys", "counts"])
+                rows += [(kind, c, a, b) for c, a, b in by_chunk(keys, counts.astype(np.uint32), chunks)]
+            kinds, numbers, keys, counts = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(numbers, pa.int32()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())],
+                                              names=["kind", "chunk", "keys", "counts"])
 
-        for pdf in parts:
-            for rows in batches_of(pdf["text"]):
-                h, _ = hashed(pdf["text"].iloc[rows].tolist(), cache)
+        for batch in parts:
+            for part in batches_of(batch):
+                h, _ = hashed(part.column("text").to_pylist(), cache)
                 for kind, keys in ((1, h), (2, pair_keys(h))):
                     k, c = np.unique(keys, return_counts=True)
-                    held[kind].append((k, c))
+                    held[kind].append((k, c.astype(np.int32)))
                     n += len(k)
-                if n > 6 * TOKENS:
+                if n > HELD:
                     yield out()
                     n = 0
         if n:
@@ -141,7 +145,7 @@ def tables(docs: DataFrame, chunks: int) -> DataFrame:
         return pd.DataFrame({"kind": [kind], "chunk": [int(pdf["chunk"].iloc[0])], "keys": [keys[keep].tobytes()], "counts": [counts[keep].tobytes()],
                              "singles": [int((counts == 1).sum())], "doubles": [int((counts == 2).sum())], "types": [len(keys)], "tokens": [int(counts.sum())]})
 
-    rows = docs.select("text").mapInPandas(count, "kind int, chunk int, keys binary, counts binary")
+    rows = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, "kind int, chunk int, keys binary, counts binary")
     return rows.groupBy("kind", "chunk").applyInPandas(
         merge, "kind int, chunk int, keys binary, counts binary, singles long, doubles long, types long, tokens long")
 
@@ -252,7 +256,7 @@ class Model:
 def train(docs: DataFrame, max_bytes: int = MAX_FILTER_BYTES) -> tuple[Model, DataFrame]:
     """The model, and (h, c): the exact count of every word's hash, from the texts in ``docs``."""
     spark = docs.sparkSession
-    chunks = max(1, math.ceil(docs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0) // (6 * CHUNK_KEYS) + 1)
+    chunks = max(1, math.ceil(docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0) // (6 * CHUNK_KEYS) + 1)
     counts = written(tables(docs, chunks), "lm-counts")
     stats = {r["kind"]: r for r in counts.groupBy("kind").agg(*[F.sum(c).alias(c) for c in ("singles", "doubles", "types", "tokens")]).collect()}
     tokens, types = (stats[1]["tokens"], stats[1]["types"]) if 1 in stats else (0, 0)
@@ -352,15 +356,24 @@ def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", text:
     kind = dict(docs.dtypes)[key]
     everything = model.types == len(known_h)
 
-    def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = {"row": pa.int64(), "key": pa.string(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(),
+               "score": pa.float64(), "h": pa.int64(), "tf": pa.int32()}
+
+    def score(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, frequent, count = shared.value
         cache = Hashes()
-        for pdf in parts:
-            for rows in batches_of(pdf["text"]):
-                part = pdf.iloc[rows]
-                h, n = hashed(part["text"].tolist(), cache)
+
+        def out(n: int, **values) -> pa.RecordBatch:
+            """A row of zeros for each of n, but for the given columns."""
+            zero = np.zeros(n, np.int64)
+            return pa.RecordBatch.from_arrays([pa.nulls(n, t) if t == pa.string() and c not in values else pa.array(values.get(c, zero), t)
+                                               if isinstance(values.get(c, zero), np.ndarray) else values[c] for c, t in columns.items()], names=list(columns))
+
+        for batch in parts:
+            for part in batches_of(batch):
+                row = part.column("row").to_numpy(zero_copy_only=False)
+                h, n = hashed(part.column("text").to_pylist(), cache)
                 first = np.concatenate([[0], np.cumsum(n)[:-1]])
-                doc = np.repeat(np.arange(len(n)), n)
                 words, at = np.unique(h, return_inverse=True)
                 p = m.log10(h, words, at)
                 place = np.minimum(np.searchsorted(frequent, words), max(0, len(frequent) - 1))
@@ -370,20 +383,18 @@ def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", text:
                 if not everything:
                     base[~have] = 0.0
                 base, hit = base[at], have[at]
-                head = pd.DataFrame({
-                    "row": part["row"].to_numpy(), "key": part["key"].to_numpy(), "n_tokens": n, "n_known": np.add.reduceat(hit.astype(np.int64), first),
-                    "base": np.add.reduceat(base, first), "score": np.add.reduceat(p, first), "h": mix(part["row"].to_numpy(np.int64).view(U), 7).view(np.int64), "tf": 0})
-                yield head
+                yield out(len(n), row=row, key=part.column("key"), n_tokens=n, n_known=np.add.reduceat(hit.astype(np.int64), first),
+                          base=np.add.reduceat(base, first), score=np.add.reduceat(p, first), h=mix(row.view(U), 7).view(np.int64))
                 if not everything:
                     # rare words: one row for each document and word
+                    doc = np.repeat(np.arange(len(n)), n)
                     pairs, tf = np.unique(doc[~hit] * len(words) + at[~hit], return_counts=True)
                     if len(pairs):
                         d, r = np.divmod(pairs, len(words))
-                        yield pd.DataFrame({"row": part["row"].to_numpy()[d], "key": None, "n_tokens": 0, "n_known": 0, "base": 0.0,
-                                            "score": 0.0, "h": words[r].view(np.int64), "tf": tf})
+                        yield out(len(d), row=row[d], h=words[r].view(np.int64), tf=tf)
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
-    found = rows.mapInPandas(score, "row long, key string, n_tokens long, n_known long, base double, score double, h long, tf int")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("string").alias("key"), F.col(text).cast("binary").alias("text"))
+    found = rows.mapInArrow(score, "row long, key string, n_tokens long, n_known long, base double, score double, h long, tf int")
     rare = exact.where(F.col("c") < at_least)
     c = F.coalesce(F.col("c"), F.lit(0))
     out = (found.join(rare, "h", "left").groupBy("row").agg(
