@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import WORD
 
 #: Bounds on the labelled documents that the model is fitted on, toxic and others; drawn by hash.
-MAX_TOXIC, MAX_OTHER = 2000, 4000
+MAX_TOXIC, MAX_OTHER = 1500, 3000
 _WORD = re.compile(WORD)
 _STRIP = "\"'()[]{}<>.,;:!?*_-"
 EDGES = (0.0, 0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0, 4.5, 5.0)  # of a word's evidence
