@@ -69,7 +69,8 @@ def with_stats(docs: DataFrame, text: str, out: str) -> DataFrame:
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             yield pd.DataFrame([text_stats(t or "") for t in texts], columns=list(STATS), dtype="int64")
-    return docs.withColumn(out, of(F.col(text)))
+    # declared nondeterministic so that a filter on the counts does not run it once more
+    return docs.withColumn(out, of.asNondeterministic()(F.col(text)))
 
 
 def base_failed(s: Column) -> Column:
