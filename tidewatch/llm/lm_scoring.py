@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.common import written
 
-LOG_BASE = 1.25          # of quantised counts
-WEIGHT_BASE = 1.05       # of quantised weights
-BITS_PER_ENTRY, PROBES = 12, 7
+LOG_BASE = 1.5           # of quantised counts
+WEIGHT_BASE = 1.1        # of quantised weights
+BITS_PER_ENTRY, PROBES = 12, 4
 MAX_FILTER_BYTES = 64 << 20
 FREQUENT = 2e-6          # words with at least this share of all tokens (at most 500,000) have their counts broadcast
 TOKENS = 250_000         # tokens that a task works on at once
@@ -168,7 +168,9 @@ class Filter:
 
     def probe(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Two hashes of each key, from which all its probes follow, and the first bit of its chunk."""
-        return mix(keys, 1), mix(keys, 2) | U(1), chunk_of(keys, self.chunks) * U(self.bits)
+        x = mix(keys, 0)
+        with np.errstate(over="ignore"):
+            return x * U(0xD6E8FEB86659FD93), (x << U(32) | x >> U(32)) | U(1), (x >> U(20)) % U(self.chunks) * U(self.bits)
 
     def place(self, one: np.ndarray, two: np.ndarray, q: int, i: int) -> np.ndarray:
         """Bit inside the chunk of the i-th probe for quantum q: double hashing, scaled to the chunk's size."""
