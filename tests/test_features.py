@@ -16,8 +16,11 @@ def test_linear_attribution_adds_up(spark):
     sums = {r.id: r.s for r in phi.groupBy("id").agg(F.sum("phi").alias("s")).collect()}
     for r in df.collect():
         assert sums[r.id] + base_v == pytest.approx(0.5 * r.a - 0.1 * r.b + 0.2)
-    top = X.top_n_with_others(phi, ["id"], feature="slot", top_n=1).where("id = 3").collect()
-    assert sorted(x.name for x in top) == ["a", "others"]
+    rows, _ = X.linear_rows(df.union(df), ["id"], w, b)  # repeated keys stay rows of their own
+    top = X.exploded(X.top_n_with_others(rows, feature="slot", top_n=1)).where("id = 3").collect()
+    assert sorted(x.name for x in top) == ["a", "a", "others", "others"]
+    folded = X.exploded(X.fold_slots(rows, {"a": "f", "b": "f"}))
+    assert folded.count() == 6
 
 
 def test_stratified_split_shares(spark):

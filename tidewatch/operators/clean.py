@@ -64,11 +64,12 @@ def clean_contacts(df: DataFrame) -> DataFrame:
     return apply_columns(df, fns)
 
 
-def left_join_suffixed(left: DataFrame, right: DataFrame, key: str = KEY, null_safe: bool = True) -> DataFrame:
-    """Left equi-join that keeps pandas ``merge`` semantics.
+def left_join_suffixed(left: DataFrame, right: DataFrame, key: str = KEY, null_safe: bool = False) -> DataFrame:
+    """Left equi-join with suffixes.
 
-    Duplicate right keys multiply rows; null keys match null keys
-    (``eqNullSafe``) when ``null_safe``; overlapping non-key columns get the
+    Duplicate right keys multiply rows. Null keys match nothing, as in SQL; with
+    ``null_safe`` they match null keys (pandas ``merge``), which pairs all null-key
+    rows of both sides, so it is for right sides with at most one null key. Overlapping non-key columns get the
     suffixes ``_x`` (left) and ``_y`` (right). The strategy is left to the
     planner (AQE converts to a broadcast join when the right side is measured
     small, and splits skewed keys otherwise).

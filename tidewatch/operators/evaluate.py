@@ -44,7 +44,7 @@ def ranking_metrics(df: DataFrame, label: str, score: str, groups: Sequence[str]
                                  F.sum(auc_term).alias("_auc"), F.sum(ap_term).alias("_ap"))
     both = (F.col("P") > 0) & (F.col("N") > 0)
     out = agg.select(*keys, F.col("P").alias("n_pos"), F.col("N").alias("n_neg"),
-                     F.when(both, F.col("_auc") / (F.col("P") * F.col("N"))).alias("auc"),
+                     F.when(both, F.col("_auc") / F.col("P").cast("double") / F.col("N").cast("double")).alias("auc"),
                      F.when(both, F.col("_ap") / F.col("P")).alias("avg_precision"))
     return out.drop("_g") if not groups else out
 
@@ -101,15 +101,13 @@ def roc_points(df: DataFrame, label: str, score: str, groups: Sequence[str] = ()
 
 
 def pr_points(df: DataFrame, label: str, score: str, groups: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
-    """Precision / recall at each distinct score down to the first that reaches
-    full recall, plus the (precision 1, recall 0) end point with a null threshold."""
+    """Precision / recall at each distinct score, also those below the last positive, plus the (precision 1, recall 0) end point with a null threshold."""
     keys = list(groups) or ["_g"]
     counts = score_counts(df, label, score, groups)
     if not groups:
         counts = counts.withColumn("_g", F.lit(0))
     lad = value_ladder(counts, keys, "score", ["n_pos", "n_neg"], buckets=buckets, descending=True)
-    kept = lad.where((F.col("cum_n_pos") - F.col("n_pos") < F.col("tot_n_pos")) | (F.col("tot_n_pos") == 0))
-    pts = kept.select(*keys, F.col("score").alias("threshold"),
+    pts = lad.select(*keys, F.col("score").alias("threshold"),
                       F.coalesce(F.try_divide(F.col("cum_n_pos").cast("double"), F.col("cum_n_pos") + F.col("cum_n_neg")),
                                  F.lit(0.0)).alias("precision"),
                       F.try_divide(F.col("cum_n_pos").cast("double"), F.col("tot_n_pos")).alias("recall"))

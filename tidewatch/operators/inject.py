@@ -21,7 +21,6 @@ from tidewatch.operators.ladder import value_ladder
 SKIP_PREFIXES = ("TARGET_", "Sample ID", "STUDY_ID", "CONTACT_NUMBER", "DATE", "INITIALS")
 TWO_POW_52 = 4503599627370496.0
 # Largest distinct-value table joined by broadcast; larger ones use a shuffle join.
-BROADCAST_ROWS = 1_000_000
 
 
 def key_text(keys: Sequence[str]) -> Column:
@@ -76,9 +75,9 @@ def category_swap(df: DataFrame, keys: Sequence[str], swap_pct: float = 0.3, see
     ``swap_pct`` of the rows gets a value drawn evenly from the column's distinct
     values (it may draw the same value again).
 
-    The draw is a join on (column, rank): the distinct-value table is broadcast
-    only when its counted size is below ``BROADCAST_ROWS``; above that the join
-    shuffles and AQE splits hot ranks.
+    The draw is a join on (column, rank), left to the planner: AQE broadcasts the
+    distinct values only if they are measured small. Rows that keep their value
+    carry negative ranks spread by hash, so no null key gathers them in one task.
     """
     exclude = set(exclude) | set(keys)
     types = {f.name: f.dataType for f in df.schema.fields}
@@ -86,7 +85,6 @@ def category_swap(df: DataFrame, keys: Sequence[str], swap_pct: float = 0.3, see
     if not text:
         return df
     ranked = _distinct_ranked(df, text).where(F.col("nd") >= 2).persist()
-    n_distinct = ranked.count()  # one number: decides the join strategy
     nd = ranked.groupBy("feature").agg(F.first("nd").alias("nd"))
     nd_wide = nd.groupBy().pivot("feature", text).agg(F.first("nd"))
     k = key_text(keys)
@@ -95,17 +93,16 @@ def category_swap(df: DataFrame, keys: Sequence[str], swap_pct: float = 0.3, see
     from tidewatch.operators.columns import attach_row
     base = attach_row(base, nd_wide.select(*[F.col(f"`{c}`").alias(f"__nd_{i}") for i, c in enumerate(text)]))
     lookup = ranked.select("feature", "rank", F.col("value").alias("new_value"))
-    lookup = F.broadcast(lookup) if n_distinct <= BROADCAST_ROWS else lookup
     out = base
     for i, c in enumerate(text):
         ndc = F.col(f"__nd_{i}")
         swap = ndc.isNotNull() & (uniform(F.col("__k"), f"{c}|{seed}|swap") < swap_pct)
         pick = (F.floor(uniform(F.col("__k"), f"{c}|{seed}|pick") * ndc)).cast("long")
-        out = out.withColumn(f"__r_{i}", F.when(swap, pick))
+        out = out.withColumn(f"__r_{i}", F.when(swap, pick).otherwise(-1 - F.pmod(F.col("__rid"), F.lit(1 << 40))))
         lk = lookup.where(F.col("feature") == c).select(F.col("rank").alias(f"__r_{i}"),
                                                         F.col("new_value").alias(f"__v_{i}"))
         out = out.join(lk, f"__r_{i}", "left")
-        out = out.withColumn(c, F.when(F.col(f"__r_{i}").isNotNull(), F.col(f"__v_{i}")).otherwise(col(c)))
+        out = out.withColumn(c, F.when(F.col(f"__r_{i}") >= 0, F.col(f"__v_{i}")).otherwise(col(c)))
         out = out.drop(f"__r_{i}", f"__v_{i}")
     return out.select(*[col(c) for c in df.columns])
 

@@ -87,17 +87,21 @@ def cross_validate(df: DataFrame, make: Callable[[DataFrame], Estimator], label:
     for f in folds:
         train = data.where(F.col(fold) != f)
         test = data.where(F.col(fold) == f)
+        head = [*keys, F.col(fold).alias("fold"), col(label).alias("true_label")]
         if train.select(label).distinct().count() < 2:
+            # nothing to fit: the rows stay, without a score
+            parts.append(test.select(*head, F.lit(None).cast("double").alias("probability"), F.lit(None).cast("int").alias("predicted_label")))
             continue
         m = make(train).fit(train)
-        parts.append(score(m, test).select(*keys, F.col(fold).alias("fold"), col(label).alias("true_label"),
-                                           F.col("p1").alias("probability"), F.col("prediction").alias("predicted_label")))
+        parts.append(score(m, test).select(*head, F.col("p1").alias("probability"), F.col("prediction").alias("predicted_label")))
+    if not parts:
+        raise ValueError("no rows to cross-validate")
     oof = parts[0]
     for p in parts[1:]:
         oof = oof.unionByName(p)
     per_fold = E.ranking_metrics(oof, "true_label", "probability", groups=["fold"]).join(
         oof.groupBy("fold").agg(F.avg((F.col("true_label") == F.col("predicted_label")).cast("double")).alias("accuracy"),
-                                F.count(F.lit(1)).alias("n")), "fold")
+                                F.count(F.lit(1)).alias("n")), "fold", "right")
     return oof, per_fold.select("fold", "n", "auc", "accuracy")
 
 

@@ -223,16 +223,19 @@ def canonical_text(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def fingerprint(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Order-insensitive table fingerprint: row count and a 16-hex sum of md5 prefixes.
+    """Order-insensitive table fingerprint: row count, and sum and exclusive or of 60-bit md5 prefixes.
+
+    The sum is a decimal, so it holds for any number of rows.
 
     Unlike a hash over the rows in order, it does not change when Spark reads
     the table in another order or partitioning.
     """
     cols = list(cols) if cols is not None else df.columns
     rows = canonical_text(df, cols)
-    h = F.conv(F.substring(F.md5("_row"), 1, 8), 16, 10).cast("long")
-    return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(h).alias("_s")).select(
-        "n_rows", F.lower(F.lpad(F.hex(F.coalesce("_s", F.lit(0))), 16, "0")).alias("fingerprint"))
+    h = F.conv(F.substring(F.md5("_row"), 1, 15), 16, 10).cast("long")
+    return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(h.cast("decimal(38,0)")).alias("_s"), F.bit_xor(h).alias("_x")).select(
+        "n_rows", F.concat_ws("-", F.coalesce("_s", F.lit(0).cast("decimal(38,0)")).cast("string"),
+                              F.lower(F.lpad(F.hex(F.coalesce("_x", F.lit(0))), 15, "0"))).alias("fingerprint"))
 
 
 def changed_since(current: DataFrame, state: DataFrame) -> DataFrame:

@@ -91,18 +91,22 @@ def li_design(spark, sf_dir) -> DataFrame:
                      (F.col("l_linestatus") == "O").cast("double").alias("l_linestatus_O"))
 
 
+def li_rows(spark, sf_dir):
+    return X.linear_rows(li_design(spark, sf_dir), ["l_orderkey", "l_linenumber"], LI_SLOTS, LI_B)
+
+
 def li_phi(spark, sf_dir):
     return X.linear_attribution(li_design(spark, sf_dir), ["l_orderkey", "l_linenumber"], LI_SLOTS, LI_B)
 
 
-DESIGN_SQL = """SELECT l_orderkey, l_linenumber, l_discount, l_quantity, l_tax, (l_returnflag = 'A')::DOUBLE AS l_returnflag_A,
+DESIGN_SQL = """SELECT row_number() OVER () AS rid, l_orderkey, l_linenumber, l_discount, l_quantity, l_tax, (l_returnflag = 'A')::DOUBLE AS l_returnflag_A,
   (l_returnflag = 'N')::DOUBLE AS l_returnflag_N, (l_returnflag = 'R')::DOUBLE AS l_returnflag_R, (l_linestatus = 'O')::DOUBLE AS l_linestatus_O FROM lineitem"""
 W_SQL = "(VALUES " + ", ".join(f"('{k}', {v})" for k, v in LI_SLOTS.items()) + ") w(slot, weight)"
 PHI_SQL = f"""
 WITH d AS ({DESIGN_SQL}),
 l AS (UNPIVOT d ON {', '.join(LI_SLOTS)} INTO NAME slot VALUE value),
 mu AS (SELECT slot, avg(value) AS mean FROM l GROUP BY slot),
-p AS (SELECT l.l_orderkey, l.l_linenumber, l.slot, l.value, w.weight * (l.value - mu.mean) AS phi
+p AS (SELECT l.rid, l.l_orderkey, l.l_linenumber, l.slot, l.value, w.weight * (l.value - mu.mean) AS phi
       FROM l JOIN mu USING (slot) JOIN {W_SQL} USING (slot)),
 b AS (SELECT sum(w.weight * mu.mean) + ({LI_B}) AS base_value FROM mu JOIN {W_SQL} USING (slot))"""
 
@@ -119,36 +123,54 @@ SLOT_MAP_SQL = "(VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in SLOT_FEATURE
 
 
 @register("attribution_folded_lineitem", f"""{PHI_SQL}
-SELECT l_orderkey, l_linenumber, feature, round(sum(phi), 6) AS phi FROM p JOIN {SLOT_MAP_SQL} USING (slot)
-GROUP BY ALL""", ("X5", "X9"))
+SELECT l_orderkey, l_linenumber, feature, phi FROM (
+  SELECT rid, l_orderkey, l_linenumber, feature, round(sum(phi), 6) AS phi FROM p JOIN {SLOT_MAP_SQL} USING (slot) GROUP BY ALL)""", ("X5", "X9"))
 def attribution_folded_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    phi, _ = li_phi(spark, sf_dir)
-    sm = spark.createDataFrame(list(SLOT_FEATURE.items()), "slot string, feature string")
-    return _r(X.fold_slots(phi, ["l_orderkey", "l_linenumber"], sm), ["phi"])
+    rows, _ = li_rows(spark, sf_dir)
+    return _r(X.exploded(X.fold_slots(rows, SLOT_FEATURE)), ["phi"])
+
+
+@register("attribution_maps_lineitem", f"""{PHI_SQL},
+f AS (SELECT rid, l_orderkey, l_linenumber, feature, sum(phi) AS phi FROM p JOIN {SLOT_MAP_SQL} USING (slot) GROUP BY ALL)
+SELECT l_orderkey, l_linenumber, round(any_value(phi) FILTER (feature = 'l_discount'), 6) AS discount,
+       round(any_value(phi) FILTER (feature = 'l_returnflag'), 6) AS returnflag, count(*) AS n_features
+FROM f WHERE l_orderkey < 100 GROUP BY rid, l_orderkey, l_linenumber""", ("X9", "X4"))
+def attribution_maps_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batch of instance explanations as maps, for the order lines of the first orders."""
+    rows, _ = li_rows(spark, sf_dir)
+    maps = X.as_maps(X.fold_slots(rows, SLOT_FEATURE)).where(F.col("l_orderkey") < 100)
+    get = lambda name: F.round(F.element_at("attributions", F.lit(name)), R6)
+    return maps.select("l_orderkey", "l_linenumber", get("l_discount").alias("discount"), get("l_returnflag").alias("returnflag"),
+                       F.size("attributions").cast("long").alias("n_features"))
+
+
+@register("attribution_instance_lineitem", f"""{PHI_SQL}
+SELECT l_orderkey, l_linenumber, slot, value, round(phi, 6) AS phi FROM p WHERE l_orderkey = 7""", ("X4",))
+def attribution_instance_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = li_rows(spark, sf_dir)
+    return _r(X.exploded(X.instance_attribution(rows, {"l_orderkey": 7})), ["phi"])
 
 
 @register("attribution_ranked_lineitem", f"""{PHI_SQL},
-f AS (SELECT l_orderkey, l_linenumber, feature, sum(phi) AS phi FROM p JOIN {SLOT_MAP_SQL} USING (slot) GROUP BY ALL),
+f AS (SELECT rid, feature, sum(phi) AS phi FROM p JOIN {SLOT_MAP_SQL} USING (slot) GROUP BY ALL),
 g AS (SELECT feature, avg(abs(phi)) AS mean_abs FROM f GROUP BY feature)
 SELECT feature, round(mean_abs, 6) AS mean_abs, row_number() OVER (ORDER BY mean_abs DESC, feature) AS rank FROM g
 QUALIFY rank <= 20""", ("X6",))
 def attribution_ranked_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    phi, _ = li_phi(spark, sf_dir)
-    sm = spark.createDataFrame(list(SLOT_FEATURE.items()), "slot string, feature string")
-    per_row = X.fold_slots(phi, ["l_orderkey", "l_linenumber"], sm)
-    g = per_row.groupBy("feature").agg(F.avg(F.abs("phi")).alias("mean_abs"))
+    rows, _ = li_rows(spark, sf_dir)
+    g = X.exploded(X.fold_slots(rows, SLOT_FEATURE)).groupBy("feature").agg(F.avg(F.abs("phi")).alias("mean_abs"))
     r = X.ranked_importance(g, 20)
     return r.select("feature", F.round("mean_abs", R6).alias("mean_abs"), F.col("rank").cast("long").alias("rank"))
 
 
 @register("attribution_top_others_lineitem", f"""{PHI_SQL},
-r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY abs(phi) DESC, slot) AS rn FROM p)
-SELECT l_orderkey, l_linenumber, CASE WHEN rn <= 3 THEN slot ELSE 'others' END AS name, round(sum(phi), 6) AS phi
-FROM r GROUP BY ALL""", ("X7", "X4"))
+r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY abs(phi) DESC, slot) AS rn FROM p)
+SELECT l_orderkey, l_linenumber, name, phi FROM (
+  SELECT rid, l_orderkey, l_linenumber, CASE WHEN rn <= 3 THEN slot ELSE 'others' END AS name, round(sum(phi), 6) AS phi
+  FROM r GROUP BY ALL)""", ("X7",))
 def attribution_top_others_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    phi, _ = li_phi(spark, sf_dir)
-    t = X.top_n_with_others(phi, ["l_orderkey", "l_linenumber"], feature="slot", top_n=3)
-    return _r(t, ["phi"])
+    rows, _ = li_rows(spark, sf_dir)
+    return _r(X.exploded(X.top_n_with_others(rows, feature="slot", top_n=3)), ["phi"])
 
 
 @register("attribution_dependence_lineitem", f"""{PHI_SQL}

@@ -309,3 +309,23 @@ FROM p"""
 def clean_bmi(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = K.with_bmi(patients_view(spark, sf_dir))
     return df.select("RECORD", F.round("BMI_CALCULATED", 6).alias("BMI_CALCULATED"))
+
+
+J1_SQL = """
+WITH l AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 'S' || CAST(o_custkey AS VARCHAR) END AS "Sample ID",
+                  o_orderstatus AS STATUS FROM orders),
+r AS (SELECT CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE 'S' || CAST(c_custkey - c_custkey % 2 AS VARCHAR) END AS "Sample ID",
+             c_mktsegment AS STATUS, c_nationkey AS NATION FROM customer)
+SELECT l.o_orderkey, l."Sample ID", l.STATUS AS STATUS_x, r.STATUS AS STATUS_y, r.NATION FROM l LEFT JOIN r USING ("Sample ID")"""
+
+
+@register("clean_join_null_and_duplicate_keys", J1_SQL, ("J1",))
+def clean_join_null_and_duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sides have null keys, and the right side repeated ones."""
+    o, c = read_table(spark, sf_dir, "orders"), read_table(spark, sf_dir, "customer")
+    left = o.select("o_orderkey", F.when(F.col("o_orderkey") % 5 != 0, F.concat(F.lit("S"), F.col("o_custkey").cast("string"))).alias("Sample ID"),
+                    F.col("o_orderstatus").alias("STATUS"))
+    pair = (F.col("c_custkey") - F.col("c_custkey") % 2).cast("string")
+    right = c.select(F.when(F.col("c_custkey") % 7 != 0, F.concat(F.lit("S"), pair)).alias("Sample ID"),
+                     F.col("c_mktsegment").alias("STATUS"), F.col("c_nationkey").alias("NATION"))
+    return K.left_join_suffixed(left, right, "Sample ID")

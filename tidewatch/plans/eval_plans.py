@@ -89,7 +89,7 @@ c AS (SELECT probability AS score, count(*) FILTER (WHERE label = 1) AS n_pos, c
 l AS (SELECT *, sum(n_pos) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS cp, sum(n_neg) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS cn,
              sum(n_pos) OVER () AS P FROM c)
 SELECT round(score, 6) AS threshold, round(coalesce(cp::DOUBLE / nullif(cp + cn, 0), 0.0), 6) AS precision, round(cp::DOUBLE / P, 6) AS recall
-FROM l WHERE cp - n_pos < P OR P = 0
+FROM l
 UNION ALL SELECT NULL::DOUBLE, 1.0, 0.0""", ("E7",))
 def eval_pr_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(E.pr_points(li_scored(spark, sf_dir), "label", "probability"), ["threshold", "precision", "recall"])

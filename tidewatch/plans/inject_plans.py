@@ -131,15 +131,8 @@ d AS (SELECT rank AS draw, floor({_u('CAST(rank AS VARCHAR)', 'boot|c_acctbal|42
 SELECT d.draw, r.value FROM d JOIN r ON r.rank = d.pick""", ("G7",))
 def bootstrap_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A bootstrap sample of c_acctbal of the table's own size."""
-    c = read_table(spark, sf_dir, "customer")
-    src = c.where(col("c_acctbal").isNotNull()).select(F.col("c_custkey").alias("_k"), F.col("c_acctbal").alias("value"))
-    from tidewatch.operators.ladder import value_ladder
-    lad = value_ladder(src.withColumn("_g", F.lit(0)).withColumn("_w", F.lit(1)), ["_g"], "_k", ["_w"])
-    ranked = lad.select((F.col("cum__w") - 1).alias("rank"), "value", F.col("tot__w").alias("N"))
-    draws = ranked.select(F.col("rank").alias("draw"),
-                          F.floor(G.uniform(F.col("rank").cast("string"), "boot|c_acctbal|42") * F.col("N"))
-                          .cast("long").alias("pick"))
-    return draws.join(ranked.select(F.col("rank").alias("pick"), "value"), "pick").select("draw", "value")
+    c = read_table(spark, sf_dir, "customer").where(col("c_acctbal").isNotNull())
+    return G.bootstrap(c, "c_acctbal", "c_custkey", c.count(), 42)
 
 
 @register("generate_scenario_windows", None, ("G8", "G9", "A2"))

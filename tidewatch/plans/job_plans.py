@@ -205,7 +205,7 @@ def training_job_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     state_path = scratch(spark, "train-state")
     results = []
     for run in (1, 2):
-        fp = A.fingerprint(emb, ["vec_id", "label"])
+        fp = A.fingerprint(emb)
         try:
             stored = spark.read.parquet(state_path)
         except Exception:  # noqa: BLE001 - no state yet
@@ -226,7 +226,7 @@ SLOW.add("training_job_gate")
 
 
 @register("champion_report_lineitem", f"""{XP.PHI_SQL},
-f AS (SELECT l_orderkey, l_linenumber, feature, sum(phi) AS phi FROM p JOIN {XP.SLOT_MAP_SQL} USING (slot) GROUP BY ALL),
+f AS (SELECT rid, l_orderkey, l_linenumber, feature, sum(phi) AS phi FROM p JOIN {XP.SLOT_MAP_SQL} USING (slot) GROUP BY ALL),
 g AS (SELECT feature, avg(abs(phi)) AS mean_abs FROM f GROUP BY feature),
 k AS (SELECT min(l_orderkey) AS ok FROM lineitem),
 i AS (SELECT feature, phi FROM f, k WHERE f.l_orderkey = k.ok AND f.l_linenumber = (SELECT min(l_linenumber) FROM lineitem, k WHERE l_orderkey = k.ok))
@@ -235,11 +235,10 @@ UNION ALL SELECT 'rank', feature, row_number() OVER (ORDER BY mean_abs DESC, fea
 UNION ALL SELECT 'instance', feature, round(sum(phi), 6) FROM i GROUP BY feature
 UNION ALL SELECT 'base', 'base_value', round(base_value, 6) FROM b""", ("X10", "X4", "X3", "X6"))
 def champion_report_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The report tables of one model: global importance, rank, one instance
-    (the first order line) and the base value, as (section, feature, value)."""
-    phi, base = XP.li_phi(spark, sf_dir)
-    sm = spark.createDataFrame(list(XP.SLOT_FEATURE.items()), "slot string, feature string")
-    folded = X.fold_slots(phi, ["l_orderkey", "l_linenumber"], sm)
+    """The report tables of one model: global importance, rank, the order
+    lines of the first key (their attributions added) and the base value, as (section, feature, value)."""
+    rows, base = XP.li_rows(spark, sf_dir)
+    folded = X.exploded(X.fold_slots(rows, XP.SLOT_FEATURE))
     g = folded.groupBy("feature").agg(F.avg(F.abs("phi")).alias("mean_abs"))
     ranked = X.ranked_importance(g, 20)
     li = read_table(spark, sf_dir, "lineitem")

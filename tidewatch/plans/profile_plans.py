@@ -197,12 +197,13 @@ def class_weights_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(w, ["weight"])
 
 
-FP_SQL = """SELECT count(*) AS n_rows, lower(lpad(hex(coalesce(sum(('0x' || substr(md5(
+FP_SQL = """SELECT count(*) AS n_rows, CAST(coalesce(sum(h::HUGEINT), 0) AS VARCHAR) || '-' || lower(lpad(hex(coalesce(bit_xor(h), 0)), 15, '0')) AS fingerprint
+FROM (SELECT ('0x' || substr(md5(
   coalesce(CAST(o_orderkey AS VARCHAR), '\\N') || '|' || coalesce(CAST(o_custkey AS VARCHAR), '\\N') || '|' ||
   coalesce(o_orderstatus, '\\N') || '|' || coalesce(CAST(round(o_totalprice, 6)::DECIMAL(38, 6) AS VARCHAR), '\\N') || '|' ||
-  coalesce(o_orderpriority, '\\N')), 1, 8))::BIGINT), 0)), 16, '0')) AS fingerprint FROM orders"""
+  coalesce(strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), '\\N') || '|' || coalesce(o_orderpriority, '\\N')), 1, 15))::BIGINT AS h FROM orders)"""
 
-FP_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
+FP_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
 
 
 @register("fingerprint_orders", FP_SQL, ("A18",))

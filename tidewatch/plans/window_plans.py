@@ -235,19 +235,26 @@ def window_report_combined_events(spark: SparkSession, sf_dir: str) -> DataFrame
 
 # ---------------------------------------------------------------- the same monitor on a stream
 
-@register("stream_window_verdicts_events", None, ("T1", "T2", "T4", "T5", "S12"))
+@register("stream_window_verdicts_events", f"""
+WITH r AS ({WINDOWS_SQL})
+SELECT *, drift_detected AS alert, (row_number() OVER (ORDER BY window_start) >= 6) AND
+  sum(drift_detected::INTEGER) OVER (ORDER BY window_start ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) >= 4 AS sustained FROM r""",
+          ("T1", "T2", "T4", "T5", "S12"))
 def stream_window_verdicts_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily windows of the events table read as a file stream (watermark 1 hour,
-    append mode); windows are emitted once closed, so the still-open last day is
-    not reported. Rows-only check; tests compare it with the batch path."""
+    append mode); the window still open at the end of the input is closed by a final flush."""
     from tidewatch.streaming import window_monitor as S
     ref, _ = split(spark, sf_dir)
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    stream = raw.select(F.col("ts").cast("timestamp").alias("ts"), "value",
-                        F.get_json_object("props", "$.k").cast("long").alias("k"), "event_type").where(
-        F.col("ts") >= F.lit(CUT).cast("timestamp"))
-    out = S.run_to_completion(spark, stream, ref, "ts", FEATURES, duration="1 day", watermark="1 hour")
+
+    def features(df: DataFrame) -> DataFrame:
+        return df.select(F.col("ts").cast("timestamp").alias("ts"), "value",
+                         F.get_json_object("props", "$.k").cast("long").alias("k"), "event_type").where(
+            F.col("ts") >= F.lit(CUT).cast("timestamp"))
+
+    out = S.run_to_completion(spark, features(raw), ref, "ts", FEATURES, duration="1 day", watermark="1 hour",
+                              bounded=features(spark.read.parquet(f"{sf_dir}/events.parquet")))
     _, windows = S.read_results(spark, out)
     flagged = T.sustained_drift(T.window_flags(windows.drop("batch_id").withColumn(
         "model_drift_detected", F.lit(False))))

@@ -7,9 +7,6 @@ one, and only when the session has none.
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
@@ -55,14 +52,16 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def ensure_local_checkpoint_dir(spark: SparkSession) -> str:
-    """For local runs only (tests, bench): set a checkpoint folder if unset."""
+    """The checkpoint folder; where the session names none, one below its warehouse.
+
+    Executors share the warehouse wherever tables can be written at all, so no
+    machine-local folder is ever used.
+    """
     d = checkpoint_dir(spark)
     if d is None:
-        d = tempfile.mkdtemp(prefix="tidewatch-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        d = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         spark.conf.set("spark.checkpoint.dir", d)
-        spark.sparkContext.setCheckpointDir(d)
-    else:
-        spark.sparkContext.setCheckpointDir(d)
+    spark.sparkContext.setCheckpointDir(d)
     return d
 
 

@@ -15,6 +15,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -24,6 +25,7 @@ from tidewatch.operators.columns import col
 from tidewatch.session import checkpoint_dir, ensure_local_checkpoint_dir
 
 ROWS_FEATURE = "__rows__"
+FINAL = -1  # batch id of the final flush
 
 
 def stream_counts(stream: DataFrame, time_col: str, num: Sequence[str], cat: Sequence[str], duration: str,
@@ -50,6 +52,44 @@ def stream_counts(stream: DataFrame, time_col: str, num: Sequence[str], cat: Seq
         F.count(F.lit(1)).alias("n"))
 
 
+def write_windows(counts: DataFrame, rnum: DataFrame, rcat: DataFrame, n_features: int, out_dir: str, tag: str) -> None:
+    """Test the windows in ``counts`` and write them to their own ``batch_id=<tag>`` folder."""
+    b = counts.select(F.col("window.start").alias(T.WKEY), "feature", "value", "category", "n").persist()
+    if b.isEmpty():  # e.g. the batch before the watermark first passes a window end
+        b.unpersist()
+        return
+    cnum = b.where(F.col("value").isNotNull()).select(T.WKEY, "feature", "value", F.col("n").alias("n_cur"))
+    ccat = (b.where(F.col("category").isNotNull() & (F.col("feature") != ROWS_FEATURE))
+            .select(T.WKEY, "feature", "category", F.col("n").alias("n_cur")))
+    records = b.where(F.col("feature") == ROWS_FEATURE).select(T.WKEY, F.col("n").alias("n_records"))
+    tests = T.window_tests(rnum, rcat, cnum, ccat).persist()
+    tests.write.mode("overwrite").parquet(f"{out_dir}/tests/batch_id={tag}")
+    T.window_verdicts(tests, records, n_features).write.mode("overwrite").parquet(f"{out_dir}/windows/batch_id={tag}")
+    tests.unpersist()
+    b.unpersist()
+
+
+def flush_open_windows(bounded: DataFrame, reference: DataFrame, time_col: str, feature_cols: Sequence[str], out_dir: str,
+                       duration: str = "1 hour") -> None:
+    """After a finite stream has ended: close the windows that the watermark left open.
+
+    ``bounded`` is the stream's input as a batch table; only its rows from the end of
+    the last window written are read again. A rerun replaces the same folder.
+    """
+    spark = bounded.sparkSession
+    feature_cols = [c for c in feature_cols if c in reference.columns]
+    rnum, rcat, num, cat = T.reference_counts(reference, feature_cols)
+    try:
+        done = spark.read.parquet(f"{out_dir}/windows").where(f"batch_id <> {FINAL}").agg(F.max(T.WKEY)).first()[0]
+    except AnalysisException:  # no window was closed
+        done = None
+    counts = stream_counts(bounded, time_col, num, cat, duration, "0 seconds")
+    if done is not None:
+        counts = stream_counts(bounded.where(col(time_col).cast("timestamp") >= F.lit(done)), time_col, num, cat, duration, "0 seconds")
+        counts = counts.where(F.col("window.start") > F.lit(done))
+    write_windows(counts, rnum, rcat, len(feature_cols), out_dir, str(FINAL))
+
+
 def start_monitor(spark: SparkSession, stream: DataFrame, reference: DataFrame, time_col: str,
                   feature_cols: Sequence[str], out_dir: str, duration: str = "1 hour", watermark: str = "1 hour",
                   available_now: bool = True, processing_time: str | None = None) -> StreamingQuery:
@@ -61,20 +101,7 @@ def start_monitor(spark: SparkSession, stream: DataFrame, reference: DataFrame,
     counts = stream_counts(stream, time_col, num, cat, duration, watermark)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        b = batch.select(F.col("window.start").alias(T.WKEY), "feature", "value", "category", "n").persist()
-        if b.isEmpty():  # e.g. the batch before the watermark first passes a window end
-            b.unpersist()
-            return
-        cnum = b.where(F.col("value").isNotNull()).select(T.WKEY, "feature", "value", F.col("n").alias("n_cur"))
-        ccat = (b.where(F.col("category").isNotNull() & (F.col("feature") != ROWS_FEATURE))
-                .select(T.WKEY, "feature", "category", F.col("n").alias("n_cur")))
-        records = b.where(F.col("feature") == ROWS_FEATURE).select(T.WKEY, F.col("n").alias("n_records"))
-        tests = T.window_tests(rnum, rcat, cnum, ccat).persist()
-        verdicts = T.window_verdicts(tests, records, n_features)
-        tests.write.mode("overwrite").parquet(f"{out_dir}/tests/batch_id={batch_id}")
-        verdicts.write.mode("overwrite").parquet(f"{out_dir}/windows/batch_id={batch_id}")
-        tests.unpersist()
-        b.unpersist()
+        write_windows(batch, rnum, rcat, n_features, out_dir, str(batch_id))
 
     writer = (counts.writeStream.outputMode("append").foreachBatch(per_batch)
               .option("checkpointLocation", f"{out_dir}/_checkpoint"))
@@ -87,18 +114,20 @@ def start_monitor(spark: SparkSession, stream: DataFrame, reference: DataFrame,
 
 def run_to_completion(spark: SparkSession, stream: DataFrame, reference: DataFrame, time_col: str,
                       feature_cols: Sequence[str], duration: str = "1 hour", watermark: str = "1 hour",
-                      out_dir: str | None = None, timeout_s: int = 600) -> str:
-    """Process everything available and return the output folder (under the shared checkpoint folder)."""
+                      out_dir: str | None = None, bounded: DataFrame | None = None) -> str:
+    """Process everything available and return the output folder (under the shared checkpoint folder).
+
+    With ``bounded``, the same input as a batch table, windows still open at the end are closed too.
+    """
     if out_dir is None:
         base = checkpoint_dir(spark) or ensure_local_checkpoint_dir(spark)
         out_dir = f"{base.rstrip('/')}/window-monitor-{uuid.uuid4().hex[:12]}"
     q = start_monitor(spark, stream, reference, time_col, feature_cols, out_dir, duration, watermark)
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError("stream monitor did not finish")
+    q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
+    if bounded is not None:
+        flush_open_windows(bounded, reference, time_col, feature_cols, out_dir, duration)
     return out_dir
 
 
