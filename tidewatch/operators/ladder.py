@@ -4,120 +4,107 @@ Several operators need running sums in value order (two-sample KS, exact
 quantiles for PSI edges and medians, exact AUC / average precision, ROC and PR
 curves). A window ``partitionBy(key).orderBy(value)`` would sort every
 distinct value of one key inside one task, which does not survive a
-continuous column at scale. The ladder instead:
+continuous column at scale. The ladder instead, at every size:
 
 1. starts from a table already aggregated to one row per (key, value)
    (partial aggregation happens map side, so hot values cost one row);
-2. splits each key's value range into ``buckets`` contiguous ranges using
-   ``approx_percentile`` over the distinct values (the split only balances the
-   work, the result stays exact);
-3. sums the weights per (key, bucket), a table of at most keys x buckets rows,
-   and turns them into per-bucket offsets with a window over that small table;
-4. runs the running sum inside each (key, bucket) and adds the offset.
-
-The tables of steps 2-3 have one row per key (times ``buckets``); they are
-joined without a hint so that AQE broadcasts them only after measuring them
-(window keys grow with the time range).
+2. splits each key's value range into ranges by ``approx_percentile`` over the
+   distinct values (the split only balances the work, the result stays exact).
+   The number of ranges follows the session's shuffle partitions, so a range
+   holds about as much of a key as a task holds of a shuffle; a value finds its
+   range by binary search, one generated comparison per halving;
+3. sums the weights per (key, range), a table of at most keys x ranges rows,
+   and turns them into offsets with a window over that small table;
+4. runs the running sum inside each (key, range) and adds the offset.
+
+The bounds (one row per key) are joined on the key and a salt, so the rows of
+one key never meet in one task; the joins carry no hint, AQE broadcasts what it
+has measured as small.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.session import shuffle_partitions
 
+# Tasks that share the rows of one key while they look up their range.
+SALTS = 16
 
-# Rows of one key's distinct-value table that one task sorts comfortably (the
-# session keeps that many window rows in memory, see tidewatch.session).
-ROWS_PER_TASK = 1_000_000
-MAX_BUCKETS = 4096
 
+def default_buckets(counts: DataFrame) -> int:
+    """Ranges per key: the shuffle partitions, rounded up to a power of two."""
+    return 1 << max(1, (shuffle_partitions(counts.sparkSession) - 1).bit_length())
 
-# Bytes per row assumed when only a size estimate is known.
-BYTES_PER_ROW = 24
 
+def order_number(value: str, kind: str) -> Column:
+    """A double that never falls as the value rises; values with equal numbers share a range.
 
-def estimated_rows(df: DataFrame) -> int | None:
-    """Catalyst's row estimate (or size / BYTES_PER_ROW) of a plan; no job runs.
-
-    The estimate of an aggregate is bounded by its input, so it errs high.
-    """
-    try:
-        stats = df._jdf.queryExecution().optimizedPlan().stats()
-        rc = stats.rowCount()
-        if rc is not None and hasattr(rc, "isDefined") and rc.isDefined():
-            return int(str(rc.get()))
-        return int(str(stats.sizeInBytes())) // BYTES_PER_ROW
-    except Exception:  # noqa: BLE001 - no estimate available
-        return None
-
-
-def default_buckets(counts: DataFrame, keys: list[str]) -> int:
-    """Adaptive range split: one bucket while the largest key fits one task.
-
-    Catalyst's estimate is an upper bound for scans and aggregates, so a small
-    estimate settles it without a job. Joins without statistics make the
-    estimate explode, so a large estimate is confirmed by one job that counts
-    the rows of the largest key (one number reaches the driver).
+    For strings the first six bytes, read as a number.
     """
-    rows = estimated_rows(counts)
-    if rows is not None and rows <= ROWS_PER_TASK:
-        return 1
-    biggest = counts.groupBy(*keys).count().agg(F.max("count")).collect()[0][0] or 0
-    if biggest <= ROWS_PER_TASK:
-        return 1
-    want = -(-biggest // ROWS_PER_TASK)
-    return int(min(MAX_BUCKETS, max(shuffle_partitions(counts.sparkSession), want)))
+    if kind == "string":
+        head = F.rpad(F.hex(F.substring(F.col(value).cast("binary"), 1, 6)), 12, "0")
+        return F.conv(head, 16, 10).cast("double")
+    return F.col(value).cast("double")
+
+
+def matched(rows: DataFrame, lookup: DataFrame, keys: list[str], last: str) -> DataFrame:
+    """Inner join on the keys, where null is a key like any other, and on ``last``."""
+    names = {k: f"_key_{i}" for i, k in enumerate(keys)}
+    other = lookup.withColumnsRenamed(names | {last: "_key_last"})
+    on = F.col(last) == F.col("_key_last")
+    for k, n in names.items():
+        on = on & F.col(k).eqNullSafe(F.col(n))
+    return rows.join(other, on, "inner").drop("_key_last", *names.values())
+
+
+def with_range(counts: DataFrame, keys: list[str], value: str, buckets: int) -> DataFrame:
+    """Add ``_bucket``: how many of the key's bounds lie below the value."""
+    kind = dict(counts.dtypes)[value]
+    probs = [i / buckets for i in range(1, buckets)]
+    numbered = counts.withColumn("_number", order_number(value, kind))
+    bounds = (numbered.groupBy(*keys)
+              .agg(F.percentile_approx("_number", probs, max(10000, 50 * buckets)).alias("_bounds"))
+              .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+    out = matched(numbered.withColumn("_salt", F.pmod(F.hash(value), F.lit(SALTS))), bounds, keys, "_salt").drop("_salt")
+    out = out.withColumn("_bucket", F.lit(0))
+    size = 1 << (buckets - 1).bit_length()
+    while size > 1:
+        size //= 2
+        # beyond the last bound get() is null, and the search stays on the left
+        step = F.when(F.get("_bounds", F.col("_bucket") + (size - 1)) < F.col("_number"), size).otherwise(0)
+        out = out.withColumn("_bucket", F.col("_bucket") + step)
+    return out.drop("_bounds", "_number")
 
 
 def value_ladder(counts: DataFrame, keys: list[str], value: str, weights: list[str],
                  buckets: int | None = None, descending: bool = False) -> DataFrame:
     """Add ``cum_<w>`` (inclusive running sum in value order) and ``tot_<w>``.
 
-    ``counts`` must hold one row per (keys..., value). With
+    ``counts`` must hold one row per (keys..., value), without null values. With
     ``descending=True`` the running sums go from the largest value down.
+    ``buckets`` sets the ranges per key; any number gives the same result.
     """
-    if buckets is None:
-        buckets = default_buckets(counts, keys)
+    buckets = buckets or default_buckets(counts)
     order_col = F.col(value).desc() if descending else F.col(value).asc()
-
-    if buckets <= 1:
-        # running sums and totals share one partition and order spec, so Spark
-        # computes them in a single window operator over one sort
-        w_run = Window.partitionBy(*keys).orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
-        w_all = Window.partitionBy(*keys).orderBy(order_col).rowsBetween(Window.unboundedPreceding,
-                                                                         Window.unboundedFollowing)
-        return counts.select("*", *[F.sum(w).over(w_run).alias(f"cum_{w}") for w in weights],
-                             *[F.sum(w).over(w_all).alias(f"tot_{w}") for w in weights])
-
-    probs = [i / buckets for i in range(1, buckets)]
-    bounds = (counts.groupBy(*keys)
-              .agg(F.percentile_approx(F.col(value).cast("double"), probs, max(10000, 50 * buckets)).alias("_bounds")))
+    with_bucket = with_range(counts, keys, value, buckets)
     if descending:
-        bucket_expr = F.size(F.filter("_bounds", lambda b: b > F.col(value)))
-    else:
-        bucket_expr = F.size(F.filter("_bounds", lambda b: b < F.col(value)))
-    # bounds and offsets have one row per key (x bucket); with window keys that grows
-    # with the time range, so they are plain joins: AQE broadcasts them only when
-    # their measured size is under the broadcast threshold.
-    with_bucket = (counts.join(bounds, on=keys, how="inner")
-                   .withColumn("_bucket", bucket_expr.cast("int")).drop("_bounds"))
+        with_bucket = with_bucket.withColumn("_bucket", -F.col("_bucket"))
 
     per_bucket = with_bucket.groupBy(*keys, "_bucket").agg(*[F.sum(w).alias(f"_bs_{w}") for w in weights])
     w_prev = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    w_all = Window.partitionBy(*keys)
-    offsets = per_bucket
-    for w in weights:
-        offsets = (offsets.withColumn(f"_off_{w}", F.coalesce(F.sum(f"_bs_{w}").over(w_prev), F.lit(0)))
-                   .withColumn(f"tot_{w}", F.sum(f"_bs_{w}").over(w_all)))
-    offsets = offsets.drop(*[f"_bs_{w}" for w in weights])
+    w_all = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    offsets = per_bucket.select(
+        *keys, "_bucket",
+        *[F.coalesce(F.sum(f"_bs_{w}").over(w_prev), F.lit(0)).alias(f"_off_{w}") for w in weights],
+        *[F.sum(f"_bs_{w}").over(w_all).alias(f"tot_{w}") for w in weights])
 
     w_run = Window.partitionBy(*keys, "_bucket").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
-    out = with_bucket.join(offsets, on=[*keys, "_bucket"], how="inner")
-    for w in weights:
-        out = out.withColumn(f"cum_{w}", F.col(f"_off_{w}") + F.sum(w).over(w_run))
-    return out.drop("_bucket", *[f"_off_{w}" for w in weights])
+    out = matched(with_bucket, offsets, keys, "_bucket")
+    return out.select(*counts.columns,
+                      *[(F.col(f"_off_{w}") + F.sum(w).over(w_run)).alias(f"cum_{w}") for w in weights],
+                      *[F.col(f"tot_{w}") for w in weights])
 
 
 def rank_lookup(ladder: DataFrame, keys: list[str], value: str, weight: str,

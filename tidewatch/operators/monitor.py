@@ -130,11 +130,13 @@ def windowed_categorical(ref_counts: DataFrame, cur_counts: DataFrame, min_curre
     r_share = F.greatest(F.col("n_ref") / F.col("R"), F.lit(floor))
     absent_psi_term = (r_share - floor) * F.log(r_share / floor)
     rtot = ref_counts.groupBy("feature").agg(F.sum("n_ref").alias("R"), F.count(F.lit(1)).alias("ref_k"))
-    wr = Window.partitionBy("feature").orderBy("n_ref", "category")
-    ref = (ref_counts.join(F.broadcast(rtot), "feature")
-           .withColumn("rank", F.row_number().over(wr) - 1))
-    s_all = ref.groupBy("feature").agg(F.sum(absent_psi_term).alias("S_all"))
-    ref = ref.select("feature", "category", "n_ref", "rank")
+    # categories with the same count form a level; a column of N rows has at most sqrt(2 N)
+    # levels, so ranking them is small however many categories there are
+    wr = Window.partitionBy("feature").orderBy("n_ref")
+    levels = (ref_counts.groupBy("feature", "n_ref").agg(F.count(F.lit(1)).alias("n_cats"))
+              .withColumn("rank", F.row_number().over(wr) - 1))
+    s_all = ref_counts.join(F.broadcast(rtot), "feature").groupBy("feature").agg(F.sum(absent_psi_term).alias("S_all"))
+    ref = ref_counts.select("feature", "category", "n_ref")
     cur = cur_counts.join(ref, ["feature", "category"], "left").join(F.broadcast(rtot), "feature")
     cur = cur.withColumn("n_ref", F.coalesce("n_ref", F.lit(0)).cast("long"))
     ctot = cur.groupBy(WKEY, "feature").agg(F.sum("n_cur").alias("C"))
@@ -146,10 +148,12 @@ def windowed_categorical(ref_counts: DataFrame, cur_counts: DataFrame, min_curre
     chi_term = F.pow(F.col("n_ref") - e_ref, 2) / e_ref + F.pow(F.col("n_cur") - e_cur, 2) / e_cur
     c_share = F.greatest(F.col("n_cur") / F.col("C"), F.lit(floor))
     present_psi = (r_share - c_share) * F.log(r_share / c_share)
-    # leading run of present reference ranks 0, 1, 2, ...: its length is the rank of
-    # the smallest reference category missing from the window
+    # leading run of levels whose categories are all present: its length is the rank of the
+    # level of the smallest reference category missing from the window
     wp = Window.partitionBy(WKEY, "feature").orderBy("rank")
-    gaps = (cur.where(F.col("rank").isNotNull()).withColumn("_i", F.row_number().over(wp) - 1)
+    complete = (cur.where(F.col("n_ref") > 0).groupBy(WKEY, "feature", "n_ref").agg(F.count(F.lit(1)).alias("have"))
+                .join(levels, ["feature", "n_ref"]).where(F.col("have") == F.col("n_cats")))
+    gaps = (complete.withColumn("_i", F.row_number().over(wp) - 1)
             .groupBy(WKEY, "feature").agg(F.count_if(F.col("rank") == F.col("_i")).alias("gap")))
     agg = cur.groupBy(WKEY, "feature").agg(
         F.first("R").alias("R"), F.first("C").alias("C"), F.first("ref_k").alias("ref_k"),
@@ -158,7 +162,7 @@ def windowed_categorical(ref_counts: DataFrame, cur_counts: DataFrame, min_curre
         F.min(s).alias("min_s_present"),
         F.sum(present_psi).alias("psi_present"),
         F.sum(F.when(F.col("n_ref") > 0, absent_psi_term)).alias("psi_absent_removed"))
-    gap_ref = ref.select("feature", F.col("rank").alias("gap"), F.col("n_ref").alias("gap_n_ref"))
+    gap_ref = levels.select("feature", F.col("rank").alias("gap"), F.col("n_ref").alias("gap_n_ref"))
     agg = (agg.join(gaps, [WKEY, "feature"], "left").withColumn("gap", F.coalesce("gap", F.lit(0)))
            .join(gap_ref, ["feature", "gap"], "left").join(F.broadcast(s_all), "feature"))
     R, C = F.col("R"), F.col("C")
@@ -226,22 +230,17 @@ def window_tests(rnum: DataFrame, rcat: DataFrame, cnum: DataFrame, ccat: DataFr
                .select(WKEY, "feature", F.col("value").cast("string").alias("category"), "n_cur")
                .unionByName(ccat.join(bin_cat, "feature", "left_semi")))
     ct = windowed_categorical(ref_cat, cur_cat, min_current)
-    # each result holds one row per (window, feature); computed once, then unioned
-    ks, psi, ct = ks.persist(), psi.persist(), ct.persist()
-
+    both = F.array(
+        F.struct(F.lit("chi_square").alias("test"), F.col("chi_stat").alias("statistic"), F.col("chi_p").alias("p_value"),
+                 F.coalesce(F.col("chi_p") < p_threshold, F.lit(False)).alias("drift_detected"), F.col("chi_info").alias("info")),
+        F.struct(F.lit("categorical_psi").alias("test"), F.col("cpsi").alias("statistic"), F.lit(None).cast("double").alias("p_value"),
+                 F.coalesce(F.col("cpsi") > psi_threshold, F.lit(False)).alias("drift_detected"), F.col("cpsi_info").alias("info")))
     rows = (ks.select(WKEY, "feature", F.lit("ks").alias("test"), "statistic", "p_value",
                       (F.col("p_value") < p_threshold).alias("drift_detected"), F.lit(None).cast("string").alias("info"))
             .unionByName(psi.select(WKEY, "feature", F.lit("psi").alias("test"), "statistic",
                                     F.lit(None).cast("double").alias("p_value"),
                                     F.coalesce(F.col("statistic") > psi_threshold, F.lit(False)).alias("drift_detected"), "info"))
-            .unionByName(ct.select(WKEY, "feature", F.lit("chi_square").alias("test"), F.col("chi_stat").alias("statistic"),
-                                   F.col("chi_p").alias("p_value"),
-                                   F.coalesce(F.col("chi_p") < p_threshold, F.lit(False)).alias("drift_detected"),
-                                   F.col("chi_info").alias("info")))
-            .unionByName(ct.select(WKEY, "feature", F.lit("categorical_psi").alias("test"), F.col("cpsi").alias("statistic"),
-                                   F.lit(None).cast("double").alias("p_value"),
-                                   F.coalesce(F.col("cpsi") > psi_threshold, F.lit(False)).alias("drift_detected"),
-                                   F.col("cpsi_info").alias("info"))))
+            .unionByName(ct.select(WKEY, "feature", F.inline(both))))
     return rows.join(types_df, "feature").select(WKEY, "feature", "feature_type", "test", "statistic", "p_value",
                                                  "drift_detected", "info")
 

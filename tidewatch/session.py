@@ -20,9 +20,6 @@ DEFAULT_CONF = {
     # broadcast only what the planner can size; explicit hints are used only
     # for tables whose row count is bounded by the number of features.
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
-    # window partitions are bounded by the ladder's range split (ROWS_PER_TASK rows),
-    # so they are kept in memory instead of going through the spilling sorter
-    "spark.sql.windowExec.buffer.in.memory.threshold": "1048576",
 }
 
 

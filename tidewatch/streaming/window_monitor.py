@@ -79,6 +79,7 @@ def flush_open_windows(bounded: DataFrame, reference: DataFrame, time_col: str,
     spark = bounded.sparkSession
     feature_cols = [c for c in feature_cols if c in reference.columns]
     rnum, rcat, num, cat = T.reference_counts(reference, feature_cols)
+    rnum, rcat = rnum.persist(), rcat.persist()
     try:
         done = spark.read.parquet(f"{out_dir}/windows").where(f"batch_id <> {FINAL}").agg(F.max(T.WKEY)).first()[0]
     except AnalysisException:  # no window was closed
@@ -88,6 +89,8 @@ def flush_open_windows(bounded: DataFrame, reference: DataFrame, time_col: str,
         counts = stream_counts(bounded.where(col(time_col).cast("timestamp") >= F.lit(done)), time_col, num, cat, duration, "0 seconds")
         counts = counts.where(F.col("window.start") > F.lit(done))
     write_windows(counts, rnum, rcat, len(feature_cols), out_dir, str(FINAL))
+    rnum.unpersist()
+    rcat.unpersist()
 
 
 def start_monitor(spark: SparkSession, stream: DataFrame, reference: DataFrame, time_col: str,
@@ -103,6 +106,9 @@ def start_monitor(spark: SparkSession, stream: DataFrame, reference: DataFrame,
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         write_windows(batch, rnum, rcat, n_features, out_dir, str(batch_id))
 
+    # one state row per distinct value of an open window: kept on disk, not in the executors' heap
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     writer = (counts.writeStream.outputMode("append").foreachBatch(per_batch)
               .option("checkpointLocation", f"{out_dir}/_checkpoint"))
     if available_now:
