@@ -2,7 +2,7 @@
 
 Spark SQL has no incomplete gamma, no erf and no Kolmogorov distribution.
 These are written with higher-order array functions (``aggregate`` over a
-``sequence``) so they stay inside codegen and run on the one-row-per-feature
+``sequence``), which Spark interprets; they run on the one-row-per-feature
 results of the drift tests, never per input row.
 """
 

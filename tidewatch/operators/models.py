@@ -138,7 +138,7 @@ def train_all(spark: SparkSession, train: DataFrame, label: str, keys: Sequence[
         # the penalty scale of M1 is the weight total of the rows being fitted (one number)
         "logistic_regression": lambda d: logistic(features, label, "weight", d.agg(F.sum("weight")).collect()[0][0]),
         "random_forest": lambda d: forest(features, label, "weight"),
-        "xgboost": lambda d: boosted(features, label, "pos_weight"),
+        "gradient_boosted_trees": lambda d: boosted(features, label, "pos_weight"),
     }
     fitted, rows = {}, []
     for name, make in makers.items():

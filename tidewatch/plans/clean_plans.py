@@ -305,7 +305,7 @@ SELECT RECORD,
 FROM p"""
 
 
-@register("clean_bmi", BMI_ORACLE, ("C14", "P3"))
+@register("clean_bmi", BMI_ORACLE, ("C14",))
 def clean_bmi(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = K.with_bmi(patients_view(spark, sf_dir))
     return df.select("RECORD", F.round("BMI_CALCULATED", 6).alias("BMI_CALCULATED"))
@@ -329,3 +329,11 @@ def clean_join_null_and_duplicate_keys(spark: SparkSession, sf_dir: str) -> Data
     right = c.select(F.when(F.col("c_custkey") % 7 != 0, F.concat(F.lit("S"), pair)).alias("Sample ID"),
                      F.col("c_mktsegment").alias("STATUS"), F.col("c_nationkey").alias("NATION"))
     return K.left_join_suffixed(left, right, "Sample ID")
+
+
+@register("reindex_part", """
+SELECT p_partkey, NULL::DOUBLE AS p_weight, p_brand, NULL::VARCHAR AS p_comment FROM part""", ("P3",))
+def reindex_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fixed column list with two columns that the table lacks."""
+    from tidewatch.operators.columns import reindex
+    return reindex(read_table(spark, sf_dir, "part"), ["p_partkey", "p_weight", "p_brand", "p_comment"], {"p_comment": "string"})

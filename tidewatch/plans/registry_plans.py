@@ -65,7 +65,7 @@ def registry_champion_by_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH r AS ({REGISTRY_SQL})
 SELECT aim, model, version, score FROM (
   SELECT *, row_number() OVER (PARTITION BY aim ORDER BY score DESC, version_num DESC) AS rn FROM r WHERE score >= -1.0) WHERE rn = 1""",
-          ("R2", "R5"))
+          ("R2",))
 def registry_champion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.champion_per_aim(registry_view(spark, sf_dir)).select(*OUT)
 
@@ -127,3 +127,19 @@ SELECT aim, model, version, printf('%.3f', CASE WHEN NOT isnan(cv_auc_mean) THEN
 def registry_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     reg = registry_view(spark, sf_dir).withColumn("cv_auc_mean", F.when(~F.isnan("cv_auc_mean"), F.col("cv_auc_mean")))
     return R.runs_summary(reg)
+
+
+@register("registry_model_info", f"""
+WITH r AS ({REGISTRY_SQL}),
+c AS (SELECT *, row_number() OVER (PARTITION BY aim ORDER BY score DESC, version_num DESC) AS rn FROM r WHERE score >= -1.0),
+one AS (SELECT min(aim) AS aim FROM r), e AS (SELECT min((model, version)) AS k FROM r, one WHERE r.aim = one.aim)
+SELECT 'champion' AS request, c.aim, c.model, c.version, c.score FROM c, one WHERE c.rn = 1 AND c.aim = one.aim
+UNION ALL SELECT 'exact', r.aim, r.model, r.version, r.score FROM r, one, e WHERE r.aim = one.aim AND r.model = e.k[1] AND r.version = e.k[2]""",
+          ("R5",))
+def registry_model_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The champion of the first aim, and one exact (model, version) of it."""
+    reg = registry_view(spark, sf_dir)
+    first = reg.agg(F.min(F.struct("aim", "model", "version")).alias("k")).select("k.*").first()
+    champion = R.model_info(reg, first["aim"]).select(F.lit("champion").alias("request"), *OUT)
+    exact = R.model_info(reg, first["aim"], first["model"], first["version"]).select(F.lit("exact").alias("request"), *OUT)
+    return champion.unionByName(exact)

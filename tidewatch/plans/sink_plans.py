@@ -54,7 +54,7 @@ def _reg_sql():
 
 
 @register("json_metadata_scan", f"""
-SELECT aim, model, version, cv_auc_mean, train_auc, model_path FROM ({_reg_sql()})""", ("S9", "S7"))
+SELECT aim, model, version, cv_auc_mean, train_auc, model_path FROM ({_reg_sql()})""", ("S9",))
 def json_metadata_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model metadata JSON files from the registry view, one corrupt file among them;
     scanned with a name pattern and PERMISSIVE mode (the corrupt row is dropped)."""
@@ -145,3 +145,27 @@ def rows_from_json_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = SRC.rows_from_json(ev.select("event_id", payload.alias("payload")), "payload")
     return rows.select("event_id", F.col("row_pos"), F.col("record")["name"].alias("name"),
                        F.col("record")["amount"].alias("amount"))
+
+
+@register("csv_inferred_orders", """
+SELECT o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 6) AS o_totalprice FROM orders""", ("S6",))
+def csv_inferred_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders written as CSV and read back with an inferred schema."""
+    cols = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"]
+    path = scratch(spark, "csv-inferred")
+    SK.write_table(read_table(spark, sf_dir, "orders").select(*cols), path, fmt="csv")
+    df = SRC.read_sheet(spark, path)
+    return df.select(F.col("o_orderkey").cast("long"), F.col("o_custkey").cast("long"), "o_orderstatus",
+                     F.round("o_totalprice", R6).alias("o_totalprice"))
+
+
+@register("csv_malformed_lines", """
+SELECT c_custkey, c_name, c_nationkey FROM customer WHERE c_custkey % 10 <> 0""", ("S7",))
+def csv_malformed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """customer as CSV lines, every tenth with a key that is no number; such lines are skipped."""
+    c = read_table(spark, sf_dir, "customer")
+    key = F.when(F.col("c_custkey") % 10 == 0, F.lit("oops")).otherwise(F.col("c_custkey").cast("string"))
+    path = scratch(spark, "csv-malformed")
+    SK.write_table(c.select(key.alias("c_custkey"), "c_name", F.col("c_nationkey").cast("string").alias("c_nationkey")), path, fmt="csv")
+    # a projection of fewer columns would let the parser skip the bad field unseen
+    return SRC.read_sheet(spark, path, schema="c_custkey long, c_name string, c_nationkey int", drop_malformed=True)
