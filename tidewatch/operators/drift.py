@@ -10,10 +10,10 @@ the only broadcast sides.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,12 +77,14 @@ def category_counts(reference: DataFrame, current: DataFrame, cols: Sequence[str
 
 # ---------------------------------------------------------------- per-test operators
 
-def ks_from_ladder(ladder: DataFrame) -> DataFrame:
-    """(feature, statistic, p_value) from a ladder with n_ref / n_cur weights."""
+def ks_from_ladder(ladder: DataFrame, p_value: Callable[[Column, Column, Column], Column] = ks_pvalue) -> DataFrame:
+    """(feature, statistic, p_value) from a ladder with n_ref / n_cur weights.
+
+    ``p_value`` is the limiting series, or ``ks_pvalue_auto`` for exact values of small samples."""
     gap = F.abs(F.col("cum_n_ref") / F.col("tot_n_ref") - F.col("cum_n_cur") / F.col("tot_n_cur"))
     per = ladder.groupBy("feature").agg(
         F.max(gap).alias("statistic"), F.first("tot_n_ref").alias("R"), F.first("tot_n_cur").alias("C"))
-    return per.select("feature", "statistic", ks_pvalue(F.col("statistic"), F.col("R"), F.col("C")).alias("p_value"))
+    return per.select("feature", "statistic", p_value(F.col("statistic"), F.col("R"), F.col("C")).alias("p_value"))
 
 
 def psi_from_ladder(ladder: DataFrame, num_bins: int = PSI_DEFAULT_BINS,
@@ -190,7 +192,8 @@ def data_drift(reference: DataFrame, current: DataFrame, feature_cols: Sequence[
                feature_types: Mapping[str, str] | None = None, psi_bins: int = PSI_DEFAULT_BINS,
                p_threshold: float = P_VALUE_THRESHOLD, psi_threshold: float = PSI_THRESHOLD,
                ratio_threshold: float = DRIFT_RATIO_THRESHOLD, min_current: int = PSI_MIN_CURRENT,
-               buckets: int | None = None) -> DriftReport:
+               buckets: int | None = None,
+               ks_p_value: Callable[[Column, Column, Column], Column] = ks_pvalue) -> DriftReport:
     """Drift of every feature of ``current`` against ``reference``.
 
     numeric -> KS + PSI; binary and categorical -> chi-square + categorical
@@ -235,7 +238,7 @@ def data_drift(reference: DataFrame, current: DataFrame, feature_cols: Sequence[
     num_typed = ftypes.where(F.col("feature_type") == "numeric").select("feature")
     ladder = value_ladder(ncounts.join(F.broadcast(num_typed), "feature", "left_semi"),
                           ["feature"], "value", ["n_ref", "n_cur"], buckets=buckets).persist()
-    ks = ks_from_ladder(ladder)
+    ks = ks_from_ladder(ladder, ks_p_value)
     psi = psi_from_ladder(ladder, num_bins=psi_bins, min_current=min_current)
     ks_rows = ks.select("feature", F.lit("ks").alias("test"), "statistic", "p_value",
                         (F.col("p_value") < p_threshold).alias("drift_detected"),
@@ -298,10 +301,11 @@ def nested_report(report: DriftReport) -> DataFrame:
 
 # ---------------------------------------------------------------- pair tests on one column
 
-def ks_two_sample(reference: DataFrame, current: DataFrame, column: str, buckets: int | None = None) -> DataFrame:
+def ks_two_sample(reference: DataFrame, current: DataFrame, column: str, buckets: int | None = None,
+                  p_value: Callable[[Column, Column, Column], Column] = ks_pvalue) -> DataFrame:
     """D1 on a single column of two frames: (feature, statistic, p_value, drift_detected)."""
     counts = numeric_counts(reference, current, [column])
-    out = ks_from_ladder(value_ladder(counts, ["feature"], "value", ["n_ref", "n_cur"], buckets=buckets))
+    out = ks_from_ladder(value_ladder(counts, ["feature"], "value", ["n_ref", "n_cur"], buckets=buckets), p_value)
     return out.withColumn("drift_detected", F.col("p_value") < P_VALUE_THRESHOLD)
 
 

@@ -13,8 +13,8 @@ from collections.abc import Callable, Sequence
 
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.labels import confidence
@@ -74,12 +74,38 @@ def score(model: Model, df: DataFrame, probability: str = "p1", prediction: str
     return out.withColumn(prediction, F.col("prediction").cast("int"))
 
 
+def fold_plan(df: DataFrame, keys: Sequence[str], label: str, k: int = 5, seed: int = 42, out: str = "fold") -> DataFrame:
+    """M5: the folds to use: a row each up to 20 rows (leave one out), else k stratified
+    ones, never more than there are rows."""
+    from tidewatch.operators.features import fold_column, row_hash
+    n = df.count()
+    if n <= LOO_MAX_ROWS:
+        return df.withColumn(out, (F.row_number().over(Window.orderBy(row_hash(keys, seed), *[col(c) for c in keys])) - 1).cast("int"))
+    return fold_column(df, keys, label, min(k, n), seed, out)
+
+
+def resampler(label: str, keys: Sequence[str], features: str = "features", seed: int = 42) -> Callable[[DataFrame], DataFrame]:
+    """I12 before a fit: synthetic minority rows, and both weight columns. ``pos_weight`` is that of the
+    rows before oversampling, ``weight`` balances the rows after it, so it is 1."""
+    from tidewatch.operators.smote import oversampled
+
+    def resample(train: DataFrame) -> DataFrame:
+        arrays = train.withColumn(features, vector_to_array(F.col(features)))
+        spw = train.agg(F.count_if(col(label) == 0) / F.greatest(F.count_if(col(label) == 1), F.lit(1))).first()[0]
+        rows = oversampled(arrays, label, keys, features, seed).withColumn(features, array_to_vector(F.col(features)))
+        rows = rows.withColumn("pos_weight", F.when(col(label) == 1, F.lit(float(spw))).otherwise(F.lit(1.0)))
+        return cut_lineage(balanced_weight(rows, label, "weight"))
+    return resample
+
+
 def cross_validate(df: DataFrame, make: Callable[[DataFrame], Estimator], label: str, fold: str,
-                   keys: Sequence[str], features: str = "features") -> tuple[DataFrame, DataFrame]:
+                   keys: Sequence[str], features: str = "features",
+                   resample: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """M5: fit once per fold value on the other folds, score the held-out fold.
 
     Returns (out-of-fold rows: keys, fold, label, p1, prediction) and per-fold
     metrics (fold, n, auc, accuracy). AUC is null for single-class folds.
+    ``resample`` changes a fold's training rows only, never those scored.
     """
     data = cut_lineage(df)
     folds = [r[0] for r in data.select(fold).distinct().orderBy(fold).collect()]  # k values
@@ -92,6 +118,8 @@ def cross_validate(df: DataFrame, make: Callable[[DataFrame], Estimator], label:
             # nothing to fit: the rows stay, without a score
             parts.append(test.select(*head, F.lit(None).cast("double").alias("probability"), F.lit(None).cast("int").alias("predicted_label")))
             continue
+        if resample:
+            train = resample(train)
         m = make(train).fit(train)
         parts.append(score(m, test).select(*head, F.col("p1").alias("probability"), F.col("prediction").alias("predicted_label")))
     if not parts:
@@ -129,7 +157,7 @@ def leave_one_group_out(df: DataFrame, make: Callable[[DataFrame], Estimator], l
 
 
 def train_all(spark: SparkSession, train: DataFrame, label: str, keys: Sequence[str], aim: str,
-              fold: str = "fold", features: str = "features") -> tuple[dict[str, PipelineModel], DataFrame]:
+              fold: str = "fold", features: str = "features", use_smote: bool = False) -> tuple[dict[str, PipelineModel], DataFrame]:
     """M4: fit LR, RF and GBT on the whole training set, cross-validate each on the
     fold column, and return the fitted models with one metadata row per model
     (model, cv_auc_mean, cv_auc_std, train_auc, train_avg_precision, n_train)."""
@@ -140,14 +168,16 @@ def train_all(spark: SparkSession, train: DataFrame, label: str, keys: Sequence[
         "random_forest": lambda d: forest(features, label, "weight"),
         "gradient_boosted_trees": lambda d: boosted(features, label, "pos_weight"),
     }
+    resample = resampler(label, keys, features) if use_smote else None
+    fit_rows = resample(data) if resample else data
     fitted, rows = {}, []
     for name, make in makers.items():
-        model = Pipeline(stages=[make(data)]).fit(data)
+        model = Pipeline(stages=[make(fit_rows)]).fit(fit_rows)
         fitted[name] = model
         scored = score(model, data)
         tr = E.ranking_metrics(scored, label, "p1").select(F.col("auc").alias("train_auc"),
                                                            F.col("avg_precision").alias("train_avg_precision"))
-        oof, per_fold = cross_validate(data, make, label, fold, keys, features)
+        oof, per_fold = cross_validate(data, make, label, fold, keys, features, resample)
         summ = cv_summary(oof, per_fold, name)
         from tidewatch.operators.columns import attach_row
         rows.append(attach_row(attach_row(summ, tr), data.agg(F.count(F.lit(1)).alias("n_train")))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions.labels import confidence
@@ -37,3 +37,25 @@ def logistic_score(df: DataFrame, weights: Mapping[str, float], intercept: float
     if conf:
         out = out.withColumn(conf, confidence(F.col(probability)))
     return out
+
+
+def score_files(spark: SparkSession, source: str, target: str, weights: Mapping[str, float], intercept: float,
+                keys: Mapping[str, str], fmt: str = "csv", threshold: float = 0.5) -> DataFrame:
+    """M8: read rows from CSV (with header) or JSON files, score them, write and reread the scores.
+
+    ``keys`` maps the carried columns to their types. Features are read as
+    doubles; a column that the files lack, or a value that is no number, is null and
+    its row's score too. Every row read is written, with all columns of M6.
+    """
+    schema = ", ".join([f"`{k}` {t}" for k, t in keys.items()] + [f"`{c}` double" for c in weights])
+    if fmt == "csv":
+        # by header name, not by position: files may order their columns as they like
+        raw = spark.read.option("header", True).csv(source)
+        typed = [(col(c) if c in raw.columns else F.lit(None).cast("string")).try_cast(t).alias(c)
+                 for c, t in {**keys, **dict.fromkeys(weights, "double")}.items()]
+        rows = raw.select(*typed)
+    else:
+        rows = spark.read.schema(schema).json(source)
+    scored = logistic_score(rows, weights, intercept, threshold)
+    scored.write.mode("overwrite").parquet(target)
+    return spark.read.parquet(target)

@@ -134,11 +134,11 @@ def attribution_folded_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 f AS (SELECT rid, l_orderkey, l_linenumber, feature, sum(phi) AS phi FROM p JOIN {SLOT_MAP_SQL} USING (slot) GROUP BY ALL)
 SELECT l_orderkey, l_linenumber, round(any_value(phi) FILTER (feature = 'l_discount'), 6) AS discount,
        round(any_value(phi) FILTER (feature = 'l_returnflag'), 6) AS returnflag, count(*) AS n_features
-FROM f WHERE l_orderkey < 100 GROUP BY rid, l_orderkey, l_linenumber""", ("X9", "X4"))
+FROM f GROUP BY rid, l_orderkey, l_linenumber""", ("X9", "X4"))
 def attribution_maps_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batch of instance explanations as maps, for the order lines of the first orders."""
+    """Batch of instance explanations as maps."""
     rows, _ = li_rows(spark, sf_dir)
-    maps = X.as_maps(X.fold_slots(rows, SLOT_FEATURE)).where(F.col("l_orderkey") < 100)
+    maps = X.as_maps(X.fold_slots(rows, SLOT_FEATURE))
     get = lambda name: F.round(F.element_at("attributions", F.lit(name)), R6)
     return maps.select("l_orderkey", "l_linenumber", get("l_discount").alias("discount"), get("l_returnflag").alias("returnflag"),
                        F.size("attributions").cast("long").alias("n_features"))

@@ -32,5 +32,5 @@ def load_all() -> None:
     # importing the modules registers their queries
     from tidewatch.plans import (  # noqa: F401
         attribution_plans, clean_plans, drift_plans, eval_plans, inject_plans, job_plans, model_plans,
-        profile_plans, registry_plans, sink_plans, window_plans,
+        profile_plans, registry_plans, sink_plans, training_plans, window_plans,
     )
