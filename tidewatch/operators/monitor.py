@@ -18,10 +18,10 @@ window:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.binning import count_at_most
@@ -58,13 +58,22 @@ def _long_cat(df: DataFrame, cols: Sequence[str], keys: Sequence[str]) -> DataFr
             .where(F.col("category").isNotNull()))
 
 
-def windowed_ks(ref_counts: DataFrame, cur_counts: DataFrame, buckets: int | None = None) -> DataFrame:
-    """(window_start, feature, statistic, p_value) from (feature, value, n_ref) and
-    (window_start, feature, value, n_cur)."""
+def pooled_ladder(ref_counts: DataFrame, cur_counts: DataFrame, buckets: int | None = None) -> DataFrame:
+    """Running reference counts at every value of the reference and of any window."""
     points = (ref_counts.select("feature", "value", "n_ref")
               .unionByName(cur_counts.select("feature", "value", F.lit(0).cast("long").alias("n_ref")))
               .groupBy("feature", "value").agg(F.sum("n_ref").alias("n_ref")))
-    fl = value_ladder(points, ["feature"], "value", ["n_ref"], buckets=buckets).select(
+    return value_ladder(points, ["feature"], "value", ["n_ref"], buckets=buckets)
+
+
+def windowed_ks(ref_counts: DataFrame, cur_counts: DataFrame, buckets: int | None = None,
+                p_value: Callable[[Column, Column, Column], Column] = ks_pvalue, ladder: DataFrame | None = None) -> DataFrame:
+    """(window_start, feature, statistic, p_value) from (feature, value, n_ref) and
+    (window_start, feature, value, n_cur); ``p_value`` as in ``ks_from_ladder``. ``ladder`` may
+    pass the ``pooled_ladder`` of both."""
+    if ladder is None:
+        ladder = pooled_ladder(ref_counts, cur_counts, buckets)
+    fl = ladder.select(
         "feature", "value", (F.col("cum_n_ref") / F.col("tot_n_ref")).alias("F_in"),
         ((F.col("cum_n_ref") - F.col("n_ref")) / F.col("tot_n_ref")).alias("F_ex"), F.col("tot_n_ref").alias("R"))
     gl = value_ladder(cur_counts, [WKEY, "feature"], "value", ["n_cur"], buckets=buckets)
@@ -74,14 +83,15 @@ def windowed_ks(ref_counts: DataFrame, cur_counts: DataFrame, buckets: int | Non
     d = F.greatest(F.abs(F.col("F_in") - g_in), F.abs(F.col("F_ex") - g_ex))
     per = j.groupBy(WKEY, "feature").agg(F.max(d).alias("statistic"), F.first("R").alias("R"),
                                          F.first("tot_n_cur").alias("C"))
-    return per.select(WKEY, "feature", "statistic", ks_pvalue(F.col("statistic"), F.col("R"), F.col("C")).alias("p_value"))
+    return per.select(WKEY, "feature", "statistic", p_value(F.col("statistic"), F.col("R"), F.col("C")).alias("p_value"))
 
 
 def windowed_psi(ref_counts: DataFrame, cur_counts: DataFrame, num_bins: int = D.PSI_DEFAULT_BINS,
                  min_current: int = D.PSI_MIN_CURRENT, floor: float = D.PSI_SHARE_FLOOR,
-                 buckets: int | None = None, key: str = "window_start") -> DataFrame:
+                 buckets: int | None = None, key: str = "window_start", ladder: DataFrame | None = None) -> DataFrame:
     """(key, feature, statistic, info): D3 per window with the reference
-    edges chosen by the window's own bin count."""
+    edges chosen by the window's own bin count. ``ladder`` may pass the reference's
+    running counts; values that only windows have count nothing in it."""
     WKEY = key  # noqa: N806
     rstats = ref_counts.groupBy("feature").agg(F.sum("n_ref").alias("R"), F.min("value").alias("rmin"),
                                                F.max("value").alias("rmax"))
@@ -91,7 +101,7 @@ def windowed_psi(ref_counts: DataFrame, cur_counts: DataFrame, num_bins: int = D
     k = F.least(F.lit(num_bins), F.greatest(F.lit(4), (F.col("C") / 5).cast("long"))).cast("int")
     ws = ws.withColumn("k", k).withColumn("same", F.least("rmin", "cmin") == F.greatest("rmax", "cmax"))
     ks_needed = ws.where((F.col("C") >= min_current) & ~F.col("same")).select("feature", "k").distinct()
-    ref_lad = value_ladder(ref_counts, ["feature"], "value", ["n_ref"], buckets=buckets)
+    ref_lad = ladder if ladder is not None else value_ladder(ref_counts, ["feature"], "value", ["n_ref"], buckets=buckets)
     probs = ks_needed.join(F.broadcast(rstats), "feature").select(
         "feature", "k", F.col("R").alias("n"),
         F.transform(F.sequence(F.lit(0), F.col("k")), lambda i: i.cast("double") / F.col("k").cast("double")).alias("probs"))
@@ -209,7 +219,8 @@ def current_counts(windowed: DataFrame, num: Sequence[str], cat: Sequence[str])
 def window_tests(rnum: DataFrame, rcat: DataFrame, cnum: DataFrame, ccat: DataFrame,
                  psi_bins: int = D.PSI_DEFAULT_BINS, p_threshold: float = D.P_VALUE_THRESHOLD,
                  psi_threshold: float = D.PSI_THRESHOLD, min_current: int = D.PSI_MIN_CURRENT,
-                 buckets: int | None = None) -> DataFrame:
+                 buckets: int | None = None,
+                 ks_p_value: Callable[[Column, Column, Column], Column] = ks_pvalue) -> DataFrame:
     """T2 tests from aggregated counts: one row per (window, feature, test)."""
     # D6 on the reference: one row per feature, broadcast
     nd = (rnum.groupBy("feature").agg(F.count(F.lit(1)).alias("nd"), F.lit(True).alias("numeric"))
@@ -221,8 +232,9 @@ def window_tests(rnum: DataFrame, rcat: DataFrame, cnum: DataFrame, ccat: DataFr
     numeric = types_df.where(F.col("feature_type") == "numeric")
     num_typed = rnum.join(numeric, "feature", "left_semi")
     cnum_typed = cnum.join(numeric, "feature", "left_semi")
-    ks = windowed_ks(num_typed, cnum_typed, buckets)
-    psi = windowed_psi(num_typed, cnum_typed, psi_bins, min_current, buckets=buckets)
+    pooled = pooled_ladder(num_typed, cnum_typed, buckets)
+    ks = windowed_ks(num_typed, cnum_typed, buckets, ks_p_value, pooled)
+    psi = windowed_psi(num_typed, cnum_typed, psi_bins, min_current, buckets=buckets, ladder=pooled)
     bin_cat = types_df.where(F.col("feature_type").isin("binary", "categorical"))
     ref_cat = (rnum.join(bin_cat, "feature", "left_semi").select("feature", F.col("value").cast("string").alias("category"), "n_ref")
                .unionByName(rcat.join(bin_cat, "feature", "left_semi")))
@@ -261,7 +273,8 @@ def windowed_data_drift(reference: DataFrame, current: DataFrame, time_col: str,
                         duration: str = "1 hour", psi_bins: int = D.PSI_DEFAULT_BINS,
                         p_threshold: float = D.P_VALUE_THRESHOLD, psi_threshold: float = D.PSI_THRESHOLD,
                         ratio_threshold: float = D.DRIFT_RATIO_THRESHOLD, min_current: int = D.PSI_MIN_CURRENT,
-                        buckets: int | None = None, windowed: DataFrame | None = None) -> WindowReport:
+                        buckets: int | None = None, windowed: DataFrame | None = None,
+                        ks_p_value: Callable[[Column, Column, Column], Column] = ks_pvalue) -> WindowReport:
     """T1 + T2: D7 for every window of ``current`` against the whole ``reference``.
 
     Feature types come from the reference (D6). ``windowed`` may pass a frame
@@ -272,7 +285,7 @@ def windowed_data_drift(reference: DataFrame, current: DataFrame, time_col: str,
     rnum, rcat, num, cat = reference_counts(reference, feature_cols)
     cnum, ccat = current_counts(cur, num, cat)
     rnum, rcat, cnum, ccat = rnum.persist(), rcat.persist(), cnum.persist(), ccat.persist()
-    tests = window_tests(rnum, rcat, cnum, ccat, psi_bins, p_threshold, psi_threshold, min_current, buckets).persist()
+    tests = window_tests(rnum, rcat, cnum, ccat, psi_bins, p_threshold, psi_threshold, min_current, buckets, ks_p_value).persist()
     records = cur.groupBy(WKEY).agg(F.count(F.lit(1)).alias("n_records"))
     return WindowReport(tests=tests, windows=window_verdicts(tests, records, len(feature_cols), ratio_threshold))
 
