@@ -1,3 +1,6 @@
+import math
+from itertools import combinations
+
 import numpy as np
 import pytest
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
@@ -5,7 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tests.conftest import SF_SMALL
-from tidewatch.operators.tree_attribution import tree_attribution
+from tidewatch.operators.tree_attribution import _expect, ensemble_value, node_tables, shapley_batch, tree_attribution
 from tidewatch.plans.model_plans import embeddings_frame
 
 
@@ -28,3 +31,65 @@ def test_tree_attribution_adds_up(spark, kind):
         # Spark's logistic GBT: probability = 1 / (1 + exp(-2 margin)), so the log-odds are 2 * margin
         ys = 2.0 * ys
     assert np.allclose(ss + b, ys, atol=1e-9)
+
+
+def _enumerated(tree, x, value_of):
+    """Shapley values from all subsets of a tree's features; value_of(subset) is the expected output."""
+    used = sorted({int(f) for f in tree["feature"] if f >= 0})
+    cache = {s: value_of(frozenset(s)) for r in range(len(used) + 1) for s in combinations(used, r)}
+    out = {}
+    for j in used:
+        rest = [u for u in used if u != j]
+        out[j] = sum(math.factorial(r) * math.factorial(len(used) - r - 1) / math.factorial(len(used))
+                     * (cache[tuple(sorted((*s, j)))] - cache[s]) for r in range(len(used)) for s in combinations(rest, r))
+    return out
+
+
+def _random_tree(rng, depth, n_features):
+    tree = {k: [] for k in ("feature", "threshold", "left", "right", "cover", "value")}
+
+    def grow(level, cover):
+        i = len(tree["feature"])
+        for k, v in (("feature", -1), ("threshold", 0.0), ("left", -1), ("right", -1), ("cover", cover), ("value", rng.normal())):
+            tree[k].append(v)
+        if level < depth and rng.random() < 0.9:
+            tree["feature"][i], tree["threshold"][i] = int(rng.integers(n_features)), float(rng.normal())
+            part = rng.uniform(0.1, 0.9)
+            tree["left"][i] = grow(level + 1, cover * part)
+            tree["right"][i] = grow(level + 1, cover * (1 - part))
+        return i
+    grow(0, 100.0)
+    return {k: np.array(v) for k, v in tree.items()} | {"weight": 1.0}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_leaf_polynomials_equal_subset_enumeration(seed):
+    rng = np.random.default_rng(seed)
+    tree = _random_tree(rng, 5, 6)
+    x, back = rng.normal(size=(20, 6)), rng.normal(size=(7, 6))
+    x[0, 2] = np.nan
+    got, wanted = shapley_batch([tree], x), _enumerated(tree, x, lambda s: _expect(tree, x, s))
+    assert got.keys() == wanted.keys()
+    for j in wanted:
+        assert np.allclose(got[j], wanted[j], atol=1e-12)
+
+    def mixed(s):
+        total = np.zeros(len(x))
+        for b in back:
+            rows = np.tile(b, (len(x), 1))
+            rows[:, list(s)] = x[:, list(s)]
+            total += ensemble_value([tree], rows)
+        return total / len(back)
+    got, wanted = shapley_batch([tree], x, back), _enumerated(tree, x, mixed)
+    for j in wanted:
+        assert np.allclose(got[j], wanted[j], atol=1e-12)
+
+
+def test_deep_trees_and_backgrounds_add_up(spark):
+    df = embeddings_frame(spark, SF_SMALL).withColumn("label", F.col("label").cast("double"))
+    m = RandomForestClassifier(numTrees=4, maxDepth=8, minInstancesPerNode=1, seed=1).fit(df)
+    trees, _ = node_tables(m, "rf")
+    phi, base = tree_attribution(df, m, ["vec_id"], [f"d{i}" for i in range(64)], "rf", background=df, max_background=20)
+    total = phi.groupBy("vec_id").agg(F.sum("phi").alias("s"))
+    got = m.transform(df).select("vec_id", vector_to_array("probability")[1].alias("y")).join(total, "vec_id", "left").collect()
+    assert np.allclose([(r.s or 0.0) + base.first().base_value for r in got], [r.y for r in got], atol=1e-9)

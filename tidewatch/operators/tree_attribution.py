@@ -1,24 +1,24 @@
-"""Attribution for Spark ML tree ensembles (X2): exact path-dependent Shapley values.
-
-For one tree, let U be the features its splits use (at most 2^depth - 1, so
-at most 7 for the depth-3 trees the models here fit). The expected output with
-the features in S fixed to the row's values and the others marginalised by the
-training cover of each branch is E_S; the Shapley value of j is
-sum over S in U \\ {j} of |S|! (|U| - |S| - 1)! / |U|! (E_{S+j} - E_S).
-With |U| <= 7 the 2^|U| subsets are enumerated exactly (no sampling); the sum
-over trees (times the tree weights) gives the ensemble attribution, which
-adds up to the explained value minus the base value for every row.
-
-The ensemble's node table is extracted once on the driver (trees x nodes, a
-few thousand rows at most) and shipped with the function; rows are processed
-in Arrow batches by ``mapInPandas`` with numpy, one partition per task.
+"""Attribution for Spark ML tree ensembles (X2): exact Shapley values, path-dependent or against a background.
+
+A tree is the sum of its leaves: a leaf's value counts where every feature on its
+path lies in the leaf's interval. With the features in S fixed to the row's values,
+a leaf contributes value * prod_{f in S} o_f * prod_{f not in S} z_f, where o_f says
+whether the row is in f's interval and z_f is the share of the training cover that
+takes the leaf's branches on f or, with a background, whether a background row is in the
+interval. The Shapley value of f then is (o_f - z_f) * value * sum_s c_s s! (d-s-1)! / d!,
+with c_s the coefficients of prod_{g != f} (z_g + o_g t) and d the features on the path.
+So work grows with leaves and path lengths, not with subsets, and the attributions of a
+row add up to the explained value minus the base value.
+
+The ensemble's leaf table is extracted once on the driver (trees x leaves, a few
+thousand rows at most) and shipped with the function, as is the background (at most
+``max_background`` rows); rows are processed in Arrow batches by ``mapInPandas``.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -26,7 +26,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_TREE_FEATURES = 12  # 4096 subsets; deeper trees need the polynomial algorithm
+from tidewatch.operators.features import background_sample
+
+#: Rows (times background rows) worked on at once.
+_BLOCK = 1 << 17
 
 
 def node_tables(model, kind: str) -> tuple[list[dict], float]:
@@ -91,37 +94,90 @@ def _expect(tree: dict, x: np.ndarray, fixed: frozenset, node: int = 0) -> np.nd
     return (c[lft] * _expect(tree, x, fixed, lft) + c[rgt] * _expect(tree, x, fixed, rgt)) / total
 
 
-def shapley_batch(trees: list[dict], x: np.ndarray) -> dict[int, np.ndarray]:
+def leaf_paths(tree: dict) -> list[tuple[float, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(value, features, lower, upper, cover share) of every leaf; one entry per feature on its path."""
+    out = []
+    stack = [(0, {})]
+    while stack:
+        node, path = stack.pop()
+        f, left, right = int(tree["feature"][node]), tree["left"][node], tree["right"][node]
+        total = tree["cover"][left] + tree["cover"][right] if f >= 0 else 0.0
+        if f < 0 or total <= 0:  # a node that no training row reached counts as a leaf
+            out.append((tree["value"][node], np.array(list(path), np.int64), *np.array(list(path.values()), np.float64).reshape(-1, 3).T))
+            continue
+        low, high, share = path.get(f, (-np.inf, np.inf, 1.0))
+        cut = tree["threshold"][node]
+        stack.append((left, path | {f: (low, min(high, cut), share * tree["cover"][left] / total)}))
+        stack.append((right, path | {f: (max(low, cut), high, share * tree["cover"][right] / total)}))
+    return out
+
+
+def inside(x: np.ndarray, features: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Whether x takes the leaf's branches on each feature: left where x <= threshold, so NaN goes right."""
+    v = x[..., features]
+    return (~(v <= low) & ((v <= high) | np.isposinf(high))).astype(np.float64)
+
+
+def leaf_shares(o: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Shapley values of the product game of one leaf; ``o`` and ``z`` broadcast, features on the last axis."""
+    o, z = np.broadcast_arrays(o, z)
+    d = o.shape[-1]
+    weights = [math.factorial(s) * math.factorial(d - s - 1) / math.factorial(d) for s in range(d)]
+    out = np.empty(o.shape)
+    for f in range(d):
+        coefficients = [np.ones(o.shape[:-1])]
+        for g in range(d):
+            if g != f:
+                with_zero, with_one = [c * z[..., g] for c in coefficients], [c * o[..., g] for c in coefficients]
+                coefficients = ([with_zero[0]] + [a + b for a, b in zip(with_zero[1:], with_one[:-1], strict=True)] + [with_one[-1]])
+        out[..., f] = (o[..., f] - z[..., f]) * sum(w * c for w, c in zip(weights, coefficients, strict=True))
+    return out
+
+
+def shapley_batch(trees: list[dict], x: np.ndarray, background: np.ndarray | None = None) -> dict[int, np.ndarray]:
     """{feature index: phi per row} summed over the ensemble."""
-    phi: dict[int, np.ndarray] = {}
+    phi = {int(f): np.zeros(len(x)) for t in trees for f in t["feature"] if f >= 0}
+    step = max(1, _BLOCK // (1 if background is None else len(background)))
     for t in trees:
-        used = sorted(set(int(f) for f in t["feature"] if f >= 0))
-        m = len(used)
-        if m == 0:
-            continue
-        if m > MAX_TREE_FEATURES:
-            raise ValueError(f"tree uses {m} features; exact enumeration is limited to {MAX_TREE_FEATURES}")
-        cache = {}
-        for r in range(m + 1):
-            for s in combinations(used, r):
-                cache[frozenset(s)] = _expect(t, x, frozenset(s))
-        for j in used:
-            others = [u for u in used if u != j]
-            acc = np.zeros(x.shape[0])
-            for r in range(m):
-                w = math.factorial(r) * math.factorial(m - r - 1) / math.factorial(m)
-                for s in combinations(others, r):
-                    s_ = frozenset(s)
-                    acc += w * (cache[s_ | {j}] - cache[s_])
-            phi[j] = phi.get(j, 0.0) + t["weight"] * acc
+        for value, features, low, high, share in leaf_paths(t):
+            if not len(features) or value == 0:
+                continue
+            z = share if background is None else inside(background, features, low, high)
+            for at in range(0, len(x), step):
+                o = inside(x[at:at + step], features, low, high)
+                parts = leaf_shares(o, z) if background is None else leaf_shares(o[:, None, :], z[None, :, :]).mean(axis=1)
+                for k, f in enumerate(features.tolist()):
+                    phi[f][at:at + step] += t["weight"] * value * parts[:, k]
     return phi
 
 
+def ensemble_value(trees: list[dict], x: np.ndarray) -> np.ndarray:
+    """The explained value of every row."""
+    out = np.zeros(len(x))
+    for t in trees:
+        for value, features, low, high, _ in leaf_paths(t):
+            out += t["weight"] * value * inside(x, features, low, high).prod(axis=1)
+    return out
+
+
 def tree_attribution(df: DataFrame, model, keys: Sequence[str], slot_names: Sequence[str], kind: str,
-                     features: str = "features") -> tuple[DataFrame, DataFrame]:
+                     features: str = "features", background: DataFrame | None = None,
+                     max_background: int = 500, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Long attributions (keys..., slot, phi) for the slots the ensemble uses,
-    and a one-row (base_value) frame."""
+    and a one-row (base_value) frame.
+
+    With a ``background`` (same columns as ``df``) the base is the mean value of its rows, and
+    features are replaced by those of background rows; at most ``max_background``, the first in
+    hash order (I14), are used. Without one, the training cover stands for the absent features.
+    """
     trees, base = node_tables(model, kind)
+    against = None
+    if background is not None:
+        kept = background_sample(background, keys, max_background, seed).select(vector_to_array(F.col(features)).alias("_x")).collect()
+        against = np.array([r["_x"] for r in kept], np.float64)
+        if not len(against):
+            raise ValueError("the background has no rows")
+        base = float(ensemble_value(trees, against).mean())
     names = list(slot_names)
     key_types = {f.name: f.dataType.simpleString() for f in df.schema.fields if f.name in keys}
     schema = ", ".join(f"`{k}` {key_types[k]}" for k in keys) + ", slot string, phi double"
@@ -132,7 +188,7 @@ def tree_attribution(df: DataFrame, model, keys: Sequence[str], slot_names: Sequ
             if pdf.empty:
                 continue
             x = np.vstack(pdf["_x"].to_numpy())
-            phi = shapley_batch(trees, x)
+            phi = shapley_batch(trees, x, against)
             parts = []
             for j, v in phi.items():
                 part = pdf[list(keys)].copy()

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import features as FT
 from tidewatch.operators import models as M
+from tidewatch.operators.columns import attach_row
 from tidewatch.plans.catalog import SLOW, register
 from tidewatch.session import checkpoint_dir, ensure_local_checkpoint_dir
 from tidewatch.sources.tables import read_table
@@ -95,3 +96,17 @@ def model_tree_attribution_embeddings(spark: SparkSession, sf_dir: str) -> DataF
 
 
 SLOW.add("model_tree_attribution_embeddings")
+
+
+@register("model_forest_background_embeddings", "SELECT count(*) AS n, count(*) AS n_additive FROM embeddings", ("X2", "M2"))
+def model_forest_background_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shapley values of a forest against 100 background rows: for every row they add up to
+    its probability less the background's mean."""
+    from tidewatch.operators.tree_attribution import tree_attribution
+    df = M.balanced_weight(embeddings_frame(spark, sf_dir), "label")
+    m = M.forest("features", "label", "weight").fit(df)
+    phi, base = tree_attribution(df, m, ["vec_id"], [f"dim_{i}" for i in range(64)], "rf", background=df, max_background=100)
+    total = attach_row(phi.groupBy("vec_id").agg(F.sum("phi").alias("total")), base)
+    scored = M.score(m, df).select("vec_id", "p1").join(total, "vec_id", "left")
+    off = F.abs(F.col("total") + F.col("base_value") - F.col("p1"))
+    return scored.agg(F.count("*").alias("n"), F.count_if(off < 1e-6).alias("n_additive"))
