@@ -79,6 +79,15 @@ def test_filter_reads_what_it_holds():
     assert (f.read(rnd.integers(0, 2 ** 63, 20000).astype(np.uint64)) > 0).mean() < 0.02
 
 
+def test_quanta_understate_by_a_fifth_at_most_and_false_hits_are_rare():
+    counts = np.arange(1, 20000)
+    assert (lm_scoring.value(lm_scoring.quantised(counts, 1), 1) >= 0.8 * counts - 1e-6).all()
+    rnd = np.random.default_rng(2)
+    f = lm_scoring.Filter(1, 200_000 * lm_scoring.BITS_PER_ENTRY)
+    f.data = np.frombuffer(f.build(rnd.integers(0, 2 ** 63, 200_000).astype(np.uint64), np.ones(200_000, int)), np.uint8)
+    assert (f.read(rnd.integers(0, 2 ** 63, 200_000).astype(np.uint64)) > 0).mean() < 0.0045
+
+
 def test_least_count_keeps_to_the_bound_and_small_filters_work(spark):
     df = real(spark)
     model, _ = lm_scoring.train(df.select("text"), 64 << 10)
