@@ -97,6 +97,44 @@ def test_least_count_keeps_to_the_bound_and_small_filters_work(spark):
     assert rows.s < 0 and rows.s > 1.2 * rows.b
 
 
+@pytest.mark.parametrize("max_bytes", [lm_scoring.MAX_FILTER_BYTES, 64 << 10])
+def test_model_is_whole_whatever_the_filters_hold(spark, max_bytes):
+    """All pairs, rare ones too, against exact dictionaries; small filters leave the rest to the tables."""
+    df = real(spark)
+    train, held = df.where("doc_id % 3 <> 1"), df.where("doc_id % 3 = 1")
+    uni, bi = Counter(), Counter()
+    for r in train.collect():
+        w = [*brute.words(r.text, True), "\n"]
+        uni.update(w)
+        bi.update(zip(["\n", *w[:-1]], w, strict=True))
+    n, v = sum(uni.values()), len(uni)
+    once, twice = (sum(x == k for x in bi.values()) for k in (1, 2))
+    d = once / (once + 2 * twice)
+    # as the model reads them: lower edges of quanta from the least count of the filters, or from 1
+    model, _, pairs, _ = lm_scoring.trained(train.select("text"), max_bytes, 1)
+    assert (model.rest == {1, 2, 3}) == (max_bytes < 1 << 20)
+    assert pairs.count() == sum(x < model.least[2] for x in bi.values())
+    start = lambda x, kind: model.least[kind] if x >= model.least[kind] else 1
+    quantum = lambda x, kind: int(lm_scoring.quantised(np.array(x), start(x, kind)))
+    low = lambda x, kind: start(x, kind) * lm_scoring.LOG_BASE ** (quantum(x, kind) - 1)
+    share = {a: 1 / (start(x, 1) * lm_scoring.LOG_BASE ** quantum(x, 1)) for a, x in uni.items()}
+    kept = defaultdict(float)
+    for (a, _), x in bi.items():
+        kept[a] += max(low(x, 2) - d, 0) * share[a]
+
+    def log_p(a, b):
+        seen = max(low(bi[a, b], 2) - d, 0) * share[a] if (a, b) in bi else 0
+        gamma = lm_scoring.WEIGHT_BASE ** -math.ceil(-math.log(max(1e-5, 1 - kept[a])) / math.log(lm_scoring.WEIGHT_BASE) - 1e-9)
+        return math.log10(min(1, seen + gamma * ((low(uni[b], 1) if b in uni else 0) + 1) / (n + v + 1)))
+
+    got = {r.doc_id: r.score for r in lm_scoring.score_texts(held, train, max_bytes=max_bytes, rarest_pair=1).collect()}
+    off = []
+    for r in held.collect():
+        w = [*brute.words(r.text, True), "\n"]
+        off.append(abs(got[r.doc_id] - sum(log_p(a, b) for a, b in zip(["\n", *w[:-1]], w, strict=True))) / len(w))
+    assert len(off) == len(got) and np.mean(off) < 0.02 and max(off) < 0.6
+
+
 def test_lm_without_training_or_documents(docs, empty):
     assert lm_scoring.score_texts(empty, docs).collect() == []
     rows = lm_scoring.score_texts(docs, empty).collect()

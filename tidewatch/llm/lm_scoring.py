@@ -6,9 +6,10 @@ broadcast. A count is read by probing with rising q until a probe fails. Pair
 probabilities use absolute discounting; the weight left for single words is stored
 the same way, quantised, for each context.
 
-A filter has at most ``max_filter_bytes``. Frequencies below a least count are left
-out (pairs seen once always are), and the least count is the smallest power of two
-with which all entries fit: the model gets coarser, never the base counts.
+The broadcast filters have at most ``max_bytes``. They hold the frequencies from a
+least count on, the smallest power of two with which all entries fit. What is rarer
+stays in tables, quantised the same way, and pairs of tokens that need it meet it in
+joins: the model grows with the corpus, its broadcast part does not.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ FREQUENT = 2e-6          # words with at least this share of all tokens (at most
 TOKENS = 250_000         # tokens that a task works on at once
 HELD = 1_500_000         # keys that a task holds before it sums and sends them
 CHUNK_KEYS = 1 << 20     # keys of a chunk of counts, about
+ROW_KEYS = 1 << 17       # keys in a row of counts, at most
+BATCH_BYTES = 16 << 20   # that Python workers get at once
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 U = np.uint64
 
@@ -106,11 +109,11 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def tables(docs: DataFrame, chunks: int) -> DataFrame:
-    """(kind, chunk, keys, counts, singles, doubles, types, tokens): summed counts by chunk.
+def tables(docs: DataFrame, chunks: int, rarest_pair: int) -> DataFrame:
+    """(kind, chunk, keys, counts, singles, doubles, types, tokens): summed counts by chunk, in rows of at most ROW_KEYS.
 
-    Kind 1 are words, kind 2 pairs; of pairs seen once only their number is kept.
-    ``docs`` has text. Tasks sum what they read before it moves.
+    Kind 1 are words, kind 2 pairs; of pairs seen less than ``rarest_pair`` times only
+    numbers are kept. ``docs`` has text. Tasks sum what they read before it moves.
     """
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, held, n = Hashes(), {1: [], 2: []}, 0
@@ -141,9 +144,12 @@ def tables(docs: DataFrame, chunks: int) -> DataFrame:
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         kind = int(pdf["kind"].iloc[0])
         keys, counts = summed(np.frombuffer(b"".join(pdf["keys"]), U), np.frombuffer(b"".join(pdf["counts"]), np.uint32).astype(np.int64))
-        keep = slice(None) if kind == 1 else counts > 1
-        return pd.DataFrame({"kind": [kind], "chunk": [int(pdf["chunk"].iloc[0])], "keys": [keys[keep].tobytes()], "counts": [counts[keep].tobytes()],
-                             "singles": [int((counts == 1).sum())], "doubles": [int((counts == 2).sum())], "types": [len(keys)], "tokens": [int(counts.sum())]})
+        keep = slice(None) if kind == 1 else counts >= rarest_pair
+        numbers = int((counts == 1).sum()), int((counts == 2).sum()), len(keys), int(counts.sum())
+        keys, counts, chunk = keys[keep], counts[keep], int(pdf["chunk"].iloc[0])
+        return pd.DataFrame([(kind, chunk, keys[i:i + ROW_KEYS].tobytes(), counts[i:i + ROW_KEYS].tobytes(), *(numbers if i == 0 else (0, 0, 0, 0)))
+                             for i in range(0, max(1, len(keys)), ROW_KEYS)],
+                            columns=["kind", "chunk", "keys", "counts", "singles", "doubles", "types", "tokens"])
 
     rows = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, "kind int, chunk int, keys binary, counts binary")
     return rows.groupBy("kind", "chunk").applyInPandas(
@@ -236,30 +242,54 @@ def build_filter(entries: DataFrame, total: int, spark) -> Filter:
     return size
 
 
+def single_of(q: np.ndarray, least: float, tokens: int, types: int) -> np.ndarray:
+    """Add-one probability of a word of quantum q."""
+    return (value(q, least) + 1) / (tokens + types + 1)
+
+
 class Model:
-    """The filters and totals that score a text."""
+    """The filters and totals that score a text; ``rest`` tells of which kinds (1 words, 2 pairs, 3 weights) some are in the tables alone."""
 
-    def __init__(self, words: Filter, pairs: Filter, weights: Filter, least: dict[int, int], discount: float, tokens: int, types: int):
-        self.words, self.pairs, self.weights, self.least = words, pairs, weights, least
+    def __init__(self, words: Filter, pairs: Filter, weights: Filter, least: dict[int, int], discount: float, tokens: int, types: int, rest: frozenset):
+        self.words, self.pairs, self.weights, self.least, self.rest = words, pairs, weights, least, rest
         self.discount, self.tokens, self.types = discount, tokens, types
 
-    def log10(self, h: np.ndarray, words: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """log10 probability of each token after the one before it; ``words``, ``at``: the distinct hashes and their places."""
+    def log10(self, h: np.ndarray, words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+        """log10 probability of each token after the one before it; ``words``, ``at``: the distinct hashes and their places.
+
+        Also the tokens for which the tables have to be asked, with what the filters say of them:
+        b (place of the word before), single, share, gamma and seen, NaN where unknown.
+        """
         qw = self.words.read(words)
-        single = (value(qw, self.least[1]) + 1) / (self.tokens + self.types + 1)
+        single = single_of(qw, self.least[1], self.tokens, self.types)
         share = np.where(qw > 0, LOG_BASE ** -qw.astype(float) / self.least[1], 0.0)
-        gamma = WEIGHT_BASE ** -self.weights.read(words >> U(32)).astype(float)
+        qg = self.weights.read(words >> U(32))
+        gamma = WEIGHT_BASE ** -qg.astype(float)
         q = self.pairs.read(pair_keys(h))
         seen = np.maximum(value(np.arange(q.max(initial=0) + 1), self.least[2]) - self.discount, 0)[q]
         before = np.concatenate([[np.searchsorted(words, U(END))], at[:-1]])
-        return np.log10(np.minimum(seen * share[before] + gamma[before] * single[at], 1.0))
+        p = np.log10(np.minimum(seen * share[before] + gamma[before] * single[at], 1.0))
+        if not self.rest:
+            return p, np.zeros(0, np.int64), {}
+        rare = {1: qw == 0, 2: q == 0, 3: qg == 0}
+        rare = {kind: r if kind in self.rest else np.zeros_like(r) for kind, r in rare.items()}
+        ask = np.flatnonzero(rare[1][at] | rare[1][before] | rare[2] | rare[3][before])
+        to, of = before[ask], at[ask]
+        return p, ask, {"b": to, "single": np.where(rare[1][of], np.nan, single[of]), "share": np.where(rare[1][to], np.nan, share[to]),
+                        "gamma": np.where(rare[3][to], np.nan, gamma[to]), "seen": np.where(rare[2][ask], np.nan, seen[ask])}
+
+
+def train(docs: DataFrame, max_bytes: int = MAX_FILTER_BYTES, rarest_pair: int = 2) -> tuple[Model, DataFrame]:
+    """The model, and (h, c): the exact count of every word's hash, from the texts in ``docs``."""
+    return trained(docs, max_bytes, rarest_pair)[:2]
 
 
-def train(docs: DataFrame, max_bytes: int = MAX_FILTER_BYTES) -> tuple[Model, DataFrame]:
-    """The model, and (h, c): the exact count of every word's hash, from the texts in ``docs``."""
+def trained(docs: DataFrame, max_bytes: int, rarest_pair: int) -> tuple[Model, DataFrame, DataFrame, DataFrame]:
+    """The model, (h, c) of all words, and what the filters leave out: (pair, c) of pairs and (ctx, q) of weights."""
     spark = docs.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     chunks = max(1, math.ceil(docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0) // (6 * CHUNK_KEYS) + 1)
-    counts = written(tables(docs, chunks), "lm-counts")
+    counts = written(tables(docs, chunks, rarest_pair), "lm-counts")
     stats = {r["kind"]: r for r in counts.groupBy("kind").agg(*[F.sum(c).alias(c) for c in ("singles", "doubles", "types", "tokens")]).collect()}
     tokens, types = (stats[1]["tokens"], stats[1]["types"]) if 1 in stats else (0, 0)
     once, twice = (stats[2]["singles"], stats[2]["doubles"]) if 2 in stats else (0, 0)
@@ -270,7 +300,7 @@ def train(docs: DataFrame, max_bytes: int = MAX_FILTER_BYTES) -> tuple[Model, Da
             for kind, blob in zip(pdf["kind"], pdf["counts"], strict=True):
                 c = np.frombuffer(blob, np.int64)
                 power = np.floor(np.log2(np.maximum(c, 1)) + 1e-9).astype(np.int64)
-                n = np.bincount(power, weights=quantised(c, 2.0 if kind == 2 else 1.0))
+                n = np.bincount(power, weights=quantised(c, float(rarest_pair) if kind == 2 else 1.0))
                 yield pd.DataFrame({"kind": kind, "power": np.arange(len(n)), "n": n.astype(np.int64)})
 
     entries: dict[int, dict[int, int]] = {1: {}, 2: {}}
@@ -278,7 +308,7 @@ def train(docs: DataFrame, max_bytes: int = MAX_FILTER_BYTES) -> tuple[Model, Da
         entries[r["kind"]][r["power"]] = r["n"]
     word_least = least_count(entries[1], 1, max_bytes // 4)
     # a pair's context is at least as frequent as the pair, so it is in the words' filter
-    least = {1: word_least, 2: max(word_least, least_count(entries[2], 2, max_bytes // 2))}
+    least = {1: word_least, 2: max(word_least, least_count(entries[2], rarest_pair, max_bytes // 2))}
 
     def quanta(kind: int):
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -294,61 +324,104 @@ def train(docs: DataFrame, max_bytes: int = MAX_FILTER_BYTES) -> tuple[Model, Da
     size = lambda kind: sum(n for i, n in entries[kind].items() if 1 << i >= least[kind])
     words, pairs = build_filter(of(1), size(1), spark), build_filter(of(2), size(2), spark)
 
+    def tiered(n: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """Quanta, and the counts they start from: the filters' least count, or 1 for what only the tables have."""
+        start = np.where(n >= least[kind], float(least[kind]), 1.0)
+        return quantised(n, start), start
+
     def contexts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             for k, c in zip(pdf["keys"], pdf["counts"], strict=True):
-                keys, n = np.frombuffer(k, U), np.frombuffer(c, np.int64)
-                keep = n >= least[2]
-                ctx, at = np.unique(keys[keep] >> U(32), return_inverse=True)
-                kept = np.bincount(at, weights=np.maximum(value(quantised(n[keep], least[2]), least[2]) - discount, 0), minlength=len(ctx))
-                yield pd.DataFrame({"ctx": ctx.view(np.int64), "kept": kept, "total": np.nan})
+                ctx, at = np.unique(np.frombuffer(k, U) >> U(32), return_inverse=True)
+                kept = np.bincount(at, weights=np.maximum(value(*tiered(np.frombuffer(c, np.int64), 2)) - discount, 0), minlength=len(ctx))
+                yield pd.DataFrame({"ctx": ctx.view(np.int64), "kept": kept, "total": np.nan, "n": 0})
 
     def totals(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             for k, c in zip(pdf["keys"], pdf["counts"], strict=True):
                 keys, n = np.frombuffer(k, U), np.frombuffer(c, np.int64)
-                keep = n >= max(2, least[2])
-                yield pd.DataFrame({"ctx": (keys[keep] >> U(32)).view(np.int64), "kept": 0.0, "total": least[1] * LOG_BASE ** quantised(n[keep], least[1]).astype(float)})
+                keep = n >= rarest_pair
+                q, start = tiered(n[keep], 1)
+                yield pd.DataFrame({"ctx": (keys[keep] >> U(32)).view(np.int64), "kept": 0.0, "total": start * LOG_BASE ** q.astype(float), "n": n[keep]})
 
-    both = (counts.where("kind = 2").mapInPandas(contexts, "ctx long, kept double, total double")
-            .union(counts.where("kind = 1").mapInPandas(totals, "ctx long, kept double, total double")))
+    both = (counts.where("kind = 2").mapInPandas(contexts, "ctx long, kept double, total double, n long")
+            .union(counts.where("kind = 1").mapInPandas(totals, "ctx long, kept double, total double, n long")))
     rate = F.col("kept") / F.col("total")
-    left = (both.groupBy("ctx").agg(F.sum("kept").alias("kept"), F.min(F.when(~F.isnan("total"), F.col("total"))).alias("total"))
+    left = (both.groupBy("ctx").agg(F.sum("kept").alias("kept"), F.min(F.when(~F.isnan("total"), F.col("total"))).alias("total"), F.max("n").alias("n"))
             .where("kept > 0 and total > 0")
-            .select("ctx", F.ceil(-F.log(F.greatest(F.lit(1e-5), 1 - rate)) / math.log(WEIGHT_BASE)).cast("int").alias("q")).where("q > 0"))
-    # weights take entries in units of WEIGHT_BASE; contexts with the least kept mass go first if they don't fit
+            .select("ctx", F.ceil(-F.log(F.greatest(F.lit(1e-5), 1 - rate)) / math.log(WEIGHT_BASE)).cast("int").alias("q"), "n").where("q > 0"))
+    # weights take entries in units of WEIGHT_BASE; those of rare contexts stay in the table if they don't fit
     left = written(left, "lm-weights")
-    heavy, total_q = 1, 0
-    sizes = {r["q"]: r["n"] for r in left.groupBy("q").agg(F.count("*").alias("n")).collect()}
-    while (total_q := sum(q * n for q, n in sizes.items() if q >= heavy)) * BITS_PER_ENTRY / 8 > max_bytes // 4:
-        heavy += 1
+    weight_entries = {r["power"]: r["q"] for r in left.groupBy(F.floor(F.log2("n") + 1e-9).cast("int").alias("power")).agg(F.sum("q").alias("q")).collect()}
+    least[3] = least_count(weight_entries, 1, max_bytes // 4)
+    total_q = sum(q for i, q in weight_entries.items() if 1 << i >= least[3])
 
     def weight_blobs(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             yield pd.DataFrame(list(by_chunk(pdf["ctx"].to_numpy(np.int64).view(U), pdf["q"].to_numpy().astype(np.uint8), chunks)), columns=["chunk", "keys", "quanta"])
 
-    weights = build_filter(left.where(F.col("q") >= heavy).mapInPandas(weight_blobs, blobs), total_q, spark)
+    weights = build_filter(left.where(F.col("n") >= least[3]).mapInPandas(weight_blobs, blobs), total_q, spark)
 
-    def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            for k, c in zip(pdf["keys"], pdf["counts"], strict=True):
-                yield pd.DataFrame({"h": np.frombuffer(k, np.int64), "c": np.frombuffer(c, np.int64)})
+    def rows(below: float, count: str):
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in parts:
+                for k, c in zip(pdf["keys"], pdf["counts"], strict=True):
+                    keys, n = np.frombuffer(k, np.int64), np.frombuffer(c, np.int64)
+                    keep = n < below
+                    yield pd.DataFrame({count: keys[keep], "c": n[keep]})
+        return run
+
+    exact = counts.where("kind = 1").select("keys", "counts").mapInPandas(rows(math.inf, "h"), "h long, c long")
+    rare_pairs = counts.where("kind = 2").select("keys", "counts").mapInPandas(rows(least[2], "pair"), "pair long, c long")
+    rest = frozenset([kind for kind in (1, 2) if any(1 << i < least[kind] and n for i, n in entries[kind].items())]
+                     + [3] * any(1 << i < least[3] for i in weight_entries))
+    return Model(words, pairs, weights, least, discount, tokens, types, rest), exact, rare_pairs, left.where(F.col("n") < least[3]).select("ctx", "q")
 
-    exact = counts.where("kind = 1").select("keys", "counts").mapInPandas(rows, "h long, c long")
-    return Model(words, pairs, weights, least, discount, tokens, types), exact
 
+def rare_terms(asked: DataFrame, exact: DataFrame, rare_pairs: DataFrame, rare_weights: DataFrame, model: Model) -> DataFrame:
+    """(row, score): log10 probabilities of the tokens that the filters left open, summed.
 
-def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str = "text", max_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
+    ``asked`` has row, tf, word h after word b, pair, and single, share, gamma, seen: NaN
+    where the tables have to be asked. Every distinct pair of words meets the tables once;
+    a key of a known value is replaced by the pair's, so frequent words don't gather.
+    """
+    names = ("single", "share", "gamma", "seen")
+    p = asked.select("b", "h", "pair", *names).distinct()
+    base = F.lit(math.log(LOG_BASE))
+    quantum = lambda c: 1 + F.floor(F.log(c) / base + 1e-9)
+    if 1 in model.rest:
+        words = exact.where(F.col("c") < model.least[1]).select(F.col("h").alias("_k"), quantum(F.col("c")).cast("double").alias("_q"))
+        for name, col in (("single", "h"), ("share", "b")):
+            p = p.withColumn("_k", F.when(F.isnan(name), F.col(col)).otherwise(F.col("pair"))).join(words, "_k", "left")
+            found = ((F.pow(F.lit(LOG_BASE), F.col("_q") - 1) + 1) if name == "single" else F.pow(F.lit(LOG_BASE), -F.col("_q")))
+            scale = F.lit(float(model.tokens + model.types + 1) if name == "single" else 1.0)
+            p = p.withColumn(name, F.when(F.isnan(name), F.coalesce(found, F.lit(1.0 if name == "single" else 0.0)) / scale).otherwise(F.col(name))).drop("_k", "_q")
+    if 3 in model.rest:
+        p = p.withColumn("_k", F.when(F.isnan("gamma"), F.shiftrightunsigned("b", 32)).otherwise(F.col("pair"))).join(rare_weights.withColumnRenamed("ctx", "_k"), "_k", "left")
+        p = p.withColumn("gamma", F.when(F.isnan("gamma"), F.coalesce(F.pow(F.lit(WEIGHT_BASE), -F.col("q").cast("double")), F.lit(1.0))).otherwise(F.col("gamma"))).drop("_k", "q")
+    if 2 in model.rest:
+        p = p.join(rare_pairs, "pair", "left")
+        found = F.greatest(F.pow(F.lit(LOG_BASE), quantum(F.col("c")) - 1) - F.lit(model.discount), F.lit(0.0))
+        p = p.withColumn("seen", F.when(F.isnan("seen"), F.coalesce(found, F.lit(0.0))).otherwise(F.col("seen"))).drop("c")
+    log = F.log10(F.least(F.col("seen") * F.col("share") + F.col("gamma") * F.col("single"), F.lit(1.0)))
+    p = p.select("b", "h", log.alias("log"))
+    return asked.select("row", "b", "h", "tf").join(p, ["b", "h"]).select("row", (F.col("tf") * F.col("log")).alias("score"))
+
+
+def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str = "text", max_bytes: int = MAX_FILTER_BYTES,
+                rarest_pair: int = 2) -> DataFrame:
     """Scores of every document under a model of the ``training`` rows (of one text column).
 
     Returns key, n_tokens, n_known, train_tokens, base_score (add-one unigram, exact
     counts) and score (the filter model). Words are compared by 64-bit hashes. Null and
     empty texts have the end token alone; repeated rows are scored alike; without
     training rows all counts are 0. Words too rare for the broadcast table of exact
-    counts meet their counts in a join, one row for each document and rare word.
+    counts meet their counts in a join, one row for each document and rare word; pairs
+    of words of which a filter leaves something open meet the model's tables likewise.
+    The model has the pairs seen at least ``rarest_pair`` times.
     """
     spark = docs.sparkSession
-    model, exact = train(training.select(F.col(text).alias("text")), max_bytes)
+    model, exact, rare_pairs, rare_weights = trained(training.select(F.col(text).alias("text")), max_bytes, rarest_pair)
     exact = written(exact, "lm-words")
     at_least = max(1.0, FREQUENT * model.tokens)
     known = exact.where(F.col("c") >= at_least).toPandas()
@@ -360,6 +433,8 @@ def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", text:
 
     columns = {"row": pa.int64(), "key": pa.string(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(),
                "score": pa.float64(), "h": pa.int64(), "tf": pa.int32()}
+    if model.rest:
+        columns |= {"b": pa.int64(), "pair": pa.int64(), "single": pa.float64(), "share": pa.float64(), "gamma": pa.float64(), "seen": pa.float64()}
 
     def score(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, frequent, count = shared.value
@@ -377,7 +452,8 @@ def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", text:
                 h, n = hashed(part.column("text").to_pylist(), cache)
                 first = np.concatenate([[0], np.cumsum(n)[:-1]])
                 words, at = np.unique(h, return_inverse=True)
-                p = m.log10(h, words, at)
+                p, ask, terms = m.log10(h, words, at)
+                p[ask] = 0.0
                 place = np.minimum(np.searchsorted(frequent, words), max(0, len(frequent) - 1))
                 have = (frequent[place] == words) if len(frequent) else np.zeros(len(words), bool)
                 c = np.where(have, count[place], 0) if len(frequent) else np.zeros(len(words), np.int64)
@@ -394,13 +470,34 @@ def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", text:
                     if len(pairs):
                         d, r = np.divmod(pairs, len(words))
                         yield out(len(d), row=row[d], h=words[r].view(np.int64), tf=tf)
+                if len(ask):
+                    # what the filters leave open: one row for each document and pair of words
+                    doc, key = np.repeat(np.arange(len(n)), n)[ask], pair_keys(h)[ask]
+                    order = np.lexsort((key, doc))
+                    doc, key = doc[order], key[order]
+                    start = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])]))
+                    one = order[start]
+                    yield out(len(start), row=row[doc[start]], h=h[ask[one]].view(np.int64), tf=np.diff(np.append(start, len(order))),
+                              b=words[terms["b"][one]].view(np.int64), pair=key[start].view(np.int64),
+                              **{c: terms[c][one] for c in ("single", "share", "gamma", "seen")})
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("string").alias("key"), F.col(text).cast("binary").alias("text"))
-    found = rows.mapInArrow(score, "row long, key string, n_tokens long, n_known long, base double, score double, h long, tf int")
+    found = rows.mapInArrow(score, "row long, key string, n_tokens long, n_known long, base double, score double, h long, tf int"
+                            + (", b long, pair long, single double, share double, gamma double, seen double" if model.rest else ""))
+    open_terms = None
+    if model.rest:
+        found = written(found, "lm-found")
+        # an open pair lacks at least one of its terms, other rows none
+        asked = F.isnan("single") | F.isnan("share") | F.isnan("gamma") | F.isnan("seen")
+        open_terms = rare_terms(found.where(asked), exact, rare_pairs, rare_weights, model)
+        found = found.where(~asked).select("row", "key", "n_tokens", "n_known", "base", "score", "h", "tf")
     rare = exact.where(F.col("c") < at_least)
     c = F.coalesce(F.col("c"), F.lit(0))
-    out = (found.join(rare, "h", "left").groupBy("row").agg(
-        F.max("key").alias("_key"), F.sum("n_tokens").alias("n_tokens"),
-        (F.sum("n_known") + F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0))).alias("n_known"),
-        F.sum(F.col("base") + F.col("tf") * F.log10((c + 1) / F.lit(float(below)))).alias("base_score"), F.sum("score").alias("score")))
+    parts = found.join(rare, "h", "left").select("row", "key", "n_tokens", "n_known", F.when(F.col("c") > 0, F.col("tf")).otherwise(0).alias("known"),
+                                                 (F.col("base") + F.col("tf") * F.log10((c + 1) / F.lit(float(below)))).alias("base"), "score")
+    if open_terms is not None:
+        parts = parts.unionByName(open_terms, allowMissingColumns=True)
+    out = parts.groupBy("row").agg(
+        F.max("key").alias("_key"), F.sum("n_tokens").alias("n_tokens"), (F.sum("n_known") + F.sum("known")).alias("n_known"),
+        F.sum("base").alias("base_score"), F.sum("score").alias("score"))
     return out.select(F.col("_key").cast(kind).alias(key), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -30,7 +30,7 @@ def fold(key: Column, n: int) -> Column:
 @query
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = lm_scoring.score_texts(docs, docs.where(fold(F.col("doc_id"), 7) != 2))
+    scored = lm_scoring.score_texts(docs, docs.where(fold(F.col("doc_id"), 7) != 2), rarest_pair=1)
     return scored.withColumn("held_out", fold(F.col("doc_id"), 7) == 2)
 
 
