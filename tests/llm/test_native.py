@@ -227,6 +227,28 @@ def test_contexts_find_unseen_identifiers_and_redact(spark):
     assert red[3] == "please write to mailbox <EMAIL> soon" and red[100] == dict(seeds)[100]
 
 
+def test_contexts_of_spaced_identifiers_find_other_shapes(spark):
+    def card(i):
+        body = f"41111111{i:07d}"
+        total = sum(int(c) if j % 2 else sum(divmod(2 * int(c), 10)) for j, c in enumerate(body))
+        body += str(-total % 10)
+        return " ".join(body[j:j + 4] for j in range(0, 16, 4))
+
+    seeds = [(i, f"you may telephone +1 (361) 555-{8000 + i} today") for i in range(30)]
+    seeds += [(100 + i, f"paid with creditcard {card(i)} today") for i in range(30)]
+    unseen = [(200, "you may telephone 0361 555 82 83 today"), (201, "paid with creditcard 4111-22 x-3333/44 today"),
+              (202, "see page 0361 555 82 83 today"), (203, "you may telephone (0361/5x5 for bob@site.example.org now"),
+              (204, "you may telephone 77/88 bob@site.example.org now")]
+    df = spark.createDataFrame(seeds + unseen, "doc_id long, text string")
+    rows = {r.doc_id: r for r in pii.detect_pii(df).collect()}
+    got = {i: r.spans for i, r in rows.items()}
+    assert got[5] == "phone:18:35" and rows[105].n_card == 1
+    assert got[200] == "phone:18:32" and got[201] == "card:21:38" and got[202] == ""
+    assert got[203].split(",")[1:] == ["phone:19:27"] and got[204].split(",")[1:] == ["phone:18:23"]
+    red = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert red[200] == "you may telephone <PHONE> today" and red[105] == "paid with creditcard <CARD> today"
+
+
 def test_redact_fixture(docs, empty):
     out = pii.redact(docs)
     assert out.columns == docs.columns and out.count() == docs.count()

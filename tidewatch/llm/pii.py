@@ -1,8 +1,8 @@
 """Personal data: pattern spans, and identifiers found by bootstrapped lexical contexts (native expressions).
 
-Seed entities come from fixed patterns. The words before them, with the shape of
-what follows, become lexical patterns; a bipartite graph of patterns and instances
-is scored in rounds, and patterns of high confidence mark further identifiers.
+Seed entities come from fixed patterns. The one and the two words before them become
+lexical patterns; a bipartite graph of patterns and instances is scored in rounds, and
+patterns of high confidence mark further identifiers, of any shape and of several words.
 """
 
 from __future__ import annotations
@@ -22,8 +22,11 @@ PATTERNS = {
     "card": r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: A word with a digit or an at sign, with the word before it: what a lexical pattern may mark.
-CANDIDATE = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D]*[0-9@])[^\x20\x09-\x0D]++"
+#: What a lexical pattern may mark: words with a digit or an at sign, one after the other on a line, up to punctuation.
+_WORD = r"(?=[^\x20\x09-\x0D]*[0-9@])[^\x20\x09-\x0D]++"
+CANDIDATE = rf"(?<![^\x20\x09-\x0D]){_WORD}(?:(?<![,;:.!?])[\x20\x09]++{_WORD})*+"
+#: The word, and the word before that, which end a text but for white space and opening marks.
+LEFT = r"(?:([^\x20\x09-\x0D]++)[\x20\x09-\x0D]++)?(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++)[\x20\x09-\x0D]++[(\[{<\"']*+$"
 TRIM = r"^[(\[{<\"']+|[)\]}>\"'.,;:!?]+$"
 
 
@@ -45,22 +48,19 @@ def valid(kind: Column, match: Column) -> Column:
 
 
 def pieces(text: Column, kind: int, pattern: str) -> Column:
-    """Array of (kind, gap before, match) for all matches of a pattern, in order."""
+    """Array of (kind, gap before, match, end of the gap) for all matches of a pattern, in order."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     return F.when(F.size(found) > 0, F.zip_with(
         F.slice(gaps, 1, F.size(found)), found,
-        lambda g, m: F.struct(F.lit(kind).alias("kind"), F.length(g).alias("gap"), m.alias("match"), F.lit(None).cast("string").alias("left"))))
+        lambda g, m: F.struct(F.lit(kind).alias("kind"), F.length(g).alias("gap"), m.alias("match"), F.substring(g, -120, 120).alias("left"))))
 
 
-def candidates(text: Column) -> Column:
-    """Array of (kind 4, gap before, identifier-like word, word before it)."""
-    found = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
-    gaps = F.split(text, CANDIDATE, -1)
-    left = lambda g: ascii_lower(F.regexp_extract(g, r"([^\x20\x09-\x0D]++)[\x20\x09-\x0D]*+$", 1))
-    return F.when(F.size(found) > 0, F.zip_with(
-        F.slice(gaps, 1, F.size(found)), found,
-        lambda g, m: F.struct(F.lit(4).alias("kind"), F.length(g).alias("gap"), m.alias("match"), left(F.substring(g, -120, 120)).alias("left"))))
+def contexts(left: Column) -> Column:
+    """Lexical patterns of a text that ends before an identifier: its last word, and its last two."""
+    left = ascii_lower(left)
+    one, two = F.regexp_extract(left, LEFT, 2), F.regexp_extract(left, LEFT, 1)
+    return F.filter(F.array(one, F.when((one != "") & (two != ""), F.concat_ws(" ", two, one))), lambda p: p.isNotNull() & (p != ""))
 
 
 def shape(match: Column) -> Column:
@@ -77,7 +77,7 @@ def seed_spans(rows: DataFrame) -> DataFrame:
     empty = F.expr("cast(array() as array<struct<kind:int,gap:int,match:string,left:string>>)")
     one = F.array(F.struct(F.lit(-1).alias("kind"), F.lit(0).alias("gap"), F.lit(None).cast("string").alias("match"), F.lit(None).cast("string").alias("left")))
     some = [F.coalesce(F.when(at if k == "email" else digit, pieces(text, i, PATTERNS[k])), empty) for i, k in enumerate(KINDS)]
-    some.append(F.coalesce(F.when(digit | at, candidates(text)), empty))
+    some.append(F.coalesce(F.when(digit | at, pieces(text, 4, CANDIDATE)), empty))
     found = rows.select("row", "key", F.posexplode(F.concat(one, *some)).alias("pos", "m")).select("row", "key", "pos", "m.*")
     found = written(found, "pii-matches")
     run = Window.partitionBy("row", "kind").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
@@ -87,29 +87,47 @@ def seed_spans(rows: DataFrame) -> DataFrame:
             .where((F.col("kind").isin(-1, 4)) | valid(F.col("kind"), F.col("match"))))
 
 
-def bootstrap(spans: DataFrame, rounds: int = 3, min_score: float = 0.8, min_instances: int = 8) -> DataFrame:
+def open_candidates(spans: DataFrame) -> DataFrame:
+    """(row, start, instance, left) of the candidates that begin outside base spans, each up to the next base span."""
+    base = F.col("kind") < 4
+    order = Window.partitionBy("row").orderBy("start", "kind")
+    taken = F.max(F.when(base, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    following = F.first(F.when(base, F.col("start")), ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    # leading marks are no part of an identifier, and a base span may begin right after them
+    lead = F.when(base, F.lit(0)).otherwise(F.length(F.regexp_extract("match", r"^[(\[{<\"']+", 0)))
+    rows = (spans.where("kind >= 0").withColumn("start", F.col("start") + lead).withColumn("match", F.expr("substring(match, cast(end - start as int) * -1)"))
+            .withColumn("_taken", taken).withColumn("_next", following))
+    return (rows.where(~base & (F.coalesce("_taken", F.lit(0)) <= F.col("start")))
+            .withColumn("instance", F.col("match").substr(F.lit(1), (F.least("end", F.coalesce("_next", "end")) - F.col("start")).cast("int")))
+            .withColumn("instance", F.regexp_replace("instance", r"[\x20\x09-\x0D]+$", ""))
+            .withColumn("instance", F.regexp_replace("instance", TRIM, "")).where("instance <> ''")
+            .select("row", "start", "instance", "left"))
+
+
+def bootstrap(spans: DataFrame, rounds: int = 3, min_score: float = 0.8, min_instances: int = 8, shape_weight: float = 0.1) -> DataFrame:
     """Spans of unseen identifiers: (row, kind, start, end).
 
-    A candidate is an identifier-like word; its pattern is the word before it with
-    its own shape. Seeds are the candidates that begin a valid base span. Edges of
-    the graph are distinct (pattern, instance) pairs, so copies of a text count once.
-    In each round a pattern's score for a kind is the mean score of its instances,
-    lowered for few of them (a pattern needs ``min_instances`` distinct seed
+    A candidate is a run of identifier-like words outside base spans; its patterns are
+    the word before it and the two words before it. Seeds are the whole valid base
+    spans. Edges of the graph are distinct (pattern, instance) pairs, so copies of a text
+    count once. In each round a pattern's score for a kind is the mean score of its
+    instances, lowered for few of them (a pattern needs ``min_instances`` distinct seed
     instances and at least ``min_score``), and an instance that is no seed takes the
     best score of its passing patterns. Seeds keep score 1 for their kind, 0 for others.
+    The shape is a weak feature: a score loses ``shape_weight`` of itself where no seed of
+    the pattern has the instance's shape, and a span needs ``min_score`` less half that part.
     """
-    base = spans.where(F.col("kind").between(0, 3)).select("row", "start", F.col("kind").alias("seed"))
-    words = (spans.where("kind = 4 and left <> ''")
-             .withColumn("lead", F.length(F.regexp_extract("match", r"^[(\[{<\"']+", 0)))
-             .withColumn("instance", F.regexp_replace("match", TRIM, ""))
-             .where(F.col("instance") != "")
-             .select("row", (F.col("start") + F.col("lead")).alias("start"), "instance", F.concat_ws(" ", "left", shape(F.col("instance"))).alias("pattern")))
-    words = words.join(base.groupBy("row", "start").agg(F.min("seed").alias("seed")), ["row", "start"], "left")
+    base = (spans.where(F.col("kind").between(0, 3))
+            .select("row", "start", F.col("match").alias("instance"), "left", F.col("kind").alias("seed")))
+    words = base.unionByName(open_candidates(spans), allowMissingColumns=True)
+    words = words.withColumn("pattern", F.explode(contexts(F.col("left")))).select("row", "start", "instance", "pattern", "seed")
     words = written(words, "pii-words")
     edges = written(words.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pii-edges")
     strong = edges.where("seed is not null").groupBy("pattern", "seed").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= min_instances)
     strong = strong.select("pattern", F.col("seed").alias("kind"))
-    graph = written(edges.join(strong, "pattern"), "pii-graph")
+    graph = edges.join(strong, "pattern").withColumn("shape", shape(F.col("instance")))
+    shapes = graph.where("seed = kind").select("pattern", "kind", "shape").distinct().withColumn("like", F.lit(1.0))
+    graph = written(graph.join(shapes, ["pattern", "kind", "shape"], "left").withColumn("like", F.coalesce("like", F.lit(1.0 - shape_weight))).drop("shape"), "pii-graph")
     score = graph.where("seed is null").select("instance", "kind").distinct().withColumn("score", F.lit(0.0))
     passing = None
     for _ in range(rounds):
@@ -119,8 +137,10 @@ def bootstrap(spans: DataFrame, rounds: int = 3, min_score: float = 0.8, min_ins
         passing = written(patterns.withColumn("score", F.col("good") / (F.col("n") + 1.0)).where(F.col("score") >= min_score)
                           .select("pattern", "kind", "score"), "pii-patterns")
         score = (graph.where("seed is null").join(passing, ["pattern", "kind"])
-                 .groupBy("instance", "kind").agg(F.max("score").alias("score")))
-    new = words.where("seed is null").join(passing, "pattern")
+                 .groupBy("instance", "kind").agg(F.max(F.col("score") * F.col("like")).alias("score")))
+    marks = (graph.where("seed is null").join(passing, ["pattern", "kind"]).withColumn("score", F.col("score") * F.col("like"))
+             .where(F.col("score") >= min_score * (1 - shape_weight / 2)).select("pattern", "instance", "kind", "score"))
+    new = words.where("seed is null").join(marks, ["pattern", "instance"])
     best = F.max(F.struct("score", (-F.col("kind")).alias("minus"))).alias("b")
     return (new.groupBy("row", "start", "instance").agg(best)
             .select("row", (-F.col("b.minus")).alias("kind"), "start", (F.col("start") + F.length("instance")).alias("end")))
