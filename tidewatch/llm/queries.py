@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm import (
-    lm_scoring, mixing, packing, pii, quality_rules, sharding, simhash_dedup, topk_search, toxicity, url_filter,
+    lexical_search, lm_scoring, mixing, packing, periodic_runs, pii, quality_rules, sharding, simhash_dedup, token_counts, topk_search,
+    toxicity, url_filter,
 )
+from tidewatch.llm.common import WORD
 
 QUERIES = {}
 ORACLES = {}
@@ -83,6 +85,64 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect_pii(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.top_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """One document in ten, chosen by crc32 of its key, has its words repeat from a place on; null keys have none."""
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = docs.select("doc_id", "text", F.floor(crc / 10).alias("g"), (crc % 10 == 0).alias("planted"))
+    words = F.when(F.col("planted"), F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
+    docs = docs.select("doc_id", "text", "g", words.alias("words"), F.size(words).alias("n"))
+    docs = docs.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    docs = docs.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    a, n = F.col("a").cast("int"), F.col("n")
+    block = F.slice("words", a + 1, F.col("p").cast("int"))
+    times = F.ceil((n - a) / F.col("p")).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(block, times)), F.lit(1), n - a)
+    planted = F.array_join(F.concat(F.slice("words", F.lit(1), a), tail), " ")
+    return docs.select("doc_id", F.when(F.col("n") > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+    best = periodic_runs.strongest(F.col("runs"))
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"),
+                         F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return found.select("doc_id", "n_runs", "best.start", "best.length", "best.period",
+                        F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+#: Every document against every item, by a join on terms; the k highest.
+ORACLES["op11_lexical_search"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9A-Za-z\x{80}-\x{10FFFF}]+') AS terms
+  FROM documents),
+p AS (SELECT r, doc_id, len(terms) AS n, unnest(terms) AS term FROM d),
+tf AS (SELECT r, doc_id, n, term, count(*) AS tf FROM p GROUP BY ALL),
+tot AS (SELECT count(*) FILTER (len(terms) > 0) AS big_n, CAST(sum(len(terms)) AS BIGINT) AS big_l FROM d),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(big_n) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, tot GROUP BY term),
+q AS (
+  SELECT DISTINCT item_id, term FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9A-Za-z\x{80}-\x{10FFFF}]+')) AS term
+    FROM benchmark)),
+s AS (
+  SELECT item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * big_n) // big_l)))) AS BIGINT) AS score
+  FROM q JOIN w USING (term) JOIN tf USING (term), tot GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10
+"""
+
 #: Floor of a double product, the k highest for each query.
 ORACLES["op8_topk_search"] = """
 WITH v AS (
