@@ -79,6 +79,28 @@ def test_filter_reads_what_it_holds():
     assert (f.read(rnd.integers(0, 2 ** 63, 20000).astype(np.uint64)) > 0).mean() < 0.02
 
 
+def test_reading_by_steps_equals_probing_every_level():
+    """Keys of all quanta and unknown ones; remembered words read as they did at first."""
+    rnd = np.random.default_rng(2)
+    keys = rnd.integers(0, 2 ** 63, 30000).astype(np.uint64)
+    q = rnd.integers(0, 90, 30000) // 6 * rnd.integers(0, 5, 30000)
+    f = lm_scoring.Filter(4, int(q.sum()) * lm_scoring.BITS_PER_ENTRY // 32 * 8)
+    chunk = lm_scoring.chunk_of(keys, 4)
+    f.data = np.concatenate([np.frombuffer(f.build(keys[chunk == c], q[chunk == c]), np.uint8) for c in range(4)])
+    got = f.read(keys)
+    every, alive, level = np.zeros(len(keys), int), np.arange(len(keys)), 1
+    while len(alive):
+        alive = alive[f.holds(*(x[alive] for x in f.probe(keys)), level)]
+        every[alive] = level
+        level += 1
+    assert (got >= q).all() and (got != every).mean() < 0.001 and (got[q == 0] > 0).mean() < 0.01
+    known = lm_scoring.Known()
+    words = np.unique(keys)
+    read = lambda k: np.stack([f.read(k), f.read(k)])
+    for part in (words[::3], words[1::2], words):
+        assert (known(part, read)[0] == f.read(part)).all()
+
+
 def test_quanta_understate_by_a_fifth_at_most_and_false_hits_are_rare():
     counts = np.arange(1, 20000)
     assert (lm_scoring.value(lm_scoring.quantised(counts, 1), 1) >= 0.8 * counts - 1e-6).all()

@@ -33,8 +33,9 @@ BITS_PER_ENTRY, PROBES = 12, 7
 MAX_FILTER_BYTES = 64 << 20
 FREQUENT = 2e-6          # words with at least this share of all tokens (at most 500,000) have their counts broadcast
 TOKENS = 250_000         # tokens that a task works on at once
+REMEMBERED = 500_000     # words whose quanta a task remembers
 HELD = 1_500_000         # keys that a task holds before it sums and sends them
-CHUNK_KEYS = 1 << 20     # keys of a chunk of counts, about
+CHUNK_KEYS = 1 << 18     # keys of a chunk of counts, about
 ROW_KEYS = 1 << 17       # keys in a row of counts, at most
 BATCH_BYTES = 16 << 20   # that Python workers get at once
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -169,8 +170,8 @@ def value(q: np.ndarray, least: float) -> np.ndarray:
 class Filter:
     """A log-frequency Bloom filter in chunks of equal size, addressed by key."""
 
-    def __init__(self, chunks: int, bits: int, data: np.ndarray | None = None):
-        self.chunks, self.bits, self.data = chunks, bits, data
+    def __init__(self, chunks: int, bits: int, data: np.ndarray | None = None, top: int = 255):
+        self.chunks, self.bits, self.data, self.top = chunks, bits, data, top
 
     def probe(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Two hashes of each key, from which all its probes follow, and the first bit of its chunk."""
@@ -178,10 +179,11 @@ class Filter:
         with np.errstate(over="ignore"):
             return x * U(0xD6E8FEB86659FD93), (x << U(32) | x >> U(32)) | U(1), (x >> U(20)) % U(self.chunks) * U(self.bits)
 
-    def place(self, one: np.ndarray, two: np.ndarray, q: int, i: int) -> np.ndarray:
+    def place(self, one: np.ndarray, two: np.ndarray, q: int | np.ndarray, i: int) -> np.ndarray:
         """Bit inside the chunk of the i-th probe for quantum q: double hashing, scaled to the chunk's size."""
+        step = (q * PROBES + i).astype(U) if isinstance(q, np.ndarray) else U(PROBES * q + i)
         with np.errstate(over="ignore"):
-            return ((one + U(PROBES * q + i) * two) >> U(32)) * U(self.bits) >> U(32)
+            return ((one + step * two) >> U(32)) * U(self.bits) >> U(32)
 
     def build(self, keys: np.ndarray, q: np.ndarray) -> bytes:
         """The chunk that holds these keys."""
@@ -193,22 +195,51 @@ class Filter:
                 flags[self.place(one[own], two[own], level, i)] = True
         return np.packbits(flags, bitorder="little").tobytes()
 
+    def holds(self, one: np.ndarray, two: np.ndarray, first: np.ndarray, level: int | np.ndarray) -> np.ndarray:
+        """Membership of (key, level): all probes of what its first probe leaves."""
+        def hit(one, two, first, level, i):
+            at = self.place(one, two, level, i) + first
+            return (self.data.take((at >> U(3)).view(np.int64)) >> (at.astype(np.uint8) & np.uint8(7))) & np.uint8(1) == 1
+
+        out = hit(one, two, first, level, 0)
+        left = np.flatnonzero(out)
+        one, two, first, level = one[left], two[left], first[left], level[left] if isinstance(level, np.ndarray) else level
+        ok = np.ones(len(left), bool)
+        for i in range(1, PROBES):
+            ok &= hit(one, two, first, level, i)
+        out[left] = ok
+        return out
+
     def read(self, keys: np.ndarray) -> np.ndarray:
-        """Quantised counts by repeated membership probes."""
-        q, alive, level = np.zeros(len(keys), np.int64), np.arange(len(keys)), 1
+        """Quantised counts by repeated membership probes.
+
+        A count's levels are nested, so the last one is found by doubling and halving steps; it
+        must have the level below it too, else the search goes on below.
+        """
+        q = np.zeros(len(keys), np.int64)
         if self.data is None or not len(self.data):
             return q
         one, two, first = self.probe(keys)
-        while len(alive):
-            for i in range(PROBES):
-                at = self.place(one, two, level, i) + first
-                hit = (self.data[at >> U(3)] >> (at & U(7)).astype(np.uint8)) & np.uint8(1) == 1
-                if not hit.all():
-                    alive, one, two, first = alive[hit], one[hit], two[hit], first[hit]
-                    if not len(alive):
-                        break
-            q[alive] = level
-            level += 1
+        open_ = np.argsort((first // U(self.bits) % U(1 << 16)).astype(np.uint16), kind="stable")  # a chunk's keys together, as its bits are
+        one, two, first = one[open_], two[open_], first[open_]
+        have = np.flatnonzero(self.holds(one, two, first, 1))
+        open_, one, two, first = open_[have], one[have], two[have], first[have]
+        q[open_] = 1
+        low, high = np.ones(len(open_), np.int64), np.full(len(open_), self.top + 1)
+        while len(open_):
+            level = np.minimum(2 * low, (low + high) // 2)
+            ok = self.holds(one, two, first, level)
+            low, high = np.where(ok, level, low), np.where(ok, high, level)
+            done = high - low <= 1
+            if not done.any():
+                continue
+            at = np.flatnonzero(done)
+            q[open_[at]] = low[at]
+            at = at[low[at] > 2]
+            wrong = at[~self.holds(one[at], two[at], first[at], low[at] - 1)]
+            high[wrong], low[wrong], done[wrong] = low[wrong], 1, False
+            going = ~done
+            open_, one, two, first, low, high = open_[going], one[going], two[going], first[going], low[going], high[going]
         return q
 
 
@@ -234,10 +265,11 @@ def build_filter(entries: DataFrame, total: int, spark) -> Filter:
 
     def bits(pdf: pd.DataFrame) -> pd.DataFrame:
         keys, q = np.frombuffer(b"".join(pdf["keys"]), U), np.frombuffer(b"".join(pdf["quanta"]), np.uint8)
-        return pd.DataFrame({"chunk": [int(pdf["chunk"].iloc[0])], "bits": [size.build(keys, q.astype(np.int64))]})
+        return pd.DataFrame({"chunk": [int(pdf["chunk"].iloc[0])], "bits": [size.build(keys, q.astype(np.int64))], "top": [int(q.max(initial=0))]})
 
-    size.data = np.zeros(size.chunks * size.bits // 8, np.uint8)
-    for r in entries.groupBy("chunk").applyInPandas(bits, "chunk int, bits binary").toLocalIterator():
+    size.data, size.top = np.zeros(size.chunks * size.bits // 8, np.uint8), 1
+    for r in entries.groupBy("chunk").applyInPandas(bits, "chunk int, bits binary, top int").toLocalIterator():
+        size.top = max(size.top, r["top"])
         size.data[r["chunk"] * size.bits // 8:(r["chunk"] + 1) * size.bits // 8] = np.frombuffer(r["bits"], np.uint8)
     return size
 
@@ -247,6 +279,27 @@ def single_of(q: np.ndarray, least: float, tokens: int, types: int) -> np.ndarra
     return (value(q, least) + 1) / (tokens + types + 1)
 
 
+class Known:
+    """What the filters said of words, up to REMEMBERED of them."""
+
+    def __init__(self):
+        self.words, self.values = np.zeros(0, U), np.zeros((2, 0), np.int64)
+
+    def __call__(self, words: np.ndarray, read) -> np.ndarray:
+        """``read`` of the distinct, sorted ``words``: only those not known are read."""
+        at = np.minimum(np.searchsorted(self.words, words), max(0, len(self.words) - 1))
+        have = self.words[at] == words if len(self.words) else np.zeros(len(words), bool)
+        out = np.empty((2, len(words)), np.int64)
+        out[:, have] = self.values[:, at[have]]
+        new = words[~have]
+        out[:, ~have] = read(new)
+        if len(self.words) + len(new) > REMEMBERED:
+            self.__init__()
+        place = np.searchsorted(self.words, new)
+        self.words, self.values = np.insert(self.words, place, new), np.insert(self.values, place, out[:, ~have], axis=1)
+        return out
+
+
 class Model:
     """The filters and totals that score a text; ``rest`` tells of which kinds (1 words, 2 pairs, 3 weights) some are in the tables alone."""
 
@@ -254,18 +307,22 @@ class Model:
         self.words, self.pairs, self.weights, self.least, self.rest = words, pairs, weights, least, rest
         self.discount, self.tokens, self.types = discount, tokens, types
 
-    def log10(self, h: np.ndarray, words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    def quanta(self, words: np.ndarray) -> np.ndarray:
+        """Quantised counts of words and weights of them as contexts."""
+        return np.stack([self.words.read(words), self.weights.read(words >> U(32))])
+
+    def log10(self, h: np.ndarray, words: np.ndarray, at: np.ndarray, known: Known) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
         """log10 probability of each token after the one before it; ``words``, ``at``: the distinct hashes and their places.
 
         Also the tokens for which the tables have to be asked, with what the filters say of them:
         b (place of the word before), single, share, gamma and seen, NaN where unknown.
         """
-        qw = self.words.read(words)
+        qw, qg = known(words, self.quanta)
         single = single_of(qw, self.least[1], self.tokens, self.types)
         share = np.where(qw > 0, LOG_BASE ** -qw.astype(float) / self.least[1], 0.0)
-        qg = self.weights.read(words >> U(32))
         gamma = WEIGHT_BASE ** -qg.astype(float)
-        q = self.pairs.read(pair_keys(h))
+        pairs, place = np.unique(pair_keys(h), return_inverse=True)
+        q = self.pairs.read(pairs)[place]
         seen = np.maximum(value(np.arange(q.max(initial=0) + 1), self.least[2]) - self.discount, 0)[q]
         before = np.concatenate([[np.searchsorted(words, U(END))], at[:-1]])
         p = np.log10(np.minimum(seen * share[before] + gamma[before] * single[at], 1.0))
@@ -386,6 +443,11 @@ def rare_terms(asked: DataFrame, exact: DataFrame, rare_pairs: DataFrame, rare_w
     a key of a known value is replaced by the pair's, so frequent words don't gather.
     """
     names = ("single", "share", "gamma", "seen")
+    if model.rest == {2}:  # one term alone is open: each document's pair meets the pairs' table itself
+        p = asked.select("row", "tf", "pair", "share", (F.col("gamma") * F.col("single")).alias("rest")).join(rare_pairs, "pair", "left")
+        found = F.pow(F.lit(LOG_BASE), F.floor(F.log("c") / math.log(LOG_BASE) + 1e-9)) - F.lit(model.discount)
+        seen = F.coalesce(F.greatest(found, F.lit(0.0)), F.lit(0.0))
+        return p.select("row", (F.col("tf") * F.log10(F.least(seen * F.col("share") + F.col("rest"), F.lit(1.0)))).alias("score"))
     p = asked.select("b", "h", "pair", *names).distinct()
     base = F.lit(math.log(LOG_BASE))
     quantum = lambda c: 1 + F.floor(F.log(c) / base + 1e-9)
@@ -424,12 +486,12 @@ def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", text:
     model, exact, rare_pairs, rare_weights = trained(training.select(F.col(text).alias("text")), max_bytes, rarest_pair)
     exact = written(exact, "lm-words")
     at_least = max(1.0, FREQUENT * model.tokens)
-    known = exact.where(F.col("c") >= at_least).toPandas()
-    known_h, order = np.unique(known["h"].to_numpy(np.int64).view(U), return_index=True)
-    shared = spark.sparkContext.broadcast((model, known_h, known["c"].to_numpy(np.int64)[order]))
+    often = exact.where(F.col("c") >= at_least).toPandas()
+    often_h, order = np.unique(often["h"].to_numpy(np.int64).view(U), return_index=True)
+    shared = spark.sparkContext.broadcast((model, often_h, often["c"].to_numpy(np.int64)[order]))
     below = model.tokens + model.types + 1
     kind = dict(docs.dtypes)[key]
-    everything = model.types == len(known_h)
+    everything = model.types == len(often_h)
 
     columns = {"row": pa.int64(), "key": pa.string(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(),
                "score": pa.float64(), "h": pa.int64(), "tf": pa.int32()}
@@ -438,7 +500,7 @@ def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", text:
 
     def score(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, frequent, count = shared.value
-        cache = Hashes()
+        cache, known = Hashes(), Known()
 
         def out(n: int, **values) -> pa.RecordBatch:
             """A row of zeros for each of n, but for the given columns."""
@@ -452,7 +514,7 @@ def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", text:
                 h, n = hashed(part.column("text").to_pylist(), cache)
                 first = np.concatenate([[0], np.cumsum(n)[:-1]])
                 words, at = np.unique(h, return_inverse=True)
-                p, ask, terms = m.log10(h, words, at)
+                p, ask, terms = m.log10(h, words, at, known)
                 p[ask] = 0.0
                 place = np.minimum(np.searchsorted(frequent, words), max(0, len(frequent) - 1))
                 have = (frequent[place] == words) if len(frequent) else np.zeros(len(words), bool)
