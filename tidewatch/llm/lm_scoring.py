@@ -34,9 +34,9 @@ MAX_FILTER_BYTES = 64 << 20
 FREQUENT = 2e-6          # words with at least this share of all tokens (at most 500,000) have their counts broadcast
 TOKENS = 250_000         # tokens that a task works on at once
 REMEMBERED = 500_000     # words whose quanta a task remembers
-HELD = 1_500_000         # keys that a task holds before it sums and sends them
+HELD = 1_000_000         # keys that a task holds before it sums and sends them
 CHUNK_KEYS = 1 << 18     # keys of a chunk of counts, about
-ROW_KEYS = 1 << 17       # keys in a row of counts, at most
+ROW_KEYS = 1 << 12       # keys in a row of counts, at most
 BATCH_BYTES = 16 << 20   # that Python workers get at once
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 U = np.uint64
@@ -110,6 +110,11 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
+def joined(blobs: pd.Series) -> np.ndarray:
+    """The longs of all blobs."""
+    return np.frombuffer(b"".join(blobs), np.int64)
+
+
 def tables(docs: DataFrame, chunks: int, rarest_pair: int) -> DataFrame:
     """(kind, chunk, keys, counts, singles, doubles, types, tokens): summed counts by chunk, in rows of at most ROW_KEYS.
 
@@ -354,8 +359,8 @@ def trained(docs: DataFrame, max_bytes: int, rarest_pair: int) -> tuple[Model, D
 
     def powers(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            for kind, blob in zip(pdf["kind"], pdf["counts"], strict=True):
-                c = np.frombuffer(blob, np.int64)
+            for kind, blobs in pdf.groupby("kind")["counts"]:
+                c = joined(blobs)
                 power = np.floor(np.log2(np.maximum(c, 1)) + 1e-9).astype(np.int64)
                 n = np.bincount(power, weights=quantised(c, float(rarest_pair) if kind == 2 else 1.0))
                 yield pd.DataFrame({"kind": kind, "power": np.arange(len(n)), "n": n.astype(np.int64)})
@@ -370,10 +375,12 @@ def trained(docs: DataFrame, max_bytes: int, rarest_pair: int) -> tuple[Model, D
     def quanta(kind: int):
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in parts:
+                out = []
                 for chunk, k, c in zip(pdf["chunk"], pdf["keys"], pdf["counts"], strict=True):
                     keys, n = np.frombuffer(k, U), np.frombuffer(c, np.int64)
                     keep = n >= least[kind]
-                    yield pd.DataFrame({"chunk": [chunk], "keys": [keys[keep].tobytes()], "quanta": [np.minimum(quantised(n[keep], least[kind]), 255).astype(np.uint8).tobytes()]})
+                    out.append((chunk, keys[keep].tobytes(), np.minimum(quantised(n[keep], least[kind]), 255).astype(np.uint8).tobytes()))
+                yield pd.DataFrame(out, columns=["chunk", "keys", "quanta"])
         return run
 
     blobs = "chunk int, keys binary, quanta binary"
@@ -388,18 +395,16 @@ def trained(docs: DataFrame, max_bytes: int, rarest_pair: int) -> tuple[Model, D
 
     def contexts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            for k, c in zip(pdf["keys"], pdf["counts"], strict=True):
-                ctx, at = np.unique(np.frombuffer(k, U) >> U(32), return_inverse=True)
-                kept = np.bincount(at, weights=np.maximum(value(*tiered(np.frombuffer(c, np.int64), 2)) - discount, 0), minlength=len(ctx))
-                yield pd.DataFrame({"ctx": ctx.view(np.int64), "kept": kept, "total": np.nan, "n": 0})
+            ctx, at = np.unique(joined(pdf["keys"]).view(U) >> U(32), return_inverse=True)
+            kept = np.bincount(at, weights=np.maximum(value(*tiered(joined(pdf["counts"]), 2)) - discount, 0), minlength=len(ctx))
+            yield pd.DataFrame({"ctx": ctx.view(np.int64), "kept": kept, "total": np.nan, "n": 0})
 
     def totals(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            for k, c in zip(pdf["keys"], pdf["counts"], strict=True):
-                keys, n = np.frombuffer(k, U), np.frombuffer(c, np.int64)
-                keep = n >= rarest_pair
-                q, start = tiered(n[keep], 1)
-                yield pd.DataFrame({"ctx": (keys[keep] >> U(32)).view(np.int64), "kept": 0.0, "total": start * LOG_BASE ** q.astype(float), "n": n[keep]})
+            keys, n = joined(pdf["keys"]).view(U), joined(pdf["counts"])
+            keep = n >= rarest_pair
+            q, start = tiered(n[keep], 1)
+            yield pd.DataFrame({"ctx": (keys[keep] >> U(32)).view(np.int64), "kept": 0.0, "total": start * LOG_BASE ** q.astype(float), "n": n[keep]})
 
     both = (counts.where("kind = 2").mapInPandas(contexts, "ctx long, kept double, total double, n long")
             .union(counts.where("kind = 1").mapInPandas(totals, "ctx long, kept double, total double, n long")))
@@ -422,10 +427,9 @@ def trained(docs: DataFrame, max_bytes: int, rarest_pair: int) -> tuple[Model, D
     def rows(below: float, count: str):
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in parts:
-                for k, c in zip(pdf["keys"], pdf["counts"], strict=True):
-                    keys, n = np.frombuffer(k, np.int64), np.frombuffer(c, np.int64)
-                    keep = n < below
-                    yield pd.DataFrame({count: keys[keep], "c": n[keep]})
+                keys, n = joined(pdf["keys"]), joined(pdf["counts"])
+                keep = n < below
+                yield pd.DataFrame({count: keys[keep], "c": n[keep]})
         return run
 
     exact = counts.where("kind = 1").select("keys", "counts").mapInPandas(rows(math.inf, "h"), "h long, c long")
