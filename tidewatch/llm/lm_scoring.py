@@ -32,8 +32,9 @@ WEIGHT_BASE = 1.05       # of quantised weights
 BITS_PER_ENTRY, PROBES = 12, 7
 MAX_FILTER_BYTES = 64 << 20
 FREQUENT = 2e-6          # words with at least this share of all tokens (at most 500,000) have their counts broadcast
-TOKENS = 250_000         # tokens that a task works on at once
-REMEMBERED = 500_000     # words whose quanta a task remembers
+TOKENS = 150_000         # tokens that a task works on at once
+WORDS_HELD = 150_000     # words whose hashes a task remembers, and what one batch adds
+REMEMBERED = 400_000     # words whose quanta a task remembers
 HELD = 1_000_000         # keys that a task holds before it sums and sends them
 CHUNK_KEYS = 1 << 18     # keys of a chunk of counts, about
 ROW_KEYS = 1 << 12       # keys in a row of counts, at most
@@ -55,7 +56,7 @@ END = xxhash.xxh64_intdigest(b"")
 
 def hashed(texts: list[bytes | None], cache: Hashes) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, END after each text (in UTF-8), and the texts' token counts."""
-    if len(cache) > 300_000:
+    if len(cache) > WORDS_HELD:
         cache.clear()
     flat, lengths, end = [], np.zeros(len(texts), np.int64), np.array([END], U)
     for i, t in enumerate(texts):
@@ -443,15 +444,16 @@ def rare_terms(asked: DataFrame, exact: DataFrame, rare_pairs: DataFrame, rare_w
     """(row, score): log10 probabilities of the tokens that the filters left open, summed.
 
     ``asked`` has row, tf, word h after word b, pair, and single, share, gamma, seen: NaN
-    where the tables have to be asked. Every distinct pair of words meets the tables once;
+    where the tables have to be asked. Where those of pairs alone can be, gamma comes
+    multiplied by single. Every distinct pair of words meets the tables once;
     a key of a known value is replaced by the pair's, so frequent words don't gather.
     """
     names = ("single", "share", "gamma", "seen")
     if model.rest == {2}:  # one term alone is open: each document's pair meets the pairs' table itself
-        p = asked.select("row", "tf", "pair", "share", (F.col("gamma") * F.col("single")).alias("rest")).join(rare_pairs, "pair", "left")
+        p = asked.select("row", "tf", "pair", "share", "gamma").join(rare_pairs, "pair", "left")
         found = F.pow(F.lit(LOG_BASE), F.floor(F.log("c") / math.log(LOG_BASE) + 1e-9)) - F.lit(model.discount)
         seen = F.coalesce(F.greatest(found, F.lit(0.0)), F.lit(0.0))
-        return p.select("row", (F.col("tf") * F.log10(F.least(seen * F.col("share") + F.col("rest"), F.lit(1.0)))).alias("score"))
+        return p.select("row", (F.col("tf") * F.log10(F.least(seen * F.col("share") + F.col("gamma"), F.lit(1.0)))).alias("score"))
     p = asked.select("b", "h", "pair", *names).distinct()
     base = F.lit(math.log(LOG_BASE))
     quantum = lambda c: 1 + F.floor(F.log(c) / base + 1e-9)
@@ -499,17 +501,20 @@ def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", text:
 
     columns = {"row": pa.int64(), "key": pa.string(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(),
                "score": pa.float64(), "h": pa.int64(), "tf": pa.int32()}
+    pairs_alone = model.rest == {2}
     if model.rest:
-        columns |= {"b": pa.int64(), "pair": pa.int64(), "single": pa.float64(), "share": pa.float64(), "gamma": pa.float64(), "seen": pa.float64()}
+        columns |= {"pair": pa.int64(), "share": pa.float64(), "gamma": pa.float64()}
+    if model.rest and not pairs_alone:
+        columns |= {"b": pa.int64(), "single": pa.float64(), "seen": pa.float64()}
 
     def score(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, frequent, count = shared.value
         cache, known = Hashes(), Known()
 
         def out(n: int, **values) -> pa.RecordBatch:
-            """A row of zeros for each of n, but for the given columns."""
+            """A row of zeros for each of n, but for the given columns; a null key and pair."""
             zero = np.zeros(n, np.int64)
-            return pa.RecordBatch.from_arrays([pa.nulls(n, t) if t == pa.string() and c not in values else pa.array(values.get(c, zero), t)
+            return pa.RecordBatch.from_arrays([pa.nulls(n, t) if c in ("key", "pair") and c not in values else pa.array(values.get(c, zero), t)
                                                if isinstance(values.get(c, zero), np.ndarray) else values[c] for c, t in columns.items()], names=list(columns))
 
         for batch in parts:
@@ -543,18 +548,21 @@ def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", text:
                     doc, key = doc[order], key[order]
                     start = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])]))
                     one = order[start]
+                    terms = {c: v[one] for c, v in terms.items()}
+                    if pairs_alone:
+                        terms = {"share": terms["share"], "gamma": terms["gamma"] * terms["single"]}
+                    else:
+                        terms["b"] = words[terms["b"]].view(np.int64)
                     yield out(len(start), row=row[doc[start]], h=h[ask[one]].view(np.int64), tf=np.diff(np.append(start, len(order))),
-                              b=words[terms["b"][one]].view(np.int64), pair=key[start].view(np.int64),
-                              **{c: terms[c][one] for c in ("single", "share", "gamma", "seen")})
+                              pair=key[start].view(np.int64), **terms)
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("string").alias("key"), F.col(text).cast("binary").alias("text"))
-    found = rows.mapInArrow(score, "row long, key string, n_tokens long, n_known long, base double, score double, h long, tf int"
-                            + (", b long, pair long, single double, share double, gamma double, seen double" if model.rest else ""))
+    names = {pa.int64(): "long", pa.int32(): "int", pa.float64(): "double", pa.string(): "string"}
+    found = rows.mapInArrow(score, ", ".join(f"{c} {names[t]}" for c, t in columns.items()))
     open_terms = None
     if model.rest:
         found = written(found, "lm-found")
-        # an open pair lacks at least one of its terms, other rows none
-        asked = F.isnan("single") | F.isnan("share") | F.isnan("gamma") | F.isnan("seen")
+        asked = F.col("pair").isNotNull()
         open_terms = rare_terms(found.where(asked), exact, rare_pairs, rare_weights, model)
         found = found.where(~asked).select("row", "key", "n_tokens", "n_known", "base", "score", "h", "tf")
     rare = exact.where(F.col("c") < at_least)
