@@ -1,18 +1,20 @@
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
 import corpus_pipeline
 from tests.llm import brute
 from tests.llm.test_native import check_mix
 from tests.llm.test_python import check_packing
-from tidewatch.llm import mixing
+from tidewatch.llm import mixing, quality_rules
 
 SF = "/root/testdata/sf0.01"
 
 
 def test_all_queries_are_registered():
     names = entry.queries()
-    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and "pipeline" in names
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13 and "pipeline" in names
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "simhash near-dedup", "pii", "mixing", "best-fit packing"]
 
 
@@ -78,3 +80,40 @@ def test_pipeline_on_nulls_repeats_and_nothing(spark, docs, empty, tmp_path):
         spark.createDataFrame([(1, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
         rows = corpus_pipeline.run(spark, d).collect()
         assert (len(rows) > 0) == (k == 0)
+
+
+def stages():
+    return list(zip("abcd", (s for _, s in corpus_pipeline.STAGES[:4]), strict=True))
+
+
+def test_stages_keep_columns_of_any_name(spark, docs):
+    """Names that the stages might use themselves, and one with a dot, keep their values."""
+    names = ["_row", "_s", "_size", "_cuts", "_steps", "_stratum", "_range", "own", "group", "digest", "ranges", "cuts", "stratum", "fp", "a.b"]
+    extra = docs.where("doc_id is not null").withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names})
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    for name, stage in stages():
+        if name == "a":
+            out = quality_rules.keep_good(extra, labels.withColumnRenamed("doc_id", "key"))
+        else:
+            out = stage(spark, extra, SF)
+        assert out.columns == extra.columns and out.dtypes == extra.dtypes
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names)
+
+
+def test_stages_when_cores_are_lost_between_scans(spark, tmp_path):
+    """The plan is made with many splits of many files and run with few, as when executors go."""
+    path = str(tmp_path / "documents")
+    spark.read.parquet(f"{SF}/documents.parquet").repartition(12, "doc_id").write.parquet(path)
+    key = "spark.sql.leafNodeDefaultParallelism"
+    for name, stage in stages():
+        counts = []
+        for later in (None, 1):
+            try:
+                out = stage(spark, spark.read.parquet(path), SF)
+                if later:
+                    spark.conf.set(key, later)
+                counts.append(sorted((r.doc_id, r.text or "") for r in out.collect()))
+            finally:
+                spark.conf.unset(key)
+        assert counts[0] == counts[1] and len(counts[0]) > 700

@@ -19,11 +19,13 @@ ROWS_PER_BUCKET = 2048
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Where the session has none (tests, single-machine runs), a folder below the
-    warehouse is used and set, so that later calls agree.
+    Where a local session has none (tests, single-machine runs), a folder below the
+    warehouse is used and set, so that later calls agree. A cluster has to name one.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -41,6 +43,22 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def identified(docs: DataFrame, label: str, **more: Column) -> DataFrame:
+    """(row, own, ...): the rows written once with a number each, and their columns as one struct.
+
+    A second scan of the same files may split them in another way, so numbers that are
+    made anew need not agree; and no column of ``own`` can clash with one beside it.
+    ``more`` are further columns, computed before the rows are written.
+    """
+    own = F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("own")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), own)
+    return written(rows.withColumns(more) if more else rows, label)
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(col, UPPER, LOWER)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import WORD, written
+from tidewatch.llm.common import WORD, identified, quoted, written
 
 #: Words of a data shard: sources are cut into shards of about so many words, at most MAX_SHARDS.
 #: The number bounds a window over one source's shards; a shard then grows with its source.
@@ -79,7 +79,7 @@ def sainte_lague(votes: DataFrame, groups: list[str], vote: str, seats: str, tie
 
 def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, cap: float = 2.0,
                 block: int = 64, seed: str = "mix", key: str = "doc_id", text: str = "text",
-                source: str = "source") -> DataFrame:
+                source: str = "source", row: str | None = None) -> DataFrame:
     """How many words the mix takes from every document.
 
     Each source's target is met in blocks of ``block`` words: Sainte-Lague gives
@@ -90,13 +90,15 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: floa
 
     Returns key, source, size (words), source_size, target, taken, whole (times
     the whole text is taken) and two word ranges [from1, to1), [from2, to2) taken
-    once more (empty where the ends are equal), plus row, the row's number in the
-    scan. A null text has no words; a null source is a source, the last; repeated rows
+    once more (empty where the ends are equal), plus row: the column ``row``, or a number
+    of its own. Texts of one key go to shards of their own, so a frequent key spreads. A null text has no words; a null source is a source, the last; repeated rows
     are documents of their own. Where nothing has words, targets and takings are 0.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("_key"),
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    rows = docs.select(number.alias("row"), F.col(key).alias("_key"),
                        F.col(source).alias("source"), word_count(F.col(text)).alias("size"),
-                       hash_number(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("null"))).alias("_h"))
+                       hash_number(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("null"))).alias("_h"),
+                       hash_number(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("null")), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).cast("string")).alias("_spread"))
     rows = written(rows, "mix-sizes")
     goal = target_words(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
     goal = goal.withColumn("_seats_all", F.round(F.sum("target").over(Window.partitionBy()) / block).cast("long"))
@@ -107,7 +109,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: floa
     rows = rows.withColumn("_name", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")))
     rows = rows.join(F.broadcast(goal.select("_name", "_shards", "source_size", "target", "_seats"))
                      if goal.count() <= 10_000 else goal.select("_name", "_shards", "source_size", "target", "_seats"), "_name")
-    rows = rows.withColumn("_shard", F.col("_h") % F.col("_shards"))
+    rows = rows.withColumn("_shard", F.col("_spread") % F.col("_shards"))
     shards = rows.groupBy("_name", "_shard", "_seats").agg(F.sum("size").alias("_words"))
     shards = sainte_lague(shards, ["_name"], "_words", "_seats", ["_shard"], "_blocks").drop("_seats")
     shards = (shards.withColumn("_quota", F.least(F.col("_blocks") * block, F.floor(F.col("_words") * cap)))
@@ -134,24 +136,26 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", so
 
     A cut text runs from its first taken word to its last, white space between them
     included. Documents that the mix does not take go; those without words are never
-    taken by words and stay once. ``docs`` must read the same rows in the same order when
-    scanned again, as files do.
+    taken by words and stay once.
     """
-    taken = mix_sources(docs, key=key, text=text, source=source, **options)
+    docs = identified(docs, "mix-documents")
+    own = F.col("own")
+    narrow = docs.select("row", own[key].alias("key"), own[text].alias("text"), own[source].alias("source"))
+    taken = mix_sources(narrow, key="key", text="text", source="source", row="row", **options)
     plan = taken.where("taken > 0 or size = 0").select(
-        F.col("row").alias("_row"),
+        "row",
         F.concat(
             F.when(F.col("whole") + (F.col("size") == 0).cast("long") > 0,
                    F.array_repeat(F.struct(F.lit(0).cast("long").alias("a"), F.col("size").alias("b")),
                                   F.greatest(F.col("whole"), (F.col("size") == 0).cast("long")).cast("int")))
             .otherwise(F.expr("cast(array() as array<struct<a:bigint,b:bigint>>)")),
             F.filter(F.array(F.struct(F.col("from1").alias("a"), F.col("to1").alias("b")), F.struct(F.col("from2").alias("a"), F.col("to2").alias("b"))),
-                     lambda r: r["a"] < r["b"])).alias("_ranges"), F.col("size").alias("_size"))
+                     lambda r: r["a"] < r["b"])).alias("ranges"), "size")
     plan = written(plan, "mix-plan")
-    rows = docs.withColumn("_row", F.monotonically_increasing_id()).join(plan, "_row").withColumn("_range", F.explode("_ranges"))
-    a, b = F.col("_range.a"), F.col("_range.b")
-    whole = (a == 0) & (b == F.col("_size"))
+    rows = docs.join(plan, "row").withColumn("range", F.explode("ranges"))
+    a, b = F.col("range.a"), F.col("range.b")
+    whole = (a == 0) & (b == F.col("size"))
     # before word a: a words, each with the white space after it; what is left has b - a words and perhaps more
-    words = F.regexp_extract_all(F.col(text), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+    words = F.regexp_extract_all(own[text], F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
     part = F.regexp_replace(F.array_join(F.slice(words, (a + 1).cast("int"), (b - a).cast("int")), ""), r"[\x20\x09-\x0D]+$", "")
-    return rows.withColumn(text, F.when(whole, F.col(text)).otherwise(part)).select(*docs.columns)
+    return rows.select(own.withField(quoted(text), F.when(whole, own[text]).otherwise(part)).alias("own")).select("own.*")

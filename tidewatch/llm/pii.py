@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import ascii_lower, written
+from tidewatch.llm.common import ascii_lower, identified, quoted, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: The fixed patterns, with possessive repeats where giving back never helps and, for emails,
@@ -27,6 +27,7 @@ _WORD = r"(?=[^\x20\x09-\x0D]*[0-9@])[^\x20\x09-\x0D]++"
 CANDIDATE = rf"(?<![^\x20\x09-\x0D]){_WORD}(?:(?<![,;:.!?])[\x20\x09]++{_WORD})*+"
 #: The word, and the word before that, which end a text but for white space and opening marks.
 LEFT = r"(?:([^\x20\x09-\x0D]++)[\x20\x09-\x0D]++)?(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++)[\x20\x09-\x0D]++[(\[{<\"']*+$"
+_LAST = r"^[(\[{<\"']*+[\x20\x09-\x0D]++[^\x20\x09-\x0D]++(?:[\x20\x09-\x0D]++[^\x20\x09-\x0D]++)?+"
 TRIM = r"^[(\[{<\"']+|[)\]}>\"'.,;:!?]+$"
 
 
@@ -53,7 +54,12 @@ def pieces(text: Column, kind: int, pattern: str) -> Column:
     gaps = F.split(text, pattern, -1)
     return F.when(F.size(found) > 0, F.zip_with(
         F.slice(gaps, 1, F.size(found)), found,
-        lambda g, m: F.struct(F.lit(kind).alias("kind"), F.length(g).alias("gap"), m.alias("match"), F.substring(g, -120, 120).alias("left"))))
+        lambda g, m: F.struct(F.lit(kind).alias("kind"), F.length(g).alias("gap"), m.alias("match"), last_words(g).alias("left"))))
+
+
+def last_words(gap: Column) -> Column:
+    """What contexts() looks at: the last two words of a gap, whole, with what follows them."""
+    return F.reverse(F.regexp_extract(F.reverse(gap), _LAST, 0))
 
 
 def contexts(left: Column) -> Column:
@@ -65,8 +71,7 @@ def contexts(left: Column) -> Column:
 
 def shape(match: Column) -> Column:
     """Digits as 9, letters as a, runs as one."""
-    out = F.regexp_replace(F.regexp_replace(match, r"\p{L}+", "a"), "[0-9]+", "9")
-    return F.substring(out, 1, 24)
+    return F.regexp_replace(F.regexp_replace(match, r"\p{L}+", "a"), "[0-9]+", "9")
 
 
 def seed_spans(rows: DataFrame) -> DataFrame:
@@ -146,12 +151,12 @@ def bootstrap(spans: DataFrame, rounds: int = 3, min_score: float = 0.8, min_ins
             .select("row", (-F.col("b.minus")).alias("kind"), "start", (F.col("start") + F.length("instance")).alias("end")))
 
 
-def pii_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pii_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
     """(row, key, kind, start, end, base) of all spans, and one row of kind -1 for each document.
 
-    ``row`` numbers the rows of the scan. Found spans never overlap a base span.
+    ``row`` is the column of that name, or a number of its own. Found spans never overlap a base span.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"),
+    rows = docs.select((F.col(row) if row else F.monotonically_increasing_id()).alias("row"), F.col(key).alias("key"),
                        F.coalesce(F.col(text), F.lit("")).alias("text"))
     spans = seed_spans(rows)
     base = spans.where("kind < 4").select("row", "key", "kind", "start", "end", F.lit(True).alias("base"))
@@ -186,22 +191,23 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     """The documents with every span replaced by its kind in angle brackets, all columns kept.
 
     Where spans of two kinds overlap, the later one keeps what lies beyond the earlier.
-    Rows without spans pass unchanged, nulls included. ``docs`` must read the same
-    rows in the same order when scanned again, as files do.
+    Rows without spans pass unchanged, nulls included; the names of columns don't matter.
     """
     names = F.array(*[F.lit("<" + k.upper() + ">") for k in KINDS])
-    spans = pii_spans(docs, key, text).where("kind >= 0")
+    docs = identified(docs, "pii-documents")
+    own = F.col("own")
+    spans = pii_spans(docs.select("row", own[key].alias("key"), own[text].alias("text")), "key", "text", "row").where("kind >= 0")
     run = Window.partitionBy("row").orderBy("start", "end", "kind").rowsBetween(Window.unboundedPreceding, -1)
     cut = (spans.withColumn("before", F.coalesce(F.max("end").over(run), F.lit(0)))
            .withColumn("start", F.greatest("start", "before")).where(F.col("start") < F.col("end"))
-           .groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("_cuts")))
-    cut = written(cut, "pii-cuts").withColumnRenamed("row", "_row")
-    whole = F.col(text)
-    n = F.size("_cuts")
+           .groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("cuts")))
+    cut = written(cut, "pii-cuts")
+    whole = own[text]
+    n = F.size("cuts")
     body = F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(
-        F.substring(whole, F.when(i > 1, F.try_element_at("_cuts", i - 1)["end"]).otherwise(0).cast("int") + 1,
-                    (F.element_at("_cuts", i)["start"] - F.when(i > 1, F.try_element_at("_cuts", i - 1)["end"]).otherwise(0)).cast("int")),
-        F.element_at(names, F.element_at("_cuts", i)["kind"] + 1))), "")
-    tail = F.substring(whole, F.element_at("_cuts", -1)["end"].cast("int") + 1, F.length(whole))
-    rows = docs.withColumn("_row", F.monotonically_increasing_id()).join(cut, "_row", "left")
-    return rows.withColumn(text, F.when(F.col("_cuts").isNull(), whole).otherwise(F.concat(body, tail))).select(*docs.columns)
+        F.substring(whole, F.when(i > 1, F.try_element_at("cuts", i - 1)["end"]).otherwise(0).cast("int") + 1,
+                    (F.element_at("cuts", i)["start"] - F.when(i > 1, F.try_element_at("cuts", i - 1)["end"]).otherwise(0)).cast("int")),
+        F.element_at(names, F.element_at("cuts", i)["kind"] + 1))), "")
+    tail = F.substring(whole, F.element_at("cuts", -1)["end"].cast("int") + 1, F.length(whole))
+    rows = docs.join(cut, "row", "left")
+    return rows.select(own.withField(quoted(text), F.when(F.col("cuts").isNull(), whole).otherwise(F.concat(body, tail))).alias("own")).select("own.*")

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from tidewatch.llm.common import SPACES, WORD, written
+from tidewatch.llm.common import SPACES, WORD, quoted, written
 
 SYMBOLS = "#*$%&|<>"
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -115,7 +115,9 @@ def certified(levels: np.ndarray, quality: np.ndarray, counts: np.ndarray, steps
 def thresholds(stats: DataFrame, labels: DataFrame, max_false_rejection: float = 0.04, delta: float = 0.05) -> DataFrame:
     """(stratum, steps): for each rule, how many of its cutoffs are in force.
 
-    ``stats`` has key, stratum and the struct s; ``labels`` has key and quality.
+    ``stats`` has key, stratum, the struct s and the text's digest; ``labels`` has key and quality.
+    Copies of a text are no independent draws: each distinct text of a stratum is one
+    holdout, and none where its labels disagree.
     Documents that the base rules reject are no holdouts: the method judges the rest.
     Keys with labels that disagree, or without one, are left out.
     """
@@ -123,7 +125,9 @@ def thresholds(stats: DataFrame, labels: DataFrame, max_false_rejection: float =
            .where("quality = _q").drop("_q"))
     s = F.col("s")
     passed = lambda r: sum((feature(r, s) >= c).cast("int") for c in r[2])
-    held = stats.where(~base_failed(s)).select("key", "stratum", F.array(*[passed(r) for r in RULES]).alias("passed")).join(one, "key")
+    held = stats.where(~base_failed(s)).select("key", "stratum", "digest", F.array(*[passed(r) for r in RULES]).alias("passed")).join(one, "key")
+    held = (held.groupBy("stratum", "digest").agg(F.min("quality").alias("quality"), F.max("quality").alias("_q"), F.first("passed").alias("passed"))
+            .where("quality = _q").drop("_q"))
     cells = (held.select("stratum", "quality", F.posexplode("passed").alias("rule", "level"))
              .groupBy("stratum", "quality", "rule", "level").agg(F.count("*").alias("n")))
     strata = max(1, held.select("stratum").distinct().count())
@@ -149,6 +153,11 @@ def verdict(s: Column, steps: Column) -> Column:
     return ~base_failed(s) & ~F.greatest(*hits)
 
 
+def digest(text: Column) -> Column:
+    """Tells texts apart: 128 bits."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
 def _stratum(col: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), col.cast("string")), F.lit("null"))
 
@@ -161,7 +170,8 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     Strata without enough labelled holdouts get no cutoffs: only base rules reject
     there. Repeated rows are judged alike. An empty table gives an empty result.
     """
-    rows = with_stats(docs.select(F.col(key).alias("key"), _stratum(F.col(stratum)).alias("stratum"), F.col(text).alias("_text")), "_text", "s").drop("_text")
+    rows = with_stats(docs.select(F.col(key).alias("key"), _stratum(F.col(stratum)).alias("stratum"), F.col(text).alias("_text")), "_text", "s")
+    rows = rows.withColumn("digest", digest(F.col("_text"))).drop("_text")
     rows = written(rows, "quality-stats")
     cuts = written(thresholds(rows, labels, max_false_rejection, delta), "quality-cuts")
     s = F.col("s")
@@ -171,9 +181,12 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang",
               max_false_rejection: float = 0.04, delta: float = 0.05) -> DataFrame:
-    """The documents that ``judge`` keeps, all columns as they are (counted anew rather than shuffled)."""
-    stats = with_stats(docs.select(F.col(key).alias("key"), _stratum(F.col(stratum)).alias("stratum"), F.col(text).alias("_text")), "_text", "s").drop("_text")
-    cuts = written(thresholds(written(stats, "quality-stats"), labels, max_false_rejection, delta), "quality-cuts")
-    names = docs.columns
-    rows = with_stats(docs.withColumn("_stratum", _stratum(F.col(stratum))), text, "_s")
-    return rows.join(cuts.withColumnRenamed("stratum", "_stratum").withColumnRenamed("steps", "_steps"), "_stratum", "left").where(verdict(F.col("_s"), F.col("_steps"))).select(*names)
+    """The documents that ``judge`` keeps, all columns as they are, whatever their names.
+
+    The counts are written once, beside the documents.
+    """
+    own = F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("own")
+    rows = docs.select(own).select("own", F.col("own")[key].alias("key"), _stratum(F.col("own")[stratum]).alias("stratum"), F.col("own")[text].alias("text"))
+    rows = written(with_stats(rows, "text", "s").withColumn("digest", digest(F.col("text"))).drop("text"), "quality-documents")
+    cuts = written(thresholds(rows.drop("own"), labels, max_false_rejection, delta), "quality-cuts")
+    return rows.join(cuts, "stratum", "left").where(verdict(F.col("s"), F.col("steps"))).select("own.*")

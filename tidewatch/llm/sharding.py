@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import numbered, uniform
+from tidewatch.llm.common import numbered, uniform, written
 
 
 def rendezvous(key: Column, weights: Sequence[float], first: int = 0) -> Column:
@@ -30,7 +30,7 @@ def shard_records(docs: DataFrame, weights: Sequence[float] = (1.0,) * 24, new_w
     from 0 in each shard) and grown_shard (with one more shard of ``new_weight``).
 
     A null key is a key like any other; a null text has no bytes. Rows of one key
-    share a shard; identical rows get neighbouring slots in any order. An empty
+    share a shard; slots are drawn row by row, so that a frequent key is numbered by many tasks. An empty
     table gives an empty result; other columns are not read.
     """
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
@@ -40,12 +40,13 @@ def shard_records(docs: DataFrame, weights: Sequence[float] = (1.0,) * 24, new_w
     placed = rows.select(
         "_key", (F.length(blob) + 8).cast("long").alias("size"), F.crc32(blob).alias("text_crc32"),
         best.alias("_best"), extra.alias("_extra"),
-        uniform(F.col("_key").cast("string"), F.lit("slot")).alias("_u"),
+        uniform(F.col("_key").cast("string"), F.crc32(blob), F.monotonically_increasing_id()).alias("_u"),
     ).select(
         "_key", "size", "text_crc32", "_u", F.col("_best.shard").alias("shard"),
         F.when(F.col("_extra.draw") < F.col("_best.draw"), F.col("_extra.shard"))
         .otherwise(F.col("_best.shard")).alias("grown_shard"))
-    out = numbered(placed, ["shard"], ["_key", "size", "text_crc32"], "_u", docs.count(), "slot", len(weights))
+    placed = written(placed, "shard-rows")
+    out = numbered(placed, ["shard"], ["_key", "size", "text_crc32"], "_u", placed.count(), "slot", len(weights))
     return out.select(F.col("_key").alias(key), "size", "text_crc32", F.lit("key").alias("law"),
                       F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"),
                       F.col("grown_shard").cast("int").alias("grown_shard"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from tidewatch.llm.common import written
+from tidewatch.llm.common import identified, written
 from tidewatch.llm.components import components
 
 BITS = 64
@@ -204,17 +204,18 @@ def links(prints: DataFrame, distance: int = 2, parts: int = 3) -> DataFrame:
     return pairs.union(star)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, key: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
     """Fingerprint and component of every document.
 
-    Returns row (number in the scan), key, fp (signed), fingerprint (16 hex digits), leader (the
+    Returns row (the column ``row``, or a number of its own), key, fp (signed), fingerprint (16 hex digits), leader (the
     component's smallest key) and component_id (the same). Null and empty texts have
     the fingerprint zero and link like any other; null keys belong to their component
     but name it only where it has no other key. Texts of fewer words than a shingle
     hash whole. Repeated rows share a component. Equal fingerprints meet as one, so
     groups of copies make no pairs.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("_text"))
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    rows = docs.select(number.alias("row"), F.col(key).alias("key"), F.col(text).alias("_text"))
     rows = written(fingerprints(rows, "_text", "fp", shingle).drop("_text"), "simhash-rows")
     prints = written(rows.groupBy("fp").agg(F.min("key").alias("first")), "simhash-prints")
     found = components(links(prints.select("fp"), distance))
@@ -227,10 +228,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, key: s
 def keep_one(docs: DataFrame, shingle: int = 3, distance: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without all but one of each component: that of the smallest key, then the first read.
 
-    ``docs`` must read the same rows in the same order when scanned again, as files do.
+    All columns stay as they are, whatever their names.
     """
-    found = near_duplicates(docs, shingle, distance, key, text)
-    first = found.groupBy("group").agg(F.min(F.struct(F.col(key).isNull(), F.col(key), F.col("row"))).alias("m")).select(F.col("m.row").alias("_row"))
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(first, "_row", "left_semi").select(*docs.columns)
+    docs = identified(docs, "simhash-documents")
+    found = near_duplicates(docs.select("row", F.col("own")[key].alias("key"), F.col("own")[text].alias("text")), shingle, distance, "key", "text", "row")
+    first = found.groupBy("group").agg(F.min(F.struct(F.col("key").isNull(), F.col("key"), F.col("row"))).alias("m")).select(F.col("m.row").alias("row"))
+    return docs.join(first, "row", "left_semi").select("own.*")
 
 

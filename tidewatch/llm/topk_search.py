@@ -120,10 +120,10 @@ def top_products(vectors: DataFrame, queries: str = "id % 100 = 0", k: int = 10,
     schema = "row long, id long, dim int, vec binary, norm double"
     rows = (vectors.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
             .where(usable(F.col("v"))))
+    rows = written(rows, "topk-rows")  # both of what follows read the same row numbers
     # null keys would turn a batch's keys into floating point: they go round
-    ids = rows.select("row", "id")
+    known = rows.select("row", "id")
     rows = written(rows.withColumn("id", F.coalesce("id", F.lit(0))).mapInPandas(prepare, schema), "topk-vectors")
-    known = written(ids, "topk-ids")
     n = rows.count()
     buckets = max(1, math.ceil(n / BUCKET))
     cand = rows.drop("id").join(known, "row")
@@ -155,8 +155,9 @@ def top_products(vectors: DataFrame, queries: str = "id % 100 = 0", k: int = 10,
 
     asked = of_query.select("row", "dim", "vec", "norm").mapInPandas(plan, "bucket int, row long, dim int, vec binary, bound double")
     blocks = max(1, math.ceil(of_query.count() / QUERIES))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
-    spread = cand.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked = written(asked.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")), "topk-asked")
+    # a bucket goes to the blocks of queries that ask for it
+    spread = cand.join(asked.select("bucket", "block").distinct(), "bucket")
     found = asked.groupBy("bucket", "block").cogroup(spread.groupBy("bucket", "block")).applyInPandas(
         lambda q, c: run_block(c, q, k), "query long, row long, score long")
     names = known.select(F.col("row"), F.col("id"))
