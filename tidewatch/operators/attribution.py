@@ -43,7 +43,7 @@ def linear_rows(df: DataFrame, keys: Sequence[str], weights: Mapping[str, float]
 def exploded(rows: DataFrame, column: str = "attributions") -> DataFrame:
     """Long form of an attribution array: the other columns and the struct's fields."""
     keep = [c for c in rows.columns if c != column]
-    return rows.select(*keep, F.inline(column))
+    return rows.select(*keep, F.inline_outer(column))
 
 
 def linear_attribution(df: DataFrame, keys: Sequence[str], weights: Mapping[str, float], intercept: float,

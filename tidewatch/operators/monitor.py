@@ -6,8 +6,8 @@ window:
 
 * KS: the supremum of |F - G_w| over an interval between two consecutive
   window points is reached at its ends, so D_w only needs the reference ECDF
-  F at the window's own points (F(x) and F(x-)), found by an equi-join on
-  (feature, value) against one ladder of reference counts.
+  F at the window's own points (F(x) and F(x-)), looked up in the prepared
+  reference (``reference.py``).
 * PSI: the bin count depends on the window size (k = min(bins, max(4,
   n // 5))), so reference edges are computed once per (feature, k), at most
   seven sets per feature, and broadcast.
@@ -28,7 +28,9 @@ from tidewatch.functions.binning import count_at_most
 from tidewatch.functions.special import chi2_sf, ks_pvalue
 from tidewatch.operators import drift as D
 from tidewatch.operators.columns import col, is_numeric_type
-from tidewatch.operators.ladder import quantiles_linear, value_ladder
+from tidewatch.operators.ladder import value_ladder
+from tidewatch.operators.reference import MIN_BINS, Reference, bin_counts, bin_probs, interior_edges, lookup, prepare
+from tidewatch.session import written
 
 WKEY = "window_start"
 
@@ -58,24 +60,11 @@ def _long_cat(df: DataFrame, cols: Sequence[str], keys: Sequence[str]) -> DataFr
             .where(F.col("category").isNotNull()))
 
 
-def pooled_ladder(ref_counts: DataFrame, cur_counts: DataFrame, buckets: int | None = None) -> DataFrame:
-    """Running reference counts at every value of the reference and of any window."""
-    points = (ref_counts.select("feature", "value", "n_ref")
-              .unionByName(cur_counts.select("feature", "value", F.lit(0).cast("long").alias("n_ref")))
-              .groupBy("feature", "value").agg(F.sum("n_ref").alias("n_ref")))
-    return value_ladder(points, ["feature"], "value", ["n_ref"], buckets=buckets)
-
-
-def windowed_ks(ref_counts: DataFrame, cur_counts: DataFrame, buckets: int | None = None,
-                p_value: Callable[[Column, Column, Column], Column] = ks_pvalue, ladder: DataFrame | None = None) -> DataFrame:
-    """(window_start, feature, statistic, p_value) from (feature, value, n_ref) and
-    (window_start, feature, value, n_cur); ``p_value`` as in ``ks_from_ladder``. ``ladder`` may
-    pass the ``pooled_ladder`` of both."""
-    if ladder is None:
-        ladder = pooled_ladder(ref_counts, cur_counts, buckets)
-    fl = ladder.select(
-        "feature", "value", (F.col("cum_n_ref") / F.col("tot_n_ref")).alias("F_in"),
-        ((F.col("cum_n_ref") - F.col("n_ref")) / F.col("tot_n_ref")).alias("F_ex"), F.col("tot_n_ref").alias("R"))
+def windowed_ks(reference: Reference, cur_counts: DataFrame, buckets: int | None = None,
+                p_value: Callable[[Column, Column, Column], Column] = ks_pvalue) -> DataFrame:
+    """(window_start, feature, statistic, p_value) from (window_start, feature, value, n_cur);
+    ``p_value`` as in ``ks_from_ladder``."""
+    fl = lookup(reference, cur_counts.select("feature", "value").distinct())
     gl = value_ladder(cur_counts, [WKEY, "feature"], "value", ["n_cur"], buckets=buckets)
     j = gl.join(fl, ["feature", "value"], "inner")
     g_in = F.col("cum_n_cur") / F.col("tot_n_cur")
@@ -88,32 +77,34 @@ def windowed_ks(ref_counts: DataFrame, cur_counts: DataFrame, buckets: int | Non
 
 def windowed_psi(ref_counts: DataFrame, cur_counts: DataFrame, num_bins: int = D.PSI_DEFAULT_BINS,
                  min_current: int = D.PSI_MIN_CURRENT, floor: float = D.PSI_SHARE_FLOOR,
-                 buckets: int | None = None, key: str = "window_start", ladder: DataFrame | None = None) -> DataFrame:
+                 buckets: int | None = None, key: str = "window_start") -> DataFrame:
     """(key, feature, statistic, info): D3 per window with the reference
-    edges chosen by the window's own bin count. ``ladder`` may pass the reference's
-    running counts; values that only windows have count nothing in it."""
-    WKEY = key  # noqa: N806
+    edges chosen by the window's own bin count, from (feature, value, n_ref)."""
     rstats = ref_counts.groupBy("feature").agg(F.sum("n_ref").alias("R"), F.min("value").alias("rmin"),
                                                F.max("value").alias("rmax"))
-    wstats = cur_counts.groupBy(WKEY, "feature").agg(F.sum("n_cur").alias("C"), F.min("value").alias("cmin"),
-                                                     F.max("value").alias("cmax"))
+    needed = (window_sizes(rstats, cur_counts, num_bins, key).where((F.col("C") >= min_current) & ~F.col("same"))
+              .select("feature", "k").distinct())
+    ladder = value_ladder(ref_counts, ["feature"], "value", ["n_ref"], buckets=buckets)
+    interior = interior_edges(ladder, bin_probs(needed.join(F.broadcast(rstats), "feature")))
+    return psi_of_windows(rstats, interior, bin_counts(ref_counts, interior, num_bins), cur_counts, num_bins, min_current, floor, key)
+
+
+def window_sizes(rstats: DataFrame, cur_counts: DataFrame, num_bins: int, key: str) -> DataFrame:
+    """(key, feature, C, cmin, cmax, R, rmin, rmax, k, same): counts, ranges and the bin count of each window."""
+    wstats = cur_counts.groupBy(key, "feature").agg(F.sum("n_cur").alias("C"), F.min("value").alias("cmin"),
+                                                    F.max("value").alias("cmax"))
     ws = wstats.join(F.broadcast(rstats), "feature", "inner")  # one row per feature
-    k = F.least(F.lit(num_bins), F.greatest(F.lit(4), (F.col("C") / 5).cast("long"))).cast("int")
-    ws = ws.withColumn("k", k).withColumn("same", F.least("rmin", "cmin") == F.greatest("rmax", "cmax"))
-    ks_needed = ws.where((F.col("C") >= min_current) & ~F.col("same")).select("feature", "k").distinct()
-    ref_lad = ladder if ladder is not None else value_ladder(ref_counts, ["feature"], "value", ["n_ref"], buckets=buckets)
-    probs = ks_needed.join(F.broadcast(rstats), "feature").select(
-        "feature", "k", F.col("R").alias("n"),
-        F.transform(F.sequence(F.lit(0), F.col("k")), lambda i: i.cast("double") / F.col("k").cast("double")).alias("probs"))
-    q = quantiles_linear(ref_lad, ["feature"], "value", "n_ref", probs, extra=["k"])
-    edges = q.select("feature", "k", F.array_distinct(F.array_sort("quantiles")).alias("edges"))
-    interior = edges.select("feature", "k", F.size("edges").alias("n_edges"),
-                            F.when(F.size("edges") > 2, F.slice("edges", 2, F.size("edges") - 2))
-                            .otherwise(F.array().cast("array<double>")).alias("interior"))
+    k = F.least(F.lit(num_bins), F.greatest(F.lit(MIN_BINS), (F.col("C") / 5).cast("long"))).cast("int")
+    return ws.withColumn("k", k).withColumn("same", F.least("rmin", "cmin") == F.greatest("rmax", "cmax"))
+
+
+def psi_of_windows(rstats: DataFrame, interior: DataFrame, ref_bins: DataFrame, cur_counts: DataFrame, num_bins: int = D.PSI_DEFAULT_BINS,
+                   min_current: int = D.PSI_MIN_CURRENT, floor: float = D.PSI_SHARE_FLOOR, key: str = "window_start") -> DataFrame:
+    """(key, feature, statistic, info) against a reference's edges and counts for each bin count."""
+    WKEY = key  # noqa: N806
+    ws = window_sizes(rstats, cur_counts, num_bins, key)
     inter = F.broadcast(interior.where(F.col("n_edges") >= 2))  # features x at most 7 rows
     bin_of = count_at_most(F.col("interior"), F.col("value"), max(num_bins - 1, 0))
-    ref_bins = (ref_counts.join(inter, "feature").withColumn("bin", bin_of)
-                .groupBy("feature", "k", "bin").agg(F.sum("n_ref").alias("nr")))
     wk = ws.select(WKEY, "feature", "k")
     cur_bins = (cur_counts.join(wk, [WKEY, "feature"]).join(inter, ["feature", "k"]).withColumn("bin", bin_of)
                 .groupBy(WKEY, "feature", "bin").agg(F.sum("n_cur").alias("nc")))
@@ -133,21 +124,13 @@ def windowed_psi(ref_counts: DataFrame, cur_counts: DataFrame, num_bins: int = D
     return out.select(WKEY, "feature", stat.alias("statistic"), info.alias("info"))
 
 
-def windowed_categorical(ref_counts: DataFrame, cur_counts: DataFrame, min_current: int = D.PSI_MIN_CURRENT,
+def windowed_categorical(reference: Reference, cur_counts: DataFrame, min_current: int = D.PSI_MIN_CURRENT,
                          floor: float = D.PSI_SHARE_FLOOR) -> DataFrame:
-    """(window_start, feature, chi_stat, chi_p, chi_info, cpsi, cpsi_info) from
-    (feature, category, n_ref) and (window_start, feature, category, n_cur)."""
+    """(window_start, feature, chi_stat, chi_p, chi_info, cpsi, cpsi_info) from (window_start, feature, category, n_cur)."""
     r_share = F.greatest(F.col("n_ref") / F.col("R"), F.lit(floor))
     absent_psi_term = (r_share - floor) * F.log(r_share / floor)
-    rtot = ref_counts.groupBy("feature").agg(F.sum("n_ref").alias("R"), F.count(F.lit(1)).alias("ref_k"))
-    # categories with the same count form a level; a column of N rows has at most sqrt(2 N)
-    # levels, so ranking them is small however many categories there are
-    wr = Window.partitionBy("feature").orderBy("n_ref")
-    levels = (ref_counts.groupBy("feature", "n_ref").agg(F.count(F.lit(1)).alias("n_cats"))
-              .withColumn("rank", F.row_number().over(wr) - 1))
-    s_all = ref_counts.join(F.broadcast(rtot), "feature").groupBy("feature").agg(F.sum(absent_psi_term).alias("S_all"))
-    ref = ref_counts.select("feature", "category", "n_ref")
-    cur = cur_counts.join(ref, ["feature", "category"], "left").join(F.broadcast(rtot), "feature")
+    rtot, levels, s_all = reference.cat_stats, reference.levels, reference.s_all
+    cur = cur_counts.join(reference.cats, ["feature", "category"], "left").join(F.broadcast(rtot), "feature")
     cur = cur.withColumn("n_ref", F.coalesce("n_ref", F.lit(0)).cast("long"))
     ctot = cur.groupBy(WKEY, "feature").agg(F.sum("n_cur").alias("C"))
     cur = cur.join(ctot, [WKEY, "feature"])
@@ -216,32 +199,21 @@ def current_counts(windowed: DataFrame, num: Sequence[str], cat: Sequence[str])
     return cnum, ccat
 
 
-def window_tests(rnum: DataFrame, rcat: DataFrame, cnum: DataFrame, ccat: DataFrame,
+def window_tests(reference: Reference, cnum: DataFrame, ccat: DataFrame,
                  psi_bins: int = D.PSI_DEFAULT_BINS, p_threshold: float = D.P_VALUE_THRESHOLD,
                  psi_threshold: float = D.PSI_THRESHOLD, min_current: int = D.PSI_MIN_CURRENT,
                  buckets: int | None = None,
                  ks_p_value: Callable[[Column, Column, Column], Column] = ks_pvalue) -> DataFrame:
     """T2 tests from aggregated counts: one row per (window, feature, test)."""
-    # D6 on the reference: one row per feature, broadcast
-    nd = (rnum.groupBy("feature").agg(F.count(F.lit(1)).alias("nd"), F.lit(True).alias("numeric"))
-          .unionByName(rcat.groupBy("feature").agg(F.count(F.lit(1)).alias("nd"), F.lit(False).alias("numeric"))))
-    ftype = (F.when(F.col("nd") == 1, "constant").when(F.col("nd") <= 2, "binary")
-             .when(F.col("numeric"), "numeric").otherwise("categorical"))
-    types_df = F.broadcast(nd.select("feature", ftype.alias("feature_type")))
-
-    numeric = types_df.where(F.col("feature_type") == "numeric")
-    num_typed = rnum.join(numeric, "feature", "left_semi")
-    cnum_typed = cnum.join(numeric, "feature", "left_semi")
-    pooled = pooled_ladder(num_typed, cnum_typed, buckets)
-    ks = windowed_ks(num_typed, cnum_typed, buckets, ks_p_value, pooled)
-    psi = windowed_psi(num_typed, cnum_typed, psi_bins, min_current, buckets=buckets, ladder=pooled)
+    types_df = F.broadcast(reference.types)  # one row per feature
+    cnum_typed = cnum.join(types_df.where("feature_type = 'numeric'"), "feature", "left_semi")
+    ks = windowed_ks(reference, cnum_typed, buckets, ks_p_value)
+    psi = psi_of_windows(reference.stats, reference.interior, reference.bins, cnum_typed, psi_bins, min_current)
     bin_cat = types_df.where(F.col("feature_type").isin("binary", "categorical"))
-    ref_cat = (rnum.join(bin_cat, "feature", "left_semi").select("feature", F.col("value").cast("string").alias("category"), "n_ref")
-               .unionByName(rcat.join(bin_cat, "feature", "left_semi")))
     cur_cat = (cnum.join(bin_cat, "feature", "left_semi")
                .select(WKEY, "feature", F.col("value").cast("string").alias("category"), "n_cur")
                .unionByName(ccat.join(bin_cat, "feature", "left_semi")))
-    ct = windowed_categorical(ref_cat, cur_cat, min_current)
+    ct = windowed_categorical(reference, cur_cat, min_current)
     both = F.array(
         F.struct(F.lit("chi_square").alias("test"), F.col("chi_stat").alias("statistic"), F.col("chi_p").alias("p_value"),
                  F.coalesce(F.col("chi_p") < p_threshold, F.lit(False)).alias("drift_detected"), F.col("chi_info").alias("info")),
@@ -283,9 +255,9 @@ def windowed_data_drift(reference: DataFrame, current: DataFrame, time_col: str,
     feature_cols = [c for c in feature_cols if c in reference.columns and c in current.columns]
     cur = windowed if windowed is not None else assign_window(current, time_col, duration)
     rnum, rcat, num, cat = reference_counts(reference, feature_cols)
-    cnum, ccat = current_counts(cur, num, cat)
-    rnum, rcat, cnum, ccat = rnum.persist(), rcat.persist(), cnum.persist(), ccat.persist()
-    tests = window_tests(rnum, rcat, cnum, ccat, psi_bins, p_threshold, psi_threshold, min_current, buckets, ks_p_value).persist()
+    cnum, ccat = (written(c, "window-counts") for c in current_counts(cur, num, cat))
+    prepared = prepare(rnum, rcat, psi_bins, D.PSI_SHARE_FLOOR, buckets)
+    tests = written(window_tests(prepared, cnum, ccat, psi_bins, p_threshold, psi_threshold, min_current, buckets, ks_p_value), "window-tests")
     records = cur.groupBy(WKEY).agg(F.count(F.lit(1)).alias("n_records"))
     return WindowReport(tests=tests, windows=window_verdicts(tests, records, len(feature_cols), ratio_threshold))
 

@@ -7,6 +7,8 @@ one, and only when the session has none.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
@@ -49,13 +51,14 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def ensure_local_checkpoint_dir(spark: SparkSession) -> str:
-    """The checkpoint folder; where the session names none, one below its warehouse.
+    """The checkpoint folder; where a local session names none, one below its warehouse.
 
-    Executors share the warehouse wherever tables can be written at all, so no
-    machine-local folder is ever used.
+    A cluster has to name one: its warehouse may be a folder of the driver's machine.
     """
     d = checkpoint_dir(spark)
     if d is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
@@ -63,16 +66,25 @@ def ensure_local_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint when the cluster names a shared folder, else persist.
+    """Reliable checkpoint in the shared folder.
 
     Never a local checkpoint: an executor loss would lose the blocks.
     """
     spark = df.sparkSession
-    d = checkpoint_dir(spark)
-    if d:
-        spark.sparkContext.setCheckpointDir(d)
-        return df.checkpoint(eager=True)
-    return df.persist()
+    spark.sparkContext.setCheckpointDir(checkpoint_dir(spark) or ensure_local_checkpoint_dir(spark))
+    return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Cut the lineage by a table: written to the shared folder and read back.
+
+    Unlike a cache it holds no memory, and unlike a checkpoint its columns are read apart.
+    """
+    spark = df.sparkSession
+    base = checkpoint_dir(spark) or ensure_local_checkpoint_dir(spark)
+    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

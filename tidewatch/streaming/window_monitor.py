@@ -20,8 +20,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidewatch.operators import drift as D
 from tidewatch.operators import monitor as T
 from tidewatch.operators.columns import col
+from tidewatch.operators.reference import Reference, prepare
 from tidewatch.session import checkpoint_dir, ensure_local_checkpoint_dir
 
 ROWS_FEATURE = "__rows__"
@@ -52,7 +54,14 @@ def stream_counts(stream: DataFrame, time_col: str, num: Sequence[str], cat: Seq
         F.count(F.lit(1)).alias("n"))
 
 
-def write_windows(counts: DataFrame, rnum: DataFrame, rcat: DataFrame, n_features: int, out_dir: str, tag: str) -> None:
+def prepared_reference(reference: DataFrame, feature_cols: Sequence[str]) -> tuple[Reference, list[str], list[str], int]:
+    """The reference's tables, written once for all batches, its numeric and other columns, and their number."""
+    feature_cols = [c for c in feature_cols if c in reference.columns]
+    rnum, rcat, num, cat = T.reference_counts(reference, feature_cols)
+    return prepare(rnum, rcat, D.PSI_DEFAULT_BINS, D.PSI_SHARE_FLOOR), num, cat, len(feature_cols)
+
+
+def write_windows(counts: DataFrame, prepared: Reference, n_features: int, out_dir: str, tag: str) -> None:
     """Test the windows in ``counts`` and write them to their own ``batch_id=<tag>`` folder."""
     b = counts.select(F.col("window.start").alias(T.WKEY), "feature", "value", "category", "n").persist()
     if b.isEmpty():  # e.g. the batch before the watermark first passes a window end
@@ -62,24 +71,23 @@ def write_windows(counts: DataFrame, rnum: DataFrame, rcat: DataFrame, n_feature
     ccat = (b.where(F.col("category").isNotNull() & (F.col("feature") != ROWS_FEATURE))
             .select(T.WKEY, "feature", "category", F.col("n").alias("n_cur")))
     records = b.where(F.col("feature") == ROWS_FEATURE).select(T.WKEY, F.col("n").alias("n_records"))
-    tests = T.window_tests(rnum, rcat, cnum, ccat).persist()
-    tests.write.mode("overwrite").parquet(f"{out_dir}/tests/batch_id={tag}")
+    path = f"{out_dir}/tests/batch_id={tag}"
+    T.window_tests(prepared, cnum, ccat).write.mode("overwrite").parquet(path)
+    tests = counts.sparkSession.read.parquet(path)
     T.window_verdicts(tests, records, n_features).write.mode("overwrite").parquet(f"{out_dir}/windows/batch_id={tag}")
-    tests.unpersist()
     b.unpersist()
 
 
-def flush_open_windows(bounded: DataFrame, reference: DataFrame, time_col: str, feature_cols: Sequence[str], out_dir: str,
+def flush_open_windows(bounded: DataFrame, prepared: tuple[Reference, list[str], list[str], int], time_col: str, out_dir: str,
                        duration: str = "1 hour") -> None:
     """After a finite stream has ended: close the windows that the watermark left open.
 
     ``bounded`` is the stream's input as a batch table; only its rows from the end of
     the last window written are read again. A rerun replaces the same folder.
+    ``prepared`` comes from ``prepared_reference``.
     """
     spark = bounded.sparkSession
-    feature_cols = [c for c in feature_cols if c in reference.columns]
-    rnum, rcat, num, cat = T.reference_counts(reference, feature_cols)
-    rnum, rcat = rnum.persist(), rcat.persist()
+    reference, num, cat, n_features = prepared
     try:
         done = spark.read.parquet(f"{out_dir}/windows").where(f"batch_id <> {FINAL}").agg(F.max(T.WKEY)).first()[0]
     except AnalysisException:  # no window was closed
@@ -88,23 +96,20 @@ def flush_open_windows(bounded: DataFrame, reference: DataFrame, time_col: str,
     if done is not None:
         counts = stream_counts(bounded.where(col(time_col).cast("timestamp") >= F.lit(done)), time_col, num, cat, duration, "0 seconds")
         counts = counts.where(F.col("window.start") > F.lit(done))
-    write_windows(counts, rnum, rcat, len(feature_cols), out_dir, str(FINAL))
-    rnum.unpersist()
-    rcat.unpersist()
+    write_windows(counts, reference, n_features, out_dir, str(FINAL))
 
 
-def start_monitor(spark: SparkSession, stream: DataFrame, reference: DataFrame, time_col: str,
-                  feature_cols: Sequence[str], out_dir: str, duration: str = "1 hour", watermark: str = "1 hour",
+def start_monitor(spark: SparkSession, stream: DataFrame, prepared: tuple[Reference, list[str], list[str], int], time_col: str,
+                  out_dir: str, duration: str = "1 hour", watermark: str = "1 hour",
                   available_now: bool = True, processing_time: str | None = None) -> StreamingQuery:
-    """Start the monitor; results go to ``<out_dir>/tests`` and ``<out_dir>/windows``."""
-    feature_cols = [c for c in feature_cols if c in reference.columns]
-    rnum, rcat, num, cat = T.reference_counts(reference, feature_cols)
-    rnum, rcat = rnum.persist(), rcat.persist()  # static side, reused by every batch
-    n_features = len(feature_cols)
+    """Start the monitor; results go to ``<out_dir>/tests`` and ``<out_dir>/windows``.
+
+    ``prepared`` comes from ``prepared_reference``; batches look values up in it and never sort it again."""
+    reference, num, cat, n_features = prepared
     counts = stream_counts(stream, time_col, num, cat, duration, watermark)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        write_windows(batch, rnum, rcat, n_features, out_dir, str(batch_id))
+        write_windows(batch, reference, n_features, out_dir, str(batch_id))
 
     # one state row per distinct value of an open window: kept on disk, not in the executors' heap
     spark.conf.set("spark.sql.streaming.stateStore.providerClass",
@@ -128,12 +133,13 @@ def run_to_completion(spark: SparkSession, stream: DataFrame, reference: DataFra
     if out_dir is None:
         base = checkpoint_dir(spark) or ensure_local_checkpoint_dir(spark)
         out_dir = f"{base.rstrip('/')}/window-monitor-{uuid.uuid4().hex[:12]}"
-    q = start_monitor(spark, stream, reference, time_col, feature_cols, out_dir, duration, watermark)
+    prepared = prepared_reference(reference, feature_cols)
+    q = start_monitor(spark, stream, prepared, time_col, out_dir, duration, watermark)
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
     if bounded is not None:
-        flush_open_windows(bounded, reference, time_col, feature_cols, out_dir, duration)
+        flush_open_windows(bounded, prepared, time_col, out_dir, duration)
     return out_dir
 
 
