@@ -157,7 +157,8 @@ def top_products(vectors: DataFrame, queries: str = "id % 100 = 0", k: int = 10,
     blocks = max(1, math.ceil(of_query.count() / QUERIES))
     asked = written(asked.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")), "topk-asked")
     # a bucket goes to the blocks of queries that ask for it
-    spread = cand.join(asked.select("bucket", "block").distinct(), "bucket")
+    wanted = asked.select("bucket", "block").distinct().toDF("_bucket", "_block")
+    spread = cand.join(wanted, F.col("bucket") == F.col("_bucket")).drop("bucket").withColumnsRenamed({"_bucket": "bucket", "_block": "block"})
     found = asked.groupBy("bucket", "block").cogroup(spread.groupBy("bucket", "block")).applyInPandas(
         lambda q, c: run_block(c, q, k), "query long, row long, score long")
     names = known.select(F.col("row"), F.col("id"))
