@@ -8,7 +8,9 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from tidewatch.functions.ks_exact import exact_pvalue
+from tidewatch.functions import ks_finite
+from tidewatch.functions.ks_exact import exact_pvalue, two_sample_pvalue
+from tidewatch.functions.ks_finite import finite_pvalue
 from tidewatch.operators import explain_records as R
 from tidewatch.operators import models as M
 from tidewatch.operators import projections as P
@@ -55,6 +57,33 @@ def test_exact_ks_at_published_critical_values():
     assert exact_pvalue(0.0, 5, 5) == 1.0 and exact_pvalue(1.0, 5, 5) == pytest.approx(2 / 252)
 
 
+def test_finite_ks_at_published_values():
+    # P(D_n < d) as tabulated for the matrix method
+    for n, d, below in ((10, 0.274, 0.6284796154565042), (2000, 0.04, 0.99676943191713676985), (2000, 0.06, 0.99999893956930568),
+                        (16000, 0.016, 0.99945234913828052)):
+        assert finite_pvalue(d, n) == pytest.approx(1 - below, rel=1e-6, abs=1e-12)
+    # 5 % and 1 % two-sided, as tabulated for one sample
+    for n, five, one in ((5, 0.563, 0.669), (10, 0.409, 0.489), (20, 0.294, 0.352), (30, 0.242, 0.290)):
+        assert finite_pvalue(five, n) == pytest.approx(0.05, abs=1e-3) and finite_pvalue(one, n) == pytest.approx(0.01, abs=5e-4)
+    assert finite_pvalue(0.7, 1) == pytest.approx(0.6) and finite_pvalue(0.0, 9) == 1.0 and finite_pvalue(1.0, 9) == 0.0
+
+
+@pytest.mark.parametrize("n", [200, 3000])
+def test_finite_ks_methods_agree(n):
+    for z in np.linspace(0.3, 1.45, 12):
+        d = z / n ** 0.5
+        assert ks_finite.expanded_cdf(n, d) == pytest.approx(ks_finite.matrix_cdf(n, d), abs=3 / n ** 2)
+    for z in (1.49, 1.8, 2.5):
+        assert 2 * ks_finite.one_sided(n, z / n ** 0.5) == pytest.approx(1 - ks_finite.matrix_cdf(n, z / n ** 0.5), rel=1e-4)
+    values = [finite_pvalue(d, n) for d in np.linspace(0.001, 0.5, 400)]
+    assert all(a >= b - 1e-9 for a, b in zip(values, values[1:]))
+
+
+def test_large_samples_take_the_finite_distribution():
+    assert two_sample_pvalue(0.02, 20000, 30000) == finite_pvalue(0.02, 12000)
+    assert ks_finite.one_sided(1_000_001, 0.002) == pytest.approx(ks_finite.one_sided(1_000_000, 0.002), rel=1e-4)
+
+
 def test_exact_ks_in_the_two_sample_test(spark):
     a = spark.createDataFrame([(float(i),) for i in range(10)], "v double")
     b = spark.createDataFrame([(float(i) + 4.5,) for i in range(10)], "v double")

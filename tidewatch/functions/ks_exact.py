@@ -18,7 +18,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from tidewatch.functions.special import ks_pvalue
+from tidewatch.functions.ks_finite import finite_pvalue
 
 #: Fixed value: both samples at most this large are tested exactly, as is usual for "auto" methods.
 EXACT_ROWS = 10_000
@@ -44,18 +44,23 @@ def exact_pvalue(d: float, n: int, m: int) -> float:
     return float(min(1.0, left[n + 1]))
 
 
+def two_sample_pvalue(d: float, n: int, m: int) -> float:
+    """P(D >= d): exact where both samples have at most EXACT_ROWS values, finite-n beyond."""
+    if max(n, m) <= EXACT_ROWS:
+        return exact_pvalue(d, n, m)
+    return finite_pvalue(d, max(1, round(n * m / (n + m))))
+
+
 def ks_pvalue_auto(d: Column, n_ref: Column, n_cur: Column) -> Column:
-    """Exact for samples of at most EXACT_ROWS values, the limiting series beyond.
+    """Exact for samples of at most EXACT_ROWS values, beyond by the finite distribution of round(nm / (n + m)) values.
 
     For results of tests (one row a feature, or a window and feature), not for input rows.
     """
     @pandas_udf("double")
     def exact(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for ds, ns, ms in parts:
-            yield pd.Series([exact_pvalue(x, int(n), int(m)) if x == x and n > 0 and m > 0 else None
+            yield pd.Series([two_sample_pvalue(x, int(n), int(m)) if x == x and n > 0 and m > 0 else None
                              for x, n, m in zip(ds, ns, ms, strict=True)], dtype="float64")
 
-    small = (n_ref <= EXACT_ROWS) & (n_cur <= EXACT_ROWS)
-    none = F.lit(0).cast("long")
-    found = exact(d.cast("double"), F.when(small, n_ref).otherwise(none).cast("long"), F.when(small, n_cur).otherwise(none).cast("long"))
-    return F.when(small, found).otherwise(ks_pvalue(d, n_ref, n_cur))
+    rows = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return exact(d.cast("double"), rows(n_ref), rows(n_cur))

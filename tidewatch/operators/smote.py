@@ -1,29 +1,25 @@
 """Synthetic minority rows between a minority row and one of its nearest neighbours.
 
-Neighbours are searched among a bounded sample of the minority class, the rows
-first in hash order, at most ``MAX_VALUES`` numbers in all (62,500 rows of 64
-dimensions; smaller classes are used whole). That sample is what every task gets,
-and each sampled row is compared with it in blocks. Synthetic rows are numbered,
-and a hash of the number picks the base row, its neighbour and the place between.
+All minority rows are bases and neighbours; ``neighbours.py`` finds the k nearest of each.
+Rows are numbered in hash order. Synthetic rows are numbered too, and a hash of the number
+picks the base row, its neighbour and the place between.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators.columns import col
 from tidewatch.operators.features import row_hash
-from tidewatch.session import cut_lineage, shuffle_partitions
+from tidewatch.operators.ladder import value_ladder
+from tidewatch.operators.neighbours import BLOCK, nearest
+from tidewatch.session import written
 
 NEIGHBOURS = 5
 MIN_ROWS, MIN_CLASS = 6, 2
-MAX_VALUES = 4_000_000
-_BLOCK = 128
 
 
 def _draw(number: Column, salt: str) -> Column:
@@ -36,33 +32,16 @@ def class_sizes(train: DataFrame, label: str) -> dict[int, int]:
     return {r[0]: r[1] for r in train.where(col(label).isin(0, 1)).groupBy(col(label).cast("int")).count().collect()}
 
 
-def nearest(sample: DataFrame, k: int) -> DataFrame:
-    """(pos, neighbours): for each row of (pos, x) the positions of the k nearest others.
-
-    Squared Euclidean distance; ties go to the smaller position. ``sample`` has
-    positions 0, 1, 2, ... and a bounded number of rows.
-    """
-    spark = sample.sparkSession
-    points = np.array(sample.select("pos", "x").orderBy("pos").toPandas()["x"].tolist(), np.float64)
-    shared = spark.sparkContext.broadcast(points)
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        everyone = shared.value
-        for pdf in batches:
-            for at in range(0, len(pdf), _BLOCK):
-                own = pdf["pos"].to_numpy()[at:at + _BLOCK]
-                distance = np.zeros((len(own), len(everyone)))
-                for d in range(everyone.shape[1]):
-                    distance += (everyone[own, d][:, None] - everyone[:, d]) ** 2
-                distance[np.arange(len(own)), own] = np.inf
-                first = np.argsort(distance, axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({"pos": own, "neighbours": list(first)})
-
-    return sample.select("pos").repartition(shuffle_partitions(spark)).mapInPandas(search, "pos long, neighbours array<long>")
+def positions(rows: DataFrame) -> DataFrame:
+    """(pos, row, x): rows of (row, x, h) numbered from 0 by hash, then key; the hashes' ladder spreads the order over tasks."""
+    ladder = value_ladder(rows.groupBy(F.lit(0).alias("all"), "h").agg(F.count("*").alias("n")), ["all"], "h", ["n"])
+    before = ladder.select("h", (F.col("cum_n") - F.col("n")).alias("before"))
+    among = F.row_number().over(Window.partitionBy("h").orderBy("row"))
+    return rows.join(before, "h").select((F.col("before") + among - 1).cast("long").alias("pos"), "row", "x")
 
 
 def synthetic_rows(train: DataFrame, label: str, keys: Sequence[str], features: str, seed: int = 42,
-                   neighbours: int = NEIGHBOURS, max_values: int = MAX_VALUES) -> DataFrame:
+                   neighbours: int = NEIGHBOURS, block: int = BLOCK) -> DataFrame:
     """As many synthetic rows as the smaller class lacks.
 
     ``features`` is an array<double>. Returns (synthetic_id, label, features, base,
@@ -82,22 +61,17 @@ def synthetic_rows(train: DataFrame, label: str, keys: Sequence[str], features:
     minority = min(sizes, key=sizes.get)
     need = abs(sizes[0] - sizes[1])
     rows = train.where(col(label) == minority)
-    dims = max(1, rows.select(F.size(features)).first()[0])
-    order = [row_hash(keys, seed), *[col(k) for k in keys]]
-    sample = rows.orderBy(*order).limit(max(MIN_CLASS, max_values // dims))
-    sample = sample.select((F.row_number().over(Window.orderBy(*order)) - 1).cast("long").alias("pos"),
-                           key.alias("row"), col(features).cast("array<double>").alias("x"))
-    sample = cut_lineage(sample)
-    n = sample.count()
+    numbered = written(rows.select(key.alias("row"), col(features).cast("array<double>").alias("x"), row_hash(keys, seed).alias("h")), "smote-rows")
+    sample = written(positions(numbered), "smote-positions")
+    n = sizes[minority]
     k = min(neighbours, max(1, n - 1))
-    near = nearest(sample, k).join(sample, "pos")
+    near = nearest(sample, k, block).join(sample, "pos")
     pick = _draw(F.col("id"), f"pick{seed}") % (n * k)
     gap = (_draw(F.col("id"), f"gap{seed}").cast("double") + 0.5) / float(2 ** 52)
     numbered = spark.range(need).select("id", F.floor(pick / k).cast("long").alias("pos"), (pick % k).cast("int").alias("nth"), gap.alias("gap"))
-    # both lookups hold the bounded sample
-    first = numbered.join(F.broadcast(near), "pos").select(
+    first = numbered.join(near, "pos").select(
         "id", "gap", F.col("row").alias("base"), F.col("x").alias("a"), F.element_at("neighbours", F.col("nth") + 1).alias("pos"))
-    pairs = first.join(F.broadcast(sample), "pos")
+    pairs = first.join(sample, "pos")
     between = F.zip_with("a", "x", lambda a, b: a + F.col("gap") * (b - a))
     return pairs.select(F.col("id").alias("synthetic_id"), F.lit(minority).cast(out.schema[label].dataType).alias(label),
                         between.alias(features), "base", F.col("row").alias("neighbour"))

@@ -195,6 +195,45 @@ def ks_exact_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("p_value") < drift.P_VALUE_THRESHOLD).alias("drift_detected"))
 
 
+#: P(D_n >= d) for n = round(RC / (R + C)): twice the one-sided sum from n d^2 = 2.2 on; below, the limiting
+#: distribution and its corrections (samples of the query have more than 140 values).
+_FINITE_SQL = """
+e AS (SELECT feature, statistic AS d, round(R::DOUBLE * C / (R + C)) AS n FROM ks_d),
+tail AS (SELECT feature, any_value(d) * sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1)
+             + (j - 1) * ln(d + j / n) + (n - j) * ln(1 - d - j / n))) * 2 AS p
+         FROM (SELECT feature, d, n, unnest(range(0, CAST(floor(n * (1 - d)) AS BIGINT) + 1)) AS j FROM e WHERE n * d * d BETWEEN 2.2 AND 370)
+         WHERE 1 - d - j / n > 0 GROUP BY feature),
+z AS (SELECT feature, n, sqrt(n) * d AS z, unnest(range(-60, 61)) AS k FROM e WHERE n * d * d < 2.2),
+t AS (SELECT feature, n, z, k, pi() * pi() * (k + 0.5) * (k + 0.5) AS h, pi() * pi() * k * k AS w, sqrt(pi() / 2) AS r FROM z),
+near AS (SELECT feature, 1 - (
+    sum(CASE WHEN k >= 1 THEN sqrt(2 * pi()) / z * exp(-(2 * k - 1) * (2 * k - 1) * pi() * pi() / (8 * z * z)) ELSE 0 END)
+  + sum(r / (6 * z ** 4) * (h - z ** 2) * exp(-h / (2 * z ** 2))) / any_value(n) ** 0.5
+  + sum(r / (72 * z ** 7) * (6 * z ** 6 + 2 * z ** 4 + h * (2 * z ** 4 - 5 * z ** 2) + h * h * (1 - 2 * z ** 2)) * exp(-h / (2 * z ** 2))
+        - r / (36 * z ** 3) * w * exp(-w / (2 * z ** 2))) / any_value(n)
+  + sum(r / (6480 * z ** 10) * (h ** 3 * (5 - 30 * z ** 2) + h * h * (212 * z ** 4 - 60 * z ** 2) + h * (135 * z ** 4 - 96 * z ** 6)
+          - 30 * z ** 6 - 90 * z ** 8) * exp(-h / (2 * z ** 2))
+        + r / (216 * z ** 6) * (3 * w * z ** 2 - w * w) * exp(-w / (2 * z ** 2))) / any_value(n) ** 1.5) AS p
+  FROM t GROUP BY feature)"""
+
+
+@register("ks_finite_lineitem", f"""WITH src AS (SELECT CASE WHEN l_suppkey % 3 = 0 THEN 0 ELSE 1 END AS side, * FROM lineitem),
+nl AS (SELECT side, 'l_quantity' AS feature, l_quantity::DOUBLE AS v FROM src
+       UNION ALL SELECT side, 'l_extendedprice', l_extendedprice::DOUBLE FROM src
+       UNION ALL SELECT side, 'l_partkey', l_partkey::DOUBLE FROM src
+       UNION ALL SELECT side, 'l_suppkey', l_suppkey::DOUBLE FROM src),
+{O.num_counts('nl', 'nc')}, {O.ladder('nc', 'lad')}, {O.ks('lad', 'ks')},{_FINITE_SQL}
+SELECT e.feature, round(e.d, 6) AS statistic, round(p, 6) AS p_value, p < 0.05 AS drift_detected
+FROM e LEFT JOIN (SELECT * FROM tail UNION ALL SELECT * FROM near) USING (feature)""", ("D1",))
+def ks_finite_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines of every third supplier against the rest: samples beyond the exact test, with finite-n p-values."""
+    names = ["l_quantity", "l_extendedprice", "l_partkey", "l_suppkey"]
+    li = read_table(spark, sf_dir, "lineitem").select(*names)
+    counts = drift.numeric_counts(li.where("l_suppkey % 3 = 0"), li.where("l_suppkey % 3 <> 0"), names)
+    tests = drift.ks_from_ladder(value_ladder(counts, ["feature"], "value", ["n_ref", "n_cur"]), ks_pvalue_auto)
+    return tests.select("feature", F.round("statistic", R6).alias("statistic"), F.round("p_value", R6).alias("p_value"),
+                        (F.col("p_value") < drift.P_VALUE_THRESHOLD).alias("drift_detected"))
+
+
 # ---------------------------------------------------------------- I12 inside M5
 
 @register("model_cv_smote_embeddings", f"""
