@@ -45,3 +45,31 @@ def test_imputation_rules(spark):
     assert out[0].empty == "NO"          # all-null text column
     ties = spark.createDataFrame([("z",), ("a",), ("z",), ("a",), (None,)], "s string")
     assert I.impute(ties).collect()[4].s == "a"  # tie -> smallest value
+
+
+def test_sparse_rows_and_vectors_equal_the_columns(spark):
+    """Nulls, a level unseen in fitting, a column without values; the three forms agree, and the names are in slot order."""
+    rows = [(1, 1.0, "b", "YES", None), (2, None, "a", "NO", None), (3, 5.0, None, None, None), (4, 2.0, "a", "YES", None)]
+    df = spark.createDataFrame(rows, "id long, x double, s string, f string, none string")
+    pre = FT.fit_preprocessor(df, [], numeric=["x"], categorical=["s", "none"], binary=["f"])
+    assert pre.slot_names() == ["x", "s_a", "s_b", "f_YES"] == [r.name for r in pre.slot_table().orderBy("slot").collect()]
+    assert {(r.slot, r.feature) for r in pre.slot_map(spark).collect()} == {("x", "x"), ("s_a", "s"), ("s_b", "s"), ("f_YES", "f")}
+    new = df.unionByName(spark.createDataFrame([(5, 1.0, "unseen", "MAYBE", None)], df.schema))
+    wide = {r.id: [0.0 if v is None else v for v in r[1:]] for r in FT.transform(pre, new, ["id"]).collect()}
+    for r in FT.sparse(pre, new, ["id"]).collect():
+        dense = [0.0] * pre.size
+        for s, v in zip(r.slots, r["values"]):
+            dense[s] = v
+        assert dense == wide[r.id]
+    assert {r.id: list(r.features.toArray()) for r in FT.vectors(pre, new, ["id"]).collect()} == wide
+    assert len(wide) == 5 and wide[5][1:] == [0.0, 0.0, 0.0]
+
+
+def test_columns_of_very_many_levels_stay_sparse(spark):
+    df = spark.range(100000).select("id", F.concat(F.lit("v"), "id").alias("s"))
+    pre = FT.fit_preprocessor(df, [], numeric=[], categorical=["s"], binary=[])
+    assert pre.size == 100000 and FT.sparse(pre, df, ["id"]).agg(F.countDistinct(F.get("slots", F.lit(0)))).first()[0] == 100000
+    first = FT.vectors(pre, df.where("id = 99999"), ["id"]).first().features
+    assert first.size == 100000 and list(first.indices) == [99999]  # the last in text order
+    with pytest.raises(ValueError):
+        FT.transform(pre, df)

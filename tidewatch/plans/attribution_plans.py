@@ -47,6 +47,29 @@ def features_document_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(m, ["n_chars", "quality"])
 
 
+@register("features_sparse_lineitem", """
+WITH src AS (SELECT *, l_orderkey || '-' || l_linenumber AS line, strftime(l_shipdate, '%Y-%m') AS month FROM lineitem),
+m AS (SELECT avg(l_quantity) AS mean, stddev_pop(l_quantity) AS std FROM src),
+l AS (SELECT DISTINCT line, dense_rank() OVER (ORDER BY line) AS slot FROM src),
+c AS (SELECT month, row_number() OVER (ORDER BY month) - 1 AS slot FROM (SELECT DISTINCT month FROM src)),
+n AS (SELECT (SELECT count(DISTINCT line) FROM src) AS lines, (SELECT count(*) FROM c) AS months, max(l_linestatus) AS high FROM src)
+SELECT l_orderkey, l_linenumber, round((l_quantity - mean) / std, 6) AS quantity, l.slot AS line_slot, 1 + lines + c.slot AS month_slot,
+       CASE WHEN l_linestatus = high THEN 1 + lines + months END AS status_slot
+FROM src JOIN l USING (line) JOIN c USING (month), m, n""", ("I4", "I5", "I6", "I7", "I8"))
+def features_sparse_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One-hot slots of every order line: a column with a level for each line, months, a binary column and a scaled number."""
+    li = read_table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_quantity", "l_linestatus", F.concat_ws("-", "l_orderkey", "l_linenumber").alias("line"),
+        F.date_format("l_shipdate", "yyyy-MM").alias("month"))
+    pre = FT.fit_preprocessor(li, [], numeric=["l_quantity"], categorical=["line", "month"], binary=["l_linestatus"])
+    rows = FT.sparse(pre, li, ["l_orderkey", "l_linenumber"])
+    first = {c: pre.width[c][0] for c in ("line", "month", "l_linestatus")}
+    of = lambda low, high: F.get(F.filter("slots", lambda s: (s >= low) & (s < high)), F.lit(0))
+    value = F.when(F.get("slots", F.lit(0)) == 0, F.get("values", F.lit(0))).otherwise(0.0)
+    return rows.select("l_orderkey", "l_linenumber", F.round(value, R6).alias("quantity"), of(first["line"], first["month"]).alias("line_slot"),
+                       of(first["month"], first["l_linestatus"]).alias("month_slot"), of(first["l_linestatus"], pre.size).alias("status_slot"))
+
+
 def _hash_sql(key: str, seed: int) -> str:
     return f"('0x' || substr(md5(coalesce(CAST({key} AS VARCHAR), '\\N') || '|{seed}'), 1, 15))::BIGINT"
 
