@@ -2,6 +2,7 @@
 
 import itertools
 from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
@@ -168,3 +169,9 @@ def test_records_of_one_version_are_replaced_alone(spark):
     found = R.load_records(spark, path, R.GLOBAL_SCHEMA, "x", "m", "v1").collect()
     assert len(found) == 1 and found[0]["feature_names"] == ["a", "b"] and found[0]["mean_abs_shap"] == [1.0, 2.0]
     assert R.load_records(spark, path, R.GLOBAL_SCHEMA, "x", "m", "v2").count() == 1
+
+def test_writers_that_meet_get_versions_of_their_own(spark, tmp_path):
+    folder = str(tmp_path / "aim" / "model")
+    with ThreadPoolExecutor(8) as pool:
+        got = list(pool.map(lambda _: M.claim_version(spark, folder), range(16)))
+    assert sorted(got) == list(range(1, 17)) and M.claim_version(spark, folder) == 17

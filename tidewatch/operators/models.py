@@ -9,8 +9,10 @@ costs a recompute of one partition, not of the whole chain.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -205,11 +207,41 @@ def next_version(registry: DataFrame, aim: str, model: str) -> int:
     return int(v or 0) + 1
 
 
-def save_model(model: PipelineModel, base_dir: str, aim: str, name: str, version: int) -> str:
-    """Persist under <base>/<aim>/<name>/v<version> (overwrite)."""
-    path = f"{base_dir.rstrip('/')}/{aim}/{name}/v{version}"
-    model.write().overwrite().save(path)
-    return path
+def claim_version(spark: SparkSession, folder: str) -> int:
+    """The next version below ``folder``, claimed by a marker that only one writer can create.
+
+    Versions rise by one from 1. Of writers that meet only one creates the marker of a number, and the
+    others go on to the next; a failed save leaves its number unused, and deleted models'
+    numbers do not come again. The file system's create without overwriting has to be atomic, as
+    that of HDFS is; for ``file:`` folders the operating system's is used.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    markers = path(f"{folder.rstrip('/')}/_versions")
+    files = markers.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(markers)
+    taken = [s.getPath().getName() for s in files.listStatus(markers)]
+    version = max([int(t[1:]) for t in taken if t[:1] == "v" and t[1:].isdigit()], default=0) + 1
+    while True:
+        marker = path(markers, f"v{version}")
+        try:
+            if files.getScheme() == "file":
+                os.close(os.open(marker.toUri().getPath(), os.O_CREAT | os.O_EXCL))
+            else:
+                files.create(marker, False).close()
+            return version
+        except (FileExistsError, Py4JJavaError):
+            if not files.exists(marker):
+                raise
+            version += 1
+
+
+def save_model(model: PipelineModel, base_dir: str, aim: str, name: str) -> tuple[str, int]:
+    """Persist under <base>/<aim>/<name>/v<n> with the next version n; (path, n)."""
+    folder = f"{base_dir.rstrip('/')}/{aim}/{name}"
+    version = claim_version(SparkSession.getActiveSession(), folder)
+    path = f"{folder}/v{version}"
+    model.write().save(path)
+    return path, version
 
 
 def load_model(path: str) -> PipelineModel:

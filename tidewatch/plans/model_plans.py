@@ -1,7 +1,7 @@
 """Model queries (M1-M12, I13, E2) on ``embeddings`` and ``labels`` x ``documents``.
 
-Fitted models are not bit-equal to other libraries' fits, so these queries
-have no SQL oracle (rows-only check); tests check their invariants.
+Fitted models are not bit-equal to other libraries' fits, so queries that return
+fitted numbers have no SQL oracle; others return what must hold of them.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators import features as FT
@@ -44,9 +44,9 @@ def model_train_all_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     models, meta = M.train_all(spark, embeddings_frame(spark, sf_dir), "label", ["vec_id"], "embeddings")
     base = checkpoint_dir(spark) or ensure_local_checkpoint_dir(spark)
     root = f"{base.rstrip('/')}/models-{uuid.uuid4().hex[:8]}"
-    paths = [(name, M.save_model(m, root, "embeddings", name, 1)) for name, m in models.items()]
-    p = spark.createDataFrame(paths, "model string, model_path string")
-    return meta.join(p, "model")
+    paths = [(name, *M.save_model(m, root, "embeddings", name)) for name, m in models.items()]
+    p = spark.createDataFrame(paths, "model string, model_path string, version int")
+    return meta.drop("version").join(p.withColumn("version", F.concat(F.lit("v"), "version")), "model")
 
 
 SLOW.add("model_train_all_embeddings")
@@ -78,11 +78,47 @@ def model_batch_score_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.ml import Pipeline
     model = Pipeline(stages=[_lr_maker()(train)]).fit(train)
     base = checkpoint_dir(spark) or ensure_local_checkpoint_dir(spark)
-    path = M.save_model(model, f"{base.rstrip('/')}/models-{uuid.uuid4().hex[:8]}", "embeddings", "logistic_regression", 1)
+    path, _ = M.save_model(model, f"{base.rstrip('/')}/models-{uuid.uuid4().hex[:8]}", "embeddings", "logistic_regression")
     loaded = M.load_model(path)
     return M.score(loaded, df.where(F.col("is_test"))).select("vec_id", "label", "p1", "prediction", "confidence")
 
 
+@register("model_versions_embeddings", """
+SELECT v::INTEGER AS version, (SELECT count(*) FROM embeddings) AS n, (SELECT count(*) FROM embeddings) AS n_equal FROM range(1, 4) t(v)""",
+          ("M11", "I13", "M1"))
+def model_versions_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One model saved three times: versions 1 to 3, and every row scored alike by each one loaded and the one in memory."""
+    from pyspark.ml import Pipeline
+    df = M.balanced_weight(embeddings_frame(spark, sf_dir), "label")
+    model = Pipeline(stages=[_lr_maker()(df)]).fit(df)
+    base = checkpoint_dir(spark) or ensure_local_checkpoint_dir(spark)
+    root = f"{base.rstrip('/')}/models-{uuid.uuid4().hex[:8]}"
+    mine = M.score(model, df).select("vec_id", F.col("p1").alias("own"))
+    out = None
+    for _ in range(3):
+        path, version = M.save_model(model, root, "embeddings", "logistic_regression")
+        both = M.score(M.load_model(path), df).select("vec_id", "p1").join(mine, "vec_id")
+        row = both.agg(F.lit(version).alias("version"), F.count("*").alias("n"), F.count_if(F.col("p1") == F.col("own")).alias("n_equal"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@register("model_importance_checks_embeddings", """
+SELECT 64::BIGINT AS n_features, true AS sums_to_one, true AS falling, true AS none_negative""", ("M2", "M12"))
+def model_importance_checks_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of a forest's importances: one a feature, shares of one, largest first."""
+    df = M.balanced_weight(embeddings_frame(spark, sf_dir), "label")
+    m = M.forest("features", "label", "weight").fit(df)
+    rows = M.importances(m, [f"dim_{i}" for i in range(len(m.featureImportances))])
+    # one row a feature
+    ranked = rows.withColumn("at", F.monotonically_increasing_id())
+    before = F.lag("importance").over(Window.orderBy("at"))
+    return ranked.withColumn("before", before).agg(
+        F.count("*").alias("n_features"), (F.abs(F.sum("importance") - 1) < 1e-9).alias("sums_to_one"),
+        F.coalesce(F.bool_and(F.col("before").isNull() | (F.col("before") >= F.col("importance"))), F.lit(False)).alias("falling"),
+        F.bool_and(F.col("importance") >= 0).alias("none_negative"))
+
+
 @register("model_tree_attribution_embeddings", None, ("X2", "M2", "X3"))
 def model_tree_attribution_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact path-dependent Shapley values of a 100-tree, depth-3 forest for every
