@@ -261,3 +261,16 @@ def test_no_python_in_native_plans(spark, docs):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     for df in (sharding.shard_records(docs), mixing.mix_sources(docs), mixing.mixed_documents(docs), url_filter.filter_urls(pages), pii.detect_pii(docs), pii.redact(docs)):
         assert not plan_has_python(df)
+
+
+def test_identities_are_of_rows(spark, docs):
+    """Rows of files keep file and place; rows that a plan repeats, and those of no file, are numbered."""
+    from tidewatch.llm.common import identified, one_row_each
+    n = docs.count()
+    plans = {docs.where("doc_id >= 0 or doc_id is null").withColumn("z", F.col("doc_id")): True, docs.union(docs): False,
+             docs.withColumn("z", F.explode(F.array(F.lit(1), F.lit(2)))): False, spark.range(5).select(F.col("id").alias("doc_id")): True}
+    for df, plain in plans.items():
+        assert one_row_each(df) == plain
+        rows = identified(df, "test-rows")
+        assert rows.select("row").distinct().count() == df.count() and rows.select("own.*").columns == df.columns
+    assert n == identified(docs, "test-rows").select("row.at").count()

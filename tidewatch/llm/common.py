@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -47,16 +48,30 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def identified(docs: DataFrame, label: str, **more: Column) -> DataFrame:
-    """(row, own, ...): the rows written once with a number each, and their columns as one struct.
+def identified(docs: DataFrame, label: str) -> DataFrame:
+    """(row, own): an identity of each row that scans agree on, and its columns as one struct.
 
-    A second scan of the same files may split them in another way, so numbers that are
-    made anew need not agree; and no column of ``own`` can clash with one beside it.
-    ``more`` are further columns, computed before the rows are written.
+    Rows of files are known by their file (64 bits of a hash of its path) and their place in it, however a
+    scan splits the files; the rows of other plans are written once with a number. No
+    column of ``own`` can clash with one beside it.
     """
     own = F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("own")
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), own)
-    return written(rows.withColumns(more) if more else rows, label)
+    if one_row_each(docs):
+        try:
+            file = docs.metadataColumn("_metadata")
+            return docs.select(F.struct(F.xxhash64(file["file_path"]).alias("file"), file["row_index"].alias("at")).alias("row"), own)
+        except AnalysisException:  # a relation that is no files, or files without places
+            pass
+    at = F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at"))
+    return written(docs.select(at.alias("row"), own), label)
+
+
+def one_row_each(docs: DataFrame) -> bool:
+    """Whether every row is a row of one relation: nothing but columns and filters lies above it."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.children().isEmpty()
 
 
 def ascii_lower(col: Column) -> Column:
