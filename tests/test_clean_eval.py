@@ -5,6 +5,7 @@ from tidewatch.functions import labels as L
 from tidewatch.functions import normalize as N
 from tidewatch.operators import clean as K
 from tidewatch.operators import evaluate as E
+from tidewatch.operators import profile as A
 from tidewatch.operators import registry as R
 
 
@@ -92,3 +93,31 @@ def test_family_champion_rule(spark):
     assert ch["aim_a"] == ("xgboost", "v2") and ch["aim_b"] == ("logistic_regression", "v1")
     latest = R.latest_version(reg.union(reg.limit(1).withColumn("version", F.lit("v10")))).where("aim = 'aim_a'").collect()[0]
     assert latest.version == "v10"
+
+
+def test_only_new_files_are_hashed(spark, tmp_path):
+    path, state_at = str(tmp_path / "table with space"), str(tmp_path / "state")
+    rows = spark.range(100).selectExpr("id", "cast(id as double) / 7 as x", "if(id % 9 = 0, null, cast(id as string)) as t")
+    whole = lambda: A.fingerprint(spark.read.parquet(path)).collect()
+    rows.where("id < 60").repartition(3).write.parquet(path)
+    A.file_fingerprints(spark, path).write.parquet(state_at + "1")
+    state = spark.read.parquet(state_at + "1")
+    assert state.count() == 3 and A.files_fingerprint(state).collect() == whole()
+    # rows of a known file are taken from the state: a changed state shows in the result
+    rows.where("id >= 60").coalesce(1).write.mode("append").parquet(path)
+    other = state.withColumn("n_rows", F.col("n_rows") + 1000)
+    found = A.file_fingerprints(spark, path, other).collect()
+    assert sorted(r["n_rows"] > 999 for r in found) == [False, True, True, True]
+    A.file_fingerprints(spark, path, state).write.parquet(state_at + "2")
+    state = spark.read.parquet(state_at + "2")
+    assert A.files_fingerprint(state).collect() == whole()
+    # a file that is gone leaves; nothing new, nothing hashed
+    next((tmp_path / "table with space").glob("part-*.parquet")).unlink()
+    assert A.file_fingerprints(spark, path, state).count() == 3
+    assert A.files_fingerprint(A.file_fingerprints(spark, path, state)).collect() == whole()
+
+
+def test_no_files_have_the_fingerprint_of_no_rows(spark, tmp_path):
+    empty = spark.createDataFrame([], "a int")
+    (tmp_path / "none").mkdir()
+    assert A.files_fingerprint(A.file_fingerprints(spark, str(tmp_path / "none"))).collect() == A.fingerprint(empty).collect()

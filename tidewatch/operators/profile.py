@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions.binning import equal_width_bin, open_range
@@ -210,7 +210,7 @@ def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFram
     return df.join(F.broadcast(w), col(label).eqNullSafe(F.col("_lbl")), "left").drop("_lbl")
 
 
-def canonical_text(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+def row_text(df: DataFrame, cols: Sequence[str]) -> Column:
     """Row text for fingerprints: doubles as DECIMAL(38,6), nulls as \\N."""
     types = {f.name: f.dataType for f in df.schema.fields}
     parts = []
@@ -219,7 +219,21 @@ def canonical_text(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         if type(types[c]).__name__ in ("DoubleType", "FloatType"):
             x = F.round(x, 6).cast("decimal(38,6)")
         parts.append(F.coalesce(x.cast("string"), F.lit("\\N")))
-    return df.select(F.concat_ws("|", *parts).alias("_row"))
+    return F.concat_ws("|", *parts)
+
+
+def _hash_sums(hashed: Column) -> list[Column]:
+    """What a fingerprint is made of; rows of these sums add up to those of all their rows."""
+    return [F.count(F.lit(1)).alias("n_rows"), F.sum(hashed.cast("decimal(38,0)")).alias("hash_sum"), F.bit_xor(hashed).alias("hash_xor")]
+
+
+def _fingerprint_text() -> Column:
+    return F.concat_ws("-", F.coalesce("hash_sum", F.lit(0).cast("decimal(38,0)")).cast("string"),
+                       F.lower(F.lpad(F.hex(F.coalesce("hash_xor", F.lit(0))), 15, "0"))).alias("fingerprint")
+
+
+def _row_hash(text: Column) -> Column:
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
 def fingerprint(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -231,11 +245,51 @@ def fingerprint(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     the table in another order or partitioning.
     """
     cols = list(cols) if cols is not None else df.columns
-    rows = canonical_text(df, cols)
-    h = F.conv(F.substring(F.md5("_row"), 1, 15), 16, 10).cast("long")
-    return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(h.cast("decimal(38,0)")).alias("_s"), F.bit_xor(h).alias("_x")).select(
-        "n_rows", F.concat_ws("-", F.coalesce("_s", F.lit(0).cast("decimal(38,0)")).cast("string"),
-                              F.lower(F.lpad(F.hex(F.coalesce("_x", F.lit(0))), 15, "0"))).alias("fingerprint"))
+    return df.select(_row_hash(row_text(df, cols)).alias("_h")).agg(*_hash_sums(F.col("_h"))).select("n_rows", _fingerprint_text())
+
+
+FILE_KEY = ["file", "size", "modified"]
+
+
+def source_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, size, modified, location) of the Parquet files below a folder; no file is opened."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+    meta = files.metadataColumn("_metadata")
+    return files.select(meta["file_path"].alias("file"), meta["file_size"].alias("size"),
+                        meta["file_modification_time"].alias("modified"), F.col("path").alias("location"))
+
+
+def file_fingerprints(spark: SparkSession, path: str, state: DataFrame | None = None, cols: Sequence[str] | None = None) -> DataFrame:
+    """A18 by file: (file, size, modified, n_rows, hash_sum, hash_xor), one row for each file with rows.
+
+    Files that ``state`` (an earlier result, written to a folder of its own) has with the same size and
+    time keep their row; only the others are read and hashed, so a check costs what has been added. Files that are
+    gone leave. A file rewritten with the same size within the clock's tick is taken for the old one. The driver
+    holds the names of new files alone, as any read of them does. ``cols`` should be
+    named and stay the same where files may differ in their columns. No files, or only empty
+    ones, give no rows.
+    """
+    files = source_files(spark, path)
+    kept = state.join(files, FILE_KEY, "left_semi") if state is not None else None
+    new = files.join(state, FILE_KEY, "left_anti") if state is not None else files
+    places = [r.location for r in new.select("location").collect()]
+    if not places:
+        if kept is not None:
+            return kept
+        return spark.createDataFrame([], "file string, size long, modified timestamp, n_rows long, hash_sum decimal(38,0), hash_xor long")
+    rows = spark.read.option("basePath", path).parquet(*places)
+    meta = rows.metadataColumn("_metadata")
+    hashed = (rows.select(meta["file_path"].alias("file"), meta["file_size"].alias("size"), meta["file_modification_time"].alias("modified"),
+                          _row_hash(row_text(rows, list(cols) if cols is not None else rows.columns)).alias("_h"))
+              .groupBy(*FILE_KEY).agg(*_hash_sums(F.col("_h"))))
+    hashed = hashed.withColumn("hash_sum", F.col("hash_sum").cast("decimal(38,0)"))
+    return hashed if kept is None else kept.unionByName(hashed)
+
+
+def files_fingerprint(state: DataFrame) -> DataFrame:
+    """The fingerprint of all files of a state: equal to ``fingerprint`` of their rows."""
+    return state.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"), F.sum("hash_sum").alias("hash_sum"),
+                     F.bit_xor("hash_xor").alias("hash_xor")).select("n_rows", _fingerprint_text())
 
 
 def changed_since(current: DataFrame, state: DataFrame) -> DataFrame:

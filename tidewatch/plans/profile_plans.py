@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from tidewatch.operators import clean as K
 from tidewatch.operators import impute as I
 from tidewatch.operators import profile as A
+from tidewatch.operators.columns import attach_row
 from tidewatch.plans.catalog import register
 from tidewatch.plans.clean_plans import CONTACT_ORACLE, _q, contacts_view
+from tidewatch.plans.sink_plans import scratch
+from tidewatch.sources import sinks as SK
 from tidewatch.sources.tables import read_table
 
 R6 = 6
@@ -211,6 +214,24 @@ def fingerprint_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.fingerprint(read_table(spark, sf_dir, "orders"), FP_COLS)
 
 
+@register("fingerprint_incremental_orders", f"SELECT f.*, 0::BIGINT AS n_hashed_again, true AS state_changed FROM ({FP_SQL}) f", ("A18", "A21", "M13"))
+def fingerprint_incremental_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders arrive in two parts; the second check hashes the files of the second part alone and
+    has the fingerprint of the whole table."""
+    o = read_table(spark, sf_dir, "orders")
+    path, first, second = scratch(spark, "fp-orders"), scratch(spark, "fp-state"), scratch(spark, "fp-state")
+    early = F.col("o_orderdate") < F.lit("2001-01-01").cast("timestamp_ntz")
+    SK.write_table(o.where(F.coalesce(early, F.lit(False))), path)
+    SK.write_table(A.file_fingerprints(spark, path, None, FP_COLS), first)
+    known = spark.read.parquet(first)
+    SK.write_table(o.where(~F.coalesce(early, F.lit(False))), path, mode="append")
+    SK.write_table(A.file_fingerprints(spark, path, known, FP_COLS), second)
+    now = spark.read.parquet(second)
+    before, after = A.files_fingerprint(known), A.files_fingerprint(now)
+    again = A.file_fingerprints(spark, path, now, FP_COLS).join(now, A.FILE_KEY, "left_anti").agg(F.count("*").alias("n_hashed_again"))
+    return attach_row(attach_row(after, again), A.changed_since(after, before).select(F.col("changed").alias("state_changed")))
+
+
 @register("change_gate_orders", f"""
 WITH cur AS ({FP_SQL}), old AS ({FP_SQL.replace('FROM orders', "FROM orders WHERE o_orderdate < TIMESTAMP '2001-01-01'")})
 SELECT cur.n_rows AS current_rows, cur.fingerprint AS current_fingerprint, old.n_rows AS stored_rows,
