@@ -175,3 +175,20 @@ def test_writers_that_meet_get_versions_of_their_own(spark, tmp_path):
     with ThreadPoolExecutor(8) as pool:
         got = list(pool.map(lambda _: M.claim_version(spark, folder), range(16)))
     assert sorted(got) == list(range(1, 17)) and M.claim_version(spark, folder) == 17
+
+
+def test_concurrent_tasks_keep_their_order_and_raise(spark):
+    assert M.concurrently(spark, [lambda i=i: spark.range(i).count() for i in range(9)], 4) == list(range(9))
+    assert M.concurrently(spark, [], 4) == []
+
+    def fails():
+        raise ValueError("no fit")
+    with pytest.raises(ValueError, match="no fit"):
+        M.concurrently(spark, [lambda: 1, fails], 2)
+
+
+def test_folds_side_by_side_score_like_folds_in_turn(spark):
+    rows = M.fold_plan(_unbalanced(spark), ["id"], "y", 3).withColumn("features", array_to_vector("x")).withColumn("w", F.lit(1.0))
+    make = lambda d: M.forest("features", "y", "w")
+    found = [M.cross_validate(rows, make, "y", "fold", ["id"], parallelism=p)[0].orderBy("id").collect() for p in (1, 3)]
+    assert found[0] == found[1] and len(found[0]) == 52

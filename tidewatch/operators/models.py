@@ -1,7 +1,8 @@
 """Model fitting, cross-validation, scoring and persistence with Spark ML.
 
-Each fit is a distributed Spark ML job over a vector column; the loops over
-models and folds run on the driver and only launch jobs. Training data is
+Each fit is a distributed Spark ML job over a vector column; models and folds are
+fitted some at a time by driver threads that only launch jobs, so that the short
+stages of one fit fill the gaps of another. Training data is
 cut from its lineage once (checkpoint in the shared folder, or persisted) so
 repeated fits do not re-read and re-encode the sources, and a lost executor
 costs a recompute of one partition, not of the whole chain.
@@ -11,8 +12,12 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Sequence
+from functools import partial
+from multiprocessing.pool import ThreadPool
+from typing import Any
 
 from py4j.protocol import Py4JJavaError
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -31,6 +36,16 @@ MAX_DEPTH = 3
 GBT_ROUNDS = 100
 GBT_STEP = 0.1
 LOO_MAX_ROWS = 20
+#: Folds of one model that are fitted at once.
+PARALLEL_FITS = 4
+
+
+def concurrently(spark: SparkSession, tasks: Sequence[Callable[[], Any]], parallelism: int) -> list:
+    """Results of the tasks in their order, at most ``parallelism`` running at once; the first error is raised."""
+    if not tasks:
+        return []
+    with ThreadPool(max(1, min(parallelism, len(tasks)))) as pool:
+        return pool.map(lambda task: task(), [inheritable_thread_target(spark)(t) for t in tasks], chunksize=1)
 
 
 def balanced_weight(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
@@ -102,28 +117,31 @@ def resampler(label: str, keys: Sequence[str], features: str = "features", seed:
 
 def cross_validate(df: DataFrame, make: Callable[[DataFrame], Estimator], label: str, fold: str,
                    keys: Sequence[str], features: str = "features",
-                   resample: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+                   resample: Callable[[DataFrame], DataFrame] | None = None,
+                   parallelism: int = PARALLEL_FITS) -> tuple[DataFrame, DataFrame]:
     """M5: fit once per fold value on the other folds, score the held-out fold.
 
     Returns (out-of-fold rows: keys, fold, label, p1, prediction) and per-fold
     metrics (fold, n, auc, accuracy). AUC is null for single-class folds.
     ``resample`` changes a fold's training rows only, never those scored.
+    ``parallelism`` folds are fitted at once; the number doesn't change the result.
     """
     data = cut_lineage(df)
     folds = [r[0] for r in data.select(fold).distinct().orderBy(fold).collect()]  # k values
-    parts = []
-    for f in folds:
+
+    def scored_fold(f) -> DataFrame:
         train = data.where(F.col(fold) != f)
         test = data.where(F.col(fold) == f)
         head = [*keys, F.col(fold).alias("fold"), col(label).alias("true_label")]
         if train.select(label).distinct().count() < 2:
             # nothing to fit: the rows stay, without a score
-            parts.append(test.select(*head, F.lit(None).cast("double").alias("probability"), F.lit(None).cast("int").alias("predicted_label")))
-            continue
+            return test.select(*head, F.lit(None).cast("double").alias("probability"), F.lit(None).cast("int").alias("predicted_label"))
         if resample:
             train = resample(train)
         m = make(train).fit(train)
-        parts.append(score(m, test).select(*head, F.col("p1").alias("probability"), F.col("prediction").alias("predicted_label")))
+        return score(m, test).select(*head, F.col("p1").alias("probability"), F.col("prediction").alias("predicted_label"))
+
+    parts = concurrently(data.sparkSession, [partial(scored_fold, f) for f in folds], parallelism)
     if not parts:
         raise ValueError("no rows to cross-validate")
     oof = parts[0]
@@ -159,10 +177,12 @@ def leave_one_group_out(df: DataFrame, make: Callable[[DataFrame], Estimator], l
 
 
 def train_all(spark: SparkSession, train: DataFrame, label: str, keys: Sequence[str], aim: str,
-              fold: str = "fold", features: str = "features", use_smote: bool = False) -> tuple[dict[str, PipelineModel], DataFrame]:
+              fold: str = "fold", features: str = "features", use_smote: bool = False,
+              parallelism: int = PARALLEL_FITS) -> tuple[dict[str, PipelineModel], DataFrame]:
     """M4: fit LR, RF and GBT on the whole training set, cross-validate each on the
     fold column, and return the fitted models with one metadata row per model
-    (model, cv_auc_mean, cv_auc_std, train_auc, train_avg_precision, n_train)."""
+    (model, cv_auc_mean, cv_auc_std, train_auc, train_avg_precision, n_train).
+    The models go side by side, each with ``parallelism`` folds at once (1: one fit after another)."""
     data = cut_lineage(balanced_weight(positive_weight(train, label, "pos_weight"), label, "weight"))
     makers = {
         # the penalty scale of M1 is the weight total of the rows being fitted (one number)
@@ -172,18 +192,21 @@ def train_all(spark: SparkSession, train: DataFrame, label: str, keys: Sequence[
     }
     resample = resampler(label, keys, features) if use_smote else None
     fit_rows = resample(data) if resample else data
-    fitted, rows = {}, []
-    for name, make in makers.items():
+
+    def one(name: str, make: Callable[[DataFrame], Estimator]) -> tuple[PipelineModel, DataFrame]:
         model = Pipeline(stages=[make(fit_rows)]).fit(fit_rows)
-        fitted[name] = model
         scored = score(model, data)
         tr = E.ranking_metrics(scored, label, "p1").select(F.col("auc").alias("train_auc"),
                                                            F.col("avg_precision").alias("train_avg_precision"))
-        oof, per_fold = cross_validate(data, make, label, fold, keys, features, resample)
+        oof, per_fold = cross_validate(data, make, label, fold, keys, features, resample, parallelism)
         summ = cv_summary(oof, per_fold, name)
         from tidewatch.operators.columns import attach_row
-        rows.append(attach_row(attach_row(summ, tr), data.agg(F.count(F.lit(1)).alias("n_train")))
-                    .withColumn("aim", F.lit(aim)))
+        return model, (attach_row(attach_row(summ, tr), data.agg(F.count(F.lit(1)).alias("n_train")))
+                       .withColumn("aim", F.lit(aim)))
+
+    done = concurrently(spark, [partial(one, n, m) for n, m in makers.items()], 1 if parallelism == 1 else len(makers))
+    fitted = {n: model for n, (model, _) in zip(makers, done)}
+    rows = [row for _, row in done]
     meta = rows[0]
     for r in rows[1:]:
         meta = meta.unionByName(r)

@@ -39,6 +39,24 @@ def model_cv_logistic_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_fold.withColumn("model", F.lit("logistic_regression"))
 
 
+@register("model_cv_checks_embeddings", """
+SELECT count(*) AS n, count(DISTINCT vec_id) AS n_distinct, count(*) AS n_scored, count(*) AS n_equal, 5::BIGINT AS n_folds,
+       true AS folds_even, count(*) AS n_in_folds FROM embeddings""", ("M1", "M5", "E2"))
+def model_cv_checks_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of cross-validation: every row scored once, in five folds of even size, and
+    alike whether folds are fitted side by side or one after another."""
+    df = M.cut_lineage(M.balanced_weight(embeddings_frame(spark, sf_dir), "label"))
+    side, per_fold = M.cross_validate(df, _lr_maker(), "label", "fold", ["vec_id"])
+    apart, _ = M.cross_validate(df, _lr_maker(), "label", "fold", ["vec_id"], parallelism=1)
+    apart = apart.select("vec_id", F.col("probability").alias("other"))
+    rows = side.join(apart, "vec_id").agg(
+        F.count("*").alias("n"), F.countDistinct("vec_id").alias("n_distinct"), F.count("probability").alias("n_scored"),
+        F.count_if(F.abs(F.col("probability") - F.col("other")) < 1e-9).alias("n_equal"))
+    # a fold has a fifth of each class, up to a row
+    folds = per_fold.agg(F.count("*").alias("n_folds"), (F.max("n") - F.min("n") <= 2).alias("folds_even"), F.sum("n").alias("n_in_folds"))
+    return attach_row(rows, folds)
+
+
 @register("model_train_all_embeddings", None, ("M2", "M3", "M4", "M11", "I13"))
 def model_train_all_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     models, meta = M.train_all(spark, embeddings_frame(spark, sf_dir), "label", ["vec_id"], "embeddings")
