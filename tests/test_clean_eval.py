@@ -7,6 +7,7 @@ from tidewatch.operators import clean as K
 from tidewatch.operators import evaluate as E
 from tidewatch.operators import profile as A
 from tidewatch.operators import registry as R
+from tidewatch.sources import sinks as S
 
 
 def col_values(df, c):
@@ -121,3 +122,17 @@ def test_no_files_have_the_fingerprint_of_no_rows(spark, tmp_path):
     empty = spark.createDataFrame([], "a int")
     (tmp_path / "none").mkdir()
     assert A.files_fingerprint(A.file_fingerprints(spark, str(tmp_path / "none"))).collect() == A.fingerprint(empty).collect()
+
+
+def test_appended_files_meet_when_read(spark, tmp_path):
+    path = tmp_path / "registry"
+    S.append_rows(spark.createDataFrame([("m", "v1", 0.5)], "model string, version string, auc double"), str(path))
+    before = {f: f.read_bytes() for f in path.glob("part-*.parquet")}
+    S.append_rows(spark.createDataFrame([("v2", "m", "late")], "version string, model string, notes string"), str(path))
+    found = S.read_appended(spark, str(path), ["model", "version"]).orderBy("version")
+    assert found.columns == ["model", "version", "auc", "notes"]
+    assert [tuple(r) for r in found.collect()] == [("m", "v1", 0.5, None), ("m", "v2", None, "late")]
+    assert before and all(f.read_bytes() == b for f, b in before.items())
+    with pytest.raises(ValueError, match="auc"):
+        S.append_rows(spark.createDataFrame([("x",)], "auc string"), str(path))
+    assert S.read_appended(spark, str(path)).count() == 2

@@ -72,19 +72,26 @@ def json_metadata_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY_SPLIT = "regexp_extract(version, '\\\\d+', 0)::INTEGER % 100 <= 15"
 
 
-@register("registry_append", f"""
+REGISTRY_APPEND_SQL = f"""
 WITH r AS (SELECT aim, model, version, cv_auc_mean, train_auc, model_path,
                   regexp_extract(version, '\\d+', 0)::INTEGER % 100 AS d FROM ({_reg_sql()}))
 SELECT aim, model, version, cv_auc_mean, model_path, 'run ' || version AS notes, NULL::DOUBLE AS train_auc FROM r WHERE d <= 15
-UNION ALL SELECT aim, model, version, cv_auc_mean, model_path, NULL, train_auc FROM r WHERE d > 15""", ("S13",))
-def registry_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Old registry rows carry a ``notes`` column and no ``train_auc``; new rows the
-    opposite; the append aligns both ways."""
+UNION ALL SELECT aim, model, version, cv_auc_mean, model_path, NULL, train_auc FROM r WHERE d > 15"""
+
+
+def _registry_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     from tidewatch.plans.registry_plans import registry_view
     reg = registry_view(spark, sf_dir).drop("features")
     day = F.regexp_extract("version", r"\d+", 0).cast("int") % 100
     old = reg.where(day <= 15).drop("train_auc").withColumn("notes", F.concat(F.lit("run "), F.col("version")))
-    new = reg.where(day > 15)
+    return old, reg.where(day > 15)
+
+
+@register("registry_append", REGISTRY_APPEND_SQL, ("S13",))
+def registry_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Old registry rows carry a ``notes`` column and no ``train_auc``; new rows the
+    opposite; the append aligns both ways."""
+    old, new = _registry_parts(spark, sf_dir)
     path = scratch(spark, "registry")
     SK.write_table(old, path)
     merged = SK.align_append(spark.read.parquet(path), new)
@@ -92,6 +99,16 @@ def registry_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path + "_v2")
 
 
+@register("registry_append_files", REGISTRY_APPEND_SQL, ("S13",))
+def registry_append_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same append as new files, stored ones left alone; the columns meet when they are read."""
+    old, new = _registry_parts(spark, sf_dir)
+    path = scratch(spark, "registry-files")
+    SK.append_rows(old, path)
+    SK.append_rows(new, path)
+    return SK.read_appended(spark, path, old.columns)
+
+
 def _metrics_sql():
     from tidewatch.plans.drift_plans import drift_events as _q  # noqa: F401
     from tidewatch.plans.catalog import ORACLES

@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.operators.columns import col
@@ -53,6 +54,34 @@ def align_append(old: DataFrame, new: DataFrame) -> DataFrame:
     return merged.select(*[col(c) for c in order])
 
 
+def read_appended(spark: SparkSession, path: str, first: Sequence[str] = ()) -> DataFrame:
+    """All rows appended below a folder, with the columns of any of them; a row's missing columns are null.
+
+    The columns of ``first`` lead, the others follow in the order of their names.
+    """
+    rows = spark.read.option("mergeSchema", True).parquet(path)
+    return rows.select(*[col(c) for c in [*first, *sorted(set(rows.columns) - set(first))]])
+
+
+def append_rows(df: DataFrame, path: str) -> str:
+    """Append rows, whose columns may differ from the stored ones, as new files; stored files stay as they are.
+
+    The cost is that of the new rows, however long the registry is. A column
+    stored with another type is refused before anything is written.
+    """
+    try:
+        stored = dict(read_appended(df.sparkSession, path).dtypes)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        stored = {}
+    other = {c: (stored[c], t) for c, t in df.dtypes if stored.get(c, t) != t}
+    if other:
+        raise ValueError(f"columns stored with other types: {other}")
+    df.write.mode("append").parquet(path)
+    return path
+
+
 def sanitize_metric(name) -> F.Column:
     return F.regexp_replace(name, METRIC_NAME_DISALLOWED, "_")
 
