@@ -317,11 +317,11 @@ class Model:
         """Quantised counts of words and weights of them as contexts."""
         return np.stack([self.words.read(words), self.weights.read(words >> U(32))])
 
-    def log10(self, h: np.ndarray, words: np.ndarray, at: np.ndarray, known: Known) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    def log10(self, h: np.ndarray, words: np.ndarray, at: np.ndarray, known: Known) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """log10 probability of each token after the one before it; ``words``, ``at``: the distinct hashes and their places.
 
-        Also the tokens for which the tables have to be asked, with what the filters say of them:
-        b (place of the word before), single, share, gamma and seen, NaN where unknown.
+        Also the tokens for which the tables have to be asked, the places of the words before them, and
+        what the filters say of them: four quanta of 8 bits, of the pair, the word before, the word and the weight.
         """
         qw, qg = known(words, self.quanta)
         single = single_of(qw, self.least[1], self.tokens, self.types)
@@ -333,13 +333,14 @@ class Model:
         before = np.concatenate([[np.searchsorted(words, U(END))], at[:-1]])
         p = np.log10(np.minimum(seen * share[before] + gamma[before] * single[at], 1.0))
         if not self.rest:
-            return p, np.zeros(0, np.int64), {}
+            return p, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         rare = {1: qw == 0, 2: q == 0, 3: qg == 0}
         rare = {kind: r if kind in self.rest else np.zeros_like(r) for kind, r in rare.items()}
+        if 1 not in self.rest:  # a filter of all words misses none, and pairs with words it doesn't hold weren't seen
+            rare[2] &= (qw[at] > 0) & (qw[before] > 0)
         ask = np.flatnonzero(rare[1][at] | rare[1][before] | rare[2] | rare[3][before])
         to, of = before[ask], at[ask]
-        return p, ask, {"b": to, "single": np.where(rare[1][of], np.nan, single[of]), "share": np.where(rare[1][to], np.nan, share[to]),
-                        "gamma": np.where(rare[3][to], np.nan, gamma[to]), "seen": np.where(rare[2][ask], np.nan, seen[ask])}
+        return p, ask, to, (((q[ask] << 8 | qw[to]) << 8 | qw[of]) << 8 | qg[to])
 
 
 def train(docs: DataFrame, max_bytes: int = MAX_FILTER_BYTES, rarest_pair: int = 2) -> tuple[Model, DataFrame]:
@@ -443,18 +444,33 @@ def trained(docs: DataFrame, max_bytes: int, rarest_pair: int) -> tuple[Model, D
 def rare_terms(asked: DataFrame, exact: DataFrame, rare_pairs: DataFrame, rare_weights: DataFrame, model: Model) -> DataFrame:
     """(row, score): log10 probabilities of the tokens that the filters left open, summed.
 
-    ``asked`` has row, tf, word h after word b, pair, and single, share, gamma, seen: NaN
-    where the tables have to be asked. Where those of pairs alone can be, gamma comes
-    multiplied by single. Every distinct pair of words meets the tables once;
-    a key of a known value is replaced by the pair's, so frequent words don't gather.
+    ``asked`` has row, terms (how often, in 31 bits, then the quanta as ``Model.log10`` packs them) and the
+    words h and b before it; where the pairs' table alone can be asked, pair instead. Every distinct pair of words
+    meets the tables once; a key of a known value is replaced by the pair's, so frequent words don't gather.
     """
-    names = ("single", "share", "gamma", "seen")
+    tf = F.shiftrightunsigned("terms", 32)
+    quantum_of = {name: F.shiftright("terms", 8 * i).bitwiseAND(F.lit(255)) for i, name in enumerate(("gamma", "single", "share", "seen"))}
+
+    def least_value(q, least):
+        return F.when(q > 0, F.lit(float(least)) * F.pow(F.lit(LOG_BASE), q - 1.0)).otherwise(F.lit(0.0))
+
+    known = {
+        "gamma": F.pow(F.lit(WEIGHT_BASE), -quantum_of["gamma"].cast("double")),
+        "single": (least_value(quantum_of["single"], model.least[1]) + 1) / F.lit(float(model.tokens + model.types + 1)),
+        "share": F.when(quantum_of["share"] > 0, F.pow(F.lit(LOG_BASE), -quantum_of["share"].cast("double")) / F.lit(float(model.least[1]))).otherwise(F.lit(0.0)),
+        "seen": F.greatest(least_value(quantum_of["seen"], model.least[2]) - F.lit(model.discount), F.lit(0.0))}
     if model.rest == {2}:  # one term alone is open: each document's pair meets the pairs' table itself
-        p = asked.select("row", "tf", "pair", "share", "gamma").join(rare_pairs, "pair", "left")
+        p = asked.select("row", "terms", "pair").join(rare_pairs, "pair", "left")
         found = F.pow(F.lit(LOG_BASE), F.floor(F.log("c") / math.log(LOG_BASE) + 1e-9)) - F.lit(model.discount)
         seen = F.coalesce(F.greatest(found, F.lit(0.0)), F.lit(0.0))
-        return p.select("row", (F.col("tf") * F.log10(F.least(seen * F.col("share") + F.col("gamma"), F.lit(1.0)))).alias("score"))
-    p = asked.select("b", "h", "pair", *names).distinct()
+        log = F.log10(F.least(seen * known["share"] + known["gamma"] * known["single"], F.lit(1.0)))
+        return p.select("row", (tf * log).alias("score")).groupBy("row").agg(F.sum("score").alias("score"))
+    kinds = {"single": 1, "share": 1, "gamma": 3, "seen": 2}
+    unknown = {name: (quantum_of[name] == 0) if kind in model.rest else F.lit(False) for name, kind in kinds.items()}
+    asked = asked.withColumn("tf", tf).withColumn("terms", F.col("terms").bitwiseAND(F.lit((1 << 32) - 1)))
+    pair = F.shiftleft(F.shiftright("b", 32), 32).bitwiseOR(F.col("h").bitwiseAND(F.lit((1 << 32) - 1)))
+    p = asked.select("b", "h", "terms").distinct()
+    p = p.select("b", "h", pair.alias("pair"), *[F.when(unknown[c], F.lit(math.nan)).otherwise(known[c]).alias(c) for c in kinds])
     base = F.lit(math.log(LOG_BASE))
     quantum = lambda c: 1 + F.floor(F.log(c) / base + 1e-9)
     if 1 in model.rest:
@@ -473,7 +489,7 @@ def rare_terms(asked: DataFrame, exact: DataFrame, rare_pairs: DataFrame, rare_w
         p = p.withColumn("seen", F.when(F.isnan("seen"), F.coalesce(found, F.lit(0.0))).otherwise(F.col("seen"))).drop("c")
     log = F.log10(F.least(F.col("seen") * F.col("share") + F.col("gamma") * F.col("single"), F.lit(1.0)))
     p = p.select("b", "h", log.alias("log"))
-    return asked.select("row", "b", "h", "tf").join(p, ["b", "h"]).select("row", (F.col("tf") * F.col("log")).alias("score"))
+    return asked.select("row", "b", "h", "tf").join(p, ["b", "h"]).select("row", (F.col("tf") * F.col("log")).alias("score")).groupBy("row").agg(F.sum("score").alias("score"))
 
 
 def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str = "text", max_bytes: int = MAX_FILTER_BYTES,
@@ -503,18 +519,16 @@ def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", text:
                "score": pa.float64(), "h": pa.int64(), "tf": pa.int32()}
     pairs_alone = model.rest == {2}
     if model.rest:
-        columns |= {"pair": pa.int64(), "share": pa.float64(), "gamma": pa.float64()}
-    if model.rest and not pairs_alone:
-        columns |= {"b": pa.int64(), "single": pa.float64(), "seen": pa.float64()}
+        columns |= {"terms": pa.int64(), "pair" if pairs_alone else "b": pa.int64()}
 
     def score(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, frequent, count = shared.value
         cache, known = Hashes(), Known()
 
         def out(n: int, **values) -> pa.RecordBatch:
-            """A row of zeros for each of n, but for the given columns; a null key and pair."""
+            """A row of zeros for each of n, but for the given columns; a null key and null terms."""
             zero = np.zeros(n, np.int64)
-            return pa.RecordBatch.from_arrays([pa.nulls(n, t) if c in ("key", "pair") and c not in values else pa.array(values.get(c, zero), t)
+            return pa.RecordBatch.from_arrays([pa.nulls(n, t) if c in ("key", "terms") and c not in values else pa.array(values.get(c, zero), t)
                                                if isinstance(values.get(c, zero), np.ndarray) else values[c] for c, t in columns.items()], names=list(columns))
 
         for batch in parts:
@@ -523,7 +537,7 @@ def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", text:
                 h, n = hashed(part.column("text").to_pylist(), cache)
                 first = np.concatenate([[0], np.cumsum(n)[:-1]])
                 words, at = np.unique(h, return_inverse=True)
-                p, ask, terms = m.log10(h, words, at, known)
+                p, ask, before, terms = m.log10(h, words, at, known)
                 p[ask] = 0.0
                 place = np.minimum(np.searchsorted(frequent, words), max(0, len(frequent) - 1))
                 have = (frequent[place] == words) if len(frequent) else np.zeros(len(words), bool)
@@ -548,13 +562,9 @@ def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", text:
                     doc, key = doc[order], key[order]
                     start = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])]))
                     one = order[start]
-                    terms = {c: v[one] for c, v in terms.items()}
-                    if pairs_alone:
-                        terms = {"share": terms["share"], "gamma": terms["gamma"] * terms["single"]}
-                    else:
-                        terms["b"] = words[terms["b"]].view(np.int64)
-                    yield out(len(start), row=row[doc[start]], h=h[ask[one]].view(np.int64), tf=np.diff(np.append(start, len(order))),
-                              pair=key[start].view(np.int64), **terms)
+                    tf = np.diff(np.append(start, len(order)))
+                    keys = {"pair": key[start].view(np.int64)} if pairs_alone else {"b": words[before[one]].view(np.int64), "h": h[ask[one]].view(np.int64)}
+                    yield out(len(start), row=row[doc[start]], terms=tf << 32 | terms[one], **keys)
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("string").alias("key"), F.col(text).cast("binary").alias("text"))
     names = {pa.int64(): "long", pa.int32(): "int", pa.float64(): "double", pa.string(): "string"}
@@ -562,7 +572,7 @@ def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", text:
     open_terms = None
     if model.rest:
         found = written(found, "lm-found")
-        asked = F.col("pair").isNotNull()
+        asked = F.col("terms").isNotNull()
         open_terms = rare_terms(found.where(asked), exact, rare_pairs, rare_weights, model)
         found = found.where(~asked).select("row", "key", "n_tokens", "n_known", "base", "score", "h", "tf")
     rare = exact.where(F.col("c") < at_least)
