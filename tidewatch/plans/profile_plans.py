@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch.operators import clean as K
 from tidewatch.operators import impute as I
 from tidewatch.operators import profile as A
+from tidewatch.operators import sketches as Z
 from tidewatch.operators.columns import attach_row
 from tidewatch.plans.catalog import register
 from tidewatch.plans.clean_plans import CONTACT_ORACLE, _q, contacts_view
@@ -23,6 +24,7 @@ def _r(df: DataFrame, cols) -> DataFrame:
 
 
 LI_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+QUARTILES = (0.25, 0.5, 0.75)
 
 
 @register("profile_numeric_lineitem", "\nUNION ALL\n".join(f"""
@@ -183,6 +185,29 @@ def profile_distinct_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
                              ["l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_shipdate"])
 
 
+@register("profile_sketch_lineitem", "\nUNION ALL\n".join(f"""
+SELECT year(l_shipdate)::INTEGER AS year, '{c}' AS feature, count({c}) AS n, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std,
+  round(min({c}), 6) AS min, round(max({c}), 6) AS max, true AS quantiles_in_bound, true AS distinct_in_bound
+FROM lineitem GROUP BY ALL HAVING count({c}) > 0""" for c in LI_NUM), ("A1", "A14", "A15"))
+def profile_sketch_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly sketch rows are stored, then merged to years; estimates are held against the exact ranks and counts."""
+    li = read_table(spark, sf_dir, "lineitem").withColumn("year", F.year("l_shipdate"))
+    path = scratch(spark, "profile-sketches")
+    Z.sketch_profile(li.withColumn("month", F.month("l_shipdate")), LI_NUM, by=["year", "month"]).write.parquet(path)
+    years = Z.read_profile(Z.merge_profiles(spark.read.parquet(path), ["year"]), QUARTILES)
+    counts = (li.select("year", *LI_NUM).unpivot(["year"], LI_NUM, "feature", "value").where("value is not null")
+              .groupBy("year", "feature", "value").agg(F.count(F.lit(1)).alias("c")))
+    at = F.col("e.year").eqNullSafe(F.col("l.year")) & (F.col("e.feature") == F.col("l.feature"))
+    share = lambda test: F.sum(F.when(test, F.col("c")).otherwise(0)) / F.sum("c")
+    inside = [(share(F.col("value") < F.col("q")[i]) - Z.rank_bound() <= p) & (share(F.col("value") <= F.col("q")[i]) + Z.rank_bound() >= p)
+              for i, p in enumerate(QUARTILES)]
+    return _r(years.alias("e").join(counts.alias("l"), at).groupBy("e.year", "e.feature").agg(
+        F.first("n").alias("n"), *[F.first(c).alias(c) for c in ("mean", "std", "min", "max")],
+        (inside[0] & inside[1] & inside[2]).alias("quantiles_in_bound"),
+        (F.abs(F.first("n_distinct") - F.count(F.lit(1))) <= Z.distinct_bound() * F.count(F.lit(1))).alias("distinct_in_bound")),
+        ["mean", "std", "min", "max"])
+
+
 @register("class_balance_labels", """
 SELECT count(*) FILTER (WHERE quality = 0) AS n_neg, count(*) FILTER (WHERE quality = 1) AS n_pos,
   round(count(*) FILTER (WHERE quality = 0)::DOUBLE / count(*) FILTER (WHERE quality = 1), 6) AS scale_pos_weight,
