@@ -119,10 +119,17 @@ def test_least_count_keeps_to_the_bound_and_small_filters_work(spark):
     assert rows.s < 0 and rows.s > 1.2 * rows.b
 
 
-@pytest.mark.parametrize("max_bytes", [lm_scoring.MAX_FILTER_BYTES, 64 << 10])
-def test_model_is_whole_whatever_the_filters_hold(spark, max_bytes):
-    """All pairs, rare ones too, against exact dictionaries; small filters leave the rest to the tables."""
-    df = real(spark)
+def few_words(spark):
+    """200 texts of 300 of 300 words: the pairs are many more than the words."""
+    rnd = np.random.default_rng(17)
+    return spark.createDataFrame([(i, " ".join(f"w{x}" for x in rnd.integers(0, 300, 300))) for i in range(200)], "doc_id long, text string")
+
+
+@pytest.mark.parametrize("max_bytes,table,rest", [
+    (lm_scoring.MAX_FILTER_BYTES, real, set()), (64 << 10, real, {1, 2, 3}), (64 << 10, few_words, {2})])
+def test_model_is_whole_whatever_the_filters_hold(spark, max_bytes, table, rest):
+    """All pairs, rare ones too, against exact dictionaries; small filters leave the rest, or pairs alone, to the tables."""
+    df = table(spark)
     train, held = df.where("doc_id % 3 <> 1"), df.where("doc_id % 3 = 1")
     uni, bi = Counter(), Counter()
     for r in train.collect():
@@ -134,7 +141,7 @@ def test_model_is_whole_whatever_the_filters_hold(spark, max_bytes):
     d = once / (once + 2 * twice)
     # as the model reads them: lower edges of quanta from the least count of the filters, or from 1
     model, _, pairs, _ = lm_scoring.trained(train.select("text"), max_bytes, 1)
-    assert (model.rest == {1, 2, 3}) == (max_bytes < 1 << 20)
+    assert model.rest == rest
     assert pairs.count() == sum(x < model.least[2] for x in bi.values())
     start = lambda x, kind: model.least[kind] if x >= model.least[kind] else 1
     quantum = lambda x, kind: int(lm_scoring.quantised(np.array(x), start(x, kind)))
