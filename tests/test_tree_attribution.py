@@ -8,7 +8,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tests.conftest import SF_SMALL
-from tidewatch.operators.tree_attribution import _expect, ensemble_value, node_tables, shapley_batch, tree_attribution
+from tidewatch.operators import tree_attribution as T
+from tidewatch.operators.tree_attribution import _expect, ensemble_value, leaf_shares, node_tables, patterns, shapley_batch, tree_attribution
 from tidewatch.plans.model_plans import embeddings_frame
 
 
@@ -93,3 +94,25 @@ def test_deep_trees_and_backgrounds_add_up(spark):
     total = phi.groupBy("vec_id").agg(F.sum("phi").alias("s"))
     got = m.transform(df).select("vec_id", vector_to_array("probability")[1].alias("y")).join(total, "vec_id", "left").collect()
     assert np.allclose([(r.s or 0.0) + base.first().base_value for r in got], [r.y for r in got], atol=1e-9)
+
+
+@pytest.mark.parametrize("background", [False, True])
+def test_shares_are_worked_out_by_pattern_not_by_row(background, monkeypatch):
+    rng = np.random.default_rng(3)
+    tree = _random_tree(rng, 3, 6)
+    x, back = rng.normal(size=(5000, 6)), rng.normal(size=(100, 6))
+    worked = []
+    monkeypatch.setattr(T, "leaf_shares", lambda o, z: worked.append(np.broadcast_arrays(o, z)[0].size) or leaf_shares(o, z))
+    got = shapley_batch([tree], x, back if background else None)
+    # at most 8 patterns of three features, of rows and of background rows
+    assert worked and max(worked) <= 8 * 8 * 3
+    explained = ensemble_value([tree], back).mean() if background else _expect(tree, x[:1], frozenset())[0]
+    assert np.allclose(sum(got.values()) + explained, ensemble_value([tree], x), atol=1e-9)
+
+
+@pytest.mark.parametrize("features", [1, 3, 20])
+def test_patterns_are_the_distinct_rows(features):
+    rows = (np.random.default_rng(1).random((200, features)) < 0.5).astype(float)
+    rows = np.concatenate([rows, rows[:50]])
+    found, at = patterns(rows)
+    assert (found[at] == rows).all() and len(found) == len({tuple(r) for r in rows})

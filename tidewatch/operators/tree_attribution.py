@@ -134,20 +134,39 @@ def leaf_shares(o: np.ndarray, z: np.ndarray) -> np.ndarray:
     return out
 
 
+def patterns(inside_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows of a 0/1 array, and which of them each row is."""
+    d = inside_.shape[1]
+    if d > 16:
+        found, at = np.unique(inside_, axis=0, return_inverse=True)
+        return found, at.reshape(-1)
+    code = (inside_ @ (1 << np.arange(d))).astype(np.int64)
+    have = np.bincount(code, minlength=1 << d) > 0
+    found = np.flatnonzero(have)
+    return (found[:, None] >> np.arange(d) & 1).astype(np.float64), (np.cumsum(have) - 1)[code]
+
+
 def shapley_batch(trees: list[dict], x: np.ndarray, background: np.ndarray | None = None) -> dict[int, np.ndarray]:
-    """{feature index: phi per row} summed over the ensemble."""
+    """{feature index: phi per row} summed over the ensemble.
+
+    A leaf sees a row only by the intervals it lies in, so a leaf's shares are worked out once for each
+    distinct pattern of rows and of background rows, and looked up by row.
+    """
     phi = {int(f): np.zeros(len(x)) for t in trees for f in t["feature"] if f >= 0}
-    step = max(1, _BLOCK // (1 if background is None else len(background)))
     for t in trees:
         for value, features, low, high, share in leaf_paths(t):
             if not len(features) or value == 0:
                 continue
-            z = share if background is None else inside(background, features, low, high)
+            z = share
+            if background is not None:
+                z, of = patterns(inside(background, features, low, high))
+                times = np.bincount(of, minlength=len(z)) / len(background)
+            step = max(1, _BLOCK // (1 if background is None else len(z)))
             for at in range(0, len(x), step):
-                o = inside(x[at:at + step], features, low, high)
-                parts = leaf_shares(o, z) if background is None else leaf_shares(o[:, None, :], z[None, :, :]).mean(axis=1)
+                o, row = patterns(inside(x[at:at + step], features, low, high))
+                parts = leaf_shares(o, z) if background is None else np.einsum("b,obk->ok", times, leaf_shares(o[:, None, :], z[None, :, :]))
                 for k, f in enumerate(features.tolist()):
-                    phi[f][at:at + step] += t["weight"] * value * parts[:, k]
+                    phi[f][at:at + step] += (t["weight"] * value * parts[:, k])[row]
     return phi
 
 
