@@ -170,6 +170,24 @@ def test_records_of_one_version_are_replaced_alone(spark):
     assert len(found) == 1 and found[0]["feature_names"] == ["a", "b"] and found[0]["mean_abs_shap"] == [1.0, 2.0]
     assert R.load_records(spark, path, R.GLOBAL_SCHEMA, "x", "m", "v2").count() == 1
 
+
+def test_records_are_stored_compressed_in_files_of_bounded_length(spark, monkeypatch):
+    names = [f"a_feature_with_a_long_name_{i}" for i in range(5)]
+    entry = lambda i, n: F.struct(F.lit(n).alias("feature"), (F.col("id") / 7 + i).alias("phi"))
+    rows = spark.range(1000).coalesce(1).select("id", F.array(*[entry(i, n) for i, n in enumerate(names)]).alias("attributions"))
+    base = spark.createDataFrame([(0.25,)], "base_value double")
+    records = R.instance_records(rows, base, ["id"], "x", "m", "v1")
+    monkeypatch.setattr(R, "FILE_RECORDS", 300)
+    path = R.save_records(records, _folder(spark, "records"))
+    stored = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("path like '%json%'").select("path", "length").collect()
+    plain = records.select(F.length(F.to_json(F.struct("*"))).alias("n")).agg(F.sum("n")).first()[0]
+    assert len(stored) == 4 and sum(r.length for r in stored) < plain / 3
+    schema = "id long, prediction int, probability double, base_value double, shap_values map<string, double>, feature_names array<string>"
+    got = {r.id: r for r in R.load_records(spark, path, schema, "x", "m", "v1").collect()}
+    for r in records.collect():
+        assert all(got[r.id][c] == r[c] for c in ("prediction", "probability", "base_value", "shap_values", "feature_names"))
+    assert len(got) == 1000
+
 def test_writers_that_meet_get_versions_of_their_own(spark, tmp_path):
     folder = str(tmp_path / "aim" / "model")
     with ThreadPoolExecutor(8) as pool:

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators.columns import attach_row
 
+#: Records in a file, at most.
+FILE_RECORDS = 1_000_000
+
 GLOBAL_SCHEMA = ("feature_names array<string>, mean_abs_shap array<double>, std_shap array<double>, base_value double, "
                  "n_background_samples long, generated_at timestamp")
 
@@ -40,9 +43,13 @@ def instance_records(rows: DataFrame, base: DataFrame, keys: list[str], aim: str
 
 
 def save_records(records: DataFrame, path: str) -> str:
-    """JSON files below aim=/model=/version=; a version written again replaces its old records only."""
-    (records.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("aim", "model", "version").json(path))
+    """JSON files below aim=/model=/version=; a version written again replaces its old records only.
+
+    Every record repeats the names, so files are compressed (snappy costs little time). A compressed
+    file is read by one task, so files have at most FILE_RECORDS records.
+    """
+    (records.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", FILE_RECORDS)
+     .partitionBy("aim", "model", "version").json(path, compression="snappy"))
     return path
 
 
