@@ -73,3 +73,15 @@ def test_columns_of_very_many_levels_stay_sparse(spark):
     assert first.size == 100000 and list(first.indices) == [99999]  # the last in text order
     with pytest.raises(ValueError):
         FT.transform(pre, df)
+
+
+def test_fitting_reads_its_rows_once_for_each_kind_of_count(spark, tmp_path):
+    """The fitted parameters are data: using them doesn't read the training rows again."""
+    rows = [(1, 1.0, "b", "YES"), (2, None, "a", None), (3, 5.0, None, "NO"), (4, 2.0, "a", "YES")]
+    spark.createDataFrame(rows, "id long, x double, s string, f string").write.parquet(f"{tmp_path}/train")
+    df = spark.read.parquet(f"{tmp_path}/train")
+    pre = FT.fit_preprocessor(df, [], numeric=["x"], categorical=["s"], binary=["f"])
+    for fitted in (pre.params, pre.slots):
+        assert fitted.inputFiles() and not [f for f in fitted.inputFiles() if str(tmp_path) in f]
+    p = pre.params.first()
+    assert (p["__med_0"], p["__mean_0"], p["__mode_0"]) == (2.0, 2.5, "a") and p["__std_0"] == pytest.approx(1.5)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tidewatch.operators.columns import attach_row, col
 from tidewatch.operators.impute import feature_roles
 from tidewatch.operators.ladder import value_ladder
-from tidewatch.operators.profile import exact_quantiles, numeric_long, text_long
+from tidewatch.operators.profile import numeric_long, quantiles_of_counts, text_long
 from tidewatch.session import written
 
 BINARY_FILL = "NO"
@@ -78,16 +78,19 @@ def fit_preprocessor(train: DataFrame, feature_cols: Sequence[str], numeric: Seq
                      categorical: Sequence[str] | None = None, binary: Sequence[str] | None = None) -> Preprocessor:
     """I4-I6 fitted on ``train`` only: median + mean + population std for numeric
     columns (the mean and std of the median-filled column), most frequent level
-    for categorical ones, 'NO' for binary ones."""
+    for categorical ones, 'NO' for binary ones. Counts of values and of levels are taken once and
+    written, as the ladders and the modes read them several times; so are the parameters."""
     if numeric is None or categorical is None or binary is None:
         numeric, categorical, binary = split_roles(train, feature_cols)
     numeric, categorical, binary = list(numeric), list(categorical), list(binary)
     spark = train.sparkSession
     parts = []
     if numeric:
-        med = exact_quantiles(numeric_long(train, numeric), [0.5]).select("feature", F.col("quantiles")[0].alias("m"))
+        values = numeric_long(train, numeric).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+        med = quantiles_of_counts(written(values, "feature-values"), [0.5]).select("feature", F.col("quantiles")[0].alias("m"))
         med_row = med.groupBy().pivot("feature", numeric).agg(F.first("m"))
         med_row = med_row.select(*[F.coalesce(F.col(f"`{c}`"), F.lit(0.0)).alias(f"__med_{i}") for i, c in enumerate(numeric)])
+        med_row = written(med_row, "feature-medians")
         filled = attach_row(train.select(*[col(c).cast("double").alias(f"__x_{i}") for i, c in enumerate(numeric)]), med_row)
         filled = filled.select(*[F.coalesce(F.col(f"__x_{i}"), F.col(f"__med_{i}")).alias(f"__x_{i}") for i in range(len(numeric))])
         mom = filled.agg(*[F.avg(f"__x_{i}").alias(f"__mean_{i}") for i in range(len(numeric))],
@@ -95,18 +98,20 @@ def fit_preprocessor(train: DataFrame, feature_cols: Sequence[str], numeric: Seq
         parts += [med_row, mom]
     found = []
     if categorical:
-        cnt = text_long(train, categorical).groupBy("feature", "category").agg(F.count(F.lit(1)).alias("n"))
+        cnt = written(text_long(train, categorical).groupBy("feature", "category").agg(F.count(F.lit(1)).alias("n")), "feature-counts")
         mode = cnt.groupBy("feature").agg(F.min_by("category", F.struct((-F.col("n")).alias("neg"), "category")).alias("m"))
         mode_row = mode.groupBy().pivot("feature", categorical).agg(F.first("m"))
         parts.append(mode_row.select(*[F.col(f"`{c}`").alias(f"__mode_{j}") for j, c in enumerate(categorical)]))
         found.append(cnt.select("feature", "category", F.lit(False).alias("binary")))
     if binary:
         filled = train.select(*[F.coalesce(col(c).cast("string"), F.lit(BINARY_FILL)).alias(c) for c in binary])
-        found.append(text_long(filled, binary).distinct().select("feature", "category", F.lit(True).alias("binary")))
+        found.append(written(text_long(filled, binary).distinct(), "feature-binary").select("feature", "category", F.lit(True).alias("binary")))
     slots, width = _slots(spark, found, [*categorical, *binary], len(numeric))
     params = parts[0] if parts else spark.range(1).select()
     for p in parts[1:]:
         params = attach_row(params, p)
+    if parts:
+        params = written(params, "feature-params")
     return Preprocessor(numeric, categorical, binary, params, slots, width)
 
 

@@ -34,7 +34,11 @@ def text_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def exact_quantiles(long: DataFrame, probs: Sequence[float], buckets: int | None = None) -> DataFrame:
     """(feature, quantiles array) with linear interpolation, from a long frame."""
-    counts = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    return quantiles_of_counts(long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n")), probs, buckets)
+
+
+def quantiles_of_counts(counts: DataFrame, probs: Sequence[float], buckets: int | None = None) -> DataFrame:
+    """The same from (feature, value, n)."""
     lad = value_ladder(counts, ["feature"], "value", ["n"], buckets=buckets)
     targets = lad.groupBy("feature").agg(F.first("tot_n").alias("n")).withColumn(
         "probs", F.array(*[F.lit(float(p)) for p in probs]))
