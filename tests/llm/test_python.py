@@ -164,6 +164,29 @@ def test_model_is_whole_whatever_the_filters_hold(spark, max_bytes, table, rest)
     assert len(off) == len(got) and np.mean(off) < 0.02 and max(off) < 0.6
 
 
+def test_open_pairs_and_rare_words_are_asked_in_packed_rows(spark, monkeypatch):
+    """op1: no row for each document and open pair is written, and base and score are those of a model whose filters hold all."""
+    rows_of = {}
+    written = lm_scoring.written
+
+    def counted(df, label):
+        out = written(df, label)
+        rows_of[label] = out.count()
+        return out
+
+    df = few_words(spark)
+    train = df.where("doc_id % 3 <> 1")
+    want = {r.doc_id: r for r in lm_scoring.score_texts(df, train, rarest_pair=1).collect()}
+    monkeypatch.setattr(lm_scoring, "written", counted)
+    monkeypatch.setattr(lm_scoring, "FREQUENT", 0.0033)  # about half of the words are not in the broadcast table
+    got = {r.doc_id: r for r in lm_scoring.score_texts(df, train, max_bytes=64 << 10, rarest_pair=1).collect()}
+    assert sum(rows_of.values()) < 1000 and len(got) == len(want) == 200
+    for i, r in got.items():
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (want[i].n_tokens, want[i].n_known, want[i].train_tokens)
+        assert math.isclose(r.base_score, want[i].base_score, rel_tol=1e-9)
+        assert abs(r.score - want[i].score) / r.n_tokens < 0.1
+
+
 def test_lm_without_training_or_documents(docs, empty):
     assert lm_scoring.score_texts(empty, docs).collect() == []
     rows = lm_scoring.score_texts(docs, empty).collect()

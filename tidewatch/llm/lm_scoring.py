@@ -9,7 +9,8 @@ the same way, quantised, for each context.
 The broadcast filters have at most ``max_bytes``. They hold the frequencies from a
 least count on, the smallest power of two with which all entries fit. What is rarer
 stays in tables, quantised the same way, and pairs of tokens that need it meet it in
-joins: the model grows with the corpus, its broadcast part does not.
+joins, or, where pairs alone are open, in packed questions that move once to the chunks
+of the tables: the model grows with the corpus, its broadcast part does not.
 """
 
 from __future__ import annotations
@@ -39,6 +40,9 @@ HELD = 1_000_000         # keys that a task holds before it sums and sends them
 CHUNK_KEYS = 1 << 18     # keys of a chunk of counts, about
 ROW_KEYS = 1 << 12       # keys in a row of counts, at most
 BATCH_BYTES = 16 << 20   # that Python workers get at once
+SLOT_CHUNKS = 4          # chunks whose counts a task holds at once to answer questions
+SLOTS = 12               # slots of such chunks in a task, about
+KEY_BYTES = {1: 8, 2: 6}  # of a word's hash and of a pair's, within its slot, in questions
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 U = np.uint64
 
@@ -116,6 +120,36 @@ def joined(blobs: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), np.int64)
 
 
+def packed(values: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of each value: first all lowest bytes, then the next ones (alike bytes compress)."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def unpacked(blobs: list[bytes], width: int) -> np.ndarray:
+    out, at = np.zeros((sum(map(len, blobs)) // width, 8), np.uint8), 0
+    for b in blobs:
+        n = len(b) // width
+        out[at:at + n, :width] = np.frombuffer(b, np.uint8).reshape(width, n).T
+        at += n
+    return out.reshape(-1).view("<u8")
+
+
+def short(keys: np.ndarray, kind: int) -> np.ndarray:
+    """What is left of keys in KEY_BYTES: words as they are, of pairs (32 bits of each word) a hash that doesn't depend on the chunk's."""
+    return keys if KEY_BYTES[kind] == 8 else mix(keys, 3) & U((1 << 8 * KEY_BYTES[kind]) - 1)
+
+
+def written_alone(df: DataFrame, label: str) -> DataFrame:
+    """``written``, with the shuffle files behind the table removed at once, not when the driver next collects its garbage."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name)
+    conf.set(name, "true")
+    try:
+        return written(df, label)
+    finally:
+        conf.set(name, before)
+
+
 def tables(docs: DataFrame, chunks: int, rarest_pair: int) -> DataFrame:
     """(kind, chunk, keys, counts, singles, doubles, types, tokens): summed counts by chunk, in rows of at most ROW_KEYS.
 
@@ -317,11 +351,12 @@ class Model:
         """Quantised counts of words and weights of them as contexts."""
         return np.stack([self.words.read(words), self.weights.read(words >> U(32))])
 
-    def log10(self, h: np.ndarray, words: np.ndarray, at: np.ndarray, known: Known) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def log10(self, h: np.ndarray, words: np.ndarray, at: np.ndarray, known: Known) -> tuple[np.ndarray, ...]:
         """log10 probability of each token after the one before it; ``words``, ``at``: the distinct hashes and their places.
 
         Also the tokens for which the tables have to be asked, the places of the words before them, and
-        what the filters say of them: four quanta of 8 bits, of the pair, the word before, the word and the weight.
+        what the filters say of them: four quanta of 8 bits, of the pair, the word before, the word and the weight;
+        then the distinct pairs, and every token's place in them.
         """
         qw, qg = known(words, self.quanta)
         single = single_of(qw, self.least[1], self.tokens, self.types)
@@ -333,14 +368,14 @@ class Model:
         before = np.concatenate([[np.searchsorted(words, U(END))], at[:-1]])
         p = np.log10(np.minimum(seen * share[before] + gamma[before] * single[at], 1.0))
         if not self.rest:
-            return p, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return p, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), pairs, place
         rare = {1: qw == 0, 2: q == 0, 3: qg == 0}
         rare = {kind: r if kind in self.rest else np.zeros_like(r) for kind, r in rare.items()}
         if 1 not in self.rest:  # a filter of all words misses none, and pairs with words it doesn't hold weren't seen
             rare[2] &= (qw[at] > 0) & (qw[before] > 0)
         ask = np.flatnonzero(rare[1][at] | rare[1][before] | rare[2] | rare[3][before])
         to, of = before[ask], at[ask]
-        return p, ask, to, (((q[ask] << 8 | qw[to]) << 8 | qw[of]) << 8 | qg[to])
+        return p, ask, to, (((q[ask] << 8 | qw[to]) << 8 | qw[of]) << 8 | qg[to]), pairs, place
 
 
 def train(docs: DataFrame, max_bytes: int = MAX_FILTER_BYTES, rarest_pair: int = 2) -> tuple[Model, DataFrame]:
@@ -350,10 +385,15 @@ def train(docs: DataFrame, max_bytes: int = MAX_FILTER_BYTES, rarest_pair: int =
 
 def trained(docs: DataFrame, max_bytes: int, rarest_pair: int) -> tuple[Model, DataFrame, DataFrame, DataFrame]:
     """The model, (h, c) of all words, and what the filters leave out: (pair, c) of pairs and (ctx, q) of weights."""
+    return fitted(docs, max_bytes, rarest_pair)[:4]
+
+
+def fitted(docs: DataFrame, max_bytes: int, rarest_pair: int) -> tuple[Model, DataFrame, DataFrame, DataFrame, DataFrame, int]:
+    """What ``trained`` returns, the counts by chunk as ``tables`` has them, and the number of chunks."""
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     chunks = max(1, math.ceil(docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0) // (6 * CHUNK_KEYS) + 1)
-    counts = written(tables(docs, chunks, rarest_pair), "lm-counts")
+    counts = written_alone(tables(docs, chunks, rarest_pair), "lm-counts")
     stats = {r["kind"]: r for r in counts.groupBy("kind").agg(*[F.sum(c).alias(c) for c in ("singles", "doubles", "types", "tokens")]).collect()}
     tokens, types = (stats[1]["tokens"], stats[1]["types"]) if 1 in stats else (0, 0)
     once, twice = (stats[2]["singles"], stats[2]["doubles"]) if 2 in stats else (0, 0)
@@ -370,9 +410,11 @@ def trained(docs: DataFrame, max_bytes: int, rarest_pair: int) -> tuple[Model, D
     entries: dict[int, dict[int, int]] = {1: {}, 2: {}}
     for r in counts.select("kind", "counts").mapInPandas(powers, "kind int, power int, n long").groupBy("kind", "power").agg(F.sum("n").alias("n")).collect():
         entries[r["kind"]][r["power"]] = r["n"]
-    word_least = least_count(entries[1], 1, max_bytes // 4)
+    # words and weights come first, as every pair needs them; a pair that is left out asks its table once
+    word_least = least_count(entries[1], 1, max_bytes * 3 // 8)
     # a pair's context is at least as frequent as the pair, so it is in the words' filter
-    least = {1: word_least, 2: max(word_least, least_count(entries[2], rarest_pair, max_bytes // 2))}
+    least = {1: word_least, 2: max(word_least, least_count(entries[2], rarest_pair, max_bytes // 8))}
+    taken = sum(n for kind, levels in entries.items() for i, n in levels.items() if 1 << i >= least[kind]) * BITS_PER_ENTRY // 8
 
     def quanta(kind: int):
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -415,9 +457,9 @@ def trained(docs: DataFrame, max_bytes: int, rarest_pair: int) -> tuple[Model, D
             .where("kept > 0 and total > 0")
             .select("ctx", F.ceil(-F.log(F.greatest(F.lit(1e-5), 1 - rate)) / math.log(WEIGHT_BASE)).cast("int").alias("q"), "n").where("q > 0"))
     # weights take entries in units of WEIGHT_BASE; those of rare contexts stay in the table if they don't fit
-    left = written(left, "lm-weights")
+    left = written_alone(left, "lm-weights")
     weight_entries = {r["power"]: r["q"] for r in left.groupBy(F.floor(F.log2("n") + 1e-9).cast("int").alias("power")).agg(F.sum("q").alias("q")).collect()}
-    least[3] = least_count(weight_entries, 1, max_bytes // 4)
+    least[3] = least_count(weight_entries, 1, max_bytes - taken)
     total_q = sum(q for i, q in weight_entries.items() if 1 << i >= least[3])
 
     def weight_blobs(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -438,15 +480,15 @@ def trained(docs: DataFrame, max_bytes: int, rarest_pair: int) -> tuple[Model, D
     rare_pairs = counts.where("kind = 2").select("keys", "counts").mapInPandas(rows(least[2], "pair"), "pair long, c long")
     rest = frozenset([kind for kind in (1, 2) if any(1 << i < least[kind] and n for i, n in entries[kind].items())]
                      + [3] * any(1 << i < least[3] for i in weight_entries))
-    return Model(words, pairs, weights, least, discount, tokens, types, rest), exact, rare_pairs, left.where(F.col("n") < least[3]).select("ctx", "q")
+    return (Model(words, pairs, weights, least, discount, tokens, types, rest), exact, rare_pairs,
+            left.where(F.col("n") < least[3]).select("ctx", "q"), counts, chunks)
 
 
 def rare_terms(asked: DataFrame, exact: DataFrame, rare_pairs: DataFrame, rare_weights: DataFrame, model: Model) -> DataFrame:
     """(row, score): log10 probabilities of the tokens that the filters left open, summed.
 
     ``asked`` has row, terms (how often, in 31 bits, then the quanta as ``Model.log10`` packs them) and the
-    words h and b before it; where the pairs' table alone can be asked, pair instead. Every distinct pair of words
-    meets the tables once; a key of a known value is replaced by the pair's, so frequent words don't gather.
+    words h and b before it. Every distinct pair of words meets the tables once; a key of a known value is replaced by the pair's, so frequent words don't gather.
     """
     tf = F.shiftrightunsigned("terms", 32)
     quantum_of = {name: F.shiftright("terms", 8 * i).bitwiseAND(F.lit(255)) for i, name in enumerate(("gamma", "single", "share", "seen"))}
@@ -459,12 +501,6 @@ def rare_terms(asked: DataFrame, exact: DataFrame, rare_pairs: DataFrame, rare_w
         "single": (least_value(quantum_of["single"], model.least[1]) + 1) / F.lit(float(model.tokens + model.types + 1)),
         "share": F.when(quantum_of["share"] > 0, F.pow(F.lit(LOG_BASE), -quantum_of["share"].cast("double")) / F.lit(float(model.least[1]))).otherwise(F.lit(0.0)),
         "seen": F.greatest(least_value(quantum_of["seen"], model.least[2]) - F.lit(model.discount), F.lit(0.0))}
-    if model.rest == {2}:  # one term alone is open: each document's pair meets the pairs' table itself
-        p = asked.select("row", "terms", "pair").join(rare_pairs, "pair", "left")
-        found = F.pow(F.lit(LOG_BASE), F.floor(F.log("c") / math.log(LOG_BASE) + 1e-9)) - F.lit(model.discount)
-        seen = F.coalesce(F.greatest(found, F.lit(0.0)), F.lit(0.0))
-        log = F.log10(F.least(seen * known["share"] + known["gamma"] * known["single"], F.lit(1.0)))
-        return p.select("row", (tf * log).alias("score")).groupBy("row").agg(F.sum("score").alias("score"))
     kinds = {"single": 1, "share": 1, "gamma": 3, "seen": 2}
     unknown = {name: (quantum_of[name] == 0) if kind in model.rest else F.lit(False) for name, kind in kinds.items()}
     asked = asked.withColumn("tf", tf).withColumn("terms", F.col("terms").bitwiseAND(F.lit((1 << 32) - 1)))
@@ -492,6 +528,120 @@ def rare_terms(asked: DataFrame, exact: DataFrame, rare_pairs: DataFrame, rare_w
     return asked.select("row", "b", "h", "tf").join(p, ["b", "h"]).select("row", (F.col("tf") * F.col("log")).alias("score")).groupBy("row").agg(F.sum("score").alias("score"))
 
 
+QUESTION = {"slot": pa.int32(), "kind": pa.int32(), "part": pa.int64(), "keys": pa.binary(), "docs": pa.binary(), "times": pa.binary(), "terms": pa.binary()}
+
+
+def questions(kind: int, part: int, keys: np.ndarray, docs: np.ndarray, times: np.ndarray, terms: np.ndarray, chunks: int) -> list[tuple]:
+    """Rows of QUESTION, one for each slot: how often documents (rows from ``part`` on) ask for a key, and the terms they know."""
+    slot = (chunk_of(keys, chunks) // U(SLOT_CHUNKS)).astype(np.int32)
+    order = np.argsort(slot, kind="stable")
+    keys, docs, times, terms, slot = short(keys[order], kind), docs[order], times[order], terms[order], slot[order]
+    edges = np.append(np.flatnonzero(np.diff(slot, prepend=-1)), len(slot)).tolist()
+    return [(int(slot[a]), kind, part, packed(keys[a:b], KEY_BYTES[kind]), packed(docs[a:b], 4), packed(times[a:b], 4), packed(terms[a:b], 4))
+            for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def answers(asked: DataFrame, counts: DataFrame, below: dict[int, float], model: Model, chunks: int) -> DataFrame:
+    """(row, key, n_tokens, n_known, base, score): the documents' rows of ``asked`` as they are, and sums of what its questions add.
+
+    ``asked`` has the columns of QUESTION and these; kind 0 are documents. The words (kind 1) and pairs (kind 2) with
+    counts under ``below`` meet the questions for them slot by slot: a task holds the counts of one slot at a
+    time and sums its answers by document before they move.
+    """
+    spark = asked.sparkSession
+    columns = asked.columns[len(QUESTION):]
+    total, discount, least = model.tokens + model.types + 1, model.discount, dict(model.least)
+    tokens, types = model.tokens, model.types
+
+    def table(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            kinds, slots, keys, times = [], [], [], []
+            for kind, chunk, k, c in zip(*(batch.column(x).to_pylist() for x in ("kind", "chunk", "keys", "counts")), strict=True):
+                n = np.frombuffer(c, np.int64)
+                keep = n < below[kind]
+                if keep.any():
+                    kinds.append(kind)
+                    slots.append(chunk // SLOT_CHUNKS)
+                    keys.append(packed(short(np.frombuffer(k, U)[keep], kind), KEY_BYTES[kind]))
+                    times.append(packed(n[keep], 8))
+            none = [None] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((slots, kinds, [-1] * len(kinds), keys, none, times, none), QUESTION.values(), strict=True)],
+                                             names=list(QUESTION))
+
+    share = np.concatenate([[0.0], LOG_BASE ** -np.arange(1.0, 256) / least[1]])
+    single = single_of(np.arange(256), least[1], tokens, types)
+    gamma = WEIGHT_BASE ** -np.arange(256.0)
+
+    def added(kind: int, c: np.ndarray, times: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What counts and terms add to n_known, base and score."""
+        nothing = np.zeros(len(c))
+        if kind == 1:
+            return np.where(c > 0, times, 0), times * np.log10((c + 1) / total), nothing
+        seen = np.where(c > 0, np.maximum(value(quantised(np.maximum(c, 1), 1.0), 1.0) - discount, 0), 0.0)
+        byte = lambda i: (terms >> U(8 * i) & U(255)).astype(np.int64)
+        return nothing, nothing, times * np.log10(np.minimum(seen * share[byte(2)] + gamma[byte(0)] * single[byte(1)], 1.0))
+
+    types_out = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+
+    def answer(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, keys, c, parts_of_table = None, None, None, []
+        rows, sums, n = [], [], 0
+
+        def compact() -> None:
+            distinct, at = np.unique(np.concatenate(rows), return_inverse=True)
+            rows[:], sums[:] = [distinct], [np.stack([np.bincount(at, x, len(distinct)) for x in np.concatenate(sums, axis=1)])]
+
+        def out() -> pa.RecordBatch:
+            row, (known, base, score) = rows.pop(), sums.pop()
+            values = row, pa.nulls(len(row), pa.string()), np.zeros(len(row), np.int64), np.rint(known).astype(np.int64), base, score
+            return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(values, types_out, strict=True)], names=columns)
+
+        for batch in parts:
+            kind, slot, part = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("kind", "slot", "part"))
+            if (kind == 0).any():
+                yield batch.filter(pa.array(kind == 0)).select(columns)
+            edges = np.flatnonzero(np.concatenate([[True], (np.diff(kind) != 0) | (np.diff(slot) != 0) | (np.diff(part < 0) != 0)])).tolist()
+            for a, b in zip(edges, [*edges[1:], len(kind)], strict=True):
+                k = int(kind[a])
+                if k == 0:
+                    continue
+                blobs = lambda x: batch.column(x).slice(a, b - a).to_pylist()  # noqa: B023, E731
+                if now != (k, slot[a]):
+                    now, keys, parts_of_table = (k, slot[a]), None, []
+                if part[a] < 0:
+                    parts_of_table.append((unpacked(blobs("keys"), KEY_BYTES[k]), unpacked(blobs("times"), 8).astype(np.int64)))
+                    continue
+                if keys is None:
+                    keys, c = (np.concatenate(x) for x in zip(*parts_of_table, strict=True)) if parts_of_table else (np.zeros(0, U), np.zeros(0, np.int64))
+                    order, parts_of_table = np.argsort(keys), []
+                    keys, c = keys[order], c[order]
+                asked_keys, docs, times, terms = (unpacked(blobs(x), w) for x, w in (("keys", KEY_BYTES[k]), ("docs", 4), ("times", 4), ("terms", 4)))
+                lengths = [len(x) // 4 for x in blobs("docs")]
+                order = np.argsort(asked_keys)
+                at = np.empty(len(order), np.int64)
+                at[order] = np.searchsorted(keys, asked_keys[order])
+                at = np.minimum(at, max(0, len(keys) - 1))
+                found = np.where(keys[at] == asked_keys, c[at], 0) if len(keys) else np.zeros(len(at), np.int64)
+                rows.append(np.repeat(part[a:b], lengths) + docs.astype(np.int64))
+                sums.append(np.stack(added(k, found, times.astype(np.int64), terms)))
+                n += len(found)
+                if n > HELD:
+                    compact()
+                    n = len(rows[0])
+                    if 2 * n > HELD:
+                        yield out()
+                        n = 0
+        if n:
+            compact()
+            yield out()
+
+    names = "slot int, kind int, part long, keys binary, docs binary, times binary, terms binary"
+    both = asked.unionByName(counts.select("kind", "chunk", "keys", "counts").mapInArrow(table, names), allowMissingColumns=True)
+    slots = math.ceil(chunks / SLOT_CHUNKS)
+    tasks = max(min(slots, 2 * spark.sparkContext.defaultParallelism), slots // SLOTS)
+    return both.repartition(tasks, "slot").sortWithinPartitions("slot", "kind", "part").mapInArrow(answer, asked.select(columns).schema)
+
+
 def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str = "text", max_bytes: int = MAX_FILTER_BYTES,
                 rarest_pair: int = 2) -> DataFrame:
     """Scores of every document under a model of the ``training`` rows (of one text column).
@@ -501,11 +651,12 @@ def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", text:
     empty texts have the end token alone; repeated rows are scored alike; without
     training rows all counts are 0. Words too rare for the broadcast table of exact
     counts meet their counts in a join, one row for each document and rare word; pairs
-    of words of which a filter leaves something open meet the model's tables likewise.
+    of words of which a filter leaves something open meet the model's tables likewise. Where
+    only counts of pairs are open, documents ask for these and for rare words in packed rows.
     The model has the pairs seen at least ``rarest_pair`` times.
     """
     spark = docs.sparkSession
-    model, exact, rare_pairs, rare_weights = trained(training.select(F.col(text).alias("text")), max_bytes, rarest_pair)
+    model, exact, rare_pairs, rare_weights, counts, chunks = fitted(training.select(F.col(text).alias("text")), max_bytes, rarest_pair)
     exact = written(exact, "lm-words")
     at_least = max(1.0, FREQUENT * model.tokens)
     often = exact.where(F.col("c") >= at_least).toPandas()
@@ -519,16 +670,18 @@ def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", text:
                "score": pa.float64(), "h": pa.int64(), "tf": pa.int32()}
     pairs_alone = model.rest == {2}
     if model.rest:
-        columns |= {"terms": pa.int64(), "pair" if pairs_alone else "b": pa.int64()}
+        columns |= {"terms": pa.int64(), "b": pa.int64()}
+    if pairs_alone:
+        columns = QUESTION | {c: t for c, t in columns.items() if c not in ("h", "tf", "terms", "b")}
 
     def score(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, frequent, count = shared.value
         cache, known = Hashes(), Known()
 
         def out(n: int, **values) -> pa.RecordBatch:
-            """A row of zeros for each of n, but for the given columns; a null key and null terms."""
+            """A row of zeros for each of n, but for the given columns; a null key, null terms and null blobs."""
             zero = np.zeros(n, np.int64)
-            return pa.RecordBatch.from_arrays([pa.nulls(n, t) if c in ("key", "terms") and c not in values else pa.array(values.get(c, zero), t)
+            return pa.RecordBatch.from_arrays([pa.nulls(n, t) if (c in ("key", "terms") or t == pa.binary()) and c not in values else pa.array(values.get(c, zero), t)
                                                if isinstance(values.get(c, zero), np.ndarray) else values[c] for c, t in columns.items()], names=list(columns))
 
         for batch in parts:
@@ -537,7 +690,7 @@ def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", text:
                 h, n = hashed(part.column("text").to_pylist(), cache)
                 first = np.concatenate([[0], np.cumsum(n)[:-1]])
                 words, at = np.unique(h, return_inverse=True)
-                p, ask, before, terms = m.log10(h, words, at, known)
+                p, ask, before, terms, pairs, place_of = m.log10(h, words, at, known)
                 p[ask] = 0.0
                 place = np.minimum(np.searchsorted(frequent, words), max(0, len(frequent) - 1))
                 have = (frequent[place] == words) if len(frequent) else np.zeros(len(words), bool)
@@ -546,8 +699,23 @@ def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", text:
                 if not everything:
                     base[~have] = 0.0
                 base, hit = base[at], have[at]
+                spread = {"slot": (chunk_of(row.view(U), chunks) // U(SLOT_CHUNKS)).astype(np.int32), "part": row} if pairs_alone else {"h": mix(row.view(U), 7).view(np.int64)}
                 yield out(len(n), row=row, key=part.column("key"), n_tokens=n, n_known=np.add.reduceat(hit.astype(np.int64), first),
-                          base=np.add.reduceat(base, first), score=np.add.reduceat(p, first), h=mix(row.view(U), 7).view(np.int64))
+                          base=np.add.reduceat(base, first), score=np.add.reduceat(p, first), **spread)
+                if pairs_alone:
+                    # each document asks once for each word without a known count, and for each pair that the filters leave open
+                    doc = np.repeat(row - row[0], n)
+                    code, tf = np.unique(doc[~hit] * len(words) + at[~hit], return_counts=True)
+                    d, r = np.divmod(code, len(words))
+                    own = questions(1, int(row[0]), words[r], d, tf, np.zeros(len(r), np.int64), chunks)
+                    terms_of = np.zeros(len(pairs), np.int64)
+                    terms_of[place_of[ask]] = terms
+                    code, tf = np.unique(doc[ask] * len(pairs) + place_of[ask], return_counts=True)
+                    d, r = np.divmod(code, len(pairs))
+                    own += questions(2, int(row[0]), pairs[r], d, tf, terms_of[r], chunks)
+                    if own:
+                        yield out(len(own), **{c: pa.array(v, QUESTION[c]) for c, v in zip(QUESTION, zip(*own, strict=True), strict=True)})
+                    continue
                 if not everything:
                     # rare words: one row for each document and word
                     doc = np.repeat(np.arange(len(n)), n)
@@ -563,25 +731,27 @@ def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", text:
                     start = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])]))
                     one = order[start]
                     tf = np.diff(np.append(start, len(order)))
-                    keys = {"pair": key[start].view(np.int64)} if pairs_alone else {"b": words[before[one]].view(np.int64), "h": h[ask[one]].view(np.int64)}
-                    yield out(len(start), row=row[doc[start]], terms=tf << 32 | terms[one], **keys)
+                    yield out(len(start), row=row[doc[start]], terms=tf << 32 | terms[one], b=words[before[one]].view(np.int64), h=h[ask[one]].view(np.int64))
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("string").alias("key"), F.col(text).cast("binary").alias("text"))
-    names = {pa.int64(): "long", pa.int32(): "int", pa.float64(): "double", pa.string(): "string"}
+    names = {pa.int64(): "long", pa.int32(): "int", pa.float64(): "double", pa.string(): "string", pa.binary(): "binary"}
     found = rows.mapInArrow(score, ", ".join(f"{c} {names[t]}" for c, t in columns.items()))
-    open_terms = None
-    if model.rest:
-        found = written(found, "lm-found")
-        asked = F.col("terms").isNotNull()
-        open_terms = rare_terms(found.where(asked), exact, rare_pairs, rare_weights, model)
-        found = found.where(~asked).select("row", "key", "n_tokens", "n_known", "base", "score", "h", "tf")
     rare = exact.where(F.col("c") < at_least)
     c = F.coalesce(F.col("c"), F.lit(0))
-    parts = found.join(rare, "h", "left").select("row", "key", "n_tokens", "n_known", F.when(F.col("c") > 0, F.col("tf")).otherwise(0).alias("known"),
-                                                 (F.col("base") + F.col("tf") * F.log10((c + 1) / F.lit(float(below)))).alias("base"), "score")
-    if open_terms is not None:
-        parts = parts.unionByName(open_terms, allowMissingColumns=True)
+    if pairs_alone:
+        parts = answers(found, counts, {1: at_least, 2: model.least[2]}, model, chunks)
+    else:
+        open_terms = None
+        if model.rest:
+            found = written(found, "lm-found")
+            asked = F.col("terms").isNotNull()
+            open_terms = rare_terms(found.where(asked), exact, rare_pairs, rare_weights, model)
+            found = found.where(~asked).select("row", "key", "n_tokens", "n_known", "base", "score", "h", "tf")
+        parts = found.join(rare, "h", "left").select("row", "key", "n_tokens", (F.col("n_known") + F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("n_known"),
+                                                     (F.col("base") + F.col("tf") * F.log10((c + 1) / F.lit(float(below)))).alias("base"), "score")
+        if open_terms is not None:
+            parts = parts.unionByName(open_terms, allowMissingColumns=True)
     out = parts.groupBy("row").agg(
-        F.max("key").alias("_key"), F.sum("n_tokens").alias("n_tokens"), (F.sum("n_known") + F.sum("known")).alias("n_known"),
+        F.max("key").alias("_key"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"),
         F.sum("base").alias("base_score"), F.sum("score").alias("score"))
     return out.select(F.col("_key").cast(kind).alias(key), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
