@@ -210,3 +210,43 @@ def test_folds_side_by_side_score_like_folds_in_turn(spark):
     make = lambda d: M.forest("features", "y", "w")
     found = [M.cross_validate(rows, make, "y", "fold", ["id"], parallelism=p)[0].orderBy("id").collect() for p in (1, 3)]
     assert found[0] == found[1] and len(found[0]) == 52
+
+
+def test_fits_get_partitions_by_the_values_of_their_rows(spark, monkeypatch):
+    rows = _unbalanced(spark).repartition(7).withColumn("features", array_to_vector("x")).withColumn("w", F.lit(1.0))
+    rows = rows.withColumn("fold", (F.col("id") % 2).cast("int"))
+    partitions = []
+
+    def make(d):
+        partitions.append(d.rdd.getNumPartitions())
+        return M.logistic("features", "y", "w", 1.0)
+
+    oof, _ = M.cross_validate(rows, make, "y", "fold", ["id"])
+    assert partitions == [1, 1] and sorted(r.id for r in oof.collect()) == sorted(r.id for r in rows.collect())
+    width = rows.first().features.size
+    monkeypatch.setattr(M, "TASK_VALUES", 52 * width // 3 + 1)
+    assert M.training_rows(rows).rdd.getNumPartitions() == 3
+    assert M.training_rows(rows.select("id", "y"), "features").count() == 52
+
+
+def test_out_of_fold_rows_are_scored_once(spark):
+    rows = _unbalanced(spark).withColumn("features", array_to_vector("x")).withColumn("w", F.lit(1.0))
+    rows = rows.withColumn("fold", (F.col("id") % 2).cast("int"))
+    oof, per_fold = M.cross_validate(rows, lambda d: M.logistic("features", "y", "w", 1.0), "y", "fold", ["id"])
+    for df in (oof, per_fold):
+        assert "UDF" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.fold, r.n) for r in per_fold.collect()} == {(r.fold, r["count"]) for r in rows.groupBy("fold").count().collect()}
+
+
+def test_all_models_are_fitted_and_described(spark, monkeypatch):
+    monkeypatch.setattr(M, "TREES", 5)
+    monkeypatch.setattr(M, "GBT_ROUNDS", 3)
+    rows = M.fold_plan(_unbalanced(spark), ["id"], "y", 2).withColumn("features", array_to_vector("x"))
+    found = {}
+    for parallelism in (1, 3):
+        models, meta = M.train_all(spark, rows, "y", ["id"], "aim", parallelism=parallelism)
+        assert set(models) == {"logistic_regression", "random_forest", "gradient_boosted_trees"}
+        found[parallelism] = {r.model: r for r in meta.collect()}
+    assert found[1].keys() == found[3].keys() == set(models)
+    for name, row in found[1].items():
+        assert row.n_train == 52 and abs(row.cv_auc_mean - found[3][name].cv_auc_mean) < 1e-9 and abs(row.train_auc - found[3][name].train_auc) < 1e-9

@@ -37,7 +37,9 @@ GBT_ROUNDS = 100
 GBT_STEP = 0.1
 LOO_MAX_ROWS = 20
 #: Folds of one model that are fitted at once.
-PARALLEL_FITS = 4
+PARALLEL_FITS = 5
+#: Feature values in a partition of training rows, about.
+TASK_VALUES = 1 << 21
 
 
 def concurrently(spark: SparkSession, tasks: Sequence[Callable[[], Any]], parallelism: int) -> list:
@@ -48,6 +50,18 @@ def concurrently(spark: SparkSession, tasks: Sequence[Callable[[], Any]], parall
         return pool.map(lambda task: task(), [inheritable_thread_target(spark)(t) for t in tasks], chunksize=1)
 
 
+def training_rows(df: DataFrame, features: str = "features") -> DataFrame:
+    """The rows, cut from their lineage once, in no more partitions than TASK_VALUES asks for.
+
+    A boosted fit runs some 300 short jobs, whose cost rises with their tasks, not with
+    the rows, while partitions are small; a fit's partitions grow with the rows from there on.
+    """
+    data = cut_lineage(df)
+    head = data.where(col(features).isNotNull()).select(col(features)).first() if features in data.columns else None
+    width = head[0].size if head else len(data.columns)
+    return data.coalesce(data.count() * width // TASK_VALUES + 1)
+
+
 def balanced_weight(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """A17 for training: n / (2 * n_class) per row (broadcast of one row per class)."""
     from tidewatch.operators.profile import balanced_weights
@@ -111,7 +125,7 @@ def resampler(label: str, keys: Sequence[str], features: str = "features", seed:
         spw = train.agg(F.count_if(col(label) == 0) / F.greatest(F.count_if(col(label) == 1), F.lit(1))).first()[0]
         rows = oversampled(arrays, label, keys, features, seed).withColumn(features, array_to_vector(F.col(features)))
         rows = rows.withColumn("pos_weight", F.when(col(label) == 1, F.lit(float(spw))).otherwise(F.lit(1.0)))
-        return cut_lineage(balanced_weight(rows, label, "weight"))
+        return training_rows(balanced_weight(rows, label, "weight"), features)
     return resample
 
 
@@ -126,7 +140,12 @@ def cross_validate(df: DataFrame, make: Callable[[DataFrame], Estimator], label:
     ``resample`` changes a fold's training rows only, never those scored.
     ``parallelism`` folds are fitted at once; the number doesn't change the result.
     """
-    data = cut_lineage(df)
+    return _cross_validated(training_rows(df, features), make, label, fold, keys, resample, parallelism)
+
+
+def _cross_validated(data: DataFrame, make: Callable[[DataFrame], Estimator], label: str, fold: str, keys: Sequence[str],
+                     resample: Callable[[DataFrame], DataFrame] | None, parallelism: int) -> tuple[DataFrame, DataFrame]:
+    """``cross_validate`` on rows that are cut from their lineage."""
     folds = [r[0] for r in data.select(fold).distinct().orderBy(fold).collect()]  # k values
 
     def scored_fold(f) -> DataFrame:
@@ -147,6 +166,7 @@ def cross_validate(df: DataFrame, make: Callable[[DataFrame], Estimator], label:
     oof = parts[0]
     for p in parts[1:]:
         oof = oof.unionByName(p)
+    oof = cut_lineage(oof)  # scored once, for all metrics
     per_fold = E.ranking_metrics(oof, "true_label", "probability", groups=["fold"]).join(
         oof.groupBy("fold").agg(F.avg((F.col("true_label") == F.col("predicted_label")).cast("double")).alias("accuracy"),
                                 F.count(F.lit(1)).alias("n")), "fold", "right")
@@ -182,8 +202,8 @@ def train_all(spark: SparkSession, train: DataFrame, label: str, keys: Sequence[
     """M4: fit LR, RF and GBT on the whole training set, cross-validate each on the
     fold column, and return the fitted models with one metadata row per model
     (model, cv_auc_mean, cv_auc_std, train_auc, train_avg_precision, n_train).
-    The models go side by side, each with ``parallelism`` folds at once (1: one fit after another)."""
-    data = cut_lineage(balanced_weight(positive_weight(train, label, "pos_weight"), label, "weight"))
+    The models go side by side, each with ``parallelism`` folds at once beside the fit on all rows (1: one fit after another)."""
+    data = training_rows(balanced_weight(positive_weight(train, label, "pos_weight"), label, "weight"), features)
     makers = {
         # the penalty scale of M1 is the weight total of the rows being fitted (one number)
         "logistic_regression": lambda d: logistic(features, label, "weight", d.agg(F.sum("weight")).collect()[0][0]),
@@ -193,12 +213,15 @@ def train_all(spark: SparkSession, train: DataFrame, label: str, keys: Sequence[
     resample = resampler(label, keys, features) if use_smote else None
     fit_rows = resample(data) if resample else data
 
-    def one(name: str, make: Callable[[DataFrame], Estimator]) -> tuple[PipelineModel, DataFrame]:
+    def on_all(make: Callable[[DataFrame], Estimator]) -> tuple[PipelineModel, DataFrame]:
         model = Pipeline(stages=[make(fit_rows)]).fit(fit_rows)
-        scored = score(model, data)
+        return model, cut_lineage(score(model, data).select(col(label), "p1"))
+
+    def one(name: str, make: Callable[[DataFrame], Estimator]) -> tuple[PipelineModel, DataFrame]:
+        (model, scored), (oof, per_fold) = concurrently(spark, [
+            partial(on_all, make), partial(_cross_validated, data, make, label, fold, keys, resample, parallelism)], 1 if parallelism == 1 else 2)
         tr = E.ranking_metrics(scored, label, "p1").select(F.col("auc").alias("train_auc"),
                                                            F.col("avg_precision").alias("train_avg_precision"))
-        oof, per_fold = cross_validate(data, make, label, fold, keys, features, resample, parallelism)
         summ = cv_summary(oof, per_fold, name)
         from tidewatch.operators.columns import attach_row
         return model, (attach_row(attach_row(summ, tr), data.agg(F.count(F.lit(1)).alias("n_train")))
