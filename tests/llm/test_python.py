@@ -187,6 +187,37 @@ def test_open_pairs_and_rare_words_are_asked_in_packed_rows(spark, monkeypatch):
         assert abs(r.score - want[i].score) / r.n_tokens < 0.1
 
 
+def test_shares_of_the_documents_ask_one_after_another(spark, monkeypatch, tmp_path):
+    """op1: the questions of all documents never lie on disk at once, nor a second table of words; repeated and null keys keep their rows."""
+    few = few_words(spark)
+    again = few.where("doc_id < 20").union(few.where("doc_id >= 180").selectExpr("cast(null as long) as doc_id", "text"))
+    few.union(again).write.parquet(str(tmp_path / "docs"))
+    df = spark.read.parquet(str(tmp_path / "docs"))
+    train = df.where("doc_id % 3 <> 1")
+    documents, labels, answers, written = [], [], lm_scoring.answers, lm_scoring.written
+
+    def asked(rows, *args):
+        documents.append(rows.where("kind = 0").count())
+        return answers(rows, *args)
+
+    def named(rows, label):
+        labels.append(label)
+        return written(rows, label)
+
+    monkeypatch.setattr(lm_scoring, "answers", asked)
+    monkeypatch.setattr(lm_scoring, "written", named)
+    monkeypatch.setattr(lm_scoring, "FREQUENT", 0.0033)
+    ask = lambda rows: [tuple(r) for r in lm_scoring.score_texts(rows, train, max_bytes=64 << 10, rarest_pair=1).collect()]
+    order = lambda r: (r[0] is not None, r[0] or 0, r[4])
+    got = sorted(ask(df), key=order)
+    assert sum(documents) == 240 and max(documents) < 180 and "lm-words" not in labels
+    documents.clear()
+    want = sorted(ask(df.union(df.limit(0))), key=order)
+    assert documents == [240] and len(got) == len(want) == 240
+    for a, b in zip(got, want, strict=True):
+        assert a[:4] == b[:4] and math.isclose(a[4], b[4], rel_tol=1e-9) and math.isclose(a[5], b[5], rel_tol=1e-9)
+
+
 def test_lm_without_training_or_documents(docs, empty):
     assert lm_scoring.score_texts(empty, docs).collect() == []
     rows = lm_scoring.score_texts(docs, empty).collect()

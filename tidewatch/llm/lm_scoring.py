@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import written
+from tidewatch.llm.common import one_row_each, written
 
 LOG_BASE = 1.25          # of quantised counts
 WEIGHT_BASE = 1.05       # of quantised weights
@@ -42,6 +42,7 @@ ROW_KEYS = 1 << 12       # keys in a row of counts, at most
 BATCH_BYTES = 16 << 20   # that Python workers get at once
 SLOT_CHUNKS = 4          # chunks whose counts a task holds at once to answer questions
 SLOTS = 12               # slots of such chunks in a task, about
+PASSES = 2               # shares of the documents that ask one after another, so that the disk holds the questions of one
 KEY_BYTES = {1: 8, 2: 6}  # of a word's hash and of a pair's, within its slot, in questions
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 U = np.uint64
@@ -652,12 +653,15 @@ def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", text:
     training rows all counts are 0. Words too rare for the broadcast table of exact
     counts meet their counts in a join, one row for each document and rare word; pairs
     of words of which a filter leaves something open meet the model's tables likewise. Where
-    only counts of pairs are open, documents ask for these and for rare words in packed rows.
+    only counts of pairs are open, documents ask for these and for rare words in packed rows, in
+    PASSES shares whose scores are written before the next share asks.
     The model has the pairs seen at least ``rarest_pair`` times.
     """
     spark = docs.sparkSession
     model, exact, rare_pairs, rare_weights, counts, chunks = fitted(training.select(F.col(text).alias("text")), max_bytes, rarest_pair)
-    exact = written(exact, "lm-words")
+    pairs_alone = model.rest == {2}
+    if not pairs_alone:  # packed questions meet the counts by chunk
+        exact = written(exact, "lm-words")
     at_least = max(1.0, FREQUENT * model.tokens)
     often = exact.where(F.col("c") >= at_least).toPandas()
     often_h, order = np.unique(often["h"].to_numpy(np.int64).view(U), return_index=True)
@@ -668,7 +672,6 @@ def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", text:
 
     columns = {"row": pa.int64(), "key": pa.string(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(),
                "score": pa.float64(), "h": pa.int64(), "tf": pa.int32()}
-    pairs_alone = model.rest == {2}
     if model.rest:
         columns |= {"terms": pa.int64(), "b": pa.int64()}
     if pairs_alone:
@@ -735,23 +738,34 @@ def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", text:
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("string").alias("key"), F.col(text).cast("binary").alias("text"))
     names = {pa.int64(): "long", pa.int32(): "int", pa.float64(): "double", pa.string(): "string", pa.binary(): "binary"}
-    found = rows.mapInArrow(score, ", ".join(f"{c} {names[t]}" for c, t in columns.items()))
+    schema = ", ".join(f"{c} {names[t]}" for c, t in columns.items())
+
+    def by_row(parts: DataFrame) -> DataFrame:
+        out = parts.groupBy("row").agg(
+            F.max("key").alias("_key"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"),
+            F.sum("base").alias("base_score"), F.sum("score").alias("score"))
+        return out.select(F.col("_key").cast(kind).alias(key), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+    if pairs_alone:
+        # a plan that may give other rows when it runs again is asked at once
+        passes, out = PASSES if one_row_each(docs) else 1, None
+        for i in range(passes):
+            own = rows.where(F.pmod(F.xxhash64("key", "text"), F.lit(passes)) == i) if passes > 1 else rows
+            scored = answers(own.mapInArrow(score, schema), counts, {1: at_least, 2: model.least[2]}, model, chunks)
+            scored = written_alone(by_row(scored), "lm-scores")
+            out = scored if out is None else out.unionByName(scored)
+        return out
+    found = rows.mapInArrow(score, schema)
     rare = exact.where(F.col("c") < at_least)
     c = F.coalesce(F.col("c"), F.lit(0))
-    if pairs_alone:
-        parts = answers(found, counts, {1: at_least, 2: model.least[2]}, model, chunks)
-    else:
-        open_terms = None
-        if model.rest:
-            found = written(found, "lm-found")
-            asked = F.col("terms").isNotNull()
-            open_terms = rare_terms(found.where(asked), exact, rare_pairs, rare_weights, model)
-            found = found.where(~asked).select("row", "key", "n_tokens", "n_known", "base", "score", "h", "tf")
-        parts = found.join(rare, "h", "left").select("row", "key", "n_tokens", (F.col("n_known") + F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("n_known"),
-                                                     (F.col("base") + F.col("tf") * F.log10((c + 1) / F.lit(float(below)))).alias("base"), "score")
-        if open_terms is not None:
-            parts = parts.unionByName(open_terms, allowMissingColumns=True)
-    out = parts.groupBy("row").agg(
-        F.max("key").alias("_key"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"),
-        F.sum("base").alias("base_score"), F.sum("score").alias("score"))
-    return out.select(F.col("_key").cast(kind).alias(key), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    open_terms = None
+    if model.rest:
+        found = written(found, "lm-found")
+        asked = F.col("terms").isNotNull()
+        open_terms = rare_terms(found.where(asked), exact, rare_pairs, rare_weights, model)
+        found = found.where(~asked).select("row", "key", "n_tokens", "n_known", "base", "score", "h", "tf")
+    parts = found.join(rare, "h", "left").select("row", "key", "n_tokens", (F.col("n_known") + F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("n_known"),
+                                                 (F.col("base") + F.col("tf") * F.log10((c + 1) / F.lit(float(below)))).alias("base"), "score")
+    if open_terms is not None:
+        parts = parts.unionByName(open_terms, allowMissingColumns=True)
+    return by_row(parts)
