@@ -1,9 +1,12 @@
 import math
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tests.llm import brute
@@ -218,6 +221,35 @@ def test_shares_of_the_documents_ask_one_after_another(spark, monkeypatch, tmp_p
         assert a[:4] == b[:4] and math.isclose(a[4], b[4], rel_tol=1e-9) and math.isclose(a[5], b[5], rel_tol=1e-9)
 
 
+def test_words_are_hashed_together_as_one_by_one():
+    """op1: XXH64 of words of all lengths, in all white space, without a Python object for each word."""
+    rnd = np.random.default_rng(5)
+    texts = [None, b"", b" \t\n", b" a", b"B b ", "\u00e9migr\u00e9 \u6f22\u5b57\u00a0x".encode(), *[b"Qz" * k + b"\x00 " for k in range(40)],
+             *[bytes(rnd.choice(np.frombuffer(b"aZ09 \t\n\x0b\x0c\r\x1c\x00\x85\xc3\xa9bcdefghijk", np.uint8), n)) for n in (1, 7, 60, 500, 5000)]]
+    h, n = lm_scoring.hashed(texts)
+    words = [[xxhash.xxh64_intdigest(w.lower()) for w in (t or b"").split()] + [lm_scoring.END] for t in texts]
+    assert n.tolist() == [len(w) for w in words] and h.tolist() == [x for w in words for x in w]
+    assert [len(x) for x in lm_scoring.hashed([])] == [0, 0]
+    tracemalloc.start()
+    lm_scoring.hashed([b" ".join(b"%d" % i for i in range(200_000))])
+    assert tracemalloc.get_traced_memory()[1] < 20e6  # as bytes and cached hashes: over 30 MB
+    tracemalloc.stop()
+
+
+def test_batches_that_tasks_send_are_small(spark, monkeypatch):
+    """op1: the JVM holds a whole batch outside its heap; the setting for scans ends with the call."""
+    monkeypatch.setattr(lm_scoring, "SENT_BYTES", 1000)
+    batch = pa.RecordBatch.from_pydict({"a": list(range(5000)), "b": [b"x" * (i % 7) for i in range(5000)]})
+    parts = list(lm_scoring.sent(batch))
+    assert len(parts) > 50 and max(x.nbytes for x in parts) < 2000 and pa.Table.from_batches(parts).combine_chunks().to_batches()[0].equals(batch)
+    assert list(lm_scoring.sent(batch.slice(0, 0))) == []
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(name)
+    df = few_words(spark)
+    lm_scoring.score_texts(df, df, max_bytes=64 << 10, rarest_pair=1)
+    assert spark.conf.get(name) == before
+
+
 def test_lm_without_training_or_documents(docs, empty):
     assert lm_scoring.score_texts(empty, docs).collect() == []
     rows = lm_scoring.score_texts(docs, empty).collect()

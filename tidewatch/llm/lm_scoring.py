@@ -17,13 +17,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import one_row_each, written
@@ -34,12 +35,13 @@ BITS_PER_ENTRY, PROBES = 12, 7
 MAX_FILTER_BYTES = 64 << 20
 FREQUENT = 2e-6          # words with at least this share of all tokens (at most 500,000) have their counts broadcast
 TOKENS = 150_000         # tokens that a task works on at once
-WORDS_HELD = 150_000     # words whose hashes a task remembers, and what one batch adds
 REMEMBERED = 400_000     # words whose quanta a task remembers
 HELD = 1_000_000         # keys that a task holds before it sums and sends them
 CHUNK_KEYS = 1 << 18     # keys of a chunk of counts, about
 ROW_KEYS = 1 << 12       # keys in a row of counts, at most
-BATCH_BYTES = 16 << 20   # that Python workers get at once
+BATCH_BYTES = 2 << 20    # that Python workers get at once; what they work out of it takes several times as much
+SENT_BYTES = 1 << 20     # that they send at once, about, as the JVM holds a whole batch outside its heap
+SCANNED_ROWS = 128       # that a scan holds at once, as rows of counts have some 64 KB
 SLOT_CHUNKS = 4          # chunks whose counts a task holds at once to answer questions
 SLOTS = 12               # slots of such chunks in a task, about
 PASSES = 2               # shares of the documents that ask one after another, so that the disk holds the questions of one
@@ -48,27 +50,58 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 U = np.uint64
 
 
-class Hashes(dict):
-    """Word to hash; emptied when it gets large."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
+END = xxhash.xxh64_intdigest(b"")
+_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+_P1, _P2, _P3, _P4, _P5 = map(U, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
 
-END = xxhash.xxh64_intdigest(b"")
+def rotated(x: np.ndarray, by: int) -> np.ndarray:
+    return x << U(by) | x >> U(64 - by)
 
 
-def hashed(texts: list[bytes | None], cache: Hashes) -> tuple[np.ndarray, np.ndarray]:
+def xxh64(data: bytes, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """XXH64 (seed 0) of the slices of ``data``: those under 32 bytes together, step by step, longer ones by the library."""
+    padded = data + bytes(8)
+    at = lambda kind: np.ndarray(len(padded) - 7, kind, padded, strides=(1,))  # noqa: E731  (a number at each byte)
+    h = _P5 + size.astype(U)
+    with np.errstate(over="ignore"):
+        for k in range(3):
+            own = np.flatnonzero(size >= 8 * k + 8)
+            lane = at("<u8")[start[own] + 8 * k]
+            h[own] = rotated(h[own] ^ rotated(lane * _P2, 31) * _P1, 27) * _P1 + _P4
+        own = np.flatnonzero(size & 4)
+        h[own] = rotated(h[own] ^ at("<u4")[start[own] + (size[own] & -8)].astype(U) * _P1, 23) * _P2 + _P3
+        for k in range(3):
+            own = np.flatnonzero((size & 3) > k)
+            h[own] = rotated(h[own] ^ at("u1")[start[own] + (size[own] & -4) + k].astype(U) * _P5, 11) * _P1
+        h = (h ^ h >> U(33)) * _P2
+        h = (h ^ h >> U(29)) * _P3
+        h ^= h >> U(32)
+    for i in np.flatnonzero(size >= 32).tolist():
+        h[i] = xxhash.xxh64_intdigest(data[start[i]:start[i] + size[i]])
+    return h
+
+
+def hashed(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, END after each text (in UTF-8), and the texts' token counts."""
-    if len(cache) > WORDS_HELD:
-        cache.clear()
-    flat, lengths, end = [], np.zeros(len(texts), np.int64), np.array([END], U)
-    for i, t in enumerate(texts):
-        words = t.translate(_LOWER).split() if t else []
-        lengths[i] = len(words) + 1
-        flat += (np.fromiter(map(cache.__getitem__, words), U, len(words)), end)
-    return (np.concatenate(flat) if flat else np.zeros(0, U)), lengths
+    data = b" ".join([t or b"" for t in texts]).translate(_LOWER)
+    inside = np.concatenate([[False], ~_SPACE[np.frombuffer(data, np.uint8)], [False]])
+    start, end = np.flatnonzero(inside[1:] != inside[:-1]).reshape(-1, 2).T
+    ends = np.cumsum([len(t or b"") + 1 for t in texts], dtype=np.int64)  # where the next text begins
+    until = np.searchsorted(start, ends)
+    lengths = np.diff(until, prepend=0) + 1
+    last = np.cumsum(lengths) - 1
+    h = np.full(len(start) + len(texts), END, U)
+    word = np.ones(len(h), bool)
+    word[last] = False
+    h[word] = xxh64(data, start, end - start)
+    return h, lengths
+
+
+def sent(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of some SENT_BYTES."""
+    rows = max(1, batch.num_rows * SENT_BYTES // max(1, batch.nbytes))
+    return (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
 
 
 def batches_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -140,15 +173,20 @@ def short(keys: np.ndarray, kind: int) -> np.ndarray:
     return keys if KEY_BYTES[kind] == 8 else mix(keys, 3) & U((1 << 8 * KEY_BYTES[kind]) - 1)
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def written_alone(df: DataFrame, label: str) -> DataFrame:
     """``written``, with the shuffle files behind the table removed at once, not when the driver next collects its garbage."""
-    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = conf.get(name)
-    conf.set(name, "true")
-    try:
+    with setting(df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
         return written(df, label)
-    finally:
-        conf.set(name, before)
 
 
 def tables(docs: DataFrame, chunks: int, rarest_pair: int) -> DataFrame:
@@ -158,7 +196,7 @@ def tables(docs: DataFrame, chunks: int, rarest_pair: int) -> DataFrame:
     numbers are kept. ``docs`` has text. Tasks sum what they read before it moves.
     """
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, held, n = Hashes(), {1: [], 2: []}, 0
+        held, n = {1: [], 2: []}, 0
 
         def out() -> pa.RecordBatch:
             rows = []
@@ -172,16 +210,16 @@ def tables(docs: DataFrame, chunks: int, rarest_pair: int) -> DataFrame:
 
         for batch in parts:
             for part in batches_of(batch):
-                h, _ = hashed(part.column("text").to_pylist(), cache)
+                h, _ = hashed(part.column("text").to_pylist())
                 for kind, keys in ((1, h), (2, pair_keys(h))):
                     k, c = np.unique(keys, return_counts=True)
                     held[kind].append((k, c.astype(np.int32)))
                     n += len(k)
                 if n > HELD:
-                    yield out()
+                    yield from sent(out())
                     n = 0
         if n:
-            yield out()
+            yield from sent(out())
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         kind = int(pdf["kind"].iloc[0])
@@ -573,29 +611,40 @@ def answers(asked: DataFrame, counts: DataFrame, below: dict[int, float], model:
     single = single_of(np.arange(256), least[1], tokens, types)
     gamma = WEIGHT_BASE ** -np.arange(256.0)
 
-    def added(kind: int, c: np.ndarray, times: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """What counts and terms add to n_known, base and score."""
-        nothing = np.zeros(len(c))
+    def seen_of(c: np.ndarray) -> np.ndarray:
+        return np.where(c > 0, np.maximum(value(quantised(np.maximum(c, 1), 1.0), 1.0) - discount, 0), 0.0)
+
+    seen = seen_of(np.arange(min(max(below[2], 1), 1 << 16)))
+
+    def added(kind: int, c: np.ndarray, times: np.ndarray, terms: np.ndarray) -> np.ndarray:
+        """What counts and terms add: words to n_known and base, pairs to score."""
         if kind == 1:
-            return np.where(c > 0, times, 0), times * np.log10((c + 1) / total), nothing
-        seen = np.where(c > 0, np.maximum(value(quantised(np.maximum(c, 1), 1.0), 1.0) - discount, 0), 0.0)
-        byte = lambda i: (terms >> U(8 * i) & U(255)).astype(np.int64)
-        return nothing, nothing, times * np.log10(np.minimum(seen * share[byte(2)] + gamma[byte(0)] * single[byte(1)], 1.0))
+            return np.stack([np.where(c > 0, times, 0), times * np.log10((c + 1) / total)])
+        byte = lambda i: (terms >> U(8 * i)).astype(np.uint8)
+        paired = seen[c] if len(seen) == below[2] else seen_of(c)
+        return (times * np.log10(np.minimum(paired * share[byte(2)] + gamma[byte(0)] * single[byte(1)], 1.0)))[None]
 
     types_out = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 
     def answer(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, keys, c, parts_of_table = None, None, None, []
-        rows, sums, n = [], [], 0
-
-        def compact() -> None:
-            distinct, at = np.unique(np.concatenate(rows), return_inverse=True)
-            rows[:], sums[:] = [distinct], [np.stack([np.bincount(at, x, len(distinct)) for x in np.concatenate(sums, axis=1)])]
-
-        def out() -> pa.RecordBatch:
-            row, (known, base, score) = rows.pop(), sums.pop()
-            values = row, pa.nulls(len(row), pa.string()), np.zeros(len(row), np.int64), np.rint(known).astype(np.int64), base, score
-            return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(values, types_out, strict=True)], names=columns)
+        held, n = {1: ([], []), 2: ([], [])}, 0
+
+        def compact() -> int:
+            for rows, sums in held.values():
+                if len(rows) > 1:
+                    distinct, at = np.unique(np.concatenate(rows), return_inverse=True)
+                    rows[:], sums[:] = [distinct], [np.stack([np.bincount(at, np.concatenate([x[i] for x in sums]), len(distinct)) for i in range(len(sums[0]))])]
+            return sum(len(rows[0]) for rows, _ in held.values() if rows)
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for kind, (rows, sums) in held.items():
+                if rows:
+                    row, own = rows.pop(), sums.pop()
+                    none = np.zeros(len(row))
+                    known, base, score = (*own, none) if kind == 1 else (none, none, *own)
+                    values = row, pa.nulls(len(row), pa.string()), none.astype(np.int64), np.rint(known).astype(np.int64), base, score
+                    yield from sent(pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(values, types_out, strict=True)], names=columns))
 
         for batch in parts:
             kind, slot, part = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("kind", "slot", "part"))
@@ -623,18 +672,17 @@ def answers(asked: DataFrame, counts: DataFrame, below: dict[int, float], model:
                 at[order] = np.searchsorted(keys, asked_keys[order])
                 at = np.minimum(at, max(0, len(keys) - 1))
                 found = np.where(keys[at] == asked_keys, c[at], 0) if len(keys) else np.zeros(len(at), np.int64)
-                rows.append(np.repeat(part[a:b], lengths) + docs.astype(np.int64))
-                sums.append(np.stack(added(k, found, times.astype(np.int64), terms)))
+                held[k][0].append(np.repeat(part[a:b], lengths) + docs.astype(np.int64))
+                held[k][1].append(added(k, found, times.astype(np.int64), terms))
                 n += len(found)
                 if n > HELD:
-                    compact()
-                    n = len(rows[0])
+                    n = compact()
                     if 2 * n > HELD:
-                        yield out()
+                        yield from out()
                         n = 0
         if n:
             compact()
-            yield out()
+            yield from out()
 
     names = "slot int, kind int, part long, keys binary, docs binary, times binary, terms binary"
     both = asked.unionByName(counts.select("kind", "chunk", "keys", "counts").mapInArrow(table, names), allowMissingColumns=True)
@@ -657,6 +705,12 @@ def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", text:
     PASSES shares whose scores are written before the next share asks.
     The model has the pairs seen at least ``rarest_pair`` times.
     """
+    with setting(docs.sparkSession, "spark.sql.parquet.columnarReaderBatchSize", str(SCANNED_ROWS)):
+        return scored_texts(docs, training, key, text, max_bytes, rarest_pair)
+
+
+def scored_texts(docs: DataFrame, training: DataFrame, key: str, text: str, max_bytes: int, rarest_pair: int) -> DataFrame:
+    """What ``score_texts`` returns."""
     spark = docs.sparkSession
     model, exact, rare_pairs, rare_weights, counts, chunks = fitted(training.select(F.col(text).alias("text")), max_bytes, rarest_pair)
     pairs_alone = model.rest == {2}
@@ -679,7 +733,7 @@ def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", text:
 
     def score(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, frequent, count = shared.value
-        cache, known = Hashes(), Known()
+        known = Known()
 
         def out(n: int, **values) -> pa.RecordBatch:
             """A row of zeros for each of n, but for the given columns; a null key, null terms and null blobs."""
@@ -690,7 +744,7 @@ def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", text:
         for batch in parts:
             for part in batches_of(batch):
                 row = part.column("row").to_numpy(zero_copy_only=False)
-                h, n = hashed(part.column("text").to_pylist(), cache)
+                h, n = hashed(part.column("text").to_pylist())
                 first = np.concatenate([[0], np.cumsum(n)[:-1]])
                 words, at = np.unique(h, return_inverse=True)
                 p, ask, before, terms, pairs, place_of = m.log10(h, words, at, known)
