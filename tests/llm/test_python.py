@@ -230,8 +230,9 @@ def test_words_are_hashed_together_as_one_by_one():
     words = [[xxhash.xxh64_intdigest(w.lower()) for w in (t or b"").split()] + [lm_scoring.END] for t in texts]
     assert n.tolist() == [len(w) for w in words] and h.tolist() == [x for w in words for x in w]
     assert [len(x) for x in lm_scoring.hashed([])] == [0, 0]
+    long = [b" ".join(b"%d" % i for i in range(200_000))]
     tracemalloc.start()
-    lm_scoring.hashed([b" ".join(b"%d" % i for i in range(200_000))])
+    lm_scoring.hashed(long)
     assert tracemalloc.get_traced_memory()[1] < 20e6  # as bytes and cached hashes: over 30 MB
     tracemalloc.stop()
 
