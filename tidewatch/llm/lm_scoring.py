@@ -8,9 +8,9 @@ the same way, quantised, for each context.
 
 The broadcast filters have at most ``max_bytes``. They hold the frequencies from a
 least count on, the smallest power of two with which all entries fit. What is rarer
-stays in tables, quantised the same way, and pairs of tokens that need it meet it in
-joins, or, where pairs alone are open, in packed questions that move once to the chunks
-of the tables: the model grows with the corpus, its broadcast part does not.
+stays in tables, quantised the same way, and parts of the documents ask for it in packed
+questions that move once to the chunks of the tables, whose packed answers move back to
+the part: the model grows with the corpus, its broadcast part does not.
 """
 
 from __future__ import annotations
@@ -42,10 +42,14 @@ ROW_KEYS = 1 << 12       # keys in a row of counts, at most
 BATCH_BYTES = 2 << 20    # that Python workers get at once; what they work out of it takes several times as much
 SENT_BYTES = 1 << 20     # that they send at once, about, as the JVM holds a whole batch outside its heap
 SCANNED_ROWS = 128       # that a scan holds at once, as rows of counts have some 64 KB
-SLOT_CHUNKS = 4          # chunks whose counts a task holds at once to answer questions
-SLOTS = 12               # slots of such chunks in a task, about
-PASSES = 2               # shares of the documents that ask one after another, so that the disk holds the questions of one
-KEY_BYTES = {1: 8, 2: 6}  # of a word's hash and of a pair's, within its slot, in questions
+SLOTS = 128              # slots of chunks whose counts a task holds at once to answer questions, at least, of SLOT_CHUNKS
+SLOT_CHUNKS = 4, 16      # chunks of a slot, at least and at most
+TASK_CHUNKS = 48         # chunks whose questions a task answers, about
+PASSES = 3               # shares of the documents that ask one after another, so that the disk holds the questions of one
+ASKED = 1 << 18          # questions of a part of the documents, about, and documents, at most
+PIECE = 1 << 15          # entries of a row that tells what a part's answers are for
+KEY_BYTES = {1: 8, 2: 6, 3: 4}  # of a word's hash, a pair's, within its slot, and a context's, in questions
+ANSWER_BYTES = {1: 4, 2: 1, 3: 1}  # of a word's count and a pair's and a weight's quanta
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 U = np.uint64
 
@@ -114,7 +118,10 @@ def batches_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 def pair_keys(h: np.ndarray) -> np.ndarray:
     """Context and word in one key, 32 bits each; a text begins after END."""
-    before = np.concatenate([np.array([END], U), h[:-1]]) if len(h) else h
+    return pair_key(np.concatenate([np.array([END], U), h[:-1]]) if len(h) else h, h)
+
+
+def pair_key(before: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (before >> U(32) << U(32)) | (h & U(0xFFFFFFFF))
 
 
@@ -156,21 +163,39 @@ def joined(blobs: pd.Series) -> np.ndarray:
 
 def packed(values: np.ndarray, width: int) -> bytes:
     """The low ``width`` bytes of each value: first all lowest bytes, then the next ones (alike bytes compress)."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+    size = 4 if width <= 4 else 8
+    return np.ascontiguousarray(values.astype(f"<u{size}").view(np.uint8).reshape(-1, size)[:, :width].T).tobytes()
 
 
 def unpacked(blobs: list[bytes], width: int) -> np.ndarray:
-    out, at = np.zeros((sum(map(len, blobs)) // width, 8), np.uint8), 0
+    size = 4 if width <= 4 else 8
+    out, at = np.zeros((sum(map(len, blobs)) // width, size), np.uint8), 0
     for b in blobs:
         n = len(b) // width
         out[at:at + n, :width] = np.frombuffer(b, np.uint8).reshape(width, n).T
         at += n
-    return out.reshape(-1).view("<u8")
+    return out.reshape(-1).view(f"<u{size}")
 
 
 def short(keys: np.ndarray, kind: int) -> np.ndarray:
-    """What is left of keys in KEY_BYTES: words as they are, of pairs (32 bits of each word) a hash that doesn't depend on the chunk's."""
-    return keys if KEY_BYTES[kind] == 8 else mix(keys, 3) & U((1 << 8 * KEY_BYTES[kind]) - 1)
+    """What is left of keys in KEY_BYTES: words and contexts as they are, of pairs (32 bits of each word) a hash that doesn't depend on the chunk's."""
+    return mix(keys, 3) & U((1 << 8 * KEY_BYTES[kind]) - 1) if kind == 2 else keys
+
+
+def record(columns: list[np.ndarray], widths: list[int]) -> bytes:
+    """The columns packed and compressed (Zstandard), behind their length; small numbers take less than what shuffles make of them."""
+    data = b"".join(packed(c, w) for c, w in zip(columns, widths, strict=True))
+    return len(data).to_bytes(4, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def fields(records: list[bytes], widths: list[int]) -> list[np.ndarray]:
+    """The columns of all records."""
+    blobs = [pa.decompress(r[4:], int.from_bytes(r[:4], "little"), "zstd", asbytes=True) for r in records]
+    out, at, each = [], 0, [len(b) // sum(widths) for b in blobs]
+    for w in widths:
+        out.append(unpacked([b[at * n:(at + w) * n] for b, n in zip(blobs, each, strict=True)], w))
+        at += w
+    return out
 
 
 @contextmanager
@@ -390,31 +415,26 @@ class Model:
         """Quantised counts of words and weights of them as contexts."""
         return np.stack([self.words.read(words), self.weights.read(words >> U(32))])
 
-    def log10(self, h: np.ndarray, words: np.ndarray, at: np.ndarray, known: Known) -> tuple[np.ndarray, ...]:
-        """log10 probability of each token after the one before it; ``words``, ``at``: the distinct hashes and their places.
+    def log10(self, words: np.ndarray, to: np.ndarray, of: np.ndarray, known: Known) -> tuple[np.ndarray, ...]:
+        """log10 probability of the words ``of`` after the words ``to``, places in ``words``, which are distinct hashes.
 
-        Also the tokens for which the tables have to be asked, the places of the words before them, and
-        what the filters say of them: four quanta of 8 bits, of the pair, the word before, the word and the weight;
-        then the distinct pairs, and every token's place in them.
+        Also the pairs for which the tables have to be asked, and what the filters say of them: four quanta of 8 bits, of the
+        pair, the word before, the word and the weight; then the words whose counts and those whose weights are open.
         """
         qw, qg = known(words, self.quanta)
         single = single_of(qw, self.least[1], self.tokens, self.types)
         share = np.where(qw > 0, LOG_BASE ** -qw.astype(float) / self.least[1], 0.0)
         gamma = WEIGHT_BASE ** -qg.astype(float)
-        pairs, place = np.unique(pair_keys(h), return_inverse=True)
-        q = self.pairs.read(pairs)[place]
+        q = self.pairs.read(pair_key(words[to], words[of]))
         seen = np.maximum(value(np.arange(q.max(initial=0) + 1), self.least[2]) - self.discount, 0)[q]
-        before = np.concatenate([[np.searchsorted(words, U(END))], at[:-1]])
-        p = np.log10(np.minimum(seen * share[before] + gamma[before] * single[at], 1.0))
-        if not self.rest:
-            return p, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), pairs, place
+        p = np.log10(np.minimum(seen * share[to] + gamma[to] * single[of], 1.0))
         rare = {1: qw == 0, 2: q == 0, 3: qg == 0}
         rare = {kind: r if kind in self.rest else np.zeros_like(r) for kind, r in rare.items()}
         if 1 not in self.rest:  # a filter of all words misses none, and pairs with words it doesn't hold weren't seen
-            rare[2] &= (qw[at] > 0) & (qw[before] > 0)
-        ask = np.flatnonzero(rare[1][at] | rare[1][before] | rare[2] | rare[3][before])
-        to, of = before[ask], at[ask]
-        return p, ask, to, (((q[ask] << 8 | qw[to]) << 8 | qw[of]) << 8 | qg[to]), pairs, place
+            rare[2] &= (qw[of] > 0) & (qw[to] > 0)
+        ask = np.flatnonzero(rare[1][of] | rare[1][to] | rare[2] | rare[3][to])
+        to, of = to[ask], of[ask]
+        return p, ask, ((q[ask] << 8 | qw[to]) << 8 | qw[of]) << 8 | qg[to], rare[1], rare[3]
 
 
 def train(docs: DataFrame, max_bytes: int = MAX_FILTER_BYTES, rarest_pair: int = 2) -> tuple[Model, DataFrame]:
@@ -523,172 +543,224 @@ def fitted(docs: DataFrame, max_bytes: int, rarest_pair: int) -> tuple[Model, Da
             left.where(F.col("n") < least[3]).select("ctx", "q"), counts, chunks)
 
 
-def rare_terms(asked: DataFrame, exact: DataFrame, rare_pairs: DataFrame, rare_weights: DataFrame, model: Model) -> DataFrame:
-    """(row, score): log10 probabilities of the tokens that the filters left open, summed.
+QUESTION = {"slot": pa.int32(), "kind": pa.int32(), "part": pa.int64(), "first": pa.int64(), "data": pa.binary()}
+DOCUMENT = {"key": pa.string(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "score": pa.float64()}
+NAMES = {pa.int64(): "long", pa.int32(): "int", pa.float64(): "double", pa.string(): "string", pa.binary(): "binary"}
+#: What is in ``data`` beside questions and answers (kinds 1 to 3): which words documents count, which pairs they have, what
+#: is known of these, and the questions for the counts and weights of their words.
+COUNTED, PAIRED, TERMS, OPEN = 4, 5, 6, 7
+FIELDS = {COUNTED: [4, 4, 4], PAIRED: [4, 4, 4], TERMS: [4], OPEN: [4, 4, 4]}
+
+
+def schema_of(columns: dict[str, pa.DataType]) -> str:
+    return ", ".join(f"{c} {NAMES[t]}" for c, t in columns.items())
+
+
+def rows_of(n: int, columns: dict[str, pa.DataType], **values) -> pa.RecordBatch:
+    """n rows; columns without values are null."""
+    return pa.RecordBatch.from_arrays([pa.array(values[c], t) if isinstance(values.get(c), (np.ndarray, list)) else values.get(c, pa.nulls(n, t))
+                                       for c, t in columns.items()], names=list(columns))
+
+
+def slot_chunks(chunks: int) -> int:
+    """Chunks of a slot: slots grow with the model to their full size first, then they become more."""
+    return min(SLOT_CHUNKS[1], max(SLOT_CHUNKS[0], chunks // SLOTS))
 
-    ``asked`` has row, terms (how often, in 31 bits, then the quanta as ``Model.log10`` packs them) and the
-    words h and b before it. Every distinct pair of words meets the tables once; a key of a known value is replaced by the pair's, so frequent words don't gather.
+
+def slot_of(keys: np.ndarray, chunks: int) -> np.ndarray:
+    return (chunk_of(keys, chunks) // U(slot_chunks(chunks))).astype(np.int32)
+
+
+class Part:
+    """What a part of the documents asks the tables, and what the answers are for, until it is sent.
+
+    Every key that a batch needs is asked once. A question's number is its place by slot, so answers need no keys.
     """
-    tf = F.shiftrightunsigned("terms", 32)
-    quantum_of = {name: F.shiftright("terms", 8 * i).bitwiseAND(F.lit(255)) for i, name in enumerate(("gamma", "single", "share", "seen"))}
-
-    def least_value(q, least):
-        return F.when(q > 0, F.lit(float(least)) * F.pow(F.lit(LOG_BASE), q - 1.0)).otherwise(F.lit(0.0))
-
-    known = {
-        "gamma": F.pow(F.lit(WEIGHT_BASE), -quantum_of["gamma"].cast("double")),
-        "single": (least_value(quantum_of["single"], model.least[1]) + 1) / F.lit(float(model.tokens + model.types + 1)),
-        "share": F.when(quantum_of["share"] > 0, F.pow(F.lit(LOG_BASE), -quantum_of["share"].cast("double")) / F.lit(float(model.least[1]))).otherwise(F.lit(0.0)),
-        "seen": F.greatest(least_value(quantum_of["seen"], model.least[2]) - F.lit(model.discount), F.lit(0.0))}
-    kinds = {"single": 1, "share": 1, "gamma": 3, "seen": 2}
-    unknown = {name: (quantum_of[name] == 0) if kind in model.rest else F.lit(False) for name, kind in kinds.items()}
-    asked = asked.withColumn("tf", tf).withColumn("terms", F.col("terms").bitwiseAND(F.lit((1 << 32) - 1)))
-    pair = F.shiftleft(F.shiftright("b", 32), 32).bitwiseOR(F.col("h").bitwiseAND(F.lit((1 << 32) - 1)))
-    p = asked.select("b", "h", "terms").distinct()
-    p = p.select("b", "h", pair.alias("pair"), *[F.when(unknown[c], F.lit(math.nan)).otherwise(known[c]).alias(c) for c in kinds])
-    base = F.lit(math.log(LOG_BASE))
-    quantum = lambda c: 1 + F.floor(F.log(c) / base + 1e-9)
-    if 1 in model.rest:
-        words = exact.where(F.col("c") < model.least[1]).select(F.col("h").alias("_k"), quantum(F.col("c")).cast("double").alias("_q"))
-        for name, col in (("single", "h"), ("share", "b")):
-            p = p.withColumn("_k", F.when(F.isnan(name), F.col(col)).otherwise(F.col("pair"))).join(words, "_k", "left")
-            found = ((F.pow(F.lit(LOG_BASE), F.col("_q") - 1) + 1) if name == "single" else F.pow(F.lit(LOG_BASE), -F.col("_q")))
-            scale = F.lit(float(model.tokens + model.types + 1) if name == "single" else 1.0)
-            p = p.withColumn(name, F.when(F.isnan(name), F.coalesce(found, F.lit(1.0 if name == "single" else 0.0)) / scale).otherwise(F.col(name))).drop("_k", "_q")
-    if 3 in model.rest:
-        p = p.withColumn("_k", F.when(F.isnan("gamma"), F.shiftrightunsigned("b", 32)).otherwise(F.col("pair"))).join(rare_weights.withColumnRenamed("ctx", "_k"), "_k", "left")
-        p = p.withColumn("gamma", F.when(F.isnan("gamma"), F.coalesce(F.pow(F.lit(WEIGHT_BASE), -F.col("q").cast("double")), F.lit(1.0))).otherwise(F.col("gamma"))).drop("_k", "q")
-    if 2 in model.rest:
-        p = p.join(rare_pairs, "pair", "left")
-        found = F.greatest(F.pow(F.lit(LOG_BASE), quantum(F.col("c")) - 1) - F.lit(model.discount), F.lit(0.0))
-        p = p.withColumn("seen", F.when(F.isnan("seen"), F.coalesce(found, F.lit(0.0))).otherwise(F.col("seen"))).drop("c")
-    log = F.log10(F.least(F.col("seen") * F.col("share") + F.col("gamma") * F.col("single"), F.lit(1.0)))
-    p = p.select("b", "h", log.alias("log"))
-    return asked.select("row", "b", "h", "tf").join(p, ["b", "h"]).select("row", (F.col("tf") * F.col("log")).alias("score")).groupBy("row").agg(F.sum("score").alias("score"))
-
-
-QUESTION = {"slot": pa.int32(), "kind": pa.int32(), "part": pa.int64(), "keys": pa.binary(), "docs": pa.binary(), "times": pa.binary(), "terms": pa.binary()}
-
-
-def questions(kind: int, part: int, keys: np.ndarray, docs: np.ndarray, times: np.ndarray, terms: np.ndarray, chunks: int) -> list[tuple]:
-    """Rows of QUESTION, one for each slot: how often documents (rows from ``part`` on) ask for a key, and the terms they know."""
-    slot = (chunk_of(keys, chunks) // U(SLOT_CHUNKS)).astype(np.int32)
-    order = np.argsort(slot, kind="stable")
-    keys, docs, times, terms, slot = short(keys[order], kind), docs[order], times[order], terms[order], slot[order]
-    edges = np.append(np.flatnonzero(np.diff(slot, prepend=-1)), len(slot)).tolist()
-    return [(int(slot[a]), kind, part, packed(keys[a:b], KEY_BYTES[kind]), packed(docs[a:b], 4), packed(times[a:b], 4), packed(terms[a:b], 4))
-            for a, b in zip(edges, edges[1:], strict=False)]
-
-
-def answers(asked: DataFrame, counts: DataFrame, below: dict[int, float], model: Model, chunks: int) -> DataFrame:
-    """(row, key, n_tokens, n_known, base, score): the documents' rows of ``asked`` as they are, and sums of what its questions add.
-
-    ``asked`` has the columns of QUESTION and these; kind 0 are documents. The words (kind 1) and pairs (kind 2) with
-    counts under ``below`` meet the questions for them slot by slot: a task holds the counts of one slot at a
-    time and sums its answers by document before they move.
+
+    def __init__(self, name: int):
+        self.name, self.documents = name, 0
+        self.keys: dict[int, list[np.ndarray]] = {1: [], 2: [], 3: []}
+        self.asked = {1: 0, 2: 0, 3: 0}
+        self.terms: list[np.ndarray] = []
+        self.uses: dict[int, list[np.ndarray]] = {1: [], 2: []}
+
+    def ask(self, kind: int, keys: np.ndarray) -> np.ndarray:
+        """The numbers of questions, from 1."""
+        self.keys[kind].append(keys)
+        self.asked[kind] += len(keys)
+        return np.arange(self.asked[kind] - len(keys) + 1, self.asked[kind] + 1)
+
+    def use(self, kind: int, number: np.ndarray, doc: np.ndarray, documents: int) -> None:
+        """How often each of ``documents`` more documents needs an answer."""
+        code, times = np.unique(number * documents + doc, return_counts=True)
+        number, doc = np.divmod(code, documents)
+        self.uses[kind].append(np.stack([number - 1, doc + self.documents, times]).astype(np.uint32))
+
+    def full(self) -> bool:
+        return max(sum(self.asked.values()), self.documents) >= ASKED
+
+    def rows(self, chunks: int) -> Iterator[pa.RecordBatch]:
+        """Rows of QUESTION, one for each slot and kind, and what they are for in pieces."""
+        if not any(self.asked.values()):
+            return
+        rows, rank, order = [], {}, {}
+        for kind, keys in self.keys.items():
+            keys = np.concatenate([*keys, np.zeros(0, U)])
+            slot = slot_of(keys, chunks)
+            order[kind] = np.argsort(slot.astype(np.uint16) if slot.max(initial=0) < 1 << 16 else slot, kind="stable")
+            rank[kind] = np.empty(len(keys) + 1, np.int64)
+            rank[kind][0], rank[kind][order[kind] + 1] = 0, np.arange(1, len(keys) + 1)
+            keys, slot = short(keys[order[kind]], kind), slot[order[kind]]
+            edges = np.append(np.flatnonzero(np.diff(slot, prepend=-1)), len(slot)).tolist()
+            rows += [(int(slot[a]), kind, self.name, a, packed(keys[a:b], KEY_BYTES[kind])) for a, b in zip(edges, edges[1:], strict=False)]
+        said = []
+        for kind, what in ((1, COUNTED), (2, PAIRED)):
+            if self.uses[kind]:
+                number, doc, times = np.concatenate(self.uses[kind], axis=1)
+                number = rank[kind][number + 1]
+                by = np.argsort(number, kind="stable")
+                said.append((what, [np.diff(number[by], prepend=0), doc[by], times[by]]))
+        if self.terms:
+            terms, word, before, weight = np.concatenate(self.terms, axis=1)[:, order[2]]
+            said.append((TERMS, [terms]))
+            if word.any() or before.any() or weight.any():
+                said.append((OPEN, [rank[1][word], rank[1][before], rank[3][weight]]))
+        for what, columns in said:
+            at = np.arange(0, len(columns[0]), PIECE)
+            rows += [(slot, what, self.name, i, record([c[i:i + PIECE] for c in columns], FIELDS[what]))
+                     for i, slot in zip(at.tolist(), slot_of((at + self.name).view(U), chunks).tolist(), strict=True)]
+        yield from sent(rows_of(len(rows), QUESTION | DOCUMENT, **{c: list(v) for c, v in zip(QUESTION, zip(*rows, strict=True), strict=True)}))
+
+
+def answers(asked: DataFrame, counts: DataFrame, rare_weights: DataFrame | None, below: dict[int, float], model: Model, chunks: int) -> DataFrame:
+    """The documents of ``asked`` (kind 0), with what the answers to its questions add.
+
+    ``asked`` has the columns of QUESTION and DOCUMENT. The words (kind 1) and pairs (kind 2) with counts under ``below``
+    and the weights left to the tables (kind 3) meet the questions for them slot by slot: a task holds the values of one
+    slot and kind at a time. Answers have the numbers of their questions and move back to the part that asked.
     """
     spark = asked.sparkSession
-    columns = asked.columns[len(QUESTION):]
-    total, discount, least = model.tokens + model.types + 1, model.discount, dict(model.least)
+    out_columns = {c: t for c, t in (QUESTION | DOCUMENT).items() if c != "slot"}
+    total, discount, least, kinds = float(model.tokens + model.types + 1), model.discount, dict(model.least), len(KEY_BYTES)
     tokens, types = model.tokens, model.types
+    quantum = np.minimum(quantised(np.maximum(np.arange(1 << 16), 1), 1.0), 255).astype(np.uint8)
+
+    def quanta(c: np.ndarray) -> np.ndarray:
+        return quantum[c] if c.max(initial=0) < len(quantum) else np.minimum(quantised(c, 1.0), 255)
 
     def table(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
-            kinds, slots, keys, times = [], [], [], []
+            rows = []
             for kind, chunk, k, c in zip(*(batch.column(x).to_pylist() for x in ("kind", "chunk", "keys", "counts")), strict=True):
                 n = np.frombuffer(c, np.int64)
                 keep = n < below[kind]
                 if keep.any():
-                    kinds.append(kind)
-                    slots.append(chunk // SLOT_CHUNKS)
-                    keys.append(packed(short(np.frombuffer(k, U)[keep], kind), KEY_BYTES[kind]))
-                    times.append(packed(n[keep], 8))
-            none = [None] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((slots, kinds, [-1] * len(kinds), keys, none, times, none), QUESTION.values(), strict=True)],
-                                             names=list(QUESTION))
-
-    share = np.concatenate([[0.0], LOG_BASE ** -np.arange(1.0, 256) / least[1]])
-    single = single_of(np.arange(256), least[1], tokens, types)
-    gamma = WEIGHT_BASE ** -np.arange(256.0)
-
-    def seen_of(c: np.ndarray) -> np.ndarray:
-        return np.where(c > 0, np.maximum(value(quantised(np.maximum(c, 1), 1.0), 1.0) - discount, 0), 0.0)
-
-    seen = seen_of(np.arange(min(max(below[2], 1), 1 << 16)))
-
-    def added(kind: int, c: np.ndarray, times: np.ndarray, terms: np.ndarray) -> np.ndarray:
-        """What counts and terms add: words to n_known and base, pairs to score."""
-        if kind == 1:
-            return np.stack([np.where(c > 0, times, 0), times * np.log10((c + 1) / total)])
-        byte = lambda i: (terms >> U(8 * i)).astype(np.uint8)
-        paired = seen[c] if len(seen) == below[2] else seen_of(c)
-        return (times * np.log10(np.minimum(paired * share[byte(2)] + gamma[byte(0)] * single[byte(1)], 1.0)))[None]
+                    keys, n = short(np.frombuffer(k, U)[keep], kind), n[keep]
+                    rows.append((chunk // slot_chunks(chunks), kind, -1, 0, record([keys, quanta(n) if kind == 2 else n], [KEY_BYTES[kind], ANSWER_BYTES[kind]])))
+            if rows:
+                yield from sent(rows_of(len(rows), QUESTION, **{c: list(v) for c, v in zip(QUESTION, zip(*rows, strict=True), strict=True)}))
 
-    types_out = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    def weights(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            ctx, q = batch.column("ctx").to_numpy().view(U), batch.column("q").to_numpy()
+            slot = slot_of(ctx, chunks)
+            order = np.argsort(slot, kind="stable")
+            ctx, q, slot = ctx[order], q[order], slot[order]
+            edges = np.append(np.flatnonzero(np.diff(slot, prepend=-1)), len(slot)).tolist()
+            data = [record([ctx[a:b], q[a:b]], [KEY_BYTES[3], ANSWER_BYTES[3]]) for a, b in zip(edges, edges[1:], strict=False)]
+            n = len(data)
+            yield from sent(rows_of(n, QUESTION, slot=slot[edges[:-1]], kind=np.full(n, 3), part=np.full(n, -1), first=np.zeros(n, np.int64), data=data))
 
     def answer(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, keys, c, parts_of_table = None, None, None, []
-        held, n = {1: ([], []), 2: ([], [])}, 0
-
-        def compact() -> int:
-            for rows, sums in held.values():
-                if len(rows) > 1:
-                    distinct, at = np.unique(np.concatenate(rows), return_inverse=True)
-                    rows[:], sums[:] = [distinct], [np.stack([np.bincount(at, np.concatenate([x[i] for x in sums]), len(distinct)) for i in range(len(sums[0]))])]
-            return sum(len(rows[0]) for rows, _ in held.values() if rows)
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for kind, (rows, sums) in held.items():
-                if rows:
-                    row, own = rows.pop(), sums.pop()
-                    none = np.zeros(len(row))
-                    known, base, score = (*own, none) if kind == 1 else (none, none, *own)
-                    values = row, pa.nulls(len(row), pa.string()), none.astype(np.int64), np.rint(known).astype(np.int64), base, score
-                    yield from sent(pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(values, types_out, strict=True)], names=columns))
-
+        now, keys, values, parts_of_table = None, None, None, []
         for batch in parts:
-            kind, slot, part = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("kind", "slot", "part"))
-            if (kind == 0).any():
-                yield batch.filter(pa.array(kind == 0)).select(columns)
+            kind, slot, part, first = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("kind", "slot", "part", "first"))
+            through = (kind == 0) | (kind > kinds)
+            if through.any():
+                yield from sent(batch.filter(pa.array(through)).select(list(out_columns)))
             edges = np.flatnonzero(np.concatenate([[True], (np.diff(kind) != 0) | (np.diff(slot) != 0) | (np.diff(part < 0) != 0)])).tolist()
             for a, b in zip(edges, [*edges[1:], len(kind)], strict=True):
                 k = int(kind[a])
-                if k == 0:
+                if through[a]:
                     continue
-                blobs = lambda x: batch.column(x).slice(a, b - a).to_pylist()  # noqa: B023, E731
+                blobs = batch.column("data").slice(a, b - a).to_pylist()
                 if now != (k, slot[a]):
                     now, keys, parts_of_table = (k, slot[a]), None, []
                 if part[a] < 0:
-                    parts_of_table.append((unpacked(blobs("keys"), KEY_BYTES[k]), unpacked(blobs("times"), 8).astype(np.int64)))
+                    parts_of_table.append(fields(blobs, [KEY_BYTES[k], ANSWER_BYTES[k]]))
                     continue
                 if keys is None:
-                    keys, c = (np.concatenate(x) for x in zip(*parts_of_table, strict=True)) if parts_of_table else (np.zeros(0, U), np.zeros(0, np.int64))
+                    keys, values = (np.concatenate(x) for x in zip(*parts_of_table, strict=True)) if parts_of_table else (np.zeros(0, U), np.zeros(0, U))
                     order, parts_of_table = np.argsort(keys), []
-                    keys, c = keys[order], c[order]
-                asked_keys, docs, times, terms = (unpacked(blobs(x), w) for x, w in (("keys", KEY_BYTES[k]), ("docs", 4), ("times", 4), ("terms", 4)))
-                lengths = [len(x) // 4 for x in blobs("docs")]
-                order = np.argsort(asked_keys)
+                    keys, values = keys[order], values[order].astype(f"<u{ANSWER_BYTES[k]}")
+                wanted = unpacked(blobs, KEY_BYTES[k])
+                order = np.argsort(wanted)
                 at = np.empty(len(order), np.int64)
-                at[order] = np.searchsorted(keys, asked_keys[order])
+                at[order] = np.searchsorted(keys, wanted[order])
                 at = np.minimum(at, max(0, len(keys) - 1))
-                found = np.where(keys[at] == asked_keys, c[at], 0) if len(keys) else np.zeros(len(at), np.int64)
-                held[k][0].append(np.repeat(part[a:b], lengths) + docs.astype(np.int64))
-                held[k][1].append(added(k, found, times.astype(np.int64), terms))
-                n += len(found)
-                if n > HELD:
-                    n = compact()
-                    if 2 * n > HELD:
+                found = np.where(keys[at] == wanted, values[at], 0).astype(values.dtype) if len(keys) else np.zeros(len(at), f"<u{ANSWER_BYTES[k]}")
+                ends = np.cumsum([0, *(len(x) // KEY_BYTES[k] * ANSWER_BYTES[k] for x in blobs)]).astype(np.int32)
+                data = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(ends), pa.py_buffer(found.tobytes())])
+                yield from sent(rows_of(b - a, out_columns, kind=kind[a:b], part=part[a:b], first=first[a:b], data=data))
+
+    share = np.concatenate([[0.0], LOG_BASE ** -np.arange(1.0, 256)])
+    single = single_of(np.arange(256), least[1], tokens, types)
+    rare_single = single_of(np.arange(256), 1.0, tokens, types)
+    gamma = WEIGHT_BASE ** -np.arange(256.0)
+    seen = np.maximum(value(np.arange(256), least[2]) - discount, 0)
+    rare_seen = np.maximum(value(np.arange(256), 1.0) - discount, 0)
+
+    def sums(n: int, got: dict[int, list[bytes]]) -> Iterator[np.ndarray]:
+        """What n documents add to n_known, base and score."""
+        counted, pair, weight = (np.frombuffer(b"".join(got[k]), f"<u{ANSWER_BYTES[k]}") for k in (1, 2, 3))
+        number, doc, times = fields(got[COUNTED], FIELDS[COUNTED])
+        c = counted[np.cumsum(number, dtype=np.int64) - 1].astype(np.int64)
+        yield np.bincount(doc, np.where(c > 0, times, 0), n)
+        yield np.bincount(doc, times * np.log10((c + 1) / total), n)
+        q = fields(got[TERMS], FIELDS[TERMS])[0].view(np.uint8).reshape(-1, 4).T
+        before, after, left = share[q[2]] / least[1], single[q[1]], gamma[q[0]]
+        if got[OPEN]:
+            of, to, ctx = fields(got[OPEN], FIELDS[OPEN])
+            words = np.concatenate([[0], np.where(counted > 0, quanta(np.maximum(counted, 1).astype(np.int64)), 0)])
+            before, after = np.where(to > 0, share[words[to]], before), np.where(of > 0, rare_single[words[of]], after)
+            left = np.where(ctx > 0, gamma[np.concatenate([[0], weight])[ctx]], left)
+        p = np.log10(np.minimum(np.where(q[3] > 0, seen[q[3]], rare_seen[pair]) * before + left * after, 1.0))
+        number, doc, times = fields(got[PAIRED], FIELDS[PAIRED])
+        yield np.bincount(doc, times * p[np.cumsum(number, dtype=np.int64) - 1], n)
+
+    def finish(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own, got = None, [], {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(own).combine_chunks().to_batches()[0]
+            if any(got.values()):
+                known, base, score = sums(rows.num_rows, got)
+                add = {"n_known": np.rint(known).astype(np.int64), "base": base, "score": score}
+                rows = rows_of(rows.num_rows, DOCUMENT, **{c: rows.column(c).to_numpy() + add[c] if c in add else rows.column(c) for c in DOCUMENT})
+            return sent(rows)
+
+        for batch in parts:
+            kind, part = (batch.column(x).to_numpy() for x in ("kind", "part"))
+            edges = np.flatnonzero(np.concatenate([[True], (np.diff(kind) != 0) | (np.diff(part) != 0)])).tolist()
+            for a, b in zip(edges, [*edges[1:], len(kind)], strict=True):
+                if now != part[a]:
+                    if own:
                         yield from out()
-                        n = 0
-        if n:
-            compact()
+                    now, own, got = part[a], [], {k: [] for k in range(1, OPEN + 1)}
+                if kind[a]:
+                    got[int(kind[a])] += batch.column("data").slice(a, b - a).to_pylist()
+                else:
+                    own.append(batch.slice(a, b - a).select(list(DOCUMENT)))
+        if own:
             yield from out()
 
-    names = "slot int, kind int, part long, keys binary, docs binary, times binary, terms binary"
-    both = asked.unionByName(counts.select("kind", "chunk", "keys", "counts").mapInArrow(table, names), allowMissingColumns=True)
-    slots = math.ceil(chunks / SLOT_CHUNKS)
-    tasks = max(min(slots, 2 * spark.sparkContext.defaultParallelism), slots // SLOTS)
-    return both.repartition(tasks, "slot").sortWithinPartitions("slot", "kind", "part").mapInArrow(answer, asked.select(columns).schema)
+    both = asked.unionByName(counts.select("kind", "chunk", "keys", "counts").mapInArrow(table, schema_of(QUESTION)), allowMissingColumns=True)
+    if rare_weights is not None:
+        both = both.unionByName(rare_weights.mapInArrow(weights, schema_of(QUESTION)), allowMissingColumns=True)
+    slots = math.ceil(chunks / slot_chunks(chunks))
+    tasks = max(min(slots, 2 * spark.sparkContext.defaultParallelism), chunks // TASK_CHUNKS)
+    back = both.repartition(tasks, "slot").sortWithinPartitions("slot", "kind", "part").mapInArrow(answer, schema_of(out_columns))
+    return back.repartition(tasks, "part").sortWithinPartitions("part", "kind", "first").mapInArrow(finish, schema_of(DOCUMENT))
 
 
 def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str = "text", max_bytes: int = MAX_FILTER_BYTES,
@@ -698,11 +770,10 @@ def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", text:
     Returns key, n_tokens, n_known, train_tokens, base_score (add-one unigram, exact
     counts) and score (the filter model). Words are compared by 64-bit hashes. Null and
     empty texts have the end token alone; repeated rows are scored alike; without
-    training rows all counts are 0. Words too rare for the broadcast table of exact
-    counts meet their counts in a join, one row for each document and rare word; pairs
-    of words of which a filter leaves something open meet the model's tables likewise. Where
-    only counts of pairs are open, documents ask for these and for rare words in packed rows, in
-    PASSES shares whose scores are written before the next share asks.
+    training rows all counts are 0. Where the filters hold all, words too rare for the
+    broadcast table of exact counts meet their counts in a join, one row for each document
+    and rare word. Else parts of the documents ask for these, and for counts and weights that
+    the filters leave open, in packed rows, in PASSES shares whose scores are written before the next share asks.
     The model has the pairs seen at least ``rarest_pair`` times.
     """
     with setting(docs.sparkSession, "spark.sql.parquet.columnarReaderBatchSize", str(SCANNED_ROWS)):
@@ -712,9 +783,9 @@ def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", text:
 def scored_texts(docs: DataFrame, training: DataFrame, key: str, text: str, max_bytes: int, rarest_pair: int) -> DataFrame:
     """What ``score_texts`` returns."""
     spark = docs.sparkSession
-    model, exact, rare_pairs, rare_weights, counts, chunks = fitted(training.select(F.col(text).alias("text")), max_bytes, rarest_pair)
-    pairs_alone = model.rest == {2}
-    if not pairs_alone:  # packed questions meet the counts by chunk
+    model, exact, _, rare_weights, counts, chunks = fitted(training.select(F.col(text).alias("text")), max_bytes, rarest_pair)
+    asking = bool(model.rest)
+    if not asking:  # packed questions meet the counts by chunk
         exact = written(exact, "lm-words")
     at_least = max(1.0, FREQUENT * model.tokens)
     often = exact.where(F.col("c") >= at_least).toPandas()
@@ -723,31 +794,21 @@ def scored_texts(docs: DataFrame, training: DataFrame, key: str, text: str, max_
     below = model.tokens + model.types + 1
     kind = dict(docs.dtypes)[key]
     everything = model.types == len(often_h)
-
-    columns = {"row": pa.int64(), "key": pa.string(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(),
-               "score": pa.float64(), "h": pa.int64(), "tf": pa.int32()}
-    if model.rest:
-        columns |= {"terms": pa.int64(), "b": pa.int64()}
-    if pairs_alone:
-        columns = QUESTION | {c: t for c, t in columns.items() if c not in ("h", "tf", "terms", "b")}
+    columns = QUESTION | DOCUMENT if asking else {"row": pa.int64()} | DOCUMENT | {"h": pa.int64(), "tf": pa.int32()}
 
     def score(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, frequent, count = shared.value
-        known = Known()
-
-        def out(n: int, **values) -> pa.RecordBatch:
-            """A row of zeros for each of n, but for the given columns; a null key, null terms and null blobs."""
-            zero = np.zeros(n, np.int64)
-            return pa.RecordBatch.from_arrays([pa.nulls(n, t) if (c in ("key", "terms") or t == pa.binary()) and c not in values else pa.array(values.get(c, zero), t)
-                                               if isinstance(values.get(c, zero), np.ndarray) else values[c] for c, t in columns.items()], names=list(columns))
-
+        known, asked = Known(), None
         for batch in parts:
             for part in batches_of(batch):
                 row = part.column("row").to_numpy(zero_copy_only=False)
                 h, n = hashed(part.column("text").to_pylist())
                 first = np.concatenate([[0], np.cumsum(n)[:-1]])
                 words, at = np.unique(h, return_inverse=True)
-                p, ask, before, terms, pairs, place_of = m.log10(h, words, at, known)
+                before = np.concatenate([[np.searchsorted(words, U(END))], at[:-1]])
+                pairs, place_of = np.unique(before * len(words) + at, return_inverse=True)
+                to, of = np.divmod(pairs, len(words))
+                p, ask, terms, rare, light = m.log10(words, to, of, known)
                 p[ask] = 0.0
                 place = np.minimum(np.searchsorted(frequent, words), max(0, len(frequent) - 1))
                 have = (frequent[place] == words) if len(frequent) else np.zeros(len(words), bool)
@@ -755,71 +816,60 @@ def scored_texts(docs: DataFrame, training: DataFrame, key: str, text: str, max_
                 base = np.log10((c + 1) / below)
                 if not everything:
                     base[~have] = 0.0
-                base, hit = base[at], have[at]
-                spread = {"slot": (chunk_of(row.view(U), chunks) // U(SLOT_CHUNKS)).astype(np.int32), "part": row} if pairs_alone else {"h": mix(row.view(U), 7).view(np.int64)}
-                yield out(len(n), row=row, key=part.column("key"), n_tokens=n, n_known=np.add.reduceat(hit.astype(np.int64), first),
-                          base=np.add.reduceat(base, first), score=np.add.reduceat(p, first), **spread)
-                if pairs_alone:
-                    # each document asks once for each word without a known count, and for each pair that the filters leave open
-                    doc = np.repeat(row - row[0], n)
-                    code, tf = np.unique(doc[~hit] * len(words) + at[~hit], return_counts=True)
-                    d, r = np.divmod(code, len(words))
-                    own = questions(1, int(row[0]), words[r], d, tf, np.zeros(len(r), np.int64), chunks)
-                    terms_of = np.zeros(len(pairs), np.int64)
-                    terms_of[place_of[ask]] = terms
-                    code, tf = np.unique(doc[ask] * len(pairs) + place_of[ask], return_counts=True)
-                    d, r = np.divmod(code, len(pairs))
-                    own += questions(2, int(row[0]), pairs[r], d, tf, terms_of[r], chunks)
-                    if own:
-                        yield out(len(own), **{c: pa.array(v, QUESTION[c]) for c, v in zip(QUESTION, zip(*own, strict=True), strict=True)})
+                hit = have[at]
+                own = {"key": part.column("key"), "n_tokens": n, "n_known": np.add.reduceat(hit.astype(np.int64), first),
+                       "base": np.add.reduceat(base[at], first), "score": np.add.reduceat(p[place_of], first)}
+                doc = np.repeat(np.arange(len(n)), n)
+                if asking:
+                    # each batch asks once for each word without a known count, for each pair that the filters leave open and its words
+                    asked = asked or Part(int(row[0]))
+                    yield rows_of(len(n), columns, slot=slot_of(row.view(U), chunks), kind=np.zeros(len(n), np.int64),
+                                  part=np.full(len(n), asked.name), first=asked.documents + np.arange(len(n)), **own)
+                    counted, weighed, open_ = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), np.zeros(len(pairs), np.int64)
+                    need = rare if everything else rare | ~have
+                    counted[need], weighed[light] = asked.ask(1, words[need]), asked.ask(3, words[light] >> U(32))
+                    to, of = to[ask], of[ask]
+                    open_[ask] = asked.ask(2, pair_key(words[to], words[of]))
+                    asked.terms.append(np.stack([terms, counted[of] * rare[of], counted[to] * rare[to], weighed[to]]).astype(np.uint32))
+                    if not everything:
+                        asked.use(1, counted[at[~hit]], doc[~hit], len(n))
+                    number = open_[place_of]
+                    asked.use(2, number[number > 0], doc[number > 0], len(n))
+                    asked.documents += len(n)
+                    if asked.full():
+                        yield from asked.rows(chunks)
+                        asked = None
                     continue
+                zero = np.zeros(len(n), np.int64)
+                yield rows_of(len(n), columns, row=row, h=mix(row.view(U), 7).view(np.int64), tf=zero, **own)
                 if not everything:
                     # rare words: one row for each document and word
-                    doc = np.repeat(np.arange(len(n)), n)
-                    pairs, tf = np.unique(doc[~hit] * len(words) + at[~hit], return_counts=True)
-                    if len(pairs):
-                        d, r = np.divmod(pairs, len(words))
-                        yield out(len(d), row=row[d], h=words[r].view(np.int64), tf=tf)
-                if len(ask):
-                    # what the filters leave open: one row for each document and pair of words
-                    doc, key = np.repeat(np.arange(len(n)), n)[ask], pair_keys(h)[ask]
-                    order = np.lexsort((key, doc))
-                    doc, key = doc[order], key[order]
-                    start = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])]))
-                    one = order[start]
-                    tf = np.diff(np.append(start, len(order)))
-                    yield out(len(start), row=row[doc[start]], terms=tf << 32 | terms[one], b=words[before[one]].view(np.int64), h=h[ask[one]].view(np.int64))
+                    code, tf = np.unique(doc[~hit] * len(words) + at[~hit], return_counts=True)
+                    if len(code):
+                        d, r = np.divmod(code, len(words))
+                        zero = np.zeros(len(code), np.int64)
+                        yield rows_of(len(code), columns, row=row[d], h=words[r].view(np.int64), tf=tf, n_tokens=zero, n_known=zero, base=zero, score=zero)
+        if asked:
+            yield from asked.rows(chunks)
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("string").alias("key"), F.col(text).cast("binary").alias("text"))
-    names = {pa.int64(): "long", pa.int32(): "int", pa.float64(): "double", pa.string(): "string", pa.binary(): "binary"}
-    schema = ", ".join(f"{c} {names[t]}" for c, t in columns.items())
-
-    def by_row(parts: DataFrame) -> DataFrame:
-        out = parts.groupBy("row").agg(
-            F.max("key").alias("_key"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"),
-            F.sum("base").alias("base_score"), F.sum("score").alias("score"))
-        return out.select(F.col("_key").cast(kind).alias(key), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
-
-    if pairs_alone:
+    train_tokens = F.lit(model.tokens).cast("long").alias("train_tokens")
+    if asking:
         # a plan that may give other rows when it runs again is asked at once
         passes, out = PASSES if one_row_each(docs) else 1, None
+        below_of = {1: max(at_least, model.least[1]), 2: model.least[2]}
         for i in range(passes):
             own = rows.where(F.pmod(F.xxhash64("key", "text"), F.lit(passes)) == i) if passes > 1 else rows
-            scored = answers(own.mapInArrow(score, schema), counts, {1: at_least, 2: model.least[2]}, model, chunks)
-            scored = written_alone(by_row(scored), "lm-scores")
+            scored = answers(own.mapInArrow(score, schema_of(columns)), counts, rare_weights if 3 in model.rest else None, below_of, model, chunks)
+            scored = written_alone(scored.select(F.col("key").cast(kind).alias(key), "n_tokens", "n_known", train_tokens, F.col("base").alias("base_score"), "score"), "lm-scores")
             out = scored if out is None else out.unionByName(scored)
         return out
-    found = rows.mapInArrow(score, schema)
+    found = rows.mapInArrow(score, schema_of(columns))
     rare = exact.where(F.col("c") < at_least)
     c = F.coalesce(F.col("c"), F.lit(0))
-    open_terms = None
-    if model.rest:
-        found = written(found, "lm-found")
-        asked = F.col("terms").isNotNull()
-        open_terms = rare_terms(found.where(asked), exact, rare_pairs, rare_weights, model)
-        found = found.where(~asked).select("row", "key", "n_tokens", "n_known", "base", "score", "h", "tf")
     parts = found.join(rare, "h", "left").select("row", "key", "n_tokens", (F.col("n_known") + F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("n_known"),
                                                  (F.col("base") + F.col("tf") * F.log10((c + 1) / F.lit(float(below)))).alias("base"), "score")
-    if open_terms is not None:
-        parts = parts.unionByName(open_terms, allowMissingColumns=True)
-    return by_row(parts)
+    out = parts.groupBy("row").agg(
+        F.max("key").alias("_key"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"),
+        F.sum("base").alias("base_score"), F.sum("score").alias("score"))
+    return out.select(F.col("_key").cast(kind).alias(key), "n_tokens", "n_known", train_tokens, "base_score", "score")
